@@ -49,3 +49,360 @@ SELECT s_name AS name,
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey
 """
+
+ORACLE["null_default"] = """
+SELECT d.doc_id, d.lang, l.quality, coalesce(l.toxic, 0) AS toxic,
+       l.toxic IS NULL AS toxic_defaulted
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+"""
+
+ORACLE["override_merge"] = """
+WITH o AS (
+  SELECT n_nationkey AS k,
+         CASE WHEN n_regionkey <> 0 THEN r_name END AS seg,
+         CASE WHEN n_regionkey = 3 THEN CAST(0 AS DOUBLE) END AS acct,
+         CASE WHEN n_regionkey = 1 THEN false WHEN n_regionkey = 2 THEN true END AS act
+  FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey, c_name, c_nationkey,
+       coalesce(o.acct, c_acctbal) AS c_acctbal,
+       coalesce(o.seg, c_mktsegment) AS c_mktsegment,
+       coalesce(o.act, c_acctbal > 0) AS active
+FROM customer LEFT JOIN o ON c_nationkey = o.k
+"""
+
+ORACLE["access_report"] = """
+WITH w AS (
+  SELECT n_name AS cluster, s_name AS node,
+         '10.' || CAST(s_nationkey AS VARCHAR) || '.' || CAST(s_suppkey // 250 AS VARCHAR)
+           || '.' || CAST(s_suppkey % 250 + 1 AS VARCHAR) AS ip
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+s AS (
+  SELECT n_name AS cluster, n_name || '-node-scheduler' AS node,
+         '10.' || CAST(n_nationkey AS VARCHAR) || '.255.254' AS ip,
+         9756 + n_nationkey AS port
+  FROM nation),
+r AS (
+  SELECT w.cluster, 'worker' AS role, 0 AS role_rank, w.node, w.ip, s.ip AS scheduler_ip, s.port
+  FROM w JOIN s ON w.cluster = s.cluster
+  UNION ALL
+  SELECT cluster, 'scheduler', 1, node, ip, ip, port FROM s)
+SELECT *, 'http://' || ip || ':' || CAST(port AS VARCHAR) || '/' AS url FROM r
+"""
+
+ORACLE["worker_filter"] = """
+SELECT c_custkey, c_name, c_nationkey FROM customer
+WHERE starts_with(c_name, 'Customer#0000001') AND contains(c_name, '5')
+"""
+
+ORACLE["delete_plan"] = """
+WITH inv AS (
+  SELECT 'customer' AS kind, c_name AS name FROM customer
+  UNION ALL SELECT 'supplier', s_name FROM supplier
+  UNION ALL SELECT 'part', p_brand FROM part
+  UNION ALL SELECT 'nation', n_name FROM nation)
+SELECT kind, name,
+       CASE WHEN starts_with(name, 'Brand#1') OR starts_with(name, 'Customer#00000000')
+            THEN 'delete' ELSE 'keep' END AS action
+FROM inv
+"""
+
+ORACLE["config_validation"] = """
+WITH f AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN NOT coalesce(l_quantity >= 2, false) THEN 'quantity_min' END AS f1,
+         CASE WHEN NOT coalesce(l_orderkey <> l_partkey AND l_orderkey <> l_suppkey
+                                AND l_partkey <> l_suppkey, false) THEN 'keys_distinct' END AS f2,
+         CASE WHEN NOT coalesce(l_extendedprice > 0, false) THEN 'price_positive' END AS f3
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+       concat_ws(',', f1, f2, f3) AS failures,
+       coalesce(f1, f2, f3) AS first_failure,
+       CAST((f1 IS NOT NULL)::INT + (f2 IS NOT NULL)::INT + (f3 IS NOT NULL)::INT AS BIGINT) AS n_failures,
+       f1 IS NULL AND f2 IS NULL AND f3 IS NULL AS valid
+FROM f
+"""
+
+ORACLE["admit_new"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+"""
+
+ORACLE["reject_existing"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
+"""
+
+_BUILDING = "(SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING')"
+
+ORACLE["name_lookup"] = f"""
+SELECT e.event_id, e.user_id, c.c_name, c.c_custkey IS NOT NULL AS resolved
+FROM events e LEFT JOIN {_BUILDING} c ON e.user_id = c.c_custkey
+"""
+
+ORACLE["unknown_names"] = f"""
+SELECT user_id, count(*) AS n_requests FROM events
+WHERE user_id NOT IN (SELECT c_custkey FROM {_BUILDING})
+GROUP BY user_id
+"""
+
+ORACLE["prefix_collisions"] = """
+WITH b AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand IS NOT NULL)
+SELECT a.name AS prefix, b.name AS name FROM b a JOIN b ON starts_with(b.name, a.name) AND a.name <> b.name
+"""
+
+ORACLE["component_status"] = """
+WITH g AS (
+  SELECT conv_id,
+         coalesce(bool_or(role = 'system'), false) AS has_system,
+         coalesce(bool_or(role = 'user'), false) AS has_user,
+         coalesce(bool_or(role = 'assistant'), false) AS has_assistant
+  FROM conversations GROUP BY conv_id)
+SELECT *, CASE WHEN NOT has_system THEN 'system_missing'
+               WHEN NOT has_user THEN 'user_missing'
+               WHEN NOT has_assistant THEN 'assistant_missing'
+               ELSE 'complete' END AS status
+FROM g
+"""
+
+ORACLE["worker_count"] = """
+SELECT n_nationkey, n_name, count(s_nationkey) AS n_suppliers
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey
+GROUP BY n_nationkey, n_name
+"""
+
+_STAGES = """
+WITH st AS (
+  SELECT conv_id, turn, role,
+         CASE WHEN role = 'system' THEN NULL
+              WHEN role = 'assistant' AND length(text) > 1000 THEN 1 ELSE 0 END AS code
+  FROM conversations)
+"""
+
+ORACLE["stage_outcome"] = _STAGES + """
+SELECT conv_id, count(*) AS n_stages,
+       coalesce(bool_or(code <> 0), false) AS failed,
+       coalesce(bool_or(code IS NULL), false) AS running,
+       min(CASE WHEN code <> 0 THEN turn END) AS first_failed_stage,
+       max(turn) AS last_stage
+FROM st GROUP BY conv_id
+"""
+
+ORACLE["stage_render"] = _STAGES + """
+SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS chunk_no, count(*) AS n_stages,
+       string_agg(role, ' | ' ORDER BY turn) AS rendered,
+       string_agg(coalesce(CAST(code AS VARCHAR), 'null'), ',' ORDER BY turn) AS codes
+FROM st GROUP BY conv_id, CAST(floor(turn / 1000) AS BIGINT)
+"""
+
+ORACLE["copy_plan"] = """
+WITH s AS (
+  SELECT l_orderkey AS k,
+         count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN 'supp-' || CAST(l_suppkey AS VARCHAR) END) AS n,
+         min(CASE WHEN l_returnflag <> 'N' THEN 'supp-' || CAST(l_suppkey AS VARCHAR) END) AS one
+  FROM lineitem GROUP BY l_orderkey),
+t AS (
+  SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'cust-' || CAST(o_custkey AS VARCHAR) END AS target_host
+  FROM orders),
+v AS (
+  SELECT o_orderkey, target_host, n AS n_source_hosts, one,
+         CASE WHEN n > 1 THEN 'multiple_sources'
+              WHEN target_host IS NULL AND n = 0 THEN 'no_host'
+              WHEN target_host IS NOT NULL AND n = 1 THEN 'host_to_host'
+              ELSE 'ok' END AS verdict
+  FROM t JOIN s ON o_orderkey = s.k)
+SELECT o_orderkey, target_host, n_source_hosts, verdict,
+       CASE WHEN verdict = 'ok' THEN coalesce(target_host, one) END AS host
+FROM v
+"""
+
+ORACLE["last_wins"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                               ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn
+  FROM lineitem) WHERE rn = 1
+"""
+
+ORACLE["capacity_rollup"] = """
+SELECT o_custkey, count(*) AS n_nodes,
+       CAST(sum(p_size) AS BIGINT) AS total_cores,
+       CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_quantity
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+GROUP BY o_custkey
+"""
+
+ORACLE["catalog_rank"] = """
+SELECT p_partkey, p_type, p_size,
+       row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS rank
+FROM part
+"""
+
+ORACLE["delimiter_runs"] = """
+WITH e AS (
+  SELECT user_id, ts, event_id, event_type,
+         sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run_id
+  FROM events),
+r AS (
+  SELECT user_id, run_id, count(*) AS n_items,
+         arg_min(event_id, ts) AS first_event_id, arg_max(event_id, ts) AS last_event_id,
+         min(ts) AS first_ts, max(ts) AS last_ts
+  FROM e WHERE event_type <> 'error' GROUP BY user_id, run_id)
+SELECT user_id, n_items, first_event_id, last_event_id, first_ts, last_ts,
+       row_number() OVER (PARTITION BY user_id ORDER BY run_id) - 1 AS run_no
+FROM r
+"""
+
+ORACLE["concat_ordered"] = """
+WITH u AS (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+  FROM conversations WHERE role = 'user'),
+n AS (SELECT conv_id, count(*) AS n FROM u GROUP BY conv_id),
+a AS (
+  SELECT c.conv_id, c.turn, c.role,
+         row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 + coalesce(n.n, 0) AS pos
+  FROM conversations c LEFT JOIN n ON c.conv_id = n.conv_id WHERE c.role = 'assistant')
+SELECT conv_id, turn, role, pos FROM u UNION ALL SELECT conv_id, turn, role, pos FROM a
+"""
+
+ORACLE["node_expand"] = """
+WITH w AS (SELECT s_name, unnest(range(s_nationkey)) AS i FROM supplier)
+SELECT s_name AS prefix, 'worker' AS role, CAST(i AS INTEGER) AS node_index,
+       s_name || '-node-worker' || lpad(CAST(i AS VARCHAR), 3, '0') AS node,
+       '10.0.1.' || CAST(100 + i AS VARCHAR) AS ip,
+       (100 + i <= 255 AND 100 + i <> 200) AS ip_ok
+FROM w
+UNION ALL
+SELECT s_name, 'scheduler', CAST(NULL AS INTEGER), s_name || '-node-scheduler', '10.0.1.200', true
+FROM supplier
+"""
+
+ORACLE["rule_expand"] = """
+WITH r AS (
+  SELECT s_name, 0 AS rule_no, 'tcp' AS protocol, '22' AS port FROM supplier
+  UNION ALL SELECT s_name, 1, 'icmp', CAST(NULL AS VARCHAR) FROM supplier
+  UNION ALL SELECT s_name, 2, 'tcp', CAST(9753 + s_nationkey * 10 AS VARCHAR) FROM supplier
+  UNION ALL SELECT s_name, 3, 'tcp', CAST(9756 + s_nationkey * 10 AS VARCHAR) FROM supplier
+  UNION ALL SELECT s_name, 4, 'tcp', CAST(9759 + s_nationkey * 10 AS VARCHAR) FROM supplier),
+src AS (SELECT * FROM (VALUES ('0.0.0.0/0'), ('::/0')) v(source_ip))
+SELECT s_name AS prefix, CAST(rule_no AS INTEGER) AS rule_no, 'in' AS direction, protocol, port, source_ip
+FROM r, src
+"""
+
+ORACLE["first_success"] = """
+WITH f AS (
+  SELECT user_id AS k,
+         min(ts) FILTER (WHERE event_type = 'purchase') AS s_ts,
+         arg_min(event_id, ts) FILTER (WHERE event_type = 'purchase') AS s_id
+  FROM events GROUP BY user_id),
+g AS (
+  SELECT e.user_id, min(e.ts) AS first_ts, any_value(f.s_ts) AS success_ts,
+         any_value(f.s_id) AS success_event_id,
+         count(*) FILTER (WHERE f.s_ts IS NULL OR e.ts < f.s_ts
+                                OR (e.ts = f.s_ts AND e.event_id < f.s_id)) AS attempts_before
+  FROM events e JOIN f ON e.user_id = f.k GROUP BY e.user_id)
+SELECT *, epoch_us(success_ts) - epoch_us(first_ts) AS wait_us FROM g
+"""
+
+ORACLE["run_timeout"] = """
+WITH s AS (
+  SELECT user_id, min(ts) AS start_ts, arg_min(event_id, ts) AS start_id
+  FROM events WHERE event_type = 'signup' GROUP BY user_id),
+e AS (
+  SELECT ev.user_id, min(ev.ts) AS end_ts
+  FROM events ev JOIN s ON ev.user_id = s.user_id
+  WHERE ev.event_type = 'purchase'
+    AND (ev.ts > s.start_ts OR (ev.ts = s.start_ts AND ev.event_id > s.start_id))
+  GROUP BY ev.user_id),
+m AS (SELECT max(ts) AS asof FROM events)
+SELECT s.user_id, s.start_ts, e.end_ts,
+       CASE WHEN e.end_ts IS NOT NULL AND epoch_us(e.end_ts) - epoch_us(s.start_ts) <= 86400000000
+              THEN 'finished'
+            WHEN e.end_ts IS NOT NULL OR epoch_us(m.asof) - epoch_us(s.start_ts) >= 86400000000
+              THEN 'timed_out'
+            ELSE 'running' END AS status
+FROM s LEFT JOIN e ON s.user_id = e.user_id, m
+"""
+
+ORACLE["latest_state"] = """
+SELECT user_id, event_id, ts, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1
+"""
+
+ORACLE["phase_durations"] = """
+SELECT *, epoch_us(next_ts) - epoch_us(ts) AS duration_us FROM (
+  SELECT user_id, event_id, event_type, ts,
+         lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts
+  FROM events)
+WHERE next_ts IS NOT NULL
+"""
+
+ORACLE["barrier_violations"] = """
+SELECT o_orderkey, o_orderdate, min(l_shipdate) AS first_child_ts, count(*) AS n_children
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+GROUP BY o_orderkey, o_orderdate
+HAVING min(l_shipdate) <= o_orderdate
+"""
+
+ORACLE["validity_status"] = """
+SELECT o_orderkey, o_orderdate - INTERVAL 1 DAY AS not_before,
+       o_orderdate + INTERVAL 730 DAY AS not_after,
+       CASE WHEN TIMESTAMP '1998-01-01 00:00:00' < o_orderdate - INTERVAL 1 DAY THEN 'not_yet'
+            WHEN TIMESTAMP '1998-01-01 00:00:00' > o_orderdate + INTERVAL 730 DAY THEN 'expired'
+            ELSE 'valid' END AS status
+FROM orders
+"""
+
+ORACLE["suffix_split"] = """
+SELECT c_custkey, c_name, CASE WHEN strpos(c_name, '#') > 0 THEN split_part(c_name, '#', 2) END AS suffix
+FROM customer
+"""
+
+ORACLE["label_cast"] = """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+"""
+
+ORACLE["path_parse"] = """
+WITH p AS (
+  SELECT page_id, replace(replace(replace(url, '/', '\\'), '\\\\', '/'), '\\', '/') AS path FROM pages),
+k AS (
+  SELECT *, CASE len(string_split(path, ':')) WHEN 1 THEN 'local' WHEN 2 THEN 'remote'
+                 ELSE 'invalid' END AS kind FROM p)
+SELECT page_id, path, kind,
+       CASE WHEN kind = 'remote' THEN split_part(path, ':', 1) END AS host,
+       CASE WHEN kind = 'local' THEN path WHEN kind = 'remote' THEN split_part(path, ':', 2) END AS rest
+FROM k
+"""
+
+ORACLE["decode_safe"] = """
+WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+c AS (
+  SELECT doc_id, h, unnest(range(CAST(greatest(ceil(length(h) / 8192.0), 1) AS BIGINT))) AS chunk_no FROM d),
+p AS (SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no,
+             from_hex(substring(h, chunk_no * 8192 + 1, 8192)) AS b FROM c)
+SELECT doc_id, chunk_no, octet_length(b) AS n_bytes,
+       CASE WHEN b IS NULL THEN ''
+            WHEN try(decode(b)) IS NOT NULL THEN decode(b)
+            ELSE '0x' || hex(b) END AS text
+FROM p
+"""
+
+_EVENT_LOG = """
+WITH l AS (
+  SELECT 'user' || CAST(user_id AS VARCHAR) AS logger,
+         CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING'
+                         WHEN 'signup' THEN 'INFO' WHEN 'view' THEN 'DEBUG' WHEN 'click' THEN 'DEBUG' END AS level,
+         strftime(ts, '%Y-%m-%d %H:%M:%S,%g') AS asctime,
+         'event ' || CAST(event_id AS VARCHAR) || ' ' || event_type AS message,
+         date_trunc('millisecond', ts) AS ts
+  FROM events),
+p AS (
+  SELECT logger, level, asctime, message, ts,
+         CASE level WHEN 'CRITICAL' THEN 50 WHEN 'ERROR' THEN 40 WHEN 'WARNING' THEN 30
+                    WHEN 'INFO' THEN 20 WHEN 'DEBUG' THEN 10 WHEN 'NOTSET' THEN 0 END AS levelno
+  FROM l)
+"""
+
+ORACLE["log_roundtrip"] = _EVENT_LOG + "SELECT * FROM p"
+
+ORACLE["log_level_filter"] = _EVENT_LOG + "SELECT * FROM p WHERE levelno >= 30"

@@ -9,8 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.operators import nested
+from fleetframe.functions import text
+from fleetframe.operators import inventory, keyed, lifecycle, nested, quality, sequences
 from fleetframe.plans import derived
+from fleetframe.sources import logs
 from fleetframe.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +53,408 @@ def catalog_all_locations(spark: SparkSession, base: str) -> DataFrame:
 def datacenter_flatten(spark: SparkSession, base: str) -> DataFrame:
     """Nested data-center records flattened to 9 columns."""
     return nested.flatten_datacenters(derived.supplier_datacenters(Tables(spark, base)))
+
+
+# --- projections -----------------------------------------------------------------
+
+@query
+def null_default(spark: SparkSession, base: str) -> DataFrame:
+    """P5: documents with their labels; a missing ``toxic`` becomes 0."""
+    t = Tables(spark, base)
+    docs = t.documents.select("doc_id", "lang")
+    labels = t.labels.select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic")
+    j = docs.join(labels, docs["doc_id"] == labels["l_doc_id"], "left").drop("l_doc_id")
+    j = j.withColumn("toxic_defaulted", F.col("toxic").isNull())
+    return nested.fill_default(j, "toxic", 0)
+
+
+@query
+def override_merge(spark: SparkSession, base: str) -> DataFrame:
+    """Customers merged with per-nation overrides (null keeps the base;
+    ``false`` and ``0`` override)."""
+    t = Tables(spark, base)
+    cust = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment",
+                             (F.col("c_acctbal") > 0).alias("active"))
+    rk = F.col("n_regionkey")
+    overrides = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+                 .select(F.col("n_nationkey").alias("c_nationkey"),
+                         F.when(rk != 0, F.col("r_name")).alias("c_mktsegment"),
+                         F.when(rk == 3, F.lit(0.0)).alias("c_acctbal"),
+                         F.when(rk == 1, F.lit(False)).when(rk == 2, F.lit(True)).alias("active")))
+    return keyed.override_merge(cust, overrides, "c_nationkey", ["c_mktsegment", "c_acctbal", "active"])
+
+
+@query
+def access_report(spark: SparkSession, base: str) -> DataFrame:
+    """Suppliers as workers of their nation's cluster, nations
+    as schedulers carrying the dashboard port; one URL row per node."""
+    t = Tables(spark, base)
+    sup = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    nat = t.nation.select("n_nationkey", "n_name")
+    ip = F.concat(F.lit("10."), F.col("s_nationkey").cast("string"), F.lit("."),
+                  (F.col("s_suppkey") / 250).cast("bigint").cast("string"), F.lit("."),
+                  (F.col("s_suppkey") % 250 + 1).cast("string"))
+    workers = (sup.join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+               .select(F.col("n_name").alias("cluster"), F.col("s_name").alias("node"), ip.alias("ip")))
+    schedulers = nat.select(
+        F.col("n_name").alias("cluster"),
+        F.concat(F.col("n_name"), F.lit("-node-scheduler")).alias("node"),
+        F.concat(F.lit("10."), F.col("n_nationkey").cast("string"), F.lit(".255.254")).alias("ip"),
+        (F.lit(9756) + F.col("n_nationkey")).alias("port"))
+    return inventory.access_report(workers, schedulers, "cluster", "node", "ip", "port")
+
+
+# --- filters -----------------------------------------------------------------------
+
+WORKER_PREFIX = "Customer#0000001"
+WORKER_MARKER = "5"
+DELETE_PREFIXES = ("Brand#1", "Customer#00000000")
+
+
+@query
+def worker_filter(spark: SparkSession, base: str) -> DataFrame:
+    """S3 F1: names with the cluster prefix that contain the worker marker."""
+    cust = Tables(spark, base).customer.select("c_custkey", "c_name", "c_nationkey")
+    return inventory.worker_filter(cust, WORKER_PREFIX, "c_name", WORKER_MARKER)
+
+
+@query
+def delete_plan(spark: SparkSession, base: str) -> DataFrame:
+    """Four resource tables as one inventory, each row marked
+    delete or keep."""
+    t = Tables(spark, base)
+    inv = inventory.union_inventory(
+        {"customer": t.customer, "supplier": t.supplier, "part": t.part, "nation": t.nation},
+        {"customer": "c_name", "supplier": "s_name", "part": "p_brand", "nation": "n_name"})
+    return inventory.delete_plan(inv, DELETE_PREFIXES)
+
+
+@query
+def config_validation(spark: SparkSession, base: str) -> DataFrame:
+    """every rule on every line; all failures listed, first one named."""
+    li = Tables(spark, base).lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rules = [("quantity_min", quality.at_least("l_quantity", 2)),
+             ("keys_distinct", quality.all_distinct("l_orderkey", "l_partkey", "l_suppkey")),
+             ("price_positive", quality.positive("l_extendedprice"))]
+    return quality.validate(li, rules).select(
+        "l_orderkey", "l_linenumber", "failures", "first_failure", "n_failures", "valid")
+
+
+_ORDER_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+
+
+@query
+def admit_new(spark: SparkSession, base: str) -> DataFrame:
+    """orders with no line yet (anti join)."""
+    t = Tables(spark, base)
+    existing = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"))
+    return inventory.admit_new(t.orders.select(*_ORDER_COLS), existing, "o_orderkey")
+
+
+@query
+def reject_existing(spark: SparkSession, base: str) -> DataFrame:
+    """orders that already have a returned line (semi join)."""
+    t = Tables(spark, base)
+    existing = (t.lineitem.where(F.col("l_returnflag") == "R")
+                .select(F.col("l_orderkey").alias("o_orderkey")))
+    return inventory.reject_existing(t.orders.select(*_ORDER_COLS), existing, "o_orderkey")
+
+
+# --- lookups -----------------------------------------------------------------------
+
+def _building_customers(t: Tables) -> DataFrame:
+    return t.customer.where(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name")
+
+
+@query
+def name_lookup(spark: SparkSession, base: str) -> DataFrame:
+    """Each event's user resolved against the known (BUILDING)
+    customers; unknown ones stay with ``resolved = false``."""
+    t = Tables(spark, base)
+    req = t.events.select("event_id", "user_id")
+    return (inventory.lookup_names(req, _building_customers(t), "user_id", "c_custkey")
+            .select("event_id", "user_id", "c_name", "resolved"))
+
+
+@query
+def unknown_names(spark: SparkSession, base: str) -> DataFrame:
+    """J1 reject list: requested users that are not known, with counts."""
+    t = Tables(spark, base)
+    return inventory.unknown_names(t.events.select("user_id"), _building_customers(t),
+                                   "user_id", "c_custkey")
+
+
+@query
+def prefix_collisions(spark: SparkSession, base: str) -> DataFrame:
+    """Brand names that are strict prefixes of other brand names."""
+    return inventory.prefix_collisions(Tables(spark, base).part, "p_brand")
+
+
+# --- aggregations --------------------------------------------------------------------
+
+@query
+def component_status(spark: SparkSession, base: str) -> DataFrame:
+    """Per conversation, which roles are present; the first missing one
+    in order system, user, assistant names the status."""
+    conv = Tables(spark, base).conversations.select("conv_id", "role")
+    return inventory.component_status(conv, "conv_id", "role", ("system", "user", "assistant"))
+
+
+@query
+def worker_count(spark: SparkSession, base: str) -> DataFrame:
+    """A1: suppliers per nation, zero kept."""
+    t = Tables(spark, base)
+    return inventory.count_members(t.nation.select("n_nationkey", "n_name"),
+                                   t.supplier.select("s_nationkey"),
+                                   "n_nationkey", "s_nationkey", out="n_suppliers")
+
+
+def _stages(t: Tables) -> DataFrame:
+    """Conversations as command stages: turn = stage, role = token; system
+    turns are still running (null code), long assistant turns failed."""
+    code = (F.when(F.col("role") == "system", F.lit(None).cast("int"))
+            .when((F.col("role") == "assistant") & (F.length("text") > 1000), F.lit(1))
+            .otherwise(F.lit(0)))
+    return t.conversations.select("conv_id", "turn", "role", code.alias("code"))
+
+
+@query
+def stage_outcome(spark: SparkSession, base: str) -> DataFrame:
+    """A2 A3: failed / running flags per command."""
+    return sequences.stage_outcome(_stages(Tables(spark, base)), ["conv_id"], "turn", "code")
+
+
+STAGE_CHUNK = 1000
+
+
+@query
+def stage_render(spark: SparkSession, base: str) -> DataFrame:
+    """Stages joined by `` | `` and exit codes in stage order."""
+    return sequences.render_stages(_stages(Tables(spark, base)), ["conv_id"], "turn", "role",
+                                   chunk=STAGE_CHUNK, code="code")
+
+
+@query
+def copy_plan(spark: SparkSession, base: str) -> DataFrame:
+    """Orders as copy requests; lines not flagged N come from their
+    supplier's host, the target is the customer's host unless the order is
+    open (local)."""
+    t = Tables(spark, base)
+    sources = t.lineitem.select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.when(F.col("l_returnflag") != "N",
+               F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string"))).alias("host"))
+    targets = t.orders.select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") != "O",
+               F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"))).alias("host"))
+    return keyed.copy_verdict(sources, targets, "o_orderkey")
+
+
+@query
+def last_wins(spark: SparkSession, base: str) -> DataFrame:
+    """One line per (order, line number), the last by ship date,
+    part and supplier."""
+    li = Tables(spark, base).lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    return keyed.last_wins(li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"])
+
+
+@query
+def capacity_rollup(spark: SparkSession, base: str) -> DataFrame:
+    """Lines as nodes of part types, rolled up per order and then per
+    customer (cores = part size, quantity as an integer)."""
+    t = Tables(spark, base)
+    nodes = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
+    types = t.part.select("p_partkey", "p_size")
+    per_order = keyed.capacity_rollup(
+        nodes, types, "l_partkey", "p_partkey", ["l_orderkey"],
+        {"total_cores": F.col("p_size").cast("bigint"),
+         "total_quantity": F.col("l_quantity").cast("bigint")})
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    return (per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"])
+            .groupBy("o_custkey")
+            .agg(F.sum("n_nodes").alias("n_nodes"), F.sum("total_cores").alias("total_cores"),
+                 F.sum("total_quantity").alias("total_quantity")))
+
+
+# --- sorts ----------------------------------------------------------------------------
+
+@query
+def catalog_rank(spark: SparkSession, base: str) -> DataFrame:
+    """O1: position of each part within its type in catalog order (size,
+    then key); the size buckets the numbering."""
+    part = Tables(spark, base).part.select("p_partkey", "p_type", "p_size")
+    return keyed.catalog_rank(part, "p_type", "p_size", "p_partkey", out="rank", bucket=F.col("p_size"))
+
+
+# --- sequences ------------------------------------------------------------------------
+
+def _day(ts: str = "ts"):
+    return F.date_trunc("day", F.col(ts))
+
+
+@query
+def delimiter_runs(spark: SparkSession, base: str) -> DataFrame:
+    """G1: each user's events split at ``error`` events into runs."""
+    ev = Tables(spark, base).events.select("user_id", "ts", "event_id", "event_type")
+    return sequences.split_runs(ev, ["user_id"], ["ts", "event_id"], "event_type", "error",
+                                id_col="event_id", ts_col="ts", bucket=_day())
+
+
+@query
+def concat_ordered(spark: SparkSession, base: str) -> DataFrame:
+    """Per conversation, user turns then assistant turns, renumbered."""
+    conv = Tables(spark, base).conversations.select("conv_id", "turn", "role")
+    left = conv.where(F.col("role") == "user")
+    right = conv.where(F.col("role") == "assistant")
+    return sequences.concat_ordered(left, right, ["conv_id"], ["turn"])
+
+
+@query
+def node_expand(spark: SparkSession, base: str) -> DataFrame:
+    """Suppliers as cluster configurations with ``s_nationkey``
+    workers; one row per node."""
+    cfg = Tables(spark, base).supplier.select("s_name", "s_nationkey")
+    return sequences.expand_nodes(cfg, "s_name", "s_nationkey")
+
+
+@query
+def rule_expand(spark: SparkSession, base: str) -> DataFrame:
+    """Suppliers as cluster configurations; their firewall rules."""
+    cfg = Tables(spark, base).supplier.select(
+        "s_name", *[(F.lit(p) + F.col("s_nationkey") * 10).alias(n)
+                    for n, p in (("ipc", 9753), ("dash", 9756), ("nanny", 9759))])
+    return sequences.expand_rules(cfg, "s_name", "ipc", "dash", "nanny")
+
+
+# --- state and time -----------------------------------------------------------------
+
+RUN_TIMEOUT_S = 24 * 3600.0
+POLL_S = 1.0
+VALIDITY_ASOF = "1998-01-01 00:00:00"
+
+
+def _events(t: Tables) -> DataFrame:
+    return t.events.select("event_id", "ts", "user_id", "event_type")
+
+
+@query
+def first_success(spark: SparkSession, base: str) -> DataFrame:
+    """Per user, the first purchase and the attempts before it."""
+    return lifecycle.first_success(_events(Tables(spark, base)), "user_id", "ts", "event_id",
+                                   F.col("event_type") == "purchase")
+
+
+@query
+def run_timeout(spark: SparkSession, base: str) -> DataFrame:
+    """Signup -> next purchase within 24 h, polled every second."""
+    return lifecycle.run_timeout(_events(Tables(spark, base)), "user_id", "ts", "event_id",
+                                 F.col("event_type") == "signup", F.col("event_type") == "purchase",
+                                 RUN_TIMEOUT_S, POLL_S)
+
+
+@query
+def latest_state(spark: SparkSession, base: str) -> DataFrame:
+    """Newest event per user."""
+    ev = Tables(spark, base).events.select("user_id", "event_id", "ts", "event_type", "value")
+    return lifecycle.latest_state(ev, "user_id", ["ts", "event_id"])
+
+
+@query
+def phase_durations(spark: SparkSession, base: str) -> DataFrame:
+    """T4: time from each event to the user's next one."""
+    out = lifecycle.phase_durations(_events(Tables(spark, base)), "user_id", "ts", "event_id",
+                                    bucket=_day())
+    return out.select("user_id", "event_id", "event_type", "ts", "next_ts", "duration_us")
+
+
+@query
+def barrier_violations(spark: SparkSession, base: str) -> DataFrame:
+    """T5: orders whose first line shipped no later than the order."""
+    t = Tables(spark, base)
+    return quality.barrier_violations(t.orders.select("o_orderkey", "o_orderdate"),
+                                      t.lineitem.select("l_orderkey", "l_shipdate"),
+                                      "o_orderkey", "l_orderkey", "o_orderdate", "l_shipdate")
+
+
+@query
+def validity_status(spark: SparkSession, base: str) -> DataFrame:
+    """Each order as a certificate issued at its date, valid 730 days."""
+    orders = Tables(spark, base).orders.select("o_orderkey", "o_orderdate")
+    return quality.validity_status(orders, "o_orderdate", VALIDITY_ASOF, 730).select(
+        "o_orderkey", "not_before", "not_after", "status")
+
+
+# --- scalar functions -------------------------------------------------------------------
+
+@query
+def suffix_split(spark: SparkSession, base: str) -> DataFrame:
+    """The part of each customer name after ``#``."""
+    cust = Tables(spark, base).customer.select("c_custkey", "c_name")
+    return cust.withColumn("suffix", text.name_suffix("c_name", "#"))
+
+
+@query
+def label_cast(spark: SparkSession, base: str) -> DataFrame:
+    """The ``k`` label of each event's properties as an integer."""
+    ev = Tables(spark, base).events.select("event_id", "props")
+    labels = F.from_json("props", "map<string,string>")
+    return ev.select("event_id", text.label_int(labels, "k").alias("k"))
+
+
+@query
+def path_parse(spark: SparkSession, base: str) -> DataFrame:
+    """Page URLs written with backslashes, normalised, then split
+    into host and path."""
+    pages = Tables(spark, base).pages.select("page_id", "url")
+    p = text.normalize_path(F.replace(F.col("url"), F.lit("/"), F.lit("\\")))
+    out = pages.select("page_id", p.alias("path"))
+    return out.select("page_id", "path", text.path_kind("path").alias("kind"),
+                      text.path_host("path").alias("host"), text.path_rest("path").alias("rest"))
+
+
+PIPE_BUFFER = 4096
+
+
+@query
+def decode_safe(spark: SparkSession, base: str) -> DataFrame:
+    """Each document's bytes read in 4096-byte pipe buffers; buffers
+    that cut a character are not valid UTF-8 and come out as hex."""
+    docs = Tables(spark, base).documents.select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    n = F.ceil(F.octet_length("b") / PIPE_BUFFER).cast("int")
+    chunks = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))
+                         .alias("chunk_no"))
+    piece = F.substring(F.col("b"), F.col("chunk_no") * PIPE_BUFFER + 1, F.lit(PIPE_BUFFER))
+    return chunks.select("doc_id", "chunk_no", F.octet_length(piece).cast("bigint").alias("n_bytes"),
+                         text.decode_safe(piece).alias("text"))
+
+
+# --- logs --------------------------------------------------------------------------------
+
+# Fixed mapping of event types to log levels for the log queries.
+EVENT_LEVELS = {"error": "ERROR", "purchase": "WARNING", "signup": "INFO", "view": "DEBUG", "click": "DEBUG"}
+LOG_THRESHOLD = 30
+
+
+def _event_log(t: Tables) -> DataFrame:
+    ev = t.events.select("event_id", "ts", "user_id", "event_type")
+    level = F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_LEVELS.items() for x in kv]),
+                             F.col("event_type"))
+    lines = logs.render_lines(ev, F.concat(F.lit("user"), F.col("user_id").cast("string")), level, "ts",
+                              F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" "),
+                                       F.col("event_type")))
+    return logs.parse_lines(lines)
+
+
+@query
+def log_roundtrip(spark: SparkSession, base: str) -> DataFrame:
+    """Events written as log lines and parsed back."""
+    return _event_log(Tables(spark, base))
+
+
+@query
+def log_level_filter(spark: SparkSession, base: str) -> DataFrame:
+    """parsed log records at WARNING or above."""
+    return logs.level_filter(_event_log(Tables(spark, base)), LOG_THRESHOLD)
