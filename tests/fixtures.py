@@ -1,0 +1,140 @@
+"""Hand-made fleet tables (FIXTURES.md), one edge case per row."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+from fleetframe import schemas as S
+
+
+def D(x: str) -> Decimal:
+    return Decimal(x)
+
+
+def price(loc, hn, hg, mn, mg):
+    return (loc, (D(hn), D(hg)), (D(mn), D(mg)))
+
+
+SERVER_TYPES = [
+    # id, name, description, cores, cpu_type, memory, disk, storage_type, deprecated, prices
+    (1, "cx11", "CX11", 1, "shared", 2.0, 20, "local", False,
+     [price("fsn1", "0.0040", "0.0048", "2.49", "2.96"), price("nbg1", "0.0041", "0.0049", "2.50", "2.97")]),
+    (2, "cx21", "CX21", 2, "shared", 4.0, 40, "local", None,          # null deprecated
+     [price("fsn1", "0.0070", "0.0083", "4.15", "4.94")]),
+    (3, "ccx12", "CCX12", 2, "dedicated", 8.0, 80, "local", True,
+     [price("nbg1", "0.0400", "0.0476", "24.90", "29.63")]),          # no price at fsn1
+    (4, "cx31", "CX31", 2, "shared", 8.0, 80, "local", False, []),   # empty prices
+    (5, "ccx52", "CCX52", 32, "dedicated", 128.0, 600, "local", False,
+     [price("fsn1", "0.5000", "0.5950", "299.00", "355.81"),
+      price("fsn1", "0.6000", "0.7140", "359.00", "427.21")]),        # two prices at fsn1: last wins
+    (6, "cx41", "CX41", 4, "shared", 16.0, 160, "local", False,
+     [price("fsn1", "0.0200", "0.0238", "12.00", "14.28")]),
+    (7, "cx22", "CX22", 2, "shared", 4.0, 40, "local", False,        # tie with cx21 on type and cores
+     [price("fsn1", "0.0060", "0.0071", "3.79", "4.51")]),
+]
+
+DATACENTERS = [
+    (1, "fsn1-dc14", "Falkenstein 1 DC14",
+     (11, "fsn1", "Falkenstein DC Park 1", "Falkenstein", "DE", 50.47612, 12.370071, "eu-central")),
+    (2, "nbg1-dc3", "Nuremberg 1 DC 3",
+     (12, "nbg1", "Nuremberg DC Park 1", "Nuremberg", "DE", 49.452102, 11.076665, "eu-central")),
+    (3, "hel1-dc-2", "Helsinki 1 DC 2",                               # three '-' parts: invalid key
+     (13, "hel1", "Helsinki DC Park 1", "Helsinki", "FI", 60.169855, 24.938379, "eu-central")),
+]
+
+SERVERS = [
+    ("cluster-node-scheduler", "running", {"dask_ipc": "9753", "dask_dash": "9756", "dask_nanny": "9759"},
+     "78.47.76.87", [("10.0.1.200",)]),
+    ("cluster-node-worker000", "running", {}, "188.34.155.13", [("10.0.1.100",)]),
+    ("cluster2-node-scheduler", "running", {"dask_ipc": "9753", "dask_dash": "x9756", "dask_nanny": "9759"},
+     "78.47.76.88", [("10.0.1.200",)]),                               # label port not a number
+    ("cluster2-node-worker000", "running", {}, "188.34.155.14", [("10.0.1.100",)]),
+    ("cluster2-node-worker001", "starting", {}, "188.34.155.15", [("10.0.1.101",)]),
+    ("bastion", "running", {}, "188.34.155.16", []),                  # no '-node-'
+]
+
+NETWORKS = ["cluster-network", "cluster2-network"]
+FIREWALLS = ["cluster-firewall"]
+SSH_KEYS = ["cluster-key", "cluster2-key", "other-key"]
+
+CLUSTER_CONFIGS = [
+    # prefix, workers, ipc, dash, nanny, wait, scheduler, worker, image, datacenter
+    ("cluster", 1, 9753, 9756, 9759, 1.0, "cx11", "cx11", "ubuntu-20.04", "fsn1-dc14"),
+    ("lowport", 1, 1023, 9756, 9759, 1.0, "cx11", "cx11", "ubuntu-20.04", "fsn1-dc14"),
+    ("edgeport", 1, 1024, 9756, 9759, 1.0, "cx11", "cx11", "ubuntu-20.04", "fsn1-dc14"),
+    ("sameport", 2, 9753, 9753, 9759, 1.0, "cx11", "cx11", "ubuntu-20.04", "fsn1-dc14"),
+    ("empty", 0, 9753, 9756, 9759, 1.0, "cx11", "cx11", "ubuntu-20.04", "fsn1-dc14"),
+    ("clash", 101, 9753, 9756, 9759, 1.0, "cx11", "cx11", "ubuntu-20.04", "fsn1-dc14"),
+    ("octet", 157, 9753, 9756, 9759, 1.0, "cx11", "cx11", "ubuntu-20.04", "fsn1-dc14"),
+    ("big", 8, 9753, 9756, 9759, 1.0, "ccx12", "ccx52", "ubuntu-20.04", "fsn1-dc14"),
+]
+
+SSH_BASE = [("78.47.76.87", "clusteruser", ".cluster/key", 22, True, "aes256-gcm@openssh.com")]
+SSH_OVERRIDES = [
+    # key, name, user, fn_private, port, compression, cipher
+    ("all_null", None, None, None, None, None, None),
+    ("no_compression", None, None, None, None, False, None),
+    ("new_port", None, "root", None, 2222, None, None),
+]
+
+STAGES = [
+    # pipeline_id, stage, out, err, code
+    (1, 0, b"a", b"", 0), (1, 1, b"b", b"", 0), (1, 2, b"c", b"", 0),           # all zero
+    (2, 0, b"a", b"", 0), (2, 1, b"", b"boom", 2), (2, 2, b"c", b"", 0),        # middle non-zero
+    (3, 0, b"a", b"", 0), (3, 1, None, None, None),                              # running, null output
+    (4, 0, b"\xc3\x28", b"", 0),                                                 # not UTF-8
+]
+
+TOKENS = {
+    # seq_id: tokens
+    1: ["|", "ls", "-l", "|", "|", "grep", "x", "|"],   # leading, repeated, trailing delimiter
+    2: ["|", "|", "|"],                                  # only delimiters
+    3: ["echo", "hi"],                                   # none
+    4: [],
+}
+
+COPY_REQUESTS = [
+    # request_id, role, path
+    (1, "source", "a.txt"), (1, "target", "b.txt"),                                  # all local
+    (2, "source", "worker000:/a"), (2, "source", "worker001:/b"), (2, "target", "."),  # two hosts
+    (3, "source", "worker000:/a"), (3, "source", "worker000:/b"), (3, "target", "."),  # one host twice
+    (4, "source", "worker000:/a"), (4, "target", "scheduler:/b"),                    # host to host
+    (5, "source", "a:b:c"), (5, "target", "."),                                      # invalid
+    (6, "source", "C:\\\\data\\file"), (6, "target", "scheduler:/x"),                # backslashes
+    (7, "source", "notes.txt"), (7, "target", "scheduler:/x"),                        # upload
+]
+
+T0 = dt.datetime(2022, 2, 1, 12, 0, 0)
+
+
+def ts(seconds: float) -> dt.datetime:
+    return T0 + dt.timedelta(seconds=seconds)
+
+
+PROBES = [
+    # node, ts, status (0 = success)
+    ("never", ts(0), 255), ("never", ts(1), 255), ("never", ts(2), 255),
+    ("first", ts(0), 0), ("first", ts(1), 0),
+    ("later", ts(0), 255), ("later", ts(1), 255), ("later", ts(2), 0), ("later", ts(3), 255),
+    ("shuffled", ts(5), 0), ("shuffled", ts(1), 255), ("shuffled", ts(3), 0), ("shuffled", ts(2), 255),
+]
+
+CERTIFICATES = [
+    ("old", dt.datetime(2019, 1, 1), 730),
+    ("current", dt.datetime(2021, 6, 1), 730),
+    ("future", dt.datetime(2022, 2, 1, 12, 0, 0), 730),
+]
+
+
+def frames(spark):
+    """All fixtures as DataFrames."""
+    return {
+        "server_types": spark.createDataFrame(SERVER_TYPES, S.SERVER_TYPE),
+        "datacenters": spark.createDataFrame(DATACENTERS, S.DATACENTER),
+        "servers": spark.createDataFrame(SERVERS, S.SERVER),
+        "cluster_configs": spark.createDataFrame(CLUSTER_CONFIGS, S.CLUSTER_CONFIG),
+        "stages": spark.createDataFrame(STAGES, S.STAGE),
+        "probes": spark.createDataFrame(PROBES, "node string, ts timestamp_ntz, status int"),
+        "certificates": spark.createDataFrame(CERTIFICATES, "name string, issued timestamp_ntz, valid_days int"),
+    }

@@ -1,0 +1,63 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from fleetframe.operators import quality
+from tests import fixtures as fx
+
+def port_rules():
+    return [
+    ("workers_positive", quality.positive("workers")),
+    ("ipc_port", quality.at_least("dask_ipc", 1024)),
+    ("dash_port", quality.at_least("dask_dash", 1024)),
+    ("nanny_port", quality.at_least("dask_nanny", 1024)),
+    ("ports_distinct", quality.all_distinct("dask_ipc", "dask_dash", "dask_nanny")),
+    ("wait_positive", quality.positive("wait")),
+    ("prefix_set", quality.non_empty("prefix")),
+    ]
+
+
+def test_validate_cluster_configs(spark):
+    cfg = fx.frames(spark)["cluster_configs"]
+    got = {r["prefix"]: (r["failures"], r["first_failure"], r["valid"])
+           for r in quality.validate(cfg, port_rules()).collect()}
+    assert got["cluster"] == ("", None, True)
+    assert got["lowport"] == ("ipc_port", "ipc_port", False)
+    assert got["edgeport"] == ("", None, True)
+    assert got["sameport"] == ("ports_distinct", "ports_distinct", False)
+    assert got["empty"] == ("workers_positive", "workers_positive", False)
+
+
+def test_validate_lists_all_failures(spark):
+    df = spark.createDataFrame([(0, 80, 80, 80, 0.0, "")],
+                               "workers int, dask_ipc int, dask_dash int, dask_nanny int, wait double, prefix string")
+    row = quality.validate(df, port_rules()).first()
+    assert row["n_failures"] == 7 and row["first_failure"] == "workers_positive"
+
+
+def test_null_counts_as_failure(spark):
+    df = spark.createDataFrame([(None,)], "workers int")
+    assert quality.validate(df, [("w", quality.positive("workers"))]).first()["failures"] == "w"
+
+
+def test_barrier_violations(spark):
+    parents = spark.createDataFrame([("cluster", fx.ts(10)), ("ok", fx.ts(10))], "c string, started timestamp_ntz")
+    children = spark.createDataFrame([("cluster", fx.ts(5)), ("cluster", fx.ts(20)), ("ok", fx.ts(11))],
+                                     "c string, started timestamp_ntz")
+    out = quality.barrier_violations(parents, children.withColumnRenamed("started", "child_started")
+                                     .withColumnRenamed("c", "cc"), "c", "cc", "started", "child_started")
+    rows = out.collect()
+    assert [(r["c"], r["n_children"]) for r in rows] == [("cluster", 2)]
+
+
+def test_validity_status(spark):
+    certs = fx.frames(spark)["certificates"]
+    out = {r["name"]: r for r in quality.validity_status(certs, "issued", "2022-02-01 00:00:00", "valid_days").collect()}
+    assert out["old"]["status"] == "expired"
+    assert out["current"]["status"] == "valid"
+    # issued at noon, back-dated by one day: already valid at midnight
+    assert out["future"]["status"] == "valid"
+    assert out["future"]["not_before"] == dt.datetime(2022, 1, 31, 12, 0)
+    assert out["future"]["not_after"] == dt.datetime(2024, 2, 1, 12, 0)
+    early = quality.validity_status(certs, "issued", "2022-01-31 00:00:00", 730)
+    assert early.where("name = 'future'").first()["status"] == "not_yet"

@@ -1,0 +1,59 @@
+import pytest
+from pyspark.sql import functions as F
+
+from fleetframe.functions import text
+from tests import fixtures as fx
+
+
+def test_location_key(spark):
+    df = spark.createDataFrame([("fsn1-dc14",), ("hel1-dc-2",), ("nodash",)], "dc string")
+    assert [r[0] for r in df.select(text.location_key("dc")).collect()] == ["fsn1", None, None]
+
+
+def test_name_suffix(spark):
+    df = spark.createDataFrame([(n[0],) for n in fx.SERVERS], "name string")
+    got = [r[0] for r in df.select(text.name_suffix("name")).collect()]
+    assert got == ["scheduler", "worker000", "scheduler", "worker000", "worker001", None]
+
+
+def test_label_int(spark):
+    servers = fx.frames(spark)["servers"]
+    got = {r["name"]: r["p"] for r in servers.select("name", text.label_int("labels", "dask_dash").alias("p")).collect()}
+    assert got["cluster-node-scheduler"] == 9756
+    assert got["cluster2-node-scheduler"] is None          # 'x9756' is not a number
+    assert got["cluster-node-worker000"] is None           # no label
+    blanks = spark.createDataFrame([({"p": " 97 "},)], "labels map<string,string>")
+    assert blanks.select(text.label_int("labels", "p")).first()[0] == 97
+    strict = servers.where("name = 'cluster2-node-scheduler'").select(text.label_int("labels", "dask_dash", strict=True))
+    with pytest.raises(Exception):
+        strict.collect()
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([(7, "cluster"), (1234, "c")], "i int, p string")
+    got = df.select(text.node_name("p", F.concat(F.lit("worker"), text.zero_pad("i", 3))),
+                    text.dashboard_url(F.lit("1.2.3.4"), F.lit(9756))).collect()
+    assert got[0][0] == "cluster-node-worker007"
+    assert got[1][0] == "c-node-worker1234"               # widened, never cut
+    assert got[0][1] == "http://1.2.3.4:9756/"
+
+
+def test_paths(spark):
+    rows = [("a.txt",), ("worker000:/data/x",), ("a:b:c",), ("C:\\\\data\\file",), ("x\\y",)]
+    df = spark.createDataFrame(rows, "p string").select(text.normalize_path("p").alias("p"))
+    got = [tuple(r) for r in df.select("p", text.path_kind("p"), text.path_host("p"), text.path_rest("p")).collect()]
+    assert got == [
+        ("a.txt", "local", None, "a.txt"),
+        ("worker000:/data/x", "remote", "worker000", "/data/x"),
+        ("a:b:c", "invalid", None, None),
+        ("C:/data/file", "remote", "C", "/data/file"),
+        ("x/y", "local", None, "x/y"),
+    ]
+
+
+def test_decode_safe(spark):
+    stages = fx.frames(spark)["stages"]
+    got = {(r["pipeline_id"], r["stage"]): r["t"] for r in stages.select("pipeline_id", "stage", text.decode_safe("out").alias("t")).collect()}
+    assert got[(1, 0)] == "a"
+    assert got[(3, 1)] == ""              # null output
+    assert got[(4, 0)] == "0xC328"        # not UTF-8
