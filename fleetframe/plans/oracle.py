@@ -406,3 +406,6 @@ p AS (
 ORACLE["log_roundtrip"] = _EVENT_LOG + "SELECT * FROM p"
 
 ORACLE["log_level_filter"] = _EVENT_LOG + "SELECT * FROM p WHERE levelno >= 30"
+
+ORACLE["first_success_stream"] = ORACLE["first_success"]
+ORACLE["latest_state_stream"] = ORACLE["latest_state"]

@@ -14,6 +14,7 @@ from fleetframe.operators import inventory, keyed, lifecycle, nested, quality, s
 from fleetframe.plans import derived
 from fleetframe.sources import logs
 from fleetframe.sources.tables import Tables
+from fleetframe.streaming import stateful as streaming
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -458,3 +459,42 @@ def log_roundtrip(spark: SparkSession, base: str) -> DataFrame:
 def log_level_filter(spark: SparkSession, base: str) -> DataFrame:
     """parsed log records at WARNING or above."""
     return logs.level_filter(_event_log(Tables(spark, base)), LOG_THRESHOLD)
+
+
+# --- streams (run to completion with availableNow; oracle = the batch SQL) ----------
+
+def _event_stream(spark: SparkSession, base: str, max_files: int | None = None) -> DataFrame:
+    reader = (spark.readStream.schema(Tables(spark, base).events.schema)
+              .option("pathGlobFilter", "events.parquet"))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(base)
+
+
+@query
+def first_success_stream(spark: SparkSession, base: str) -> DataFrame:
+    """T1 as a Structured Streaming job with keyed state; folded result."""
+    ev = _event_stream(spark, base).withColumn("ok", F.col("event_type") == "purchase")
+    out, ckpt = streaming.stream_workdir(spark, "first_success")
+    q = streaming.run_upserts(
+        streaming.first_success_stream(ev, "user_id", "ts", "event_id", "ok"), out, ckpt)
+    q.awaitTermination()
+    res = streaming.read_upserts(spark, out, ["key"])
+    first = F.timestamp_micros("first_us").cast("timestamp_ntz")
+    success = F.timestamp_micros("success_us").cast("timestamp_ntz")
+    return res.select(F.col("key").cast("bigint").alias("user_id"), first.alias("first_ts"),
+                      success.alias("success_ts"), F.col("success_tie").alias("success_event_id"),
+                      "attempts_before",
+                      (F.col("success_us") - F.col("first_us")).alias("wait_us"))
+
+
+@query
+def latest_state_stream(spark: SparkSession, base: str) -> DataFrame:
+    """T3 as a streaming aggregate in update mode; folded result."""
+    ev = _event_stream(spark, base)
+    out, ckpt = streaming.stream_workdir(spark, "latest_state")
+    q = streaming.run_upserts(
+        streaming.latest_state_stream(ev, "user_id", ["ts", "event_id"], ["event_id", "ts", "event_type", "value"]),
+        out, ckpt)
+    q.awaitTermination()
+    return streaming.read_upserts(spark, out, ["user_id"])
