@@ -77,9 +77,11 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     b = df.withColumn(_BK, bucket)
     w_local = Window.partitionBy(*keys, _BK).orderBy(*order)
     local = b.select("*", F.lead(F.lit(True)).over(w_local).alias("_ff_has"),
+                     F.lag(F.lit(True)).over(w_local).isNull().alias("_ff_is_first"),
                      *[F.lead(c).over(w_local).alias("_ff_n_" + c) for c in cols])
-    firsts = b.groupBy(*keys, _BK).agg(
-        F.min_by(F.struct(*cols), F.struct(*order)).alias("_ff_first"))
+    # Each bucket's first row comes from the same window pass (the shuffle
+    # is reused), not from a second scan and aggregate.
+    firsts = local.where("_ff_is_first").select(*keys, _BK, F.struct(*cols).alias("_ff_first"))
     w_small = Window.partitionBy(*keys).orderBy(_BK)
     following = firsts.select(*keys, _BK, F.lead("_ff_first").over(w_small).alias("_ff_nb"))
     joined = _join_small(local, following, keys)
@@ -87,4 +89,4 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         joined = joined.withColumn(
             prefix + c,
             F.when(F.col("_ff_has").isNotNull(), F.col("_ff_n_" + c)).otherwise(F.col("_ff_nb")[c]))
-    return joined.drop(_BK, "_ff_has", "_ff_nb", *["_ff_n_" + c for c in cols])
+    return joined.drop(_BK, "_ff_has", "_ff_is_first", "_ff_nb", *["_ff_n_" + c for c in cols])

@@ -282,12 +282,18 @@ def capacity_rollup(spark: SparkSession, base: str) -> DataFrame:
 
 # --- sorts ----------------------------------------------------------------------------
 
+RANK_BLOCK = 1 << 20
+
+
 @query
 def catalog_rank(spark: SparkSession, base: str) -> DataFrame:
     """O1: position of each part within its type in catalog order (size,
     then key); the size buckets the numbering."""
     part = Tables(spark, base).part.select("p_partkey", "p_type", "p_size")
-    return keyed.catalog_rank(part, "p_type", "p_size", "p_partkey", out="rank", bucket=F.col("p_size"))
+    # (size, key block) is non-decreasing in the order (size, key), so a
+    # hot type, or a hot (type, size), is numbered by many tasks.
+    bucket = F.struct(F.col("p_size"), F.floor(F.col("p_partkey") / RANK_BLOCK))
+    return keyed.catalog_rank(part, "p_type", "p_size", "p_partkey", out="rank", bucket=bucket)
 
 
 # --- sequences ------------------------------------------------------------------------
@@ -304,13 +310,17 @@ def delimiter_runs(spark: SparkSession, base: str) -> DataFrame:
                                 id_col="event_id", ts_col="ts", bucket=_day())
 
 
+TURN_BLOCK = 1024
+
+
 @query
 def concat_ordered(spark: SparkSession, base: str) -> DataFrame:
     """Per conversation, user turns then assistant turns, renumbered."""
     conv = Tables(spark, base).conversations.select("conv_id", "turn", "role")
     left = conv.where(F.col("role") == "user")
     right = conv.where(F.col("role") == "assistant")
-    return sequences.concat_ordered(left, right, ["conv_id"], ["turn"])
+    return sequences.concat_ordered(left, right, ["conv_id"], ["turn"],
+                                    bucket=F.floor(F.col("turn") / TURN_BLOCK))
 
 
 @query
