@@ -17,10 +17,12 @@ from fleetframe.operators.keyed import last_wins
 from fleetframe.plans import ordered
 
 
-def micros(ts: str | Column) -> Column:
-    """Microseconds since the epoch of a TIMESTAMP or TIMESTAMP_NTZ."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def micros_between(start: str | Column, end: str | Column) -> Column:
+    """``end - start`` in microseconds.  For TIMESTAMP_NTZ this is wall-clock
+    time, independent of the session time zone (no cast to TIMESTAMP,
+    which would shift across daylight-saving changes)."""
+    return F.timestamp_diff("MICROSECOND", start if isinstance(start, Column) else F.col(start),
+                            end if isinstance(end, Column) else F.col(end))
 
 
 def first_success(df: DataFrame, key: str, ts: str, tie: str, success: Column) -> DataFrame:
@@ -43,7 +45,7 @@ def first_success(df: DataFrame, key: str, ts: str, tie: str, success: Column) -
         F.first(F.col("_ff_s")["ts"], ignorenulls=True).alias("success_ts"),
         F.first(F.col("_ff_s")["tie"], ignorenulls=True).alias(f"success_{tie}"),
         F.count(F.when(before, F.lit(1))).alias("attempts_before"))
-    return out.withColumn("wait_us", micros("success_ts") - micros("first_ts"))
+    return out.withColumn("wait_us", micros_between("first_ts", "success_ts"))
 
 
 def run_timeout(df: DataFrame, key: str, ts: str, tie: str, start: Column, end: Column,
@@ -68,8 +70,8 @@ def run_timeout(df: DataFrame, key: str, ts: str, tie: str, start: Column, end:
     asof = asof if asof is not None else df.select(F.max(ts)).scalar()
     j = starts.join(ends, "_ff_k", "left").select(
         F.col("_ff_k").alias(key), F.col("_ff_s")["ts"].alias("start_ts"), "end_ts")
-    elapsed = micros("end_ts") - micros("start_ts")
-    waited = micros(asof) - micros("start_ts")
+    elapsed = micros_between("start_ts", "end_ts")
+    waited = micros_between(F.col("start_ts"), asof)
     status = (F.when(F.col("end_ts").isNotNull() & (elapsed <= cut_us), F.lit("finished"))
               .when(F.col("end_ts").isNotNull() | (waited >= cut_us), F.lit("timed_out"))
               .otherwise(F.lit("running")))
@@ -88,4 +90,4 @@ def phase_durations(df: DataFrame, key: str, ts: str, tie: str,
     ``ts``) spreads a hot entity over tasks."""
     nxt = ordered.next_row(df, [key], [ts, tie], [ts], prefix="next_", bucket=bucket)
     nxt = nxt.where(F.col(f"next_{ts}").isNotNull())
-    return nxt.withColumn("duration_us", micros(f"next_{ts}") - micros(ts))
+    return nxt.withColumn("duration_us", micros_between(ts, f"next_{ts}"))

@@ -490,8 +490,8 @@ def first_success_stream(spark: SparkSession, base: str) -> DataFrame:
         streaming.first_success_stream(ev, "user_id", "ts", "event_id", "ok"), out, ckpt)
     q.awaitTermination()
     res = streaming.read_upserts(spark, out, ["key"])
-    first = F.timestamp_micros("first_us").cast("timestamp_ntz")
-    success = F.timestamp_micros("success_us").cast("timestamp_ntz")
+    first = streaming.from_epoch_micros("first_us")
+    success = streaming.from_epoch_micros("success_us")
     return res.select(F.col("key").cast("bigint").alias("user_id"), first.alias("first_ts"),
                       success.alias("success_ts"), F.col("success_tie").alias("success_event_id"),
                       "attempts_before",

@@ -14,8 +14,9 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetframe.operators.keyed import last_wins
@@ -80,16 +81,34 @@ def first_success_stream(events: DataFrame, key: str, ts: str, tie: str, success
     column ``success``; output rows (update mode) carry the current answer
     for every key a micro-batch touched."""
     src = events.select(F.col(key).cast("string").alias("key"),
-                        F.col(ts).cast("timestamp").alias("event_ts"),
+                        epoch_micros(events, ts).alias("us"),
                         F.col(tie).cast("long").alias("tie"),
                         F.col(success).alias("ok"))
-    src = (src.withWatermark("event_ts", watermark)
-           .withColumn("us", F.unix_micros("event_ts")))
+    # The watermark column carries the same micros, so watermark and state
+    # compare like with like whatever the session time zone.
+    src = (src.withColumn("event_ts", F.timestamp_micros("us"))
+           .withWatermark("event_ts", watermark))
     return (src.groupBy("key")
             .applyInPandasWithState(_first_success_fn, _FS_OUT, _FS_STATE, "update",
                                     GroupStateTimeout.NoTimeout))
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch; wall-clock for TIMESTAMP_NTZ."""
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(F.col(ts))
+
+
+def from_epoch_micros(us: str | Column) -> Column:
+    """TIMESTAMP_NTZ from wall-clock micros (inverse of :func:`epoch_micros`)."""
+    return F.timestamp_add("MICROSECOND", us if isinstance(us, Column) else F.col(us),
+                           F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
 def latest_state_stream(events: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
     """T3 on a stream: the newest record per key, as a streaming
     aggregate (``max_by`` over the order struct) in update mode."""

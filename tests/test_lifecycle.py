@@ -59,3 +59,15 @@ def test_phase_durations_bucketed_equals_plain(spark):
     assert len(plain) == 300 - len({r[0] for r in rows})
     for k, ts, i, nts, d in plain:
         assert d == int((nts - ts).total_seconds() * 1_000_000)
+
+
+def test_durations_across_dst(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("n", dt.datetime(2024, 3, 10, 1, 30), 1), ("n", dt.datetime(2024, 3, 10, 3, 30), 2)],
+                                   "k string, ts timestamp_ntz, id long")
+        row = lifecycle.phase_durations(df, "k", "ts", "id").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert row["duration_us"] == 2 * 3600 * 1_000_000
