@@ -409,3 +409,6 @@ ORACLE["log_level_filter"] = _EVENT_LOG + "SELECT * FROM p WHERE levelno >= 30"
 
 ORACLE["first_success_stream"] = ORACLE["first_success"]
 ORACLE["latest_state_stream"] = ORACLE["latest_state"]
+
+ORACLE["run_timeout_stream"] = ORACLE["run_timeout"].replace(
+    "SELECT max(ts) AS asof FROM events", "SELECT date_trunc('millisecond', max(ts)) AS asof FROM events")

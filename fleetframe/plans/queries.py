@@ -508,3 +508,22 @@ def latest_state_stream(spark: SparkSession, base: str) -> DataFrame:
         out, ckpt)
     q.awaitTermination()
     return streaming.read_upserts(spark, out, ["user_id"])
+
+
+@query
+def run_timeout_stream(spark: SparkSession, base: str) -> DataFrame:
+    """T2 as a Structured Streaming job with keyed state and event-time
+    timeouts; ``asof`` is the final watermark (the latest event time,
+    in milliseconds)."""
+    ev = (_event_stream(spark, base)
+          .withColumn("is_start", F.col("event_type") == "signup")
+          .withColumn("is_end", F.col("event_type") == "purchase"))
+    out, ckpt = streaming.stream_workdir(spark, "run_timeout")
+    q = streaming.run_upserts(
+        streaming.run_timeout_stream(ev, "user_id", "ts", "event_id", "is_start", "is_end",
+                                     RUN_TIMEOUT_S, POLL_S), out, ckpt)
+    q.awaitTermination()
+    res = streaming.read_upserts(spark, out, ["key"])
+    return res.select(F.col("key").cast("bigint").alias("user_id"),
+                      streaming.from_epoch_micros("start_us").alias("start_ts"),
+                      streaming.from_epoch_micros("end_us").alias("end_ts"), "status")

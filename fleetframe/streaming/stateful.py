@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the polling operators.
+"""Structured Streaming forms of the polling operators.
 
 The reference polls one node in a loop; here a stream of attempts for
 many entities is reduced with keyed state.  Results are written with
@@ -93,6 +93,82 @@ def first_success_stream(events: DataFrame, key: str, ts: str, tie: str, success
                                     GroupStateTimeout.NoTimeout))
 
 
+_RT_STATE = "start_us long, start_tie long, settled_end_us long, pending_us string, pending_tie string"
+_RT_OUT = "key string, start_us long, start_tie long, end_us long, status string, asof_ms long"
+
+
+def _run_timeout_fn(cut_us: int):
+    """Keyed state for T2.  The run starts at the earliest start event and
+    ends at the first end event after it.  Ends below the watermark are
+    settled (a later start can only be at or above the watermark, so a
+    settled end's relation to the start never changes); ends at or above
+    it wait in ``pending``.  ``asof`` is the watermark: a run without an
+    end is ``timed_out`` once the watermark reaches start + cut, and an
+    event-time timeout wakes the key when that happens without new data.
+    """
+    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.exists:
+            start_us, start_tie, settled_end, p_us, p_tie = state.get
+            start = (start_us, start_tie) if start_us is not None else None
+            pending = list(zip(_split(p_us), _split(p_tie)))
+        else:
+            start, settled_end, pending = None, None, []
+        wm_ms = max(state.getCurrentWatermarkMs(), 0)
+        wm_us = wm_ms * 1000
+        for pdf in batches:
+            for us, tie, is_start, is_end in zip(pdf["us"].tolist(), pdf["tie"].tolist(),
+                                                 pdf["is_start"].tolist(), pdf["is_end"].tolist()):
+                if is_start and (start is None or (us, tie) < start):
+                    start = (us, tie)
+                if is_end:
+                    pending.append((us, tie))
+        keep = []
+        for item in pending:
+            if item[0] >= wm_us:
+                keep.append(item)
+            elif start is not None and item > start:
+                settled_end = item[0] if settled_end is None else min(settled_end, item[0])
+        if start is None:
+            if keep:
+                state.update((None, None, None, _join(i[0] for i in keep), _join(i[1] for i in keep)))
+            else:
+                state.remove()
+            return
+        ends = [i[0] for i in keep if i > start] + ([settled_end] if settled_end is not None else [])
+        end_us = min(ends) if ends else None
+        if end_us is not None:
+            status = "finished" if end_us - start[0] <= cut_us else "timed_out"
+        elif wm_us - start[0] >= cut_us:
+            status = "timed_out"
+        else:
+            status = "running"
+            deadline_ms = -(-(start[0] + cut_us) // 1000)
+            state.setTimeoutTimestamp(max(deadline_ms - 1, wm_ms, 1))
+        state.update((start[0], start[1], settled_end, _join(i[0] for i in keep), _join(i[1] for i in keep)))
+        yield pd.DataFrame({"key": [str(key[0])], "start_us": [start[0]], "start_tie": [start[1]],
+                            "end_us": [end_us], "status": [status], "asof_ms": [wm_ms]})
+    return fn
+
+
+def run_timeout_stream(events: DataFrame, key: str, ts: str, tie: str, start: str, end: str,
+                       timeout_s: float, poll_s: float = 1.0, watermark: str = "0 seconds") -> DataFrame:
+    """T2 on a stream (update mode).  ``start``/``end`` are boolean
+    columns.  The cut-off is rounded up to the poll interval as in the
+    batch form; ``asof`` is the watermark (the latest event time minus the
+    delay), so a finished stream equals the batch operator run with that
+    ``asof``."""
+    cut_us = int(-(-timeout_s // poll_s) * poll_s * 1_000_000)
+    src = events.select(F.col(key).cast("string").alias("key"),
+                        epoch_micros(events, ts).alias("us"),
+                        F.col(tie).cast("long").alias("tie"),
+                        F.col(start).alias("is_start"), F.col(end).alias("is_end"))
+    src = (src.withColumn("event_ts", F.timestamp_micros("us"))
+           .withWatermark("event_ts", watermark))
+    return (src.groupBy("key")
+            .applyInPandasWithState(_run_timeout_fn(cut_us), _RT_OUT, _RT_STATE, "update",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
 EPOCH_NTZ = "1970-01-01 00:00:00"
 
 

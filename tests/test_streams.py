@@ -76,3 +76,36 @@ def test_first_success_never_succeeds_stays_open(spark, scratch_dir):
     streaming.run_upserts(streaming.first_success_stream(stream, "user_id", "ts", "event_id", "ok"), out, ckpt).awaitTermination()
     row = streaming.read_upserts(spark, out, ["key"]).first()
     assert row["success_us"] is None and row["attempts_before"] == 3
+
+
+def test_run_timeout_stream_equals_batch_at_watermark(spark, scratch_dir):
+    rng = random.Random(9)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(480):
+        kind = rng.choices(["start", "end", "other"], [0.1, 0.1, 0.8])[0]
+        rows.append((i, rng.randint(0, 11), base + dt.timedelta(minutes=i, seconds=rng.randint(0, 59)),
+                     kind == "start", kind == "end"))
+    schema = "event_id long, user_id long, ts timestamp_ntz, is_start boolean, is_end boolean"
+    src = os.path.join(scratch_dir, "src")
+    # 20-minute blocks arrive pairwise swapped: at most 40 minutes out of order
+    blocks = [rows[i:i + 20] for i in range(0, len(rows), 20)]
+    order = [j for k in range(0, len(blocks), 2) for j in (k + 1, k) if j < len(blocks)]
+    for n, j in enumerate(order):
+        spark.createDataFrame(blocks[j], schema).coalesce(1).write.parquet(os.path.join(src, f"part{n:02d}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out, ckpt = streaming.stream_workdir(spark, "t2-test")
+    q = streaming.run_upserts(streaming.run_timeout_stream(stream, "user_id", "ts", "event_id", "is_start", "is_end",
+                                                           timeout_s=90 * 60, poll_s=7, watermark="1 hour"), out, ckpt)
+    q.awaitTermination()
+    got = {int(r["key"]): r["status"] for r in streaming.read_upserts(spark, out, ["key"]).collect()}
+    max_ts = max(r[2] for r in rows)
+    wm_ms = int((max_ts - dt.datetime(1970, 1, 1)).total_seconds() * 1000) - 3_600_000
+    asof = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=wm_ms)
+    batch = spark.createDataFrame(rows, schema)
+    want = {r["user_id"]: r["status"] for r in lifecycle.run_timeout(
+        batch, "user_id", "ts", "event_id", F.col("is_start"), F.col("is_end"), 90 * 60, 7,
+        asof=F.lit(asof).cast("timestamp_ntz")).collect()}
+    assert got == want
+    assert set(want.values()) >= {"finished", "timed_out"}
