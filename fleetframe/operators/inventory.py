@@ -79,12 +79,32 @@ def unknown_names(requests: DataFrame, known: DataFrame, request_key: str, known
     return counted.join(keys, counted[request_key] == keys["_ff_known"], "left_anti")
 
 
+class NotFound(LookupError):
+    """A named resource is absent (the reference's typed not-found errors)."""
+
+    def __init__(self, kind: str, name: str):
+        super().__init__(f"{kind} {name!r} not found")
+        self.kind = kind
+        self.name = name
+
+
 def lookup_one(df: DataFrame, name: str, column: str = "name") -> DataFrame:
     """Point lookup by exact name (an equality filter pushed to the
-    scan).  Empty when absent; callers raise their typed error."""
+    scan).  Empty when absent."""
     return df.where(F.col(column) == F.lit(name))
 
 
+def require_one(df: DataFrame, name: str, column: str = "name", kind: str = "resource"):
+    """S5 with the reference's contract: the one row named ``name``, or
+    :class:`NotFound`.  At most two rows reach the driver."""
+    rows = lookup_one(df, name, column).limit(2).collect()
+    if not rows:
+        raise NotFound(kind, name)
+    if len(rows) > 1:
+        raise LookupError(f"{kind} {name!r} is not unique")
+    return rows[0]
+
+
 def prefix_collisions(names: DataFrame, name: str = "name") -> DataFrame:
     """Every pair (``prefix``, ``name``) of distinct names where
     ``prefix`` is a strict prefix of ``name``.

@@ -69,3 +69,32 @@ def validity_status(df: DataFrame, issued: str, asof: str | Column, valid_days:
               .when(at > F.col("not_after"), F.lit("expired"))
               .otherwise(F.lit("valid")))
     return out.withColumn("status", status)
+
+
+# The reference's checks, in its assert order (first failure = the one it raises).
+def cluster_rules(workers: str = "workers", ipc: str = "dask_ipc", dash: str = "dask_dash",
+                  nanny: str = "dask_nanny") -> list[tuple[str, Column]]:
+    """Cluster creation/attach: workers > 0, each port >= 1024, ports distinct."""
+    return [("workers_positive", positive(workers)),
+            ("ipc_port_unprivileged", at_least(ipc, 1024)),
+            ("dash_port_unprivileged", at_least(dash, 1024)),
+            ("nanny_port_unprivileged", at_least(nanny, 1024)),
+            ("ports_distinct", all_distinct(ipc, dash, nanny))]
+
+
+def node_rules(wait: str = "wait") -> list[tuple[str, Column]]:
+    """Node and command polling: the wait interval is positive."""
+    return [("wait_positive", positive(wait))]
+
+
+def ssh_rules(name: str = "name", user: str = "user", key: str = "fn_private", port: str = "port",
+              cipher: str = "cipher") -> list[tuple[str, Column]]:
+    """SSH settings: non-empty host, user, key path and cipher; port > 0."""
+    return [("name_set", non_empty(name)), ("user_set", non_empty(user)),
+            ("key_set", non_empty(key)), ("port_positive", positive(port)),
+            ("cipher_set", non_empty(cipher))]
+
+
+def certificate_rules(valid_days: str = "valid_days", prefix: str = "name") -> list[tuple[str, Column]]:
+    """Certificates: positive validity, non-empty prefix."""
+    return [("valid_days_positive", positive(valid_days)), ("prefix_set", non_empty(prefix))]

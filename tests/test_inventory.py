@@ -98,3 +98,11 @@ def test_admit_and_reject(spark):
     existing = spark.createDataFrame([("cluster",)], "name string")
     assert [r[0] for r in inventory.admit_new(req, existing, "name").collect()] == ["fresh"]
     assert [r[0] for r in inventory.reject_existing(req, existing, "name").collect()] == ["cluster"]
+
+
+def test_require_one(spark):
+    import pytest
+    servers = fx.frames(spark)["servers"]
+    assert inventory.require_one(servers, "cluster-node-scheduler", kind="node")["public_ip4"] == "78.47.76.87"
+    with pytest.raises(inventory.NotFound):
+        inventory.require_one(servers, "cluster3-node-scheduler", kind="node")

@@ -66,3 +66,21 @@ def test_prices_all_locations(spark):
 
 def nested_schema():
     return fx.S.SERVER_TYPE
+
+
+def test_catalog_from_json_snapshot(spark, scratch_dir):
+    import json
+    import os
+    from fleetframe.sources.tables import read_snapshot
+    path = os.path.join(scratch_dir, "server_types.json")
+    with open(path, "w") as f:
+        for t in fx.SERVER_TYPES:
+            prices = [{"location": p[0], "price_hourly": {"net": str(p[1][0]), "gross": str(p[1][1])},
+                       "price_monthly": {"net": str(p[2][0]), "gross": str(p[2][1])}} for p in t[9]]
+            f.write(json.dumps({"id": t[0], "name": t[1], "description": t[2], "cores": t[3], "cpu_type": t[4],
+                                "memory": t[5], "disk": t[6], "storage_type": t[7], "deprecated": t[8],
+                                "prices": prices, "unlisted": "dropped by the schema"}) + "\n")
+    snap = read_snapshot(spark, path, fx.S.SERVER_TYPE, fmt="json")
+    rows = nested.server_types_at(snap, "fsn1-dc14").collect()
+    assert [r["name"] for r in rows] == ["ccx52", "cx11", "cx21", "cx22", "cx41"]
+    assert rows[0]["price_monthly_net"] == Decimal("359.0000000000")

@@ -61,3 +61,16 @@ def test_validity_status(spark):
     assert out["future"]["not_after"] == dt.datetime(2024, 2, 1, 12, 0)
     early = quality.validity_status(certs, "issued", "2022-01-31 00:00:00", 730)
     assert early.where("name = 'future'").first()["status"] == "not_yet"
+
+
+def test_reference_rule_sets(spark):
+    cfg = fx.frames(spark)["cluster_configs"]
+    got = {r["prefix"]: r["first_failure"] for r in quality.validate(cfg, quality.cluster_rules()).collect()}
+    assert got["cluster"] is None and got["lowport"] == "ipc_port_unprivileged"
+    assert got["sameport"] == "ports_distinct" and got["empty"] == "workers_positive"
+    assert quality.validate(cfg, quality.node_rules()).where("not valid").count() == 0
+    ssh = spark.createDataFrame([fx.SSH_BASE[0], ("", "u", "k", 0, True, "c")], fx.S.SSH_CONFIG)
+    fails = sorted(r["failures"] for r in quality.validate(ssh, quality.ssh_rules()).collect())
+    assert fails == ["", "name_set,port_positive"]
+    certs = fx.frames(spark)["certificates"]
+    assert quality.validate(certs, quality.certificate_rules()).where("valid").count() == 3
