@@ -35,7 +35,13 @@ def part_prices(t: Tables) -> DataFrame:
     ``collect_list`` is per part and bounded by the number of regions.
     """
     lines = t.lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    per_region = (lines.join(supplier_regions(t), F.col("l_suppkey") == F.col("s_suppkey"))
+    # Fact first, then one dimension per join: each join's size estimate is
+    # then that of a real table, so only a dimension can be chosen to
+    # broadcast (a joined dimension chain is estimated as a product).
+    per_region = (lines
+                  .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+                  .join(t.nation.select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
+                  .join(t.region.select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
                   .groupBy("l_partkey", "r_name")
                   .agg(F.min("l_extendedprice").alias("hourly_net"),
                        F.max("l_extendedprice").alias("hourly_gross"),

@@ -14,6 +14,11 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # Plan-time broadcasts only for tables that are tiny by their file-size
+    # estimate (the estimate of a joined chain is a product and unreliable);
+    # AQE broadcasts larger sides only after measuring their shuffle output.
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
