@@ -114,15 +114,27 @@ def stage_outcome(df: DataFrame, keys: Sequence[str], stage: str, code: str) ->
         F.max(F.col(stage)).alias("last_stage"))
 
 
-def expand_nodes(configs: DataFrame, prefix: str, workers: str) -> DataFrame:
+def expand_nodes(configs: DataFrame, prefix: str, workers: str, block: int = 1 << 16) -> DataFrame:
     """G4 + E4: one row per node of each cluster configuration: workers
     ``{prefix}-node-worker{i:03d}`` at ``10.0.1.{100+i}`` and the scheduler
     at ``10.0.1.200``.  ``ip_ok`` flags addresses that clash with the
     scheduler (i = 100) or leave the octet range (i > 155), which the
-    reference does not check."""
+    reference does not check.
+
+    Worker indexes are generated in two steps: one row per ``block`` of
+    indexes, hash-distributed on (prefix, block), then the indexes of each
+    block.  A configuration with a huge worker count is thus expanded by
+    many tasks; the redistributed rows are tiny (two columns per block).
+    """
     n = F.col(workers)
-    idx = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
-    w = configs.select(F.col(prefix).alias("prefix"), idx.alias("node_index"))
+    n_blocks = F.floor((n + (block - 1)) / block).cast("int")
+    blocks = (configs.select(F.col(prefix).alias("prefix"), n.alias("_ff_n"),
+                             F.explode(F.when(n > 0, F.sequence(F.lit(0), n_blocks - 1))
+                                       .otherwise(F.array().cast("array<int>"))).alias("_ff_b"))
+              .repartition("prefix", "_ff_b"))
+    lo = F.col("_ff_b") * block
+    hi = F.least(lo + block, F.col("_ff_n")) - 1
+    w = blocks.select("prefix", F.explode(F.sequence(lo, hi)).alias("node_index"))
     host = F.col("node_index") + WORKER_IP_BASE
     worker_rows = w.select(
         "prefix", F.lit(WORKER_SUFFIX).alias("role"), F.col("node_index").cast("int").alias("node_index"),

@@ -77,3 +77,19 @@ def test_catalog_rank_bucketed_equals_plain(spark):
     assert plain == want and bucketed == want
     first = keyed.catalog_sorted(df).first()
     assert first["cpu_type"] == "dedicated"
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.one_of(st.none(), st.integers(-2, 2)),
+                          st.one_of(st.none(), st.booleans())), min_size=1, max_size=6, unique_by=lambda t: t[0]))
+def test_override_merge_matches_python_merge(spark, overrides):
+    base_rows = [(k, k * 10, k % 2 == 0) for k in range(6)]
+    base = spark.createDataFrame(base_rows, "k int, port int, compression boolean")
+    over = spark.createDataFrame(overrides, "k int, port int, compression boolean")
+    got = {r["k"]: (r["port"], r["compression"]) for r in keyed.override_merge(base, over, "k", ["port", "compression"]).collect()}
+    ov = {k: (p, c) for k, p, c in overrides}
+    want = {}
+    for k, p, c in base_rows:
+        op, oc = ov.get(k, (None, None))
+        want[k] = (p if op is None else op, c if oc is None else oc)
+    assert got == want

@@ -90,3 +90,12 @@ def test_expand_rules_golden(spark):
     got = sorted({(r["rule_no"], r["protocol"], r["port"]) for r in rules.collect()})
     assert got == [(0, "tcp", "22"), (1, "icmp", None), (2, "tcp", "9753"), (3, "tcp", "9756"), (4, "tcp", "9759")]
     assert rules.count() == 10
+
+
+def test_expand_nodes_in_blocks(spark):
+    cfg = spark.createDataFrame([("big", 1000), ("one", 1), ("none", 0)], "prefix string, workers int")
+    nodes = sequences.expand_nodes(cfg, "prefix", "workers", block=64).where("role = 'worker'")
+    got = {r["prefix"]: (r["n"], r["lo"], r["hi"], r["d"]) for r in nodes.groupBy("prefix").agg(
+        F.count("*").alias("n"), F.min("node_index").alias("lo"), F.max("node_index").alias("hi"),
+        F.countDistinct("node_index").alias("d")).collect()}
+    assert got == {"big": (1000, 0, 999, 1000), "one": (1, 0, 0, 1)}
