@@ -42,7 +42,9 @@ def get_session(master: str | None = None, app: str = "fleetframe",
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     return spark
 
 
@@ -54,11 +56,25 @@ def checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
     only when the setting is absent.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
         if not local_fallback:
             raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
         path = tempfile.mkdtemp(prefix="fleetframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
+
+
+def is_local(spark: SparkSession) -> bool:
+    """True for ``local[...]`` masters (tests, benches)."""
+    return (spark.conf.get("spark.master", "") or "").startswith("local")
+
+
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None

@@ -20,7 +20,7 @@ from pyspark.sql.types import TimestampNTZType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetframe.operators.keyed import last_wins
-from fleetframe.session import checkpoint_dir
+from fleetframe.session import checkpoint_dir, is_local
 
 _FS_STATE = ("first_us long, success_us long, success_tie long, settled_before long, "
              "pending_us string, pending_tie string")
@@ -218,7 +218,6 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 def stream_workdir(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh (output, checkpoint) folders for one run under the shared
     checkpoint folder; a scratch folder only in local mode when unset."""
-    local = spark.sparkContext.master.startswith("local")
-    base = checkpoint_dir(spark, local_fallback=local).rstrip("/")
+    base = checkpoint_dir(spark, local_fallback=is_local(spark)).rstrip("/")
     run = f"{base}/streams/{name}-{uuid.uuid4().hex[:12]}"
     return f"{run}/out", f"{run}/checkpoint"
