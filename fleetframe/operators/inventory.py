@@ -42,14 +42,43 @@ def _any_prefix(col: Column, prefixes: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [col.startswith(p) for p in prefixes])
 
 
-def delete_plan(inventory: DataFrame, prefixes: str | Sequence[str], name: str = "name") -> DataFrame:
+def delete_plan(inventory: DataFrame, prefixes: str | Sequence[str] | DataFrame, name: str = "name",
+                prefix_col: str = "prefix") -> DataFrame:
     """mark each resource ``delete`` when its name starts with one of
-    the prefixes being removed, else ``keep``.  Kept rows are reported."""
+    the prefixes being removed, else ``keep``.  Kept rows are reported.
+
+    A few prefixes (a string or list) become ``startswith`` conditions.
+    A table of prefixes (a DataFrame with ``prefix_col``) is matched by an
+    equi-join instead: each distinct name is cut at the prefix lengths that
+    occur in the table, the cuts are joined with the prefixes, and the
+    matched names are joined back, so thousands of clusters cost no more
+    than a few.
+    """
+    if isinstance(prefixes, DataFrame):
+        matched = names_with_prefix(inventory.select(name), prefixes.select(prefix_col), name, prefix_col)
+        m = matched.select(F.col(name).alias("_ff_m"), F.lit(True).alias("_ff_hit"))
+        out = inventory.join(m, inventory[name].eqNullSafe(m["_ff_m"]), "left").drop("_ff_m")
+        return out.withColumn("action", F.when(F.col("_ff_hit"), F.lit("delete")).otherwise(F.lit("keep"))).drop("_ff_hit")
     prefixes = [prefixes] if isinstance(prefixes, str) else list(prefixes)
     return inventory.withColumn(
         "action", F.when(_any_prefix(F.col(name), prefixes), F.lit("delete")).otherwise(F.lit("keep")))
 
 
+def names_with_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name",
+                      prefix_col: str = "prefix") -> DataFrame:
+    """Distinct names that start with at least one prefix of the table
+    (``startswith``, so a name equal to a prefix matches)."""
+    pre = prefixes.select(F.col(prefix_col).alias("_ff_p")).where(F.col("_ff_p").isNotNull()).distinct()
+    lengths = pre.select(F.collect_set(F.length("_ff_p"))).scalar()
+    distinct = names.select(F.col(name).alias(name)).where(F.col(name).isNotNull()).distinct()
+    n = F.length(name)
+    # The subquery is projected first: higher-order functions may not hold one.
+    cuts = distinct.select(name, lengths.alias("_ff_lens")).select(
+        name, F.explode(F.filter(F.col("_ff_lens"), lambda k: k <= n)).alias("_ff_k"))
+    cuts = cuts.select(name, F.expr("substring({0}, 1, _ff_k)".format(f"`{name}`")).alias("_ff_cut"))
+    return cuts.join(pre, cuts["_ff_cut"] == pre["_ff_p"], "left_semi").select(name).distinct()
+
+
 def admit_new(requests: DataFrame, existing: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """requests whose key does not exist yet (anti join)."""
     return requests.join(existing, on, "left_anti")

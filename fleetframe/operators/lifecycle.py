@@ -91,3 +91,31 @@ def phase_durations(df: DataFrame, key: str, ts: str, tie: str,
     nxt = ordered.next_row(df, [key], [ts, tie], [ts], prefix="next_", bucket=bucket)
     nxt = nxt.where(F.col(f"next_{ts}").isNotNull())
     return nxt.withColumn("duration_us", micros_between(ts, f"next_{ts}"))
+
+
+# Fixed value: the reference prefixes node messages with "[<node suffix>] ".
+NODE_TAG_PATTERN = r"^\[([^\]]+)\] (.*?)(?: \.\.\.)?$"
+
+
+def node_phase(message: str | Column) -> Column:
+    """``struct(node, phase)`` of a node-tagged log message
+    (``"[worker000] Rebooting ..."`` -> ``worker000``, ``Rebooting``);
+    null for untagged messages."""
+    m = F.col(message) if isinstance(message, str) else message
+    return F.when(m.rlike(NODE_TAG_PATTERN), F.struct(
+        F.regexp_extract(m, NODE_TAG_PATTERN, 1).alias("node"),
+        F.regexp_extract(m, NODE_TAG_PATTERN, 2).alias("phase")))
+
+
+def provisioning_phases(records: DataFrame, logger: str = "logger", message: str = "message",
+                        ts: str = "ts", bucket: Column | None = None) -> DataFrame:
+    """T4 from parsed log records (see :mod:`fleetframe.sources.logs`): the
+    node-tagged messages of each cluster (the logger name) and node, each
+    phase lasting until that node's next message.  Messages with the same
+    timestamp are ordered by text, so reruns agree."""
+    tagged = (records.withColumn("_ff_np", node_phase(message)).where(F.col("_ff_np").isNotNull())
+              .select(F.col(logger).alias("cluster"), F.col("_ff_np")["node"].alias("node"),
+                      F.col("_ff_np")["phase"].alias("phase"), F.col(ts).alias("ts")))
+    nxt = ordered.next_row(tagged, ["cluster", "node"], ["ts", "phase"], ["ts", "phase"],
+                           prefix="next_", bucket=bucket)
+    return nxt.withColumn("duration_us", micros_between("ts", "next_ts"))

@@ -106,3 +106,15 @@ def test_require_one(spark):
     assert inventory.require_one(servers, "cluster-node-scheduler", kind="node")["public_ip4"] == "78.47.76.87"
     with pytest.raises(inventory.NotFound):
         inventory.require_one(servers, "cluster3-node-scheduler", kind="node")
+
+
+def test_delete_plan_with_prefix_table_matches_list(spark):
+    rng = random.Random(21)
+    names = ["".join(rng.choice("ab-") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    inv = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
+    prefixes = sorted({n[:rng.randint(1, len(n))] for n in names[:10]})
+    by_list = {r["id"]: r["action"] for r in inventory.delete_plan(inv, prefixes).collect()}
+    table = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    by_table = {r["id"]: r["action"] for r in inventory.delete_plan(inv, table).collect()}
+    want = {i: ("delete" if any(n.startswith(p) for p in prefixes) else "keep") for i, n in enumerate(names)}
+    assert by_list == want and by_table == want
