@@ -64,19 +64,31 @@ def delete_plan(inventory: DataFrame, prefixes: str | Sequence[str] | DataFrame,
         "action", F.when(_any_prefix(F.col(name), prefixes), F.lit("delete")).otherwise(F.lit("keep")))
 
 
-def names_with_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name",
-                      prefix_col: str = "prefix") -> DataFrame:
-    """Distinct names that start with at least one prefix of the table
-    (``startswith``, so a name equal to a prefix matches)."""
+def prefix_matches(names: DataFrame, prefixes: DataFrame, name: str = "name",
+                   prefix_col: str = "prefix") -> DataFrame:
+    """Every (``prefix``, ``name``) with ``name.startswith(prefix)`` (a name
+    equal to a prefix matches), over distinct values of both.
+
+    An equi-join, not a theta join: each name is cut at the prefix lengths
+    that occur in the prefix table (a scalar subquery gives that small
+    set), and the cuts are joined with the prefixes.
+    """
     pre = prefixes.select(F.col(prefix_col).alias("_ff_p")).where(F.col("_ff_p").isNotNull()).distinct()
     lengths = pre.select(F.collect_set(F.length("_ff_p"))).scalar()
-    distinct = names.select(F.col(name).alias(name)).where(F.col(name).isNotNull()).distinct()
-    n = F.length(name)
+    distinct = names.select(F.col(name).alias("_ff_n")).where(F.col("_ff_n").isNotNull()).distinct()
+    n = F.length("_ff_n")
     # The subquery is projected first: higher-order functions may not hold one.
-    cuts = distinct.select(name, lengths.alias("_ff_lens")).select(
-        name, F.explode(F.filter(F.col("_ff_lens"), lambda k: k <= n)).alias("_ff_k"))
-    cuts = cuts.select(name, F.expr("substring({0}, 1, _ff_k)".format(f"`{name}`")).alias("_ff_cut"))
-    return cuts.join(pre, cuts["_ff_cut"] == pre["_ff_p"], "left_semi").select(name).distinct()
+    cuts = distinct.select("_ff_n", lengths.alias("_ff_lens")).select(
+        "_ff_n", F.explode(F.filter(F.col("_ff_lens"), lambda k: k <= n)).alias("_ff_k"))
+    cuts = cuts.select("_ff_n", F.expr("substring(_ff_n, 1, _ff_k)").alias("_ff_cut"))
+    return (cuts.join(pre, cuts["_ff_cut"] == pre["_ff_p"])
+            .select(F.col("_ff_p").alias(prefix_col), F.col("_ff_n").alias(name)))
+
+
+def names_with_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name",
+                      prefix_col: str = "prefix") -> DataFrame:
+    """Distinct names that start with at least one prefix of the table."""
+    return prefix_matches(names, prefixes, name, prefix_col).select(name).distinct()
 
 
 def admit_new(requests: DataFrame, existing: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -219,3 +231,37 @@ def access_report(workers: DataFrame, schedulers: DataFrame, cluster: str, node:
         F.col(port).alias("port"))
     rows = worker_rows.unionByName(sched_rows)
     return rows.withColumn("url", dashboard_url("ip", "port"))
+
+
+def cluster_status(clusters: DataFrame, servers: DataFrame, firewalls: DataFrame, networks: DataFrame,
+                   prefix: str = "prefix", name: str = "name") -> DataFrame:
+    """A7 for a table of cluster prefixes against the resource inventory,
+    with the reference's tests: scheduler ``{p}-node-scheduler``, firewall
+    ``{p}-firewall`` and network ``{p}-network`` by exact name; workers by
+    ``name.startswith(p) and "-node-worker" in name`` (no separator, so
+    ``cluster`` also sees ``cluster2``'s workers; :func:`prefix_collisions`
+    reports such pairs).  Status = first missing of scheduler, worker,
+    firewall, network, else ``complete``; ``n_workers`` counts matches.
+    """
+    p = clusters.select(F.col(prefix).alias("prefix")).distinct()
+
+    def exact(df: DataFrame, suffix: str, component: str) -> DataFrame:
+        n = F.col(name)
+        return (df.where(n.endswith(suffix))
+                .select(F.substring(n, F.lit(1), F.length(n) - len(suffix)).alias("prefix"),
+                        F.lit(component).alias("component")))
+
+    workers = prefix_matches(servers.where(F.col(name).contains(WORKER_MARKER)).select(name), p,
+                             name, "prefix").select("prefix", F.lit("worker").alias("component"))
+    facts = (exact(servers, SCHEDULER_SUFFIX, "scheduler")
+             .unionByName(workers)
+             .unionByName(exact(firewalls, FIREWALL_SUFFIX, "firewall"))
+             .unionByName(exact(networks, NETWORK_SUFFIX, "network")))
+    # Reduce facts per (prefix, component) before meeting the cluster table.
+    per = facts.groupBy("prefix", "component").agg(F.count(F.lit(1)).alias("_ff_n"))
+    joined = p.join(per, "prefix", "left")
+    status = component_status(joined, "prefix", "component")
+    n_workers = (joined.groupBy("prefix")
+                 .agg(F.coalesce(F.sum(F.when(F.col("component") == "worker", F.col("_ff_n"))),
+                                 F.lit(0).cast("bigint")).alias("n_workers")))
+    return status.join(n_workers, "prefix")

@@ -412,3 +412,29 @@ ORACLE["latest_state_stream"] = ORACLE["latest_state"]
 
 ORACLE["run_timeout_stream"] = ORACLE["run_timeout"].replace(
     "SELECT max(ts) AS asof FROM events", "SELECT date_trunc('millisecond', max(ts)) AS asof FROM events")
+
+ORACLE["cluster_status"] = """
+WITH sn AS (SELECT s_suppkey, s_acctbal, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+servers AS (
+  SELECT n_name || '-node-worker' || CAST(s_suppkey AS VARCHAR) AS name FROM sn
+  UNION ALL
+  SELECT DISTINCT n_name || '-node-scheduler' FROM sn WHERE s_acctbal > 5000),
+fw AS (SELECT n_name || '-firewall' AS name FROM nation WHERE n_regionkey <> 1),
+nw AS (SELECT n_name || '-network' AS name FROM nation WHERE n_regionkey <> 2),
+f AS (
+  SELECT n_name AS prefix,
+         EXISTS (SELECT 1 FROM servers s WHERE s.name = n_name || '-node-scheduler') AS has_scheduler,
+         (SELECT count(*) FROM servers s
+           WHERE starts_with(s.name, n_name) AND contains(s.name, '-node-worker')) AS n_workers,
+         EXISTS (SELECT 1 FROM fw WHERE fw.name = n_name || '-firewall') AS has_firewall,
+         EXISTS (SELECT 1 FROM nw WHERE nw.name = n_name || '-network') AS has_network
+  FROM nation)
+SELECT prefix, has_scheduler, n_workers > 0 AS has_worker, has_firewall, has_network,
+       CASE WHEN NOT has_scheduler THEN 'scheduler_missing'
+            WHEN n_workers = 0 THEN 'worker_missing'
+            WHEN NOT has_firewall THEN 'firewall_missing'
+            WHEN NOT has_network THEN 'network_missing'
+            ELSE 'complete' END AS status,
+       n_workers
+FROM f
+"""

@@ -527,3 +527,23 @@ def run_timeout_stream(spark: SparkSession, base: str) -> DataFrame:
     return res.select(F.col("key").cast("bigint").alias("user_id"),
                       streaming.from_epoch_micros("start_us").alias("start_ts"),
                       streaming.from_epoch_micros("end_us").alias("end_ts"), "status")
+
+
+@query
+def cluster_status(spark: SparkSession, base: str) -> DataFrame:
+    """A7 with the reference's name tests: nations as cluster prefixes, one
+    worker per supplier named after its nation, a scheduler where the
+    nation has a supplier with balance over 5000, firewalls outside region
+    1, networks outside region 2.  ``NATION_1`` also sees the workers of
+    ``NATION_10`` .. ``NATION_19`` (bare ``startswith``)."""
+    t = Tables(spark, base)
+    sn = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal").join(
+        t.nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    workers = sn.select(F.concat(F.col("n_name"), F.lit("-node-worker"), F.col("s_suppkey").cast("string")).alias("name"))
+    schedulers = (sn.where(F.col("s_acctbal") > 5000)
+                  .select(F.concat(F.col("n_name"), F.lit("-node-scheduler")).alias("name")).distinct())
+    nation = t.nation.select("n_name", "n_regionkey")
+    firewalls = nation.where(F.col("n_regionkey") != 1).select(F.concat(F.col("n_name"), F.lit("-firewall")).alias("name"))
+    networks = nation.where(F.col("n_regionkey") != 2).select(F.concat(F.col("n_name"), F.lit("-network")).alias("name"))
+    clusters = nation.select(F.col("n_name").alias("prefix"))
+    return inventory.cluster_status(clusters, workers.unionByName(schedulers), firewalls, networks)

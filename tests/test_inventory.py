@@ -118,3 +118,15 @@ def test_delete_plan_with_prefix_table_matches_list(spark):
     by_table = {r["id"]: r["action"] for r in inventory.delete_plan(inv, table).collect()}
     want = {i: ("delete" if any(n.startswith(p) for p in prefixes) else "keep") for i, n in enumerate(names)}
     assert by_list == want and by_table == want
+
+
+def test_cluster_status_reference_semantics(spark):
+    servers = fx.frames(spark)["servers"].select("name")
+    clusters = spark.createDataFrame([("cluster",), ("cluster2",), ("gone",), ("clus",)], "prefix string")
+    nets = spark.createDataFrame([(n,) for n in fx.NETWORKS] + [("clus-network",)], "name string")
+    fws = spark.createDataFrame([(n,) for n in fx.FIREWALLS] + [("clus-firewall",)], "name string")
+    got = {r["prefix"]: (r["status"], r["n_workers"]) for r in inventory.cluster_status(clusters, servers, fws, nets).collect()}
+    assert got["cluster"] == ("complete", 3)        # its own worker plus cluster2's two (no separator)
+    assert got["cluster2"] == ("firewall_missing", 2)
+    assert got["gone"] == ("scheduler_missing", 0)
+    assert got["clus"] == ("scheduler_missing", 3)   # workers seen, but no clus-node-scheduler
