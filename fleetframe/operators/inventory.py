@@ -202,13 +202,20 @@ def component_status(df: DataFrame, key: str, component: str,
     first missing component in the given order (``<c>_missing``), or
     ``complete``.  ``bool_or`` aggregates partially on the map side, so a
     hot key costs one row per map task in the shuffle."""
-    flags = [F.coalesce(F.bool_or(F.col(component) == F.lit(c)), F.lit(False)).alias(f"has_{c}")
-             for c in components]
-    agg = df.groupBy(key).agg(*flags)
+    agg = df.groupBy(key).agg(*_component_flags(component, components))
+    return agg.withColumn("status", _status(components))
+
+
+def _component_flags(component: str, components: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.bool_or(F.col(component) == F.lit(c)), F.lit(False)).alias(f"has_{c}")
+            for c in components]
+
+
+def _status(components: Sequence[str]) -> Column:
     status = F.lit("complete")
     for c in reversed(components):
         status = F.when(~F.col(f"has_{c}"), F.lit(f"{c}_missing")).otherwise(status)
-    return agg.withColumn("status", status)
+    return status
 
 
 def access_report(workers: DataFrame, schedulers: DataFrame, cluster: str, node: str, ip: str,
@@ -260,8 +267,7 @@ def cluster_status(clusters: DataFrame, servers: DataFrame, firewalls: DataFrame
     # Reduce facts per (prefix, component) before meeting the cluster table.
     per = facts.groupBy("prefix", "component").agg(F.count(F.lit(1)).alias("_ff_n"))
     joined = p.join(per, "prefix", "left")
-    status = component_status(joined, "prefix", "component")
-    n_workers = (joined.groupBy("prefix")
-                 .agg(F.coalesce(F.sum(F.when(F.col("component") == "worker", F.col("_ff_n"))),
-                                 F.lit(0).cast("bigint")).alias("n_workers")))
-    return status.join(n_workers, "prefix")
+    n_workers = F.coalesce(F.sum(F.when(F.col("component") == "worker", F.col("_ff_n"))),
+                           F.lit(0).cast("bigint")).alias("n_workers")
+    agg = joined.groupBy("prefix").agg(*_component_flags("component", COMPONENT_ORDER), n_workers)
+    return agg.withColumn("status", _status(COMPONENT_ORDER))

@@ -60,16 +60,14 @@ def split_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
 def concat_ordered(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    order: Sequence[str], out: str = "pos", bucket: Column | None = None) -> DataFrame:
     """``a | b`` per key: left rows first at positions 0..n-1 in
-    ``order``, then right rows at n, n+1, ...  The left length per key is a
-    partial count joined onto the right side."""
-    lpos = ordered.row_number(left, keys, order, "_ff_rn", bucket=bucket)
-    lpos = lpos.withColumn(out, F.col("_ff_rn") - 1).drop("_ff_rn")
-    n_left = left.groupBy(*[F.col(k).alias(f"_ff_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_ff_n"))
-    rpos = ordered.row_number(right, keys, order, "_ff_rn", bucket=bucket)
-    rpos = rpos.join(n_left, [rpos[k].eqNullSafe(n_left[f"_ff_{k}"]) for k in keys], "left")
-    rpos = (rpos.withColumn(out, F.col("_ff_rn") - 1 + F.coalesce(F.col("_ff_n"), F.lit(0)))
-            .drop("_ff_rn", "_ff_n", *[f"_ff_{k}" for k in keys]))
-    return lpos.unionByName(rpos)
+    ``order``, then right rows at n, n+1, ...  One numbering over the union
+    ordered by (side, order) gives exactly that; with ``bucket`` the
+    numbering runs per (key, side, bucket)."""
+    both = (left.withColumn("_ff_side", F.lit(0))
+            .unionByName(right.withColumn("_ff_side", F.lit(1))))
+    b = None if bucket is None else F.struct(F.col("_ff_side"), bucket)
+    numbered = ordered.row_number(both, keys, ["_ff_side", *order], "_ff_rn", bucket=b)
+    return numbered.withColumn(out, F.col("_ff_rn") - 1).drop("_ff_rn", "_ff_side")
 
 
 def render_stages(df: DataFrame, keys: Sequence[str], stage: str, token: str,
