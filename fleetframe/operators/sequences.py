@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetframe.functions.text import node_name, zero_pad
@@ -25,11 +25,51 @@ RULE_DIRECTION = "in"
 def label_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token: str,
                delimiter: str, bucket: Column | None = None) -> DataFrame:
     """G1, long form: drop delimiter rows and give every other row the
-    ``run_id`` of its run (the number of delimiters before it).  Repeated,
-    leading and trailing delimiters make no empty run."""
-    flagged = df.withColumn("_ff_d", (F.col(token) == F.lit(delimiter)).cast("bigint"))
-    counted = ordered.running_sum(flagged, keys, order, "_ff_d", "run_id", bucket=bucket)
-    return counted.where(F.col("_ff_d") == 0).drop("_ff_d")
+    0-based ``run_no`` of its run.  Repeated, leading and trailing
+    delimiters make no empty run.
+
+    A row starts a run when it is not a delimiter and the row before it
+    (in ``order``, per key) is a delimiter or absent; ``run_no`` is the
+    running count of starts, minus one.  With ``bucket`` the row-level
+    window runs per (key, bucket), and a small per-bucket table (first and
+    last row's delimiter flag, starts counted inside) carries the count and
+    the "previous row" across bucket borders.
+    """
+    d = (F.col(token) == F.lit(delimiter)).cast("int")
+    src = df.withColumn("_ff_d", d)
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        start = (1 - F.col("_ff_d")) * F.coalesce(F.lag("_ff_d").over(w), F.lit(1))
+        runs = src.withColumn("_ff_s", start).withColumn(
+            "run_no", F.sum("_ff_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint") - 1)
+        return runs.where(F.col("_ff_d") == 0).drop("_ff_d", "_ff_s")
+    src = src.withColumn("_ff_b", bucket)
+    w = Window.partitionBy(*keys, "_ff_b").orderBy(*order)
+    local = (src.withColumn("_ff_prev", F.lag("_ff_d").over(w))
+             .withColumn("_ff_s", (1 - F.col("_ff_d")) * F.coalesce(F.col("_ff_prev"), F.lit(0)))
+             .withColumn("_ff_rs", F.sum("_ff_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("_ff_last", F.lead(F.lit(1)).over(w).isNull()))
+    first = F.col("_ff_prev").isNull()
+    edges = (local.where(first | F.col("_ff_last")).groupBy(*keys, "_ff_b")
+             .agg(F.max(F.when(first, F.col("_ff_d"))).alias("_ff_df"),
+                  F.max(F.when(F.col("_ff_last"), F.col("_ff_d"))).alias("_ff_dl"),
+                  F.max(F.when(F.col("_ff_last"), F.col("_ff_rs"))).alias("_ff_sb")))
+    wb = Window.partitionBy(*keys).orderBy("_ff_b")
+    # The bucket's first row starts a run unless it is a delimiter or the
+    # previous bucket ended on a non-delimiter.
+    first_start = (1 - F.col("_ff_df")) * F.coalesce(F.lag("_ff_dl").over(wb), F.lit(1))
+    edges = edges.withColumn("_ff_fs", first_start).withColumn("_ff_tot", F.col("_ff_sb") + F.col("_ff_fs"))
+    offsets = edges.select(
+        *keys, "_ff_b", "_ff_fs",
+        F.coalesce(F.sum("_ff_tot").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ff_off"))
+    offsets = offsets.select(*[F.col(k).alias(f"_ff_o_{k}") for k in keys], F.col("_ff_b").alias("_ff_o_b"),
+                             "_ff_fs", "_ff_off")
+    on = [local[k].eqNullSafe(offsets[f"_ff_o_{k}"]) for k in keys] + [local["_ff_b"] == offsets["_ff_o_b"]]
+    j = local.join(offsets, on, "left")
+    j = j.withColumn("run_no", (F.col("_ff_off") + F.col("_ff_fs") + F.col("_ff_rs")).cast("bigint") - 1)
+    return (j.where(F.col("_ff_d") == 0)
+            .drop("_ff_d", "_ff_b", "_ff_prev", "_ff_s", "_ff_rs", "_ff_last", "_ff_fs", "_ff_off",
+                  "_ff_o_b", *[f"_ff_o_{k}" for k in keys]))
 
 
 def split_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token: str,
@@ -45,16 +85,7 @@ def split_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
             F.max_by(F.col(id_col), F.struct(*order)).alias(f"last_{id_col}")]
     if ts_col:
         aggs += [F.min(ts_col).alias(f"first_{ts_col}"), F.max(ts_col).alias(f"last_{ts_col}")]
-    if bucket is not None:
-        # A run's bucket is the bucket of its first element; it is
-        # non-decreasing in run order, so it buckets the numbering too.
-        labelled = labelled.withColumn("_ff_rb", bucket)
-        aggs.append(F.min("_ff_rb").alias("_ff_rb"))
-    runs = labelled.groupBy(*keys, "run_id").agg(*aggs)
-    numbered = ordered.row_number(runs, keys, ["run_id"], "run_no",
-                                  bucket=None if bucket is None else F.col("_ff_rb"))
-    out = numbered.withColumn("run_no", F.col("run_no") - 1).drop("run_id")
-    return out.drop("_ff_rb") if bucket is not None else out
+    return labelled.groupBy(*keys, "run_no").agg(*aggs)
 
 
 def concat_ordered(left: DataFrame, right: DataFrame, keys: Sequence[str],

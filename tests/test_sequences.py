@@ -20,7 +20,8 @@ def _runs_as_lists(spark, df, bucket=None):
     labelled = sequences.label_runs(df, ["seq_id"], ["pos"], "token", "|", bucket=bucket).collect()
     runs = {}
     for r in sorted(labelled, key=lambda r: (r["seq_id"], r["pos"])):
-        runs.setdefault(r["seq_id"], {}).setdefault(r["run_id"], []).append(r["token"])
+        runs.setdefault(r["seq_id"], {}).setdefault(r["run_no"], []).append(r["token"])
+    assert all(sorted(v) == list(range(len(v))) for v in runs.values())   # dense numbering
     return {k: [v[i] for i in sorted(v)] for k, v in runs.items()}
 
 
@@ -99,3 +100,12 @@ def test_expand_nodes_in_blocks(spark):
         F.count("*").alias("n"), F.min("node_index").alias("lo"), F.max("node_index").alias("hi"),
         F.countDistinct("node_index").alias("d")).collect()}
     assert got == {"big": (1000, 0, 999, 1000), "one": (1, 0, 0, 1)}
+
+
+def test_label_runs_one_row_per_bucket(spark):
+    rng = random.Random(13)
+    seqs = {s: [rng.choice(["|", "|", "a"]) for _ in range(rng.randint(0, 40))] for s in range(10)}
+    df = _token_frame(spark, seqs)
+    got = _runs_as_lists(spark, df, F.col("pos"))        # every row its own bucket
+    for sid, toks in seqs.items():
+        assert got.get(sid, []) == _reference_split(toks, "|")
