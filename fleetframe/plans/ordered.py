@@ -47,15 +47,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)))
-    b = df.withColumn(_BK, bucket).withColumn("_ff_v", val)
-    per_bucket = b.groupBy(*keys, _BK).agg(F.sum("_ff_v").alias("_ff_bs"))
+    b = df.withColumn(_BK, bucket).withColumn("_ff_v", F.coalesce(val, F.lit(0)))
+    w_local = Window.partitionBy(*keys, _BK).orderBy(*order)
+    local = (b.withColumn("_ff_ls", F.sum("_ff_v").over(w_local.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("_ff_last", F.lead(F.lit(True)).over(w_local).isNull()))
+    # Bucket totals are the running sums on each bucket's last row: taken
+    # from the same window pass, no second scan of the input.
+    totals = local.where("_ff_last").select(*keys, _BK, F.col("_ff_ls").alias("_ff_bs"))
     w_small = Window.partitionBy(*keys).orderBy(_BK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, _BK, F.coalesce(F.sum("_ff_bs").over(w_small), F.lit(0)).alias("_ff_off"))
-    w_local = Window.partitionBy(*keys, _BK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    local = b.withColumn("_ff_ls", F.coalesce(F.sum("_ff_v").over(w_local), F.lit(0)))
+    offsets = totals.select(*keys, _BK, F.coalesce(F.sum("_ff_bs").over(w_small), F.lit(0)).alias("_ff_off"))
     joined = _join_small(local, offsets, keys)
-    return (joined.withColumn(out, F.col("_ff_ls") + F.col("_ff_off"))
-            .drop(_BK, "_ff_v", "_ff_ls", "_ff_off"))
+    own = F.lit(0) if inclusive else F.col("_ff_v")
+    return (joined.withColumn(out, F.col("_ff_ls") - own + F.col("_ff_off"))
+            .drop(_BK, "_ff_v", "_ff_ls", "_ff_off", "_ff_last"))
 
 
 def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
