@@ -36,7 +36,8 @@ def override_merge(base: DataFrame, overrides: DataFrame, key: str,
     return merged.drop("_ff_ok", *[f"_ff_o_{f}" for f in fields])
 
 
-def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "host") -> DataFrame:
+def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "host",
+                 known: DataFrame | None = None, known_host: str = "host") -> DataFrame:
     """Verdict of a copy request from its source hosts and its
     target host (null host = local path).
 
@@ -44,7 +45,9 @@ def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "
     host -> ``multiple_sources``; no host at all -> ``no_host``; a target
     host and a source host -> ``host_to_host``; else ``ok`` with ``host``
     the one remote end.  A request needs a target row and at least one
-    source row (inner join).  ``count(DISTINCT host)`` skips nulls and plans as
+    source row (inner join).  With ``known`` (the cluster's host names),
+    a request naming any other host is ``unknown_host`` first, as the
+    reference rejects each path's host before comparing them.  ``count(DISTINCT host)`` skips nulls and plans as
     a partial aggregate on (key, host) followed by one shuffle on key.
     """
     src = (sources.groupBy(F.col(key).alias("_ff_k"))
@@ -54,10 +57,20 @@ def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "
     j = tgt.join(src, tgt[key] == src["_ff_k"]).drop("_ff_k")
     n = F.coalesce(F.col("n_source_hosts"), F.lit(0).cast("bigint"))
     t = F.col("target_host")
+    if known is not None:
+        hosts = (sources.select(F.col(key).alias("_ff_k"), F.col(host).alias("_ff_h"))
+                 .unionByName(targets.select(F.col(key).alias("_ff_k"), F.col(host).alias("_ff_h")))
+                 .where(F.col("_ff_h").isNotNull()))
+        names = known.select(F.col(known_host).alias("_ff_kh")).distinct()
+        unknown = (hosts.join(names, hosts["_ff_h"] == names["_ff_kh"], "left_anti")
+                   .groupBy("_ff_k").agg(F.min("_ff_h").alias("unknown_host")))
+        j = j.join(unknown, j[key] == unknown["_ff_k"], "left").drop("_ff_k")
     verdict = (F.when(n > 1, F.lit("multiple_sources"))
                .when(t.isNull() & (n == 0), F.lit("no_host"))
                .when(t.isNotNull() & (n == 1), F.lit("host_to_host"))
                .otherwise(F.lit("ok")))
+    if known is not None:
+        verdict = F.when(F.col("unknown_host").isNotNull(), F.lit("unknown_host")).otherwise(verdict)
     return (j.withColumn("n_source_hosts", n)
             .withColumn("verdict", verdict)
             .withColumn("host", F.when(F.col("verdict") == "ok", F.coalesce(t, F.col("_ff_src"))))

@@ -93,3 +93,16 @@ def test_override_merge_matches_python_merge(spark, overrides):
         op, oc = ov.get(k, (None, None))
         want[k] = (p if op is None else op, c if oc is None else oc)
     assert got == want
+
+
+def test_copy_verdict_unknown_host_first(spark):
+    req = spark.createDataFrame(fx.COPY_REQUESTS, fx.S.COPY_REQUEST)
+    p = text.normalize_path("path")
+    parsed = req.select("request_id", "role", text.path_host(p).alias("host"))
+    known = spark.createDataFrame([("worker000",), ("worker001",), ("scheduler",)], "host string")
+    got = {r["request_id"]: (r["verdict"], r["unknown_host"])
+           for r in keyed.copy_verdict(parsed.where("role = 'source'"), parsed.where("role = 'target'"),
+                                       "request_id", known=known).collect()}
+    assert got[6] == ("unknown_host", "C")          # C:/data/file names host C
+    assert got[2] == ("multiple_sources", None)
+    assert got[3] == ("ok", None)
