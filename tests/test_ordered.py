@@ -39,3 +39,32 @@ def test_next_row_bucketed_equals_plain(spark):
         got = {r["id"]: (r["next_id"], r["next_pos"])
                for r in ordered.next_row(df, ["k"], ["pos", "id"], ["id", "pos"], bucket=bucket).collect()}
         assert got == plain
+
+
+def _partitions_of_hot_key(spark, df):
+    # Keep every column: a projection of the partition id alone would let
+    # Catalyst prune the window away.
+    rows = df.where("k = 1").select(F.spark_partition_id().alias("_pid"), *df.columns).collect()
+    return len({r["_pid"] for r in rows})
+
+
+def test_hot_key_spreads_over_partitions(spark):
+    """A key with most rows: the plain window gathers it in one partition,
+    the bucketed one spreads its row-level work over many."""
+    from fleetframe.operators import sequences
+    rows = [(1 if i % 10 else 2, i, i // 3, "|" if i % 7 == 0 else "x", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, id int, pos int, tok string, v int")
+    saved = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bucket = F.floor(F.col("pos") / 50)
+        plain = ordered.running_sum(df, ["k"], ["pos", "id"], "v", "s")
+        spread = ordered.running_sum(df, ["k"], ["pos", "id"], "v", "s", bucket=bucket)
+        assert _partitions_of_hot_key(spark, plain) == 1
+        assert _partitions_of_hot_key(spark, spread) > 1
+        nxt = ordered.next_row(df, ["k"], ["pos", "id"], ["id"], bucket=bucket)
+        assert _partitions_of_hot_key(spark, nxt) > 1
+        runs = sequences.label_runs(df, ["k"], ["pos", "id"], "tok", "|", bucket=bucket)
+        assert _partitions_of_hot_key(spark, runs) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", saved)
