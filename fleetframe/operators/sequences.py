@@ -191,5 +191,6 @@ def expand_rules(configs: DataFrame, prefix: str, ipc: str, dash: str, nanny: st
     r = configs.select(F.col(prefix).alias("prefix"), F.posexplode(rules).alias("rule_no", "rule"))
     r = r.select("prefix", "rule_no", F.lit(RULE_DIRECTION).alias("direction"),
                  F.col("rule")["protocol"].alias("protocol"), F.col("rule")["port"].alias("port"),
-                 F.explode(F.array(*[F.lit(s) for s in RULE_SOURCES])).alias("source_ip"))
+                 F.explode(F.array(*[F.lit(s) for s in RULE_SOURCES])).alias("source_ip"),
+                 F.array().cast("array<string>").alias("destination_ips"))
     return r

@@ -337,7 +337,7 @@ def rule_expand(spark: SparkSession, base: str) -> DataFrame:
     cfg = Tables(spark, base).supplier.select(
         "s_name", *[(F.lit(p) + F.col("s_nationkey") * 10).alias(n)
                     for n, p in (("ipc", 9753), ("dash", 9756), ("nanny", 9759))])
-    return sequences.expand_rules(cfg, "s_name", "ipc", "dash", "nanny")
+    return sequences.expand_rules(cfg, "s_name", "ipc", "dash", "nanny").drop("destination_ips")
 
 
 # --- state and time -----------------------------------------------------------------

@@ -91,6 +91,7 @@ def test_expand_rules_golden(spark):
     got = sorted({(r["rule_no"], r["protocol"], r["port"]) for r in rules.collect()})
     assert got == [(0, "tcp", "22"), (1, "icmp", None), (2, "tcp", "9753"), (3, "tcp", "9756"), (4, "tcp", "9759")]
     assert rules.count() == 10
+    assert {tuple(r["destination_ips"]) for r in rules.collect()} == {()}
 
 
 def test_expand_nodes_in_blocks(spark):
