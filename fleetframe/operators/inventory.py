@@ -271,3 +271,22 @@ def cluster_status(clusters: DataFrame, servers: DataFrame, firewalls: DataFrame
                            F.lit(0).cast("bigint")).alias("n_workers")
     agg = joined.groupBy("prefix").agg(*_component_flags("component", COMPONENT_ORDER), n_workers)
     return agg.withColumn("status", _status(COMPONENT_ORDER))
+
+
+def host_index(servers: DataFrame, prefix: str, name: str = "name") -> DataFrame:
+    """The host names a cluster answers to, as the reference builds them
+    for ssh/scp (A6 + E2 + F1): each worker under its name suffix
+    (``worker000``), then the scheduler under ``scheduler``, which
+    overrides.  Worker selection keeps the bare ``startswith``, so a
+    suffix can come from two clusters; the dict build then keeps the last
+    one, here the greatest server name (the reference keeps API order).
+    Output: ``host`` plus the server columns, one row per host."""
+    from fleetframe.functions.text import name_suffix
+    from fleetframe.operators.keyed import last_wins
+    workers = (worker_filter(servers, prefix, name)
+               .withColumn("host", name_suffix(name)).withColumn("_ff_rank", F.lit(0)))
+    sched = (servers.where(F.col(name) == F.lit(prefix + SCHEDULER_SUFFIX))
+             .withColumn("host", F.lit("scheduler")).withColumn("_ff_rank", F.lit(1)))
+    both = workers.unionByName(sched).where(F.col("host").isNotNull())
+    cols = [c for c in both.columns if c not in ("host", "_ff_rank")]
+    return last_wins(both, ["host"], ["_ff_rank", name], cols)

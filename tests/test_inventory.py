@@ -130,3 +130,14 @@ def test_cluster_status_reference_semantics(spark):
     assert got["cluster2"] == ("firewall_missing", 2)
     assert got["gone"] == ("scheduler_missing", 0)
     assert got["clus"] == ("scheduler_missing", 3)   # workers seen, but no clus-node-scheduler
+
+
+def test_host_index_scheduler_overrides(spark):
+    servers = fx.frames(spark)["servers"]
+    idx = {r["host"]: r["name"] for r in inventory.host_index(servers, "cluster").collect()}
+    assert idx == {"scheduler": "cluster-node-scheduler",
+                   "worker000": "cluster2-node-worker000",      # suffix clash across clusters
+                   "worker001": "cluster2-node-worker001"}
+    idx2 = {r["host"]: r["name"] for r in inventory.host_index(servers, "cluster2").collect()}
+    assert idx2 == {"scheduler": "cluster2-node-scheduler", "worker000": "cluster2-node-worker000",
+                    "worker001": "cluster2-node-worker001"}
