@@ -438,3 +438,6 @@ SELECT prefix, has_scheduler, n_workers > 0 AS has_worker, has_firewall, has_net
        n_workers
 FROM f
 """
+
+ORACLE["first_success_final"] = ("SELECT * FROM (" + ORACLE["first_success"] + ") "
+                                 "WHERE success_ts < (SELECT date_trunc('millisecond', max(ts)) FROM events)")

@@ -547,3 +547,22 @@ def cluster_status(spark: SparkSession, base: str) -> DataFrame:
     networks = nation.where(F.col("n_regionkey") != 2).select(F.concat(F.col("n_name"), F.lit("-network")).alias("name"))
     clusters = nation.select(F.col("n_name").alias("prefix"))
     return inventory.cluster_status(clusters, workers.unionByName(schedulers), firewalls, networks)
+
+
+@query
+def first_success_final(spark: SparkSession, base: str) -> DataFrame:
+    """T1 as an append-mode stream: each user is emitted exactly once, when
+    the first purchase is below the final watermark (the latest event time,
+    in milliseconds); users who never purchase are not emitted."""
+    ev = _event_stream(spark, base).withColumn("ok", F.col("event_type") == "purchase")
+    out, ckpt = streaming.stream_workdir(spark, "first_success_final")
+    q = streaming.run_append(
+        streaming.first_success_stream(ev, "user_id", "ts", "event_id", "ok", watermark="0 seconds",
+                                       final=True), out, ckpt)
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select(F.col("key").cast("bigint").alias("user_id"),
+                      streaming.from_epoch_micros("first_us").alias("first_ts"),
+                      streaming.from_epoch_micros("success_us").alias("success_ts"),
+                      F.col("success_tie").alias("success_event_id"), "attempts_before",
+                      (F.col("success_us") - F.col("first_us")).alias("wait_us"))

@@ -36,50 +36,73 @@ def _join(values) -> str:
     return ",".join(str(int(v)) for v in values)
 
 
-def _first_success_fn(key, batches: Iterator[pd.DataFrame], state: GroupState):
+def _first_success(final: bool):
     """Per key: the earliest success S and the attempts ordered before it.
 
     Attempts below the watermark are settled into a count (a later success
     can only be at or above the watermark, so their relation to S never
     changes); attempts at or above it are kept until the watermark passes
     them, so a success arriving out of order is counted exactly.
+
+    ``final``: emit a key once, when S is below the watermark (nothing
+    earlier can still arrive), then keep only a done marker.  An event-time
+    timeout at S wakes the key when the watermark passes it.
     """
-    if state.exists:
-        first_us, s_us, s_tie, settled, p_us, p_tie = state.get
-        pending = list(zip(_split(p_us), _split(p_tie)))
-    else:
-        first_us, s_us, s_tie, settled, pending = None, None, None, 0, []
-    wm_us = max(state.getCurrentWatermarkMs(), 0) * 1000
-    for pdf in batches:
-        for us, tie, ok in zip(pdf["us"].tolist(), pdf["tie"].tolist(), pdf["ok"].tolist()):
-            first_us = us if first_us is None else min(first_us, us)
-            if ok and (s_us is None or (us, tie) < (s_us, s_tie)):
-                s_us, s_tie = us, tie
-            pending.append((us, tie))
-    best = (s_us, s_tie) if s_us is not None else None
-
-    def before(item) -> bool:
-        return best is None or item < best
-
-    keep = []
-    for item in pending:
-        if item[0] < wm_us:
-            settled += int(before(item))
+    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.exists:
+            first_us, s_us, s_tie, settled, p_us, p_tie = state.get
+            pending = list(zip(_split(p_us), _split(p_tie)))
         else:
-            keep.append(item)
-    attempts = settled + sum(1 for item in keep if before(item))
-    state.update((first_us, s_us, s_tie, settled,
-                  _join(i[0] for i in keep), _join(i[1] for i in keep)))
-    yield pd.DataFrame({"key": [str(key[0])], "first_us": [first_us], "success_us": [s_us],
-                        "success_tie": [s_tie], "attempts_before": [attempts],
-                        "batch_watermark_ms": [state.getCurrentWatermarkMs()]})
+            first_us, s_us, s_tie, settled, pending = None, None, None, 0, []
+        if final and settled == -1:            # already emitted
+            for _ in batches:
+                pass
+            return
+        wm_ms = max(state.getCurrentWatermarkMs(), 0)
+        wm_us = wm_ms * 1000
+        for pdf in batches:
+            for us, tie, ok in zip(pdf["us"].tolist(), pdf["tie"].tolist(), pdf["ok"].tolist()):
+                first_us = us if first_us is None else min(first_us, us)
+                if ok and (s_us is None or (us, tie) < (s_us, s_tie)):
+                    s_us, s_tie = us, tie
+                pending.append((us, tie))
+        best = (s_us, s_tie) if s_us is not None else None
+
+        def before(item) -> bool:
+            return best is None or item < best
+
+        keep = []
+        for item in pending:
+            if item[0] < wm_us:
+                settled += int(before(item))
+            else:
+                keep.append(item)
+        attempts = settled + sum(1 for item in keep if before(item))
+        row = pd.DataFrame({"key": [str(key[0])], "first_us": [first_us], "success_us": [s_us],
+                            "success_tie": [s_tie], "attempts_before": [attempts],
+                            "batch_watermark_ms": [state.getCurrentWatermarkMs()]})
+        if final:
+            if best is not None and s_us < wm_us:
+                state.update((first_us, s_us, s_tie, -1, "", ""))   # done marker
+                yield row
+                return
+            if best is not None:
+                state.setTimeoutTimestamp(max(s_us // 1000, wm_ms, 1))
+        state.update((first_us, s_us, s_tie, settled,
+                      _join(i[0] for i in keep), _join(i[1] for i in keep)))
+        if not final:
+            yield row
+    return fn
 
 
 def first_success_stream(events: DataFrame, key: str, ts: str, tie: str, success: str,
-                         watermark: str = "1 hour") -> DataFrame:
+                         watermark: str = "1 hour", final: bool = False) -> DataFrame:
     """T1 on a stream: ``events`` is a streaming DataFrame with a boolean
-    column ``success``; output rows (update mode) carry the current answer
-    for every key a micro-batch touched."""
+    column ``success``.  By default (update mode) output rows carry the
+    current answer for every key a micro-batch touched; with ``final``
+    (append mode) each key is emitted exactly once, when its first success
+    can no longer change, and a key that never succeeds is never emitted
+    (the reference waits forever)."""
     src = events.select(F.col(key).cast("string").alias("key"),
                         epoch_micros(events, ts).alias("us"),
                         F.col(tie).cast("long").alias("tie"),
@@ -88,11 +111,24 @@ def first_success_stream(events: DataFrame, key: str, ts: str, tie: str, success
     # compare like with like whatever the session time zone.
     src = (src.withColumn("event_ts", F.timestamp_micros("us"))
            .withWatermark("event_ts", watermark))
+    if final:
+        return (src.groupBy("key")
+                .applyInPandasWithState(_first_success(True), _FS_OUT, _FS_STATE, "append",
+                                        GroupStateTimeout.EventTimeTimeout))
     return (src.groupBy("key")
-            .applyInPandasWithState(_first_success_fn, _FS_OUT, _FS_STATE, "update",
+            .applyInPandasWithState(_first_success(False), _FS_OUT, _FS_STATE, "update",
                                     GroupStateTimeout.NoTimeout))
 
 
+def run_append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Start an append-mode stream into Parquet files at ``path`` (the file
+    sink's commit log makes it exactly-once across restarts)."""
+    writer = (stream.writeStream.outputMode("append").format("parquet")
+              .option("path", path).option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
 _RT_STATE = "start_us long, start_tie long, settled_end_us long, pending_us string, pending_tie string"
 _RT_OUT = "key string, start_us long, start_tie long, end_us long, status string, asof_ms long"
 

@@ -109,3 +109,30 @@ def test_run_timeout_stream_equals_batch_at_watermark(spark, scratch_dir):
         asof=F.lit(asof).cast("timestamp_ntz")).collect()}
     assert got == want
     assert set(want.values()) >= {"finished", "timed_out"}
+
+
+def test_first_success_final_emits_each_key_once(spark, scratch_dir):
+    rows = _events(seed=3, n=600)
+    schema = "event_id long, user_id long, ts timestamp_ntz, ok boolean"
+    src = os.path.join(scratch_dir, "src")
+    blocks = [rows[i:i + 30] for i in range(0, len(rows), 30)]           # 30-minute blocks
+    order = [j for k in range(0, len(blocks), 2) for j in (k + 1, k) if j < len(blocks)]
+    for n, j in enumerate(order):
+        spark.createDataFrame(blocks[j], schema).coalesce(1).write.parquet(os.path.join(src, f"part{n:02d}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out, ckpt = streaming.stream_workdir(spark, "t1-final")
+    streaming.run_append(streaming.first_success_stream(stream, "user_id", "ts", "event_id", "ok",
+                                                        watermark="2 hours", final=True), out, ckpt).awaitTermination()
+    emitted = spark.read.parquet(out).collect()
+    keys = [int(r["key"]) for r in emitted]
+    assert len(keys) == len(set(keys))                                     # exactly once
+    got = {int(r["key"]): (r["success_tie"], r["attempts_before"]) for r in emitted}
+    max_ts = max(r[2] for r in rows)
+    wm = dt.datetime(1970, 1, 1) + dt.timedelta(
+        milliseconds=int((max_ts - dt.datetime(1970, 1, 1)).total_seconds() * 1000) - 7_200_000)
+    batch = spark.createDataFrame(rows, schema)
+    want = {r["user_id"]: (r["success_event_id"], r["attempts_before"])
+            for r in lifecycle.first_success(batch, "user_id", "ts", "event_id", F.col("ok")).collect()
+            if r["success_ts"] is not None and r["success_ts"] < wm}
+    assert got == want and len(want) > 0
