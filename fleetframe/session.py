@@ -18,6 +18,11 @@ _DEFAULTS = {
     # estimate (the estimate of a joined chain is a product and unreliable);
     # AQE broadcasts larger sides only after measuring their shuffle output.
     "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    # Keyed stream state (one entry per entity) lives in RocksDB, off the
+    # JVM heap, with changelog checkpoints to the shared folder.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
