@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetframe.functions.text import dashboard_url
+from fleetframe.functions.text import dashboard_url, name_suffix
+from fleetframe.operators.keyed import last_wins
 
 # Name parts the reference gives cluster components.
 WORKER_MARKER = "-node-worker"
@@ -281,8 +282,6 @@ def host_index(servers: DataFrame, prefix: str, name: str = "name") -> DataFrame
     suffix can come from two clusters; the dict build then keeps the last
     one, here the greatest server name (the reference keeps API order).
     Output: ``host`` plus the server columns, one row per host."""
-    from fleetframe.functions.text import name_suffix
-    from fleetframe.operators.keyed import last_wins
     workers = (worker_filter(servers, prefix, name)
                .withColumn("host", name_suffix(name)).withColumn("_ff_rank", F.lit(0)))
     sched = (servers.where(F.col(name) == F.lit(prefix + SCHEDULER_SUFFIX))

@@ -13,17 +13,6 @@ from pyspark.sql import functions as F
 from fleetframe.sources.tables import Tables
 
 
-def supplier_regions(t: Tables) -> DataFrame:
-    """(s_suppkey, s_nationkey, n_name, r_name): dimension lookups; nation
-    and region are tiny and broadcast by their statistics."""
-    return (t.supplier.select("s_suppkey", "s_nationkey")
-            .join(t.nation.select("n_nationkey", "n_name", "n_regionkey"),
-                  F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(t.region.select("r_regionkey", "r_name"),
-                  F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "s_nationkey", "n_name", "r_name"))
-
-
 def part_prices(t: Tables) -> DataFrame:
     """Per part, a ``prices`` array like a server type's: one entry per
     region that ships it, hourly net/gross = min/max extended price,
