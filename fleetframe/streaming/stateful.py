@@ -244,13 +244,30 @@ def run_upserts(stream: DataFrame, path: str, checkpoint: str, available_now: bo
     return writer.start()
 
 
-def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Fold an upsert log to the latest row per key."""
+def read_upserts(spark: SparkSession, path: str, keys: list[str], snapshot: str | None = None) -> DataFrame:
+    """Fold an upsert log to the latest row per key; with ``snapshot``
+    (written by :func:`compact_upserts`), only batches after it are read
+    from the log."""
     log = spark.read.parquet(path)
+    if snapshot is not None:
+        snap = spark.read.parquet(snapshot)
+        upto = snap.select(F.max("_batch_id")).scalar()
+        log = log.where(F.col("_batch_id") > upto).drop("batch").unionByName(snap, allowMissingColumns=True)
     cols = [c for c in log.columns if c not in ("_batch_id", "batch")]
     return last_wins(log, keys, ["_batch_id"], cols)
 
 
+def compact_upserts(spark: SparkSession, path: str, keys: list[str], snapshot: str) -> None:
+    """Fold the upsert log into a snapshot table (latest row per key, with
+    its batch id) in the shared folder, cutting the log's lineage; later
+    reads start from the snapshot.  Old batch folders can then be
+    removed by the owner of the log."""
+    log = spark.read.parquet(path)
+    cols = [c for c in log.columns if c not in ("batch",)]
+    folded = last_wins(log, keys, ["_batch_id"], [c for c in cols if c not in keys])
+    folded.write.mode("overwrite").parquet(snapshot)
+
+
 def stream_workdir(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh (output, checkpoint) folders for one run under the shared
     checkpoint folder; a scratch folder only in local mode when unset."""
