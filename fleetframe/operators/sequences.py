@@ -44,16 +44,20 @@ def label_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
             "run_no", F.sum("_ff_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint") - 1)
         return runs.where(F.col("_ff_d") == 0).drop("_ff_d", "_ff_s")
     src = src.withColumn("_ff_b", bucket)
-    w = Window.partitionBy(*keys, "_ff_b").orderBy(*order)
+    src = src.withColumn("_ff_jk", ordered.join_key(keys, "_ff_b"))
+    w = Window.partitionBy("_ff_jk").orderBy(*order)
     local = (src.withColumn("_ff_prev", F.lag("_ff_d").over(w))
              .withColumn("_ff_s", (1 - F.col("_ff_d")) * F.coalesce(F.col("_ff_prev"), F.lit(0)))
              .withColumn("_ff_rs", F.sum("_ff_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_ff_last", F.lead(F.lit(1)).over(w).isNull()))
     first = F.col("_ff_prev").isNull()
-    edges = (local.where(first | F.col("_ff_last")).groupBy(*keys, "_ff_b")
+    # Grouped by the window's own partitioning key: no shuffle.
+    edges = (local.where(first | F.col("_ff_last")).groupBy("_ff_jk")
              .agg(F.max(F.when(first, F.col("_ff_d"))).alias("_ff_df"),
                   F.max(F.when(F.col("_ff_last"), F.col("_ff_d"))).alias("_ff_dl"),
-                  F.max(F.when(F.col("_ff_last"), F.col("_ff_rs"))).alias("_ff_sb")))
+                  F.max(F.when(F.col("_ff_last"), F.col("_ff_rs"))).alias("_ff_sb"))
+             .select(*[F.col("_ff_jk")[k].alias(k) for k in keys], F.col("_ff_jk")["_ff_b"].alias("_ff_b"),
+                     "_ff_df", "_ff_dl", "_ff_sb"))
     wb = Window.partitionBy(*keys).orderBy("_ff_b")
     # The bucket's first row starts a run unless it is a delimiter or the
     # previous bucket ended on a non-delimiter.
@@ -62,14 +66,13 @@ def label_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
     offsets = edges.select(
         *keys, "_ff_b", "_ff_fs",
         F.coalesce(F.sum("_ff_tot").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ff_off"))
-    offsets = offsets.select(*[F.col(k).alias(f"_ff_o_{k}") for k in keys], F.col("_ff_b").alias("_ff_o_b"),
-                             "_ff_fs", "_ff_off")
-    on = [local[k].eqNullSafe(offsets[f"_ff_o_{k}"]) for k in keys] + [local["_ff_b"] == offsets["_ff_o_b"]]
-    j = local.join(offsets, on, "left")
+    offsets = offsets.select(ordered.join_key(keys, "_ff_b").alias("_ff_jk"), "_ff_fs", "_ff_off")
+    # Same struct key as the window's partitioning: the large side is not
+    # shuffled again for this join.
+    j = local.join(offsets, "_ff_jk", "left")
     j = j.withColumn("run_no", (F.col("_ff_off") + F.col("_ff_fs") + F.col("_ff_rs")).cast("bigint") - 1)
     return (j.where(F.col("_ff_d") == 0)
-            .drop("_ff_d", "_ff_b", "_ff_prev", "_ff_s", "_ff_rs", "_ff_last", "_ff_fs", "_ff_off",
-                  "_ff_o_b", *[f"_ff_o_{k}" for k in keys]))
+            .drop("_ff_d", "_ff_b", "_ff_jk", "_ff_prev", "_ff_s", "_ff_rs", "_ff_last", "_ff_fs", "_ff_off"))
 
 
 def split_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token: str,

@@ -27,14 +27,22 @@ from pyspark.sql import functions as F
 _BK = "_ff_bucket"
 
 
+_JK = "_ff_jk"
+
+
+def join_key(keys: Sequence[str], bucket_col: str = _BK) -> Column:
+    """``struct(keys..., bucket)``: one column to partition the row-level
+    window by and to join the small table on.  Struct equality treats
+    null fields as equal, so null keys join like any other, and because
+    the window and the join use the same column, the join reuses the
+    window's hash partitioning (the large side moves once)."""
+    return F.struct(*[F.col(k) for k in keys], F.col(bucket_col))
+
+
 def _join_small(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on ``keys + bucket`` with null-safe key equality."""
-    on = [_BK, *keys]
-    renamed = small.select(*[F.col(c).alias(f"_s_{c}") for c in on],
-                           *[c for c in small.columns if c not in on])
-    cond = [big[c].eqNullSafe(renamed[f"_s_{c}"]) for c in on]
-    joined = big.join(renamed, cond, "left")
-    return joined.drop(*[f"_s_{c}" for c in on])
+    """Left join of the row-level side with the per-(key, bucket) table."""
+    s = small.select(join_key(keys).alias(_JK), *[c for c in small.columns if c not in (_BK, *keys)])
+    return big.join(s, _JK, "left").drop(_JK)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -48,7 +56,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)))
     b = df.withColumn(_BK, bucket).withColumn("_ff_v", F.coalesce(val, F.lit(0)))
-    w_local = Window.partitionBy(*keys, _BK).orderBy(*order)
+    b = b.withColumn(_JK, join_key(keys))
+    w_local = Window.partitionBy(_JK).orderBy(*order)
     local = (b.withColumn("_ff_ls", F.sum("_ff_v").over(w_local.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_ff_last", F.lead(F.lit(True)).over(w_local).isNull()))
     # Bucket totals are the running sums on each bucket's last row: taken
@@ -79,7 +88,8 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in cols])
     b = df.withColumn(_BK, bucket)
-    w_local = Window.partitionBy(*keys, _BK).orderBy(*order)
+    b = b.withColumn(_JK, join_key(keys))
+    w_local = Window.partitionBy(_JK).orderBy(*order)
     local = b.select("*", F.lead(F.lit(True)).over(w_local).alias("_ff_has"),
                      F.lag(F.lit(True)).over(w_local).isNull().alias("_ff_is_first"),
                      *[F.lead(c).over(w_local).alias("_ff_n_" + c) for c in cols])

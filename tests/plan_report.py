@@ -2,6 +2,7 @@
 run it at the given scale) into a Markdown table.
 
     python tests/plan_report.py [/root/testdata/sf0.1] > PLANS.md
+    python tests/plan_report.py /root/testdata/sf0.1 --scale-shape >> PLANS.md
 """
 
 from __future__ import annotations
@@ -61,20 +62,34 @@ def drop_initial_plans(plan: str) -> str:
 
 
 def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    sf_dir = args[0] if args else "/root/testdata/sf0.1"
     from fleetframe.session import get_session
     from __spark_entry__ import queries
     spark = get_session("local[8]", shuffle_partitions=8)
+    if "--scale-shape" in sys.argv:
+        # The join shape at scale: only the fixed-size dimensions (nation,
+        # 25 rows; region, 5 rows) stay under the broadcast threshold, and
+        # AQE's runtime conversion is off, so every other side is "large".
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4KB")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        print(f"## Scale shape at {sf_dir}: only nation and region broadcast, every other side large\n")
+        table(spark, queries(), sf_dir)
+        return
     print(f"# Physical plans at {sf_dir} (after AQE)\n")
     print("Generated by `tests/plan_report.py` from each query's final adaptive plan. "
           "Shuffles count hash, range, round-robin and single-partition exchanges; "
           "broadcasts include AQE's runtime conversions of measured small sides; codegen "
           "counts whole-stage codegen spans. Stream queries show the plan that folds "
           "their upsert log.\n")
+    table(spark, queries(), sf_dir)
+
+
+def table(spark, queries, sf_dir) -> None:
     print("| Query | Shuffles | Broadcasts | Operators | Codegen spans | Pushed filters |")
     print("| --- | --- | --- | --- | --- | --- |")
-    for name in sorted(queries()):
-        df = queries()[name](spark, sf_dir)
+    for name in sorted(queries):
+        df = queries[name](spark, sf_dir)
         s = summarise(final_plan(df))
         ops = ", ".join(f"{k}×{v}" for k, v in sorted(s["ops"].items()))
         pushed = "; ".join(s["pushed"])[:160]
