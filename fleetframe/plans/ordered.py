@@ -104,3 +104,35 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             prefix + c,
             F.when(F.col("_ff_has").isNotNull(), F.col("_ff_n_" + c)).otherwise(F.col("_ff_nb")[c]))
     return joined.drop(_BK, "_ff_has", "_ff_is_first", "_ff_nb", *["_ff_n_" + c for c in cols])
+
+
+def adaptive_bucket(df: DataFrame, keys: Sequence[str], value: str | Column, coarse: Column,
+                    max_rows: int = 1 << 20, out: str = "_ff_abk") -> DataFrame:
+    """Add column ``out``, a bucket for the helpers above that holds at most
+    about ``max_rows`` rows per (key, bucket), however the rows are skewed.
+
+    ``coarse`` is a bucket non-decreasing in ``value`` (e.g. the day).
+    Rows are counted per (key, coarse bucket) with a partial aggregate;
+    groups over ``max_rows`` are cut at approximate quantiles of
+    ``value`` (numeric; a sketch aggregate, merged map-side), and the fine
+    index is the number of cut points at or below the row's value.  The
+    result ``struct(coarse, fine)`` is non-decreasing in ``value``, so
+    results stay exact; the approximation only affects balance.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    d = df.withColumn("_ff_c", coarse).withColumn("_ff_val", v)
+    counts = d.groupBy(*keys, "_ff_c").agg(F.count(F.lit(1)).alias("_ff_n"))
+    hot = counts.where(F.col("_ff_n") > max_rows)
+    # The number of cuts is fixed by the hottest group: a small scalar.
+    top = hot.select(F.max("_ff_n")).first()[0]
+    if not top:
+        return d.withColumn(out, F.struct(F.col("_ff_c").alias("c"), F.lit(0).alias("f"))).drop("_ff_c", "_ff_val")
+    k = -(-int(top) // max_rows)
+    fractions = [i / k for i in range(1, k)]
+    hot_keys = hot.select(join_key(keys, "_ff_c").alias(_JK))
+    cuts = (d.withColumn(_JK, join_key(keys, "_ff_c")).join(hot_keys, _JK, "left_semi")
+            .groupBy(_JK).agg(F.percentile_approx("_ff_val", fractions, 10000).alias("_ff_cuts")))
+    j = d.withColumn(_JK, join_key(keys, "_ff_c")).join(cuts, _JK, "left")
+    fine = F.coalesce(F.size(F.filter(F.col("_ff_cuts"), lambda c: c <= F.col("_ff_val"))), F.lit(0))
+    return (j.withColumn(out, F.struct(F.col("_ff_c").alias("c"), fine.alias("f")))
+            .drop(_JK, "_ff_cuts", "_ff_c", "_ff_val"))

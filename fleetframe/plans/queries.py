@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions import text
 from fleetframe.operators import inventory, keyed, lifecycle, nested, quality, sequences
-from fleetframe.plans import derived
+from fleetframe.plans import derived, ordered
 from fleetframe.sources import logs
 from fleetframe.sources.tables import Tables
 from fleetframe.streaming import stateful as streaming
@@ -302,12 +302,22 @@ def _day(ts: str = "ts"):
     return F.date_trunc("day", F.col(ts))
 
 
+# Most rows one (user, bucket) may hold before it is cut at quantiles of time.
+BUCKET_ROWS = 1 << 20
+
+
+def _user_buckets(ev: DataFrame) -> DataFrame:
+    """Day buckets per user, cut further where a user-day is hot."""
+    return ordered.adaptive_bucket(ev, ["user_id"], streaming.epoch_micros(ev, "ts"), _day(),
+                                   max_rows=BUCKET_ROWS, out="bucket")
+
+
 @query
 def delimiter_runs(spark: SparkSession, base: str) -> DataFrame:
     """G1: each user's events split at ``error`` events into runs."""
-    ev = Tables(spark, base).events.select("user_id", "ts", "event_id", "event_type")
+    ev = _user_buckets(Tables(spark, base).events.select("user_id", "ts", "event_id", "event_type"))
     return sequences.split_runs(ev, ["user_id"], ["ts", "event_id"], "event_type", "error",
-                                id_col="event_id", ts_col="ts", bucket=_day())
+                                id_col="event_id", ts_col="ts", bucket=F.col("bucket")).drop("bucket")
 
 
 TURN_BLOCK = 1024
@@ -376,8 +386,8 @@ def latest_state(spark: SparkSession, base: str) -> DataFrame:
 @query
 def phase_durations(spark: SparkSession, base: str) -> DataFrame:
     """T4: time from each event to the user's next one."""
-    out = lifecycle.phase_durations(_events(Tables(spark, base)), "user_id", "ts", "event_id",
-                                    bucket=_day())
+    out = lifecycle.phase_durations(_user_buckets(_events(Tables(spark, base))), "user_id", "ts", "event_id",
+                                    bucket=F.col("bucket"))
     return out.select("user_id", "event_id", "event_type", "ts", "next_ts", "duration_us")
 
 
