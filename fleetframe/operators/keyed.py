@@ -45,14 +45,18 @@ def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "
     host -> ``multiple_sources``; no host at all -> ``no_host``; a target
     host and a source host -> ``host_to_host``; else ``ok`` with ``host``
     the one remote end.  A request needs a target row and at least one
-    source row (inner join).  With ``known`` (the cluster's host names),
-    a request naming any other host is ``unknown_host`` first, as the
-    reference rejects each path's host before comparing them.  ``count(DISTINCT host)`` skips nulls and plans as
-    a partial aggregate on (key, host) followed by one shuffle on key.
+    source row (inner join).  With ``known`` (the cluster's host names), a
+    request naming any other host is ``unknown_host`` first, as the
+    reference rejects each path's host before comparing them.
     """
-    src = (sources.groupBy(F.col(key).alias("_ff_k"))
-           .agg(F.count_distinct(F.col(host)).alias("n_source_hosts"),
-                F.min(F.col(host)).alias("_ff_src")))
+    # Distinct (request, host) pairs first (a keys-only hash aggregate,
+    # deduplicated map-side), then count and pick per request over the
+    # deduplicated pairs only.
+    # A local source keeps its request through a null host, which count()
+    # and min() skip.
+    pairs = sources.select(F.col(key).alias("_ff_k"), F.col(host).alias("_ff_h")).distinct()
+    src = pairs.groupBy("_ff_k").agg(F.count("_ff_h").alias("n_source_hosts"),
+                                     F.min("_ff_h").alias("_ff_src"))
     tgt = targets.select(F.col(key), F.col(host).alias("target_host"))
     j = tgt.join(src, tgt[key] == src["_ff_k"]).drop("_ff_k")
     n = F.coalesce(F.col("n_source_hosts"), F.lit(0).cast("bigint"))
