@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetframe.session import checkpoint_dir, is_local
+
 _BK = "_ff_bucket"
 
 
@@ -58,17 +60,18 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     b = df.withColumn(_BK, bucket).withColumn("_ff_v", F.coalesce(val, F.lit(0)))
     b = b.withColumn(_JK, join_key(keys))
     w_local = Window.partitionBy(_JK).orderBy(*order)
-    local = (b.withColumn("_ff_ls", F.sum("_ff_v").over(w_local.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("_ff_last", F.lead(F.lit(True)).over(w_local).isNull()))
-    # Bucket totals are the running sums on each bucket's last row: taken
-    # from the same window pass, no second scan of the input.
-    totals = local.where("_ff_last").select(*keys, _BK, F.col("_ff_ls").alias("_ff_bs"))
+    local = b.withColumn("_ff_ls", F.sum("_ff_v").over(w_local.rowsBetween(Window.unboundedPreceding, 0)))
+    # Bucket totals from the input with a partial hash aggregate (one row
+    # per map task and bucket crosses the shuffle), not from the window
+    # output, which would sort and window the data a second time.
+    totals = b.groupBy(_JK).agg(F.sum("_ff_v").alias("_ff_bs")).select(
+        *[F.col(_JK)[k].alias(k) for k in keys], F.col(_JK)[_BK].alias(_BK), "_ff_bs")
     w_small = Window.partitionBy(*keys).orderBy(_BK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, _BK, F.coalesce(F.sum("_ff_bs").over(w_small), F.lit(0)).alias("_ff_off"))
     joined = _join_small(local, offsets, keys)
     own = F.lit(0) if inclusive else F.col("_ff_v")
     return (joined.withColumn(out, F.col("_ff_ls") - own + F.col("_ff_off"))
-            .drop(_BK, "_ff_v", "_ff_ls", "_ff_off", "_ff_last"))
+            .drop(_BK, "_ff_v", "_ff_ls", "_ff_off"))
 
 
 def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
@@ -93,9 +96,14 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     local = b.select("*", F.lead(F.lit(True)).over(w_local).alias("_ff_has"),
                      F.lag(F.lit(True)).over(w_local).isNull().alias("_ff_is_first"),
                      *[F.lead(c).over(w_local).alias("_ff_n_" + c) for c in cols])
-    # Each bucket's first row comes from the same window pass (the shuffle
-    # is reused), not from a second scan and aggregate.
-    firsts = local.where("_ff_is_first").select(*keys, _BK, F.struct(*cols).alias("_ff_first"))
+    if list(cols) == [order[0]]:
+        # Only the leading order column is carried: a bucket's first value
+        # is its minimum, a partial hash aggregate on the input.
+        firsts = b.groupBy(_JK).agg(F.struct(F.min(order[0]).alias(order[0])).alias("_ff_first"))
+    else:
+        # Otherwise the bucket's first row is taken from the window output.
+        firsts = local.where("_ff_is_first").select(_JK, F.struct(*cols).alias("_ff_first"))
+    firsts = firsts.select(*[F.col(_JK)[k].alias(k) for k in keys], F.col(_JK)[_BK].alias(_BK), "_ff_first")
     w_small = Window.partitionBy(*keys).orderBy(_BK)
     following = firsts.select(*keys, _BK, F.lead("_ff_first").over(w_small).alias("_ff_nb"))
     joined = _join_small(local, following, keys)
@@ -106,6 +114,15 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.drop(_BK, "_ff_has", "_ff_is_first", "_ff_nb", *["_ff_n_" + c for c in cols])
 
 
+BROADCAST_VALUES = 1 << 20
+
+
+def _small(df: DataFrame, counted_values: int) -> DataFrame:
+    """Broadcast ``df`` when its counted size (rows times values per row,
+    measured by a job, not estimated) is under ``BROADCAST_VALUES``."""
+    return F.broadcast(df) if counted_values <= BROADCAST_VALUES else df
+
+
 def adaptive_bucket(df: DataFrame, keys: Sequence[str], value: str | Column, coarse: Column,
                     max_rows: int = 1 << 20, out: str = "_ff_abk") -> DataFrame:
     """Add column ``out``, a bucket for the helpers above that holds at most
@@ -123,16 +140,23 @@ def adaptive_bucket(df: DataFrame, keys: Sequence[str], value: str | Column, coa
     d = df.withColumn("_ff_c", coarse).withColumn("_ff_val", v)
     counts = d.groupBy(*keys, "_ff_c").agg(F.count(F.lit(1)).alias("_ff_n"))
     hot = counts.where(F.col("_ff_n") > max_rows)
-    # The number of cuts is fixed by the hottest group: a small scalar.
-    top = hot.select(F.max("_ff_n")).first()[0]
-    if not top:
+    # How many groups are hot and how hot the hottest is: one small row.
+    n_hot, top = hot.agg(F.count(F.lit(1)), F.max("_ff_n")).first()
+    if not n_hot:
         return d.withColumn(out, F.struct(F.col("_ff_c").alias("c"), F.lit(0).alias("f"))).drop("_ff_c", "_ff_val")
     k = -(-int(top) // max_rows)
     fractions = [i / k for i in range(1, k)]
     hot_keys = hot.select(join_key(keys, "_ff_c").alias(_JK))
-    cuts = (d.withColumn(_JK, join_key(keys, "_ff_c")).join(hot_keys, _JK, "left_semi")
+    cuts = (d.withColumn(_JK, join_key(keys, "_ff_c")).join(_small(hot_keys, n_hot), _JK, "left_semi")
             .groupBy(_JK).agg(F.percentile_approx("_ff_val", fractions, 10000).alias("_ff_cuts")))
-    j = d.withColumn(_JK, join_key(keys, "_ff_c")).join(cuts, _JK, "left")
+    # Materialise the small cut table once in the shared checkpoint folder
+    # (reliable, lineage cut), so no branch of the caller's plan recomputes
+    # the counts or the quantiles.
+    checkpoint_dir(cuts.sparkSession, local_fallback=is_local(cuts.sparkSession))
+    cuts = cuts.checkpoint(eager=True)
+    # The cut table has exactly n_hot rows of k - 1 values: broadcast it
+    # when that counted size is small, else join by shuffle.
+    j = d.withColumn(_JK, join_key(keys, "_ff_c")).join(_small(cuts, n_hot * k), _JK, "left")
     fine = F.coalesce(F.size(F.filter(F.col("_ff_cuts"), lambda c: c <= F.col("_ff_val"))), F.lit(0))
     return (j.withColumn(out, F.struct(F.col("_ff_c").alias("c"), fine.alias("f")))
             .drop(_JK, "_ff_cuts", "_ff_c", "_ff_val"))

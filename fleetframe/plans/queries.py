@@ -308,7 +308,9 @@ BUCKET_ROWS = 1 << 20
 
 def _user_buckets(ev: DataFrame) -> DataFrame:
     """Day buckets per user, cut further where a user-day is hot."""
-    return ordered.adaptive_bucket(ev, ["user_id"], streaming.epoch_micros(ev, "ts"), _day(),
+    # Any value non-decreasing in the order will do for the cuts; the
+    # instant of the wall-clock time is, in every session zone.
+    return ordered.adaptive_bucket(ev, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), _day(),
                                    max_rows=BUCKET_ROWS, out="bucket")
 
 
