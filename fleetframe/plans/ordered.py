@@ -8,13 +8,16 @@ order (for example the day of a timestamp, or ``pos div 65536``):
 1. the per-row window runs within ``(key, bucket)``, so a hot key is
    spread over as many tasks as it has buckets;
 2. a small table with one row per ``(key, bucket)`` carries what crosses
-   bucket borders (running offsets, the first row of the next bucket);
-3. the two are joined on ``(key, bucket)``; the large side is already
-   hash-partitioned on those columns by step 1, so only the small table
-   moves.
-
-With ``bucket=None`` the helpers fall back to the plain window, which is
-right when entities are bounded (a command's stages, a conversation).
+   bucket borders (running offsets, the first value of the next bucket),
+   built with partial aggregates on the input where it can be;
+3. the two are joined on ``struct(key, bucket)``, the same column the
+   window is partitioned by, so the large side is not shuffled again and
+   only the small table moves.
+
+``adaptive_bucket`` derives a bucket that holds a bounded number of rows
+however skewed the data is.  With ``bucket=None`` the helpers fall back
+to the plain window, which is right when entities are bounded (a
+command's stages, a conversation).
 """
 
 from __future__ import annotations
