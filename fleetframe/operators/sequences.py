@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions.text import node_name, zero_pad
 from fleetframe.plans import ordered
+from fleetframe.session import checkpoint_dir, is_local
 
 # The reference's node addressing and firewall rules.
 PRIVATE_NET = "10.0.1."
@@ -80,15 +81,38 @@ def split_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
                bucket: Column | None = None) -> DataFrame:
     """G1: one row per non-empty run between delimiters, numbered 0, 1, ...
     per key in sequence order (``run_no``), with its size and first/last
-    element.  Runs are reduced with partial aggregates, so a long run is
-    never gathered in one task."""
-    labelled = label_runs(df, keys, order, token, delimiter, bucket)
+    element.
+
+    A row's run id is the running count of delimiters up to it (one
+    bucketed window pass); non-delimiter rows are reduced per (key, run id)
+    with partial aggregates, so a long run is never gathered in one task;
+    and the dense numbering runs over the much smaller run table, bucketed
+    by each run's first bucket.
+    """
+    flagged = df.withColumn("_ff_d", (F.col(token) == F.lit(delimiter)).cast("bigint"))
+    if bucket is not None:
+        flagged = flagged.withColumn("_ff_rb", bucket)
+    counted = ordered.running_sum(flagged, keys, order, "_ff_d", "_ff_rid",
+                                  bucket=None if bucket is None else F.col("_ff_rb"))
+    rows = counted.where(F.col("_ff_d") == 0)
     aggs = [F.count(F.lit(1)).alias("n_items"),
             F.min_by(F.col(id_col), F.struct(*order)).alias(f"first_{id_col}"),
             F.max_by(F.col(id_col), F.struct(*order)).alias(f"last_{id_col}")]
     if ts_col:
         aggs += [F.min(ts_col).alias(f"first_{ts_col}"), F.max(ts_col).alias(f"last_{ts_col}")]
-    return labelled.groupBy(*keys, "run_no").agg(*aggs)
+    if bucket is not None:
+        aggs.append(F.min("_ff_rb").alias("_ff_rb"))
+    runs = rows.groupBy(*keys, "_ff_rid").agg(*aggs)
+    if bucket is not None:
+        # The bucketed numbering reads the run table twice (row-level window
+        # and per-bucket totals); write it once to the shared checkpoint
+        # folder so neither read recomputes the pipeline above.
+        checkpoint_dir(runs.sparkSession, local_fallback=is_local(runs.sparkSession))
+        runs = runs.checkpoint(eager=True)
+    numbered = ordered.row_number(runs, keys, ["_ff_rid"], "run_no",
+                                  bucket=None if bucket is None else F.col("_ff_rb"))
+    out = numbered.withColumn("run_no", F.col("run_no") - 1).drop("_ff_rid")
+    return out.drop("_ff_rb") if bucket is not None else out
 
 
 def concat_ordered(left: DataFrame, right: DataFrame, keys: Sequence[str],
