@@ -97,15 +97,16 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     b = b.withColumn(_JK, join_key(keys))
     w_local = Window.partitionBy(_JK).orderBy(*order)
     local = b.select("*", F.lead(F.lit(True)).over(w_local).alias("_ff_has"),
-                     F.lag(F.lit(True)).over(w_local).isNull().alias("_ff_is_first"),
                      *[F.lead(c).over(w_local).alias("_ff_n_" + c) for c in cols])
     if list(cols) == [order[0]]:
         # Only the leading order column is carried: a bucket's first value
         # is its minimum, a partial hash aggregate on the input.
         firsts = b.groupBy(_JK).agg(F.struct(F.min(order[0]).alias(order[0])).alias("_ff_first"))
     else:
-        # Otherwise the bucket's first row is taken from the window output.
-        firsts = local.where("_ff_is_first").select(_JK, F.struct(*cols).alias("_ff_first"))
+        # Otherwise a partial min_by on the input: sorted map-side, one row
+        # per map task and bucket crosses the shuffle (deriving it from the
+        # window output would shuffle and sort the data a second time).
+        firsts = b.groupBy(_JK).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_ff_first"))
     firsts = firsts.select(*[F.col(_JK)[k].alias(k) for k in keys], F.col(_JK)[_BK].alias(_BK), "_ff_first")
     w_small = Window.partitionBy(*keys).orderBy(_BK)
     following = firsts.select(*keys, _BK, F.lead("_ff_first").over(w_small).alias("_ff_nb"))
@@ -114,7 +115,7 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         joined = joined.withColumn(
             prefix + c,
             F.when(F.col("_ff_has").isNotNull(), F.col("_ff_n_" + c)).otherwise(F.col("_ff_nb")[c]))
-    return joined.drop(_BK, "_ff_has", "_ff_is_first", "_ff_nb", *["_ff_n_" + c for c in cols])
+    return joined.drop(_BK, "_ff_has", "_ff_nb", *["_ff_n_" + c for c in cols])
 
 
 BROADCAST_VALUES = 1 << 20
