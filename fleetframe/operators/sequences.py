@@ -3,7 +3,7 @@ stage outcomes (G1-G5, A2-A4, O2)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,16 +129,22 @@ def concat_ordered(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def render_stages(df: DataFrame, keys: Sequence[str], stage: str, token: str,
-                  sep: str = " | ", chunk: int | None = None, code: str | None = None) -> DataFrame:
+                  sep: str = " | ", chunk: int | None = None, code: str | None = None,
+                  collect: Mapping[str, tuple[str | Column, str]] | None = None) -> DataFrame:
     """The stages of each key joined by ``sep`` in stage
     order, with the stage count (and the exit codes, ``null`` for a
     running stage, when ``code`` is given).
 
+    ``collect`` maps an output column to (value, separator): each value
+    (e.g. a stage's decoded stdout, see :func:`fleetframe.functions.text.decode_safe`)
+    is joined in stage order, as the reference gathers outputs and errors.
+
     ``chunk`` bounds each output row: stages are grouped in blocks of
     ``chunk`` consecutive stage numbers (``chunk_no``), so a key with very
     many stages yields several rows, each gathered from at most ``chunk``
     stages; their concatenation in ``chunk_no`` order is the whole text.
     """
+    collect = dict(collect or {})
     group = list(keys)
     src = df
     if chunk:
@@ -147,15 +153,24 @@ def render_stages(df: DataFrame, keys: Sequence[str], stage: str, token: str,
     fields = [F.col(stage).alias("s"), F.col(token).alias("t")]
     if code:
         fields.append(F.col(code).alias("c"))
+    for i, (value, _) in enumerate(collect.values()):
+        fields.append((F.col(value) if isinstance(value, str) else value).alias(f"v{i}"))
     items = F.array_sort(F.collect_list(F.struct(*fields)))
     aggs = [F.count(F.lit(1)).alias("n_stages"),
             F.array_join(F.transform(items, lambda x: x["t"]), sep).alias("rendered")]
     if code:
         aggs.append(F.array_join(
             F.transform(items, lambda x: F.coalesce(x["c"].cast("string"), F.lit("null"))), ",").alias("codes"))
+    for i, (name, (_, joiner)) in enumerate(collect.items()):
+        aggs.append(F.array_join(F.transform(items, _field_or_empty(f"v{i}")), joiner).alias(name))
     return src.groupBy(*group).agg(*aggs)
 
 
+def _field_or_empty(field: str):
+    # A one-argument lambda: PySpark reads a second argument as the index.
+    return lambda x: F.coalesce(x[field], F.lit(""))
+
+
 def stage_outcome(df: DataFrame, keys: Sequence[str], stage: str, code: str) -> DataFrame:
     """A2 + A3: per command, ``failed`` (some stage exited non-zero),
     ``running`` (some stage has no exit code yet), the stage count and the

@@ -172,7 +172,7 @@ GROUP BY n_nationkey, n_name
 
 _STAGES = """
 WITH st AS (
-  SELECT conv_id, turn, role,
+  SELECT conv_id, turn, role, text,
          CASE WHEN role = 'system' THEN NULL
               WHEN role = 'assistant' AND length(text) > 1000 THEN 1 ELSE 0 END AS code
   FROM conversations)
@@ -190,7 +190,8 @@ FROM st GROUP BY conv_id
 ORACLE["stage_render"] = _STAGES + """
 SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS chunk_no, count(*) AS n_stages,
        string_agg(role, ' | ' ORDER BY turn) AS rendered,
-       string_agg(coalesce(CAST(code AS VARCHAR), 'null'), ',' ORDER BY turn) AS codes
+       string_agg(coalesce(CAST(code AS VARCHAR), 'null'), ',' ORDER BY turn) AS codes,
+       string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS outputs
 FROM st GROUP BY conv_id, CAST(floor(turn / 1000) AS BIGINT)
 """
 

@@ -217,7 +217,7 @@ def _stages(t: Tables) -> DataFrame:
     code = (F.when(F.col("role") == "system", F.lit(None).cast("int"))
             .when((F.col("role") == "assistant") & (F.length("text") > 1000), F.lit(1))
             .otherwise(F.lit(0)))
-    return t.conversations.select("conv_id", "turn", "role", code.alias("code"))
+    return t.conversations.select("conv_id", "turn", "role", "text", code.alias("code"))
 
 
 @query
@@ -231,9 +231,10 @@ STAGE_CHUNK = 1000
 
 @query
 def stage_render(spark: SparkSession, base: str) -> DataFrame:
-    """Stages joined by `` | `` and exit codes in stage order."""
+    """Stages joined by `` | ``, exit codes and outputs (the
+    whole turn texts) in stage order."""
     return sequences.render_stages(_stages(Tables(spark, base)), ["conv_id"], "turn", "role",
-                                   chunk=STAGE_CHUNK, code="code")
+                                   chunk=STAGE_CHUNK, code="code", collect={"outputs": ("text", "\n")})
 
 
 @query

@@ -110,3 +110,14 @@ def test_label_runs_one_row_per_bucket(spark):
     got = _runs_as_lists(spark, df, F.col("pos"))        # every row its own bucket
     for sid, toks in seqs.items():
         assert got.get(sid, []) == _reference_split(toks, "|")
+
+
+def test_render_collects_decoded_outputs(spark):
+    from fleetframe.functions.text import decode_safe
+    stages = fx.frames(spark)["stages"].withColumn("cmd", F.concat(F.lit("cmd"), F.col("stage").cast("string")))
+    out = {r["pipeline_id"]: r for r in sequences.render_stages(
+        stages, ["pipeline_id"], "stage", "cmd", code="code",
+        collect={"outputs": (decode_safe("out"), "\n"), "errors": (decode_safe("err"), "\n")}).collect()}
+    assert out[2]["outputs"] == "a\n\nc" and out[2]["errors"] == "\nboom\n"
+    assert out[3]["outputs"] == "a\n"                # null output of a running stage
+    assert out[4]["outputs"] == "0xC328"
