@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions.text import dashboard_url, name_suffix
 from fleetframe.operators.keyed import last_wins
+from fleetframe.plans.joins import broadcast_if_small
 
 # Name parts the reference gives cluster components.
 WORKER_MARKER = "-node-worker"
@@ -108,7 +109,9 @@ def lookup_names(requests: DataFrame, known: DataFrame, request_key: str, known_
     must be unique on its key (apply :func:`fleetframe.operators.keyed.last_wins`
     first, as the reference's dict build does)."""
     k = known.withColumn("_ff_hit", F.lit(True))
-    out = requests.join(k, requests[request_key] == k[known_key], "left")
+    # The known names (a cluster's hosts) are few by nature: broadcast them
+    # behind a counted bound, else a shuffle join.
+    out = requests.join(broadcast_if_small(k), requests[request_key] == k[known_key], "left")
     return out.withColumn("resolved", F.coalesce(F.col("_ff_hit"), F.lit(False))).drop("_ff_hit")
 
 
@@ -230,7 +233,8 @@ def access_report(workers: DataFrame, schedulers: DataFrame, cluster: str, node:
     sched = schedulers.select(F.col(cluster).alias("_ff_c"), F.col(node).alias("_ff_sn"),
                               F.col(ip).alias("scheduler_ip"), F.col(port).alias("_ff_port"))
     w = workers.select(F.col(cluster).alias("cluster"), F.col(node).alias("node"), F.col(ip).alias("ip"))
-    worker_rows = (w.join(sched, w["cluster"] == sched["_ff_c"])
+    # One scheduler per cluster: broadcast behind a counted bound.
+    worker_rows = (w.join(broadcast_if_small(sched), w["cluster"] == sched["_ff_c"])
                    .select("cluster", F.lit("worker").alias("role"), F.lit(0).alias("role_rank"),
                            "node", "ip", "scheduler_ip", F.col("_ff_port").alias("port")))
     sched_rows = schedulers.select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.plans import ordered
+from fleetframe.plans.joins import broadcast_if_small
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -31,7 +32,9 @@ def override_merge(base: DataFrame, overrides: DataFrame, key: str,
     the override is null.  ``False`` and ``0`` do override.  Every base row
     stays (left join); ``overrides`` must be unique on ``key``."""
     o = overrides.select(F.col(key).alias("_ff_ok"), *[F.col(f).alias(f"_ff_o_{f}") for f in fields])
-    joined = base.join(o, base[key] == o["_ff_ok"], "left")
+    # Overrides are few by nature: broadcast them behind a counted bound so
+    # the base table is never shuffled for them.
+    joined = base.join(broadcast_if_small(o), base[key] == o["_ff_ok"], "left")
     merged = joined.withColumns({f: F.coalesce(F.col(f"_ff_o_{f}"), F.col(f)) for f in fields})
     return merged.drop("_ff_ok", *[f"_ff_o_{f}" for f in fields])
 
@@ -65,7 +68,7 @@ def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "
         hosts = (sources.select(F.col(key).alias("_ff_k"), F.col(host).alias("_ff_h"))
                  .unionByName(targets.select(F.col(key).alias("_ff_k"), F.col(host).alias("_ff_h")))
                  .where(F.col("_ff_h").isNotNull()))
-        names = known.select(F.col(known_host).alias("_ff_kh")).distinct()
+        names = broadcast_if_small(known.select(F.col(known_host).alias("_ff_kh")).distinct())
         unknown = (hosts.join(names, hosts["_ff_h"] == names["_ff_kh"], "left_anti")
                    .groupBy("_ff_k").agg(F.min("_ff_h").alias("unknown_host")))
         j = j.join(unknown, j[key] == unknown["_ff_k"], "left").drop("_ff_k")

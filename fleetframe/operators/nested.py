@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetframe.functions.text import location_key
+from fleetframe.plans.joins import broadcast_if_small
 
 # Attributes the reference never publishes.
 API_EXCLUDE = ("from_dict", "id", "id_or_name")
@@ -152,9 +153,9 @@ def prices_all_locations(types: DataFrame, datacenters: DataFrame, datacenter_co
     data center's location; one row each, last price wins.
 
     The price array is de-duplicated inside the row, exploded, and
-    equi-joined with the data-center table on the location token.  Catalyst
-    broadcasts the data-center side when its statistics are under the
-    broadcast threshold; otherwise it is a sort-merge join on location.
+    equi-joined with the data-center table on the location token.  The
+    data-center side is broadcast when a bounded count shows it small;
+    otherwise it is a sort-merge join on location.
     """
     exploded = (types.withColumn("_ff_price", F.explode(dedupe_last(prices, key)))
                 .drop(prices)
@@ -162,7 +163,7 @@ def prices_all_locations(types: DataFrame, datacenters: DataFrame, datacenter_co
     dcs = (datacenters.select(F.col(datacenter_col).alias("datacenter"),
                               location_key(datacenter_col).alias("_ff_dc_loc"))
            .where(F.col("_ff_dc_loc").isNotNull()))
-    joined = exploded.join(dcs, exploded["_ff_loc"] == dcs["_ff_dc_loc"]).drop("_ff_loc", "_ff_dc_loc")
+    joined = exploded.join(broadcast_if_small(dcs), exploded["_ff_loc"] == dcs["_ff_dc_loc"]).drop("_ff_loc", "_ff_dc_loc")
     return _lift_price(joined, "_ff_price", key, groups)
 
 

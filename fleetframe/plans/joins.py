@@ -1,0 +1,25 @@
+"""Broadcast behind a measured size check.
+
+Catalyst broadcasts by its size estimate; a join of two small tables is
+estimated as the product of their sizes, so a genuinely tiny side can
+look large and the big side gets shuffled.  For join sides that are
+small by nature (overrides, data centers, schedulers), count them with a
+bounded job and broadcast only when the count is under the bound;
+otherwise leave the join to Catalyst and AQE.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Most rows a side may have to be broadcast by these helpers.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else
+    ``df``.  The check is ``limit(max_rows + 1).count()``: it never counts
+    past the bound, and never brings rows to the driver."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
