@@ -1,0 +1,28 @@
+from pyspark.sql import functions as F
+
+from fleetframe.plans.joins import broadcast_if_small
+from fleetframe.session import checkpoint_dir, is_local
+
+
+def test_checkpoint_dir_reads_the_session_setting(spark):
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert is_local(spark)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcast_only_under_the_counted_bound(spark):
+    saved = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"),
+             spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = spark.range(2000).withColumnRenamed("id", "k")
+        small = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+        assert "BroadcastExchange" in _plan(big.join(broadcast_if_small(small, max_rows=10), "k"))
+        assert "BroadcastExchange" not in _plan(big.join(broadcast_if_small(small, max_rows=9), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved[0])
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", saved[1])
