@@ -66,7 +66,8 @@ def run_timeout(df: DataFrame, key: str, ts: str, tie: str, start: Column, end:
     ends = (df.where(end).select(key, ts, tie)
             .join(starts, F.col(key) == F.col("_ff_k"))
             .where(order > F.struct(F.col("_ff_s")["ts"], F.col("_ff_s")["tie"]))
-            .groupBy("_ff_k").agg(F.min_by(F.col(ts), order).alias("end_ts")))
+            # The ts of the smallest (ts, tie) is min(ts): a hash aggregate.
+            .groupBy("_ff_k").agg(F.min(F.col(ts)).alias("end_ts")))
     asof = asof if asof is not None else df.select(F.max(ts)).scalar()
     j = starts.join(ends, "_ff_k", "left").select(
         F.col("_ff_k").alias(key), F.col("_ff_s")["ts"].alias("start_ts"), "end_ts")
