@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from fleetframe.session import checkpoint_dir, is_local
 
 _BK = "_ff_bucket"
-
-
 _JK = "_ff_jk"
 
 
