@@ -83,6 +83,9 @@ def prefix_matches(names: DataFrame, prefixes: DataFrame, name: str = "name",
     cuts = distinct.select("_ff_n", lengths.alias("_ff_lens")).select(
         "_ff_n", F.explode(F.filter(F.col("_ff_lens"), lambda k: k <= n)).alias("_ff_k"))
     cuts = cuts.select("_ff_n", F.expr("substring(_ff_n, 1, _ff_k)").alias("_ff_cut"))
+    # Prefix tables (cluster prefixes) are usually small next to the cuts:
+    # broadcast them behind a counted bound, else shuffle both sides.
+    pre = broadcast_if_small(pre)
     return (cuts.join(pre, cuts["_ff_cut"] == pre["_ff_p"])
             .select(F.col("_ff_p").alias(prefix_col), F.col("_ff_n").alias(name)))
 
