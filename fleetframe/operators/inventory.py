@@ -123,7 +123,7 @@ def unknown_names(requests: DataFrame, known: DataFrame, request_key: str, known
     request count.  Requests are counted first (map-side partial
     aggregate), so only one row per distinct name reaches the anti join."""
     counted = requests.groupBy(request_key).agg(F.count(F.lit(1)).alias("n_requests"))
-    keys = known.select(F.col(known_key).alias("_ff_known"))
+    keys = broadcast_if_small(known.select(F.col(known_key).alias("_ff_known")))
     return counted.join(keys, counted[request_key] == keys["_ff_known"], "left_anti")
 
 
