@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm import mixing, permindex, simhash, topk, urlfilter, warc
+from fleetframe.llm import mixing, permindex, pieces, pii, quality, simhash, topk, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,21 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permindex.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r.select("doc_id", "n_pieces", "round_trip", "pieces")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -41,13 +56,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_permutation_index": op4_permutation_index,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 _OP1 = r"""
