@@ -60,14 +60,16 @@ def append_columns(df: DataFrame, column: str, fields: Sequence[T.StructField],
     base = without(df, *[f.name for f in fields])
     at = base.columns.index(column)
     names = [*base.columns, *[f.name for f in fields]]
+    # mapInArrow can't read names with dots: columns go by their place meanwhile.
+    base = base.toDF(*[f"_ff_{i}" for i in range(len(base.columns))])
     schema = T.StructType([*base.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *compute(b.column(at))], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *compute(b.column(at))], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema).toDF(*names)
 
 
 def range_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
