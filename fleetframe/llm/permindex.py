@@ -24,8 +24,8 @@ from fleetframe.llm.blocks import best, is_query, pack, search, slots, usable
 from fleetframe.llm.common import written
 
 PIVOTS = 256  # vectors sampled by a hash of their id; bounds what the driver holds
-NEAREST = 64  # length of a vector's list
-SHARE = 0.08  # of a block that is reranked
+NEAREST = 80  # length of a vector's list
+SHARE = 0.15  # of a block that is reranked
 LEAST = 200  # vectors of a block that are reranked at least
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024

@@ -1,0 +1,126 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from fleetframe.llm import pii, tagger
+from tests.llm.cases import ROWS, documents
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain(text):
+    """The rules as they are written."""
+    out = []
+    for kind, rule in RULES.items():
+        for m in re.finditer(rule, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                  "card": 16 <= len(d) <= 19 and pii.luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_rules(spark):
+    r = random.Random(3)
+    for _ in range(5000):
+        t = "".join(r.choice("a@.1 2-+(.59é") for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(t) == plain(t)
+    for t, _ in pii.examples(300, seed=5):
+        assert pii.base_spans(t) == plain(t)
+
+
+def test_long_runs_take_linear_time():
+    for t in ("a" * 500_000, "1" * 500_000, "1 " * 200_000, "@" * 200_000, "+1" + " " * 100_000, "a@" * 100_000, "1." * 100_000):
+        pii.base_spans(t)
+
+
+def test_luhn():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_tagger_finds_spans_it_has_not_seen():
+    cases = pii.examples(200, seed=77)
+    found = pii.tag(pii.trained(), [t for t, _ in cases])
+    right = sum(len(set(f) & set(s)) for f, (_, s) in zip(found, cases))
+    assert right >= 0.85 * sum(len(s) for _, s in cases) and right >= 0.85 * sum(map(len, found))
+
+
+def test_tagger_adds_what_the_rules_miss_and_keeps_the_base():
+    text = "call (030) 555-0199 now, write to joe@example.org, not version 1.2.30 of 2020-01-02"
+    base, every = pii.all_spans(pii.trained(), [text])[0]
+    assert base == plain(text) and set(base) <= set(every)
+    assert {k for k, _, _ in every} <= {"email", "phone"}
+
+
+def test_gradients_match_differences():
+    small = tagger.train(pii.examples(4), hidden=3, epochs=1, batch=4)
+    w = small.w = {k: x.astype(np.float64) for k, x in small.w.items()}
+    data = [(tagger.classes(t), tagger.tags_of(len(t), s)) for t, s in (("ab 1.2.3.4", [("ip", 3, 10)]), ("x@y.z", [("email", 0, 5)]))]
+    x, y = np.zeros((10, 2), np.int64), np.zeros((10, 2), np.int64)
+    for b, (c, t) in enumerate(data):
+        x[:len(c), b], y[:len(c), b] = c, t
+
+    def loss():
+        e, _, live, _, _ = small.emissions(x)
+        total = 0.0
+        for b in range(2):
+            n = int(live[:, b].sum())
+            f, path = e[0, b] + w["s"], e[0, b, y[0, b]] + w["s"][y[0, b]]
+            for k in range(1, n):
+                f = np.log(np.exp(f[:, None] + w["t"]).sum(axis=0)) + e[k, b]
+                path += w["t"][y[k - 1, b], y[k, b]] + e[k, b, y[k, b]]
+            total += np.log(np.exp(f).sum()) - path
+        return total / 2
+
+    g = small._gradients(x, y)
+    for name in w:
+        i = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        old, h = w[name][i], 1e-3
+        w[name][i] = old + h
+        up = loss()
+        w[name][i] = old - h
+        down = loss()
+        w[name][i] = old
+        assert abs((up - down) / (2 * h) - g[name][i]) < 0.02 * max(1e-2, abs(g[name][i])), name
+
+
+def test_windows_overlap_and_are_reconciled():
+    text = "x" * 30 + "1" * 400 + "y" * 30 + "a@b.c"
+    w = pii.windows(text)
+    assert all(b - a <= pii.WINDOW for a, b in w) and any(w[i][1] > w[i + 1][0] for i in range(len(w) - 1))
+    covered = set().union(*(range(a, b) for a, b in w))
+    assert all(i in covered for i, c in enumerate(text) if c in "1@")
+    tags = [np.full(b - a, 6) for a, b in w]
+    assert pii.reconciled(w, tags)[0][:2] == ("card", w[0][0])
+
+
+def test_spans_and_tags():
+    spans = [("ip", 0, 3), ("ip", 3, 5), ("phone", 6, 7)]
+    assert tagger.spans_of(tagger.tags_of(9, spans)) == spans
+
+
+def test_edge_rows(spark, edge_docs):
+    rows = pii.report(edge_docs).collect()
+    assert len(rows) == len(ROWS)
+    one = next(r for r in rows if r.doc_id == 10)
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 0, 0, 1) and one.spans == "email:9:24,phone:28:45"
+    empty = next(r for r in rows if r.doc_id == 4)
+    assert empty.base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" and empty.spans == ""
+    assert pii.report(documents(spark, [])).count() == 0
+
+
+def test_masking(spark, edge_docs):
+    out = pii.mask(edge_docs)
+    assert out.columns == edge_docs.columns and out.schema["n_chars"].dataType == edge_docs.schema["n_chars"].dataType
+    by = {r.doc_id: r for r in out.collect()}
+    assert by[10].text == "write to [EMAIL] or [PHONE]" and by[10].n_chars == len(by[10].text)
+    assert by[4].text is None and by[3].text == ""
+
+
+@pytest.mark.parametrize("spans,want", [([("ip", 0, 3)], "[IP]def"), ([("card", 1, 4), ("phone", 2, 6)], "a[CARD]"), ([], "abcdef")])
+def test_masked(spans, want):
+    assert pii.masked("abcdef", spans) == want

@@ -1,0 +1,52 @@
+"""run() against plain Python on a small corpus."""
+
+import math
+import re
+
+import numpy as np
+
+import corpus_pipeline
+from fleetframe.llm import labelled, pieces, pii, quality
+from tests.llm.cases import bag
+from tests.llm.test_mixing import brute as brute_mix
+from tests.llm.test_simhash import brute_groups, brute_print, signed
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline_matches_brute_force(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    import zlib
+    learnt = sorted((i, t, labels[i]) for i, t, _, _ in docs if i in labels and zlib.crc32(str(i).encode()) % 5)
+    assert len(learnt) <= labelled.TRAIN_ROWS
+    model = quality.fit_rows(np.array([quality.features(t) for _, t, _ in learnt]), np.array([y for *_, y in learnt]))
+    good = lambda t: 1 / (1 + math.exp(-(model.offset + np.dot(model.weights, quality.features(t))))) >= quality.CUT
+    docs = [d for d in docs if good(d[1])]
+    prints = [brute_print(d[1]) for d in docs]
+    group = brute_groups(prints)
+    first = {}
+    for d, p in zip(docs, prints):
+        k = (d[0], signed(p))
+        if group[p] not in first or k < first[group[p]][0]:
+            first[group[p]] = (k, d)
+    docs = [d for _, d in first.values()]
+    spans = pii.all_spans(pii.trained(), [d[1] for d in docs])
+    docs = [(i, pii.masked(t, s[1]), lang, src) for (i, t, lang, src), s in zip(docs, spans)]
+    taken = {r[0]: r for r in brute_mix(docs)}
+    v = pieces.load()
+    want = []
+    for i, t, lang, src in docs:
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        copies = taken[i][5] // size
+        want += [(i, t, lang, src, len(t), tuple(pieces.encoder(v)(t).tolist()))] * copies
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "pieces"]
+    assert bag((*r[:5], tuple(r.pieces)) for r in got.collect()) == bag(want)
+
+
+def test_stages_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0

@@ -1,0 +1,58 @@
+import re
+
+from pyspark.sql import functions as F
+
+from fleetframe.llm import urlfilter as U
+
+URLS = ["http://a.example.com/en/1", "https://WWW.Example.COM/en/x?q=/es/", "http://x.net/es/1", "http://net/fr/", "x.net/es/",
+        "http://example.com", "http://example.com/en", "http://notexample.com/en/1", "http://b.www.example.com/en/#a",
+        "http://spam-farm.example.org/a", "http://m.spam-farm.example.org", "http://a..com/x", "http://.com/y", None, "",
+        "://com/", "http://?x", "http://com#f", "ftp://u@com:80/p", "http://x.net/de/", "http://cheap-pills.example.net/fr/1",
+        "http://a://com/en/", "http://" + "a." * 3000 + "com/", "http://com/" + "x" * 20000, "http://\u00c9.COM/\n/en/"]
+
+
+def plain(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]) if m else ""
+    path = m[2] if m else ""
+    under = lambda h: host == h or host.endswith("." + h)
+    fit = [(len(h + p), len(h), h + p, a) for a, h, p in U.RULES if under(h) and path.startswith(p)]
+    rule = max(fit)[2:] if fit else (None, "block" if any(map(under, U.LISTED_HOSTS)) else "allow")
+    return host, path, rule[0], rule[1]
+
+
+def test_rules_match_plain_python(spark):
+    df = spark.createDataFrame([(i, u, "h", 1, "v") for i, u in enumerate(URLS + URLS[:3])],
+                               "page_id long, url string, host string, rule int, Verdict string")
+    out = U.judge(df).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in out] == [plain(u) for u in URLS + URLS[:3]]
+
+
+def test_empty_tables_and_lists(spark):
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert U.judge(empty).count() == 0
+    some = spark.createDataFrame([(1, "http://x.net/es/1")], "page_id long, url string")
+    r = U.judge(some, rules=(), listed_hosts=()).first()
+    assert (r.rule, r.verdict) == (None, "allow")
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
+    inside = spark.range(0, 5000, 13).select(F.concat(F.lit("k"), "id").alias("key"))
+    levels = U.build_cascade(inside, universe)
+    assert len(levels) >= 2
+    got = {r.key for r in universe.where(U.listed(F.col("key"), levels)).collect()}
+    assert got == {f"k{i}" for i in range(0, 4000, 13)}
+    assert 64 * sum(len(x.words) for x in levels) < 4000 * 2
+
+
+def test_cascade_of_everything(spark):
+    universe = spark.range(50).select(F.col("id").cast("string").alias("key"))
+    levels = U.build_cascade(universe, universe)
+    assert universe.where(U.listed(F.col("key"), levels)).count() == 50
+    assert U.build_cascade(universe.limit(0), universe) == []
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "http://x.net/es/1")], "page_id long, url string")
+    assert "Python" not in U.judge(df)._jdf.queryExecution().toString()
