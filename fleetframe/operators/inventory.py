@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions.text import dashboard_url, name_suffix
 from fleetframe.operators.keyed import last_wins
-from fleetframe.plans.joins import broadcast_if_small
 
 # Name parts the reference gives cluster components.
 WORKER_MARKER = "-node-worker"
@@ -83,9 +82,6 @@ def prefix_matches(names: DataFrame, prefixes: DataFrame, name: str = "name",
     cuts = distinct.select("_ff_n", lengths.alias("_ff_lens")).select(
         "_ff_n", F.explode(F.filter(F.col("_ff_lens"), lambda k: k <= n)).alias("_ff_k"))
     cuts = cuts.select("_ff_n", F.expr("substring(_ff_n, 1, _ff_k)").alias("_ff_cut"))
-    # Prefix tables (cluster prefixes) are usually small next to the cuts:
-    # broadcast them behind a counted bound, else shuffle both sides.
-    pre = broadcast_if_small(pre)
     return (cuts.join(pre, cuts["_ff_cut"] == pre["_ff_p"])
             .select(F.col("_ff_p").alias(prefix_col), F.col("_ff_n").alias(name)))
 
@@ -97,13 +93,19 @@ def names_with_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name",
 
 
 def admit_new(requests: DataFrame, existing: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """requests whose key does not exist yet (anti join)."""
-    return requests.join(existing, on, "left_anti")
+    """requests whose key does not exist yet (anti join with the distinct
+    keys, so a key that exists many times is one row on the right)."""
+    return requests.join(existing.select(*_names(on)).distinct(), on, "left_anti")
 
 
 def reject_existing(requests: DataFrame, existing: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """requests whose key already exists (semi join)."""
-    return requests.join(existing, on, "left_semi")
+    """requests whose key already exists (semi join with the distinct
+    keys)."""
+    return requests.join(existing.select(*_names(on)).distinct(), on, "left_semi")
+
+
+def _names(on: str | Sequence[str]) -> list[str]:
+    return [on] if isinstance(on, str) else list(on)
 
 
 def lookup_names(requests: DataFrame, known: DataFrame, request_key: str, known_key: str) -> DataFrame:
@@ -112,9 +114,7 @@ def lookup_names(requests: DataFrame, known: DataFrame, request_key: str, known_
     must be unique on its key (apply :func:`fleetframe.operators.keyed.last_wins`
     first, as the reference's dict build does)."""
     k = known.withColumn("_ff_hit", F.lit(True))
-    # The known names (a cluster's hosts) are few by nature: broadcast them
-    # behind a counted bound, else a shuffle join.
-    out = requests.join(broadcast_if_small(k), requests[request_key] == k[known_key], "left")
+    out = requests.join(k, requests[request_key] == k[known_key], "left")
     return out.withColumn("resolved", F.coalesce(F.col("_ff_hit"), F.lit(False))).drop("_ff_hit")
 
 
@@ -123,7 +123,7 @@ def unknown_names(requests: DataFrame, known: DataFrame, request_key: str, known
     request count.  Requests are counted first (map-side partial
     aggregate), so only one row per distinct name reaches the anti join."""
     counted = requests.groupBy(request_key).agg(F.count(F.lit(1)).alias("n_requests"))
-    keys = broadcast_if_small(known.select(F.col(known_key).alias("_ff_known")))
+    keys = known.select(F.col(known_key).alias("_ff_known")).distinct()
     return counted.join(keys, counted[request_key] == keys["_ff_known"], "left_anti")
 
 
@@ -236,8 +236,7 @@ def access_report(workers: DataFrame, schedulers: DataFrame, cluster: str, node:
     sched = schedulers.select(F.col(cluster).alias("_ff_c"), F.col(node).alias("_ff_sn"),
                               F.col(ip).alias("scheduler_ip"), F.col(port).alias("_ff_port"))
     w = workers.select(F.col(cluster).alias("cluster"), F.col(node).alias("node"), F.col(ip).alias("ip"))
-    # One scheduler per cluster: broadcast behind a counted bound.
-    worker_rows = (w.join(broadcast_if_small(sched), w["cluster"] == sched["_ff_c"])
+    worker_rows = (w.join(sched, w["cluster"] == sched["_ff_c"])
                    .select("cluster", F.lit("worker").alias("role"), F.lit(0).alias("role_rank"),
                            "node", "ip", "scheduler_ip", F.col("_ff_port").alias("port")))
     sched_rows = schedulers.select(
@@ -256,7 +255,8 @@ def cluster_status(clusters: DataFrame, servers: DataFrame, firewalls: DataFrame
     ``name.startswith(p) and "-node-worker" in name`` (no separator, so
     ``cluster`` also sees ``cluster2``'s workers; :func:`prefix_collisions`
     reports such pairs).  Status = first missing of scheduler, worker,
-    firewall, network, else ``complete``; ``n_workers`` counts matches.
+    firewall, network, else ``complete`` (the reference asks for workers
+    last, by a plain assert); ``n_workers`` counts matches.
     """
     p = clusters.select(F.col(prefix).alias("prefix")).distinct()
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.plans import ordered
-from fleetframe.plans.joins import broadcast_if_small
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -32,9 +31,7 @@ def override_merge(base: DataFrame, overrides: DataFrame, key: str,
     the override is null.  ``False`` and ``0`` do override.  Every base row
     stays (left join); ``overrides`` must be unique on ``key``."""
     o = overrides.select(F.col(key).alias("_ff_ok"), *[F.col(f).alias(f"_ff_o_{f}") for f in fields])
-    # Overrides are few by nature: broadcast them behind a counted bound so
-    # the base table is never shuffled for them.
-    joined = base.join(broadcast_if_small(o), base[key] == o["_ff_ok"], "left")
+    joined = base.join(o, base[key] == o["_ff_ok"], "left")
     merged = joined.withColumns({f: F.coalesce(F.col(f"_ff_o_{f}"), F.col(f)) for f in fields})
     return merged.drop("_ff_ok", *[f"_ff_o_{f}" for f in fields])
 
@@ -47,8 +44,8 @@ def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "
     Checks run in the reference's order: more than one distinct source
     host -> ``multiple_sources``; no host at all -> ``no_host``; a target
     host and a source host -> ``host_to_host``; else ``ok`` with ``host``
-    the one remote end.  A request needs a target row and at least one
-    source row (inner join).  With ``known`` (the cluster's host names), a
+    the one remote end.  A request needs a target row; one without any
+    source row counts no source host (left join).  With ``known`` (the cluster's host names), a
     request naming any other host is ``unknown_host`` first, as the
     reference rejects each path's host before comparing them.
     """
@@ -61,14 +58,14 @@ def copy_verdict(sources: DataFrame, targets: DataFrame, key: str, host: str = "
     src = pairs.groupBy("_ff_k").agg(F.count("_ff_h").alias("n_source_hosts"),
                                      F.min("_ff_h").alias("_ff_src"))
     tgt = targets.select(F.col(key), F.col(host).alias("target_host"))
-    j = tgt.join(src, tgt[key] == src["_ff_k"]).drop("_ff_k")
+    j = tgt.join(src, tgt[key] == src["_ff_k"], "left").drop("_ff_k")
     n = F.coalesce(F.col("n_source_hosts"), F.lit(0).cast("bigint"))
     t = F.col("target_host")
     if known is not None:
         hosts = (sources.select(F.col(key).alias("_ff_k"), F.col(host).alias("_ff_h"))
                  .unionByName(targets.select(F.col(key).alias("_ff_k"), F.col(host).alias("_ff_h")))
                  .where(F.col("_ff_h").isNotNull()))
-        names = broadcast_if_small(known.select(F.col(known_host).alias("_ff_kh")).distinct())
+        names = known.select(F.col(known_host).alias("_ff_kh")).distinct()
         unknown = (hosts.join(names, hosts["_ff_h"] == names["_ff_kh"], "left_anti")
                    .groupBy("_ff_k").agg(F.min("_ff_h").alias("unknown_host")))
         j = j.join(unknown, j[key] == unknown["_ff_k"], "left").drop("_ff_k")

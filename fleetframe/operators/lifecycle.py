@@ -2,8 +2,8 @@
 
 The reference answers these for one node inside a polling loop; here
 each is a table operator over many entities.  The streaming versions are
-in :mod:`fleetframe.streaming.stateful`; these batch forms are their
-oracle.
+in :mod:`fleetframe.streaming.stateful`; both reduce the rows per entity and
+time bucket first and share what follows.
 """
 
 from __future__ import annotations
@@ -25,31 +25,107 @@ def micros_between(start: str | Column, end: str | Column) -> Column:
                             end if isinstance(end, Column) else F.col(end))
 
 
-def first_success(df: DataFrame, key: str, ts: str, tie: str, success: Column) -> DataFrame:
+def day_bucket(ts: str) -> Column:
+    """The day of a timestamp: a bucket that does not fall as time goes on."""
+    return F.date_trunc("day", F.col(ts))
+
+
+def _by_bucket(key: str, b: Column) -> Column:
+    """One join column for (key, bucket); struct fields compare null-safe."""
+    return F.struct(F.col(key).alias("k"), b.alias("b"))
+
+
+def success_aggregates(ts: str, tie: str, success: Column) -> list[Column]:
+    """What T1 needs of each (key, bucket): its number of attempts, the time
+    of the first and the last, and the first success."""
+    return [F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
+            F.min(F.when(success, F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")))).alias("hit")]
+
+
+def first_success_from(buckets: DataFrame, rows: DataFrame, key: str, ts: str, tie: str, b: str,
+                       bucket: Column) -> DataFrame:
+    """T1 from ``buckets`` (:func:`success_aggregates` by key and ``b``) and
+    the single ``rows``.
+
+    Buckets before the one that holds the first success count whole; only
+    the rows of that deciding bucket are compared one by one.  They meet the
+    success on (key, bucket), so a hot key's rows are spread by bucket, and
+    the counts are partial aggregates.
+    """
+    per_key = buckets.groupBy(key).agg(F.min("first_ts").alias("first_ts"), F.min("hit").alias("hit"),
+                                       F.min(F.when(F.col("hit").isNotNull(), F.col(b))).alias("at"),
+                                       F.sum("n").alias("total"))
+    hits = per_key.where(F.col("hit").isNotNull())
+    own = F.struct(F.col(key).alias("k"))
+    earlier = (buckets.select(own.alias("_ff_k"), F.col(b).alias("_ff_b"), "n")
+               .join(hits.select(own.alias("_ff_k"), "at"), "_ff_k").where(F.col("_ff_b") < F.col("at"))
+               .select("_ff_k", "n"))
+    inside = (rows.select(_by_bucket(key, bucket).alias("_ff_kb"), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("row"))
+              .join(hits.select(_by_bucket(key, F.col("at")).alias("_ff_kb"), "hit"), "_ff_kb")
+              .where(F.col("row") < F.col("hit"))
+              .select(F.struct(F.col("_ff_kb")["k"].alias("k")).alias("_ff_k"), F.lit(1).cast("bigint").alias("n")))
+    before = earlier.unionByName(inside).groupBy("_ff_k").agg(F.sum("n").alias("before"))
+    out = per_key.withColumn("_ff_k", own).join(before, "_ff_k", "left")
+    attempts = F.when(F.col("hit").isNull(), F.col("total")).otherwise(F.coalesce("before", F.lit(0)))
+    return out.select(key, "first_ts", F.col("hit")["ts"].alias("success_ts"), F.col("hit")["tie"].alias(f"success_{tie}"),
+                      attempts.cast("bigint").alias("attempts_before"),
+                      micros_between(F.col("first_ts"), F.col("hit")["ts"]).alias("wait_us"))
+
+
+def first_success(df: DataFrame, key: str, ts: str, tie: str, success: Column,
+                  bucket: Column | None = None) -> DataFrame:
     """Per entity, its first successful attempt and what came before.
 
     Output: ``first_ts`` (first attempt), ``success_ts`` / ``success_<tie>``
     (null while it never succeeded; the reference waits forever),
     ``attempts_before`` (attempts ordered before the success, or all of
-    them), ``wait_us``.  Two partial-aggregate passes: the first success
-    per key, then a count of earlier attempts after joining it back.
+    them), ``wait_us``.  ``bucket`` must not fall as ``ts`` grows (default:
+    its day); see :func:`first_success_from`.
     """
-    firsts = (df.where(success).groupBy(F.col(key).alias("_ff_k"))
-              .agg(F.min_by(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")),
-                            F.struct(F.col(ts), F.col(tie))).alias("_ff_s")))
-    j = df.select(key, ts, tie).join(firsts, F.col(key) == F.col("_ff_k"), "left")
-    before = (F.col("_ff_s").isNull()
-              | (F.struct(F.col(ts), F.col(tie)) < F.struct(F.col("_ff_s")["ts"], F.col("_ff_s")["tie"])))
-    out = j.groupBy(key).agg(
-        F.min(ts).alias("first_ts"),
-        F.first(F.col("_ff_s")["ts"], ignorenulls=True).alias("success_ts"),
-        F.first(F.col("_ff_s")["tie"], ignorenulls=True).alias(f"success_{tie}"),
-        F.count(F.when(before, F.lit(1))).alias("attempts_before"))
-    return out.withColumn("wait_us", micros_between("first_ts", "success_ts"))
+    b = day_bucket(ts) if bucket is None else bucket
+    buckets = df.groupBy(F.col(key), b.alias("_ff_b")).agg(*success_aggregates(ts, tie, success))
+    return first_success_from(buckets, df, key, ts, tie, "_ff_b", b)
+
+
+def run_aggregates(ts: str, tie: str, start: Column, end: Column) -> list[Column]:
+    """What T2 needs of each (key, bucket): the first start, the first end,
+    and the last time of all."""
+    return [F.max(ts).alias("last_ts"), F.min(F.when(end, F.col(ts))).alias("end_ts"),
+            F.min(F.when(start, F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")))).alias("begin")]
+
+
+def run_timeout_from(buckets: DataFrame, rows: DataFrame, key: str, ts: str, tie: str, end: Column, b: str,
+                     bucket: Column, timeout_s: float, poll_s: float, asof: Column) -> DataFrame:
+    """T2 from ``buckets`` (:func:`run_aggregates` by key and ``b``) and the
+    single ``rows``: ends in later buckets come from the aggregates, and only
+    the ends in the bucket of the start are compared with it one by one."""
+    cut_us = int(-(-timeout_s // poll_s) * poll_s * 1_000_000)
+    per_key = (buckets.groupBy(key).agg(F.min("begin").alias("begin"),
+                                        F.min(F.when(F.col("begin").isNotNull(), F.col(b))).alias("at"))
+               .where(F.col("begin").isNotNull()))
+    own = F.struct(F.col(key).alias("k"))
+    later = (buckets.where(F.col("end_ts").isNotNull()).select(own.alias("_ff_k"), F.col(b).alias("_ff_b"), "end_ts")
+             .join(per_key.select(own.alias("_ff_k"), "at"), "_ff_k").where(F.col("_ff_b") > F.col("at"))
+             .select("_ff_k", "end_ts"))
+    inside = (rows.where(end)
+              .select(_by_bucket(key, bucket).alias("_ff_kb"), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("row"))
+              .join(per_key.select(_by_bucket(key, F.col("at")).alias("_ff_kb"), "begin"), "_ff_kb")
+              .where(F.col("row") > F.col("begin"))
+              .select(F.struct(F.col("_ff_kb")["k"].alias("k")).alias("_ff_k"), F.col("row")["ts"].alias("end_ts")))
+    ends = later.unionByName(inside).groupBy("_ff_k").agg(F.min("end_ts").alias("end_ts"))
+    j = per_key.withColumn("_ff_k", own).join(ends, "_ff_k", "left").select(
+        key, F.col("begin")["ts"].alias("start_ts"), "end_ts")
+    elapsed = micros_between("start_ts", "end_ts")
+    waited = micros_between(F.col("start_ts"), asof)
+    status = (F.when(F.col("end_ts").isNotNull() & (elapsed <= cut_us), F.lit("finished"))
+              .when(F.col("end_ts").isNotNull() | (waited >= cut_us), F.lit("timed_out"))
+              .otherwise(F.lit("running")))
+    return j.withColumn("status", status)
 
 
 def run_timeout(df: DataFrame, key: str, ts: str, tie: str, start: Column, end: Column,
-                timeout_s: float, poll_s: float = 1.0, asof: Column | None = None) -> DataFrame:
+                timeout_s: float, poll_s: float = 1.0, asof: Column | None = None,
+                bucket: Column | None = None) -> DataFrame:
     """Run-with-timeout status per entity.
 
     A run starts at the entity's first ``start`` row and ends at the first
@@ -57,26 +133,13 @@ def run_timeout(df: DataFrame, key: str, ts: str, tie: str, start: Column, end:
     ``poll_s`` sleep, so a run is cut at ``ceil(timeout/poll) * poll``
     seconds: ``finished`` when it ended by then, ``timed_out`` when it did
     not and that time has passed at ``asof``, else ``running``.  ``asof``
-    defaults to the latest timestamp in ``df`` (a scalar subquery).
+    defaults to the latest timestamp in ``df`` (a scalar subquery);
+    ``bucket`` as in :func:`first_success`.
     """
-    cut_us = int(-(-timeout_s // poll_s) * poll_s * 1_000_000)
-    order = F.struct(F.col(ts), F.col(tie))
-    starts = (df.where(start).groupBy(F.col(key).alias("_ff_k"))
-              .agg(F.min_by(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")), order).alias("_ff_s")))
-    ends = (df.where(end).select(key, ts, tie)
-            .join(starts, F.col(key) == F.col("_ff_k"))
-            .where(order > F.struct(F.col("_ff_s")["ts"], F.col("_ff_s")["tie"]))
-            # The ts of the smallest (ts, tie) is min(ts): a hash aggregate.
-            .groupBy("_ff_k").agg(F.min(F.col(ts)).alias("end_ts")))
+    b = day_bucket(ts) if bucket is None else bucket
+    buckets = df.groupBy(F.col(key), b.alias("_ff_b")).agg(*run_aggregates(ts, tie, start, end))
     asof = asof if asof is not None else df.select(F.max(ts)).scalar()
-    j = starts.join(ends, "_ff_k", "left").select(
-        F.col("_ff_k").alias(key), F.col("_ff_s")["ts"].alias("start_ts"), "end_ts")
-    elapsed = micros_between("start_ts", "end_ts")
-    waited = micros_between(F.col("start_ts"), asof)
-    status = (F.when(F.col("end_ts").isNotNull() & (elapsed <= cut_us), F.lit("finished"))
-              .when(F.col("end_ts").isNotNull() | (waited >= cut_us), F.lit("timed_out"))
-              .otherwise(F.lit("running")))
-    return j.withColumn("status", status)
+    return run_timeout_from(buckets, df, key, ts, tie, end, "_ff_b", b, timeout_s, poll_s, asof)
 
 
 def latest_state(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:

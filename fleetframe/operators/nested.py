@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetframe.functions.text import location_key
-from fleetframe.plans.joins import broadcast_if_small
 
 # Attributes the reference never publishes.
 API_EXCLUDE = ("from_dict", "id", "id_or_name")
@@ -153,9 +152,7 @@ def prices_all_locations(types: DataFrame, datacenters: DataFrame, datacenter_co
     data center's location; one row each, last price wins.
 
     The price array is de-duplicated inside the row, exploded, and
-    equi-joined with the data-center table on the location token.  The
-    data-center side is broadcast when a bounded count shows it small;
-    otherwise it is a sort-merge join on location.
+    equi-joined with the data-center table on the location token.
     """
     exploded = (types.withColumn("_ff_price", F.explode(dedupe_last(prices, key)))
                 .drop(prices)
@@ -163,10 +160,20 @@ def prices_all_locations(types: DataFrame, datacenters: DataFrame, datacenter_co
     dcs = (datacenters.select(F.col(datacenter_col).alias("datacenter"),
                               location_key(datacenter_col).alias("_ff_dc_loc"))
            .where(F.col("_ff_dc_loc").isNotNull()))
-    joined = exploded.join(broadcast_if_small(dcs), exploded["_ff_loc"] == dcs["_ff_dc_loc"]).drop("_ff_loc", "_ff_dc_loc")
+    joined = exploded.join(dcs, exploded["_ff_loc"] == dcs["_ff_dc_loc"]).drop("_ff_loc", "_ff_dc_loc")
     return _lift_price(joined, "_ff_price", key, groups)
 
 
+def priced_at_datacenters(prices: DataFrame, datacenters: DataFrame, location: str = "location",
+                          datacenter_col: str = "name") -> DataFrame:
+    """J2 on a long price table (one row per type and location): each price
+    with every data center of its location, as column ``datacenter``.  No
+    array is built."""
+    dcs = (datacenters.select(F.col(datacenter_col).alias("datacenter"), location_key(datacenter_col).alias("_ff_dc_loc"))
+           .where(F.col("_ff_dc_loc").isNotNull()))
+    return prices.join(dcs, prices[location] == dcs["_ff_dc_loc"]).drop("_ff_dc_loc")
+
+
 def flatten_datacenters(df: DataFrame, columns: Sequence[str] | None = DATACENTER_COLUMNS,
                         location: str = "location") -> DataFrame:
     """S1 end to end (P1, P2, P4, P6): drop unpublished attributes, lift the

@@ -3,14 +3,13 @@ stage outcomes (G1-G5, A2-A4, O2)."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetframe.functions.text import node_name, zero_pad
 from fleetframe.plans import ordered
-from fleetframe.session import checkpoint_dir, is_local
 
 # The reference's node addressing and firewall rules.
 PRIVATE_NET = "10.0.1."
@@ -83,36 +82,16 @@ def split_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
     per key in sequence order (``run_no``), with its size and first/last
     element.
 
-    A row's run id is the running count of delimiters up to it (one
-    bucketed window pass); non-delimiter rows are reduced per (key, run id)
-    with partial aggregates, so a long run is never gathered in one task;
-    and the dense numbering runs over the much smaller run table, bucketed
-    by each run's first bucket.
+    :func:`label_runs` numbers the rows; they are reduced per (key, run)
+    with partial aggregates, so a long run is never gathered in one task.
     """
-    flagged = df.withColumn("_ff_d", (F.col(token) == F.lit(delimiter)).cast("bigint"))
-    if bucket is not None:
-        flagged = flagged.withColumn("_ff_rb", bucket)
-    counted = ordered.running_sum(flagged, keys, order, "_ff_d", "_ff_rid",
-                                  bucket=None if bucket is None else F.col("_ff_rb"))
-    rows = counted.where(F.col("_ff_d") == 0)
+    rows = label_runs(df, keys, order, token, delimiter, bucket=bucket)
     aggs = [F.count(F.lit(1)).alias("n_items"),
             F.min_by(F.col(id_col), F.struct(*order)).alias(f"first_{id_col}"),
             F.max_by(F.col(id_col), F.struct(*order)).alias(f"last_{id_col}")]
     if ts_col:
         aggs += [F.min(ts_col).alias(f"first_{ts_col}"), F.max(ts_col).alias(f"last_{ts_col}")]
-    if bucket is not None:
-        aggs.append(F.min("_ff_rb").alias("_ff_rb"))
-    runs = rows.groupBy(*keys, "_ff_rid").agg(*aggs)
-    if bucket is not None:
-        # The bucketed numbering reads the run table twice (row-level window
-        # and per-bucket totals); write it once to the shared checkpoint
-        # folder so neither read recomputes the pipeline above.
-        checkpoint_dir(runs.sparkSession, local_fallback=is_local(runs.sparkSession))
-        runs = runs.checkpoint(eager=True)
-    numbered = ordered.row_number(runs, keys, ["_ff_rid"], "run_no",
-                                  bucket=None if bucket is None else F.col("_ff_rb"))
-    out = numbered.withColumn("run_no", F.col("run_no") - 1).drop("_ff_rid")
-    return out.drop("_ff_rb") if bucket is not None else out
+    return rows.groupBy(*keys, "run_no").agg(*aggs)
 
 
 def concat_ordered(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -128,47 +107,31 @@ def concat_ordered(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return numbered.withColumn(out, F.col("_ff_rn") - 1).drop("_ff_rn", "_ff_side")
 
 
-def render_stages(df: DataFrame, keys: Sequence[str], stage: str, token: str,
-                  sep: str = " | ", chunk: int | None = None, code: str | None = None,
-                  collect: Mapping[str, tuple[str | Column, str]] | None = None) -> DataFrame:
-    """The stages of each key joined by ``sep`` in stage
-    order, with the stage count (and the exit codes, ``null`` for a
-    running stage, when ``code`` is given).
+def render_stages(df: DataFrame, keys: Sequence[str], stage: str, token: str, code: str, out: str | Column,
+                  err: str | Column, bucket: Column | None = None) -> DataFrame:
+    """The stages of each key in order, one row per stage:
+    ``position`` (0, 1, ... in stage order), ``token``, ``code`` (null: still
+    running), ``out``, ``err`` and the key's ``n_stages``.
 
-    ``collect`` maps an output column to (value, separator): each value
-    (e.g. a stage's decoded stdout, see :func:`fleetframe.functions.text.decode_safe`)
-    is joined in stage order, as the reference gathers outputs and errors.
-
-    ``chunk`` bounds each output row: stages are grouped in blocks of
-    ``chunk`` consecutive stage numbers (``chunk_no``), so a key with very
-    many stages yields several rows, each gathered from at most ``chunk``
-    stages; their concatenation in ``chunk_no`` order is the whole text.
+    The rows in ``position`` order are the reference's lists of tokens, exit
+    codes, outputs and errors; as rows they keep their values apart and have
+    the same shape whatever their number.  ``bucket`` (non-decreasing in
+    ``stage``) spreads a key with very many stages over tasks; the count per
+    key is a partial aggregate joined back.
     """
-    collect = dict(collect or {})
-    group = list(keys)
-    src = df
-    if chunk:
-        src = src.withColumn("chunk_no", F.floor(F.col(stage) / F.lit(chunk)).cast("bigint"))
-        group.append("chunk_no")
-    fields = [F.col(stage).alias("s"), F.col(token).alias("t")]
-    if code:
-        fields.append(F.col(code).alias("c"))
-    for i, (value, _) in enumerate(collect.values()):
-        fields.append((F.col(value) if isinstance(value, str) else value).alias(f"v{i}"))
-    items = F.array_sort(F.collect_list(F.struct(*fields)))
-    aggs = [F.count(F.lit(1)).alias("n_stages"),
-            F.array_join(F.transform(items, lambda x: x["t"]), sep).alias("rendered")]
-    if code:
-        aggs.append(F.array_join(
-            F.transform(items, lambda x: F.coalesce(x["c"].cast("string"), F.lit("null"))), ",").alias("codes"))
-    for i, (name, (_, joiner)) in enumerate(collect.items()):
-        aggs.append(F.array_join(F.transform(items, _field_or_empty(f"v{i}")), joiner).alias(name))
-    return src.groupBy(*group).agg(*aggs)
-
-
-def _field_or_empty(field: str):
-    # A one-argument lambda: PySpark reads a second argument as the index.
-    return lambda x: F.coalesce(x[field], F.lit(""))
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    numbered = ordered.row_number(df, keys, [stage], "_ff_rn", bucket=bucket)
+    counts = df.groupBy(F.struct(*keys).alias("_ff_k")).agg(F.count(F.lit(1)).alias("n_stages"))
+    rows = numbered.withColumn("_ff_k", F.struct(*keys)).join(counts, "_ff_k")
+    return rows.select(*keys, (F.col("_ff_rn") - 1).alias("position"), F.col(token).alias("token"),
+                       F.col(code).alias("code"), col(out).alias("out"), col(err).alias("err"), "n_stages")
+
+
+def rendered(stages: DataFrame, keys: Sequence[str], sep: str = " | ") -> DataFrame:
+    """The tokens of each key's stages as one text: a command is a handful
+    of stages, and its text is one value."""
+    items = F.array_sort(F.collect_list(F.struct("position", "token")))
+    return stages.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["token"]), sep).alias("rendered"))
 
 
 def stage_outcome(df: DataFrame, keys: Sequence[str], stage: str, code: str) -> DataFrame:

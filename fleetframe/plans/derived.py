@@ -13,29 +13,38 @@ from pyspark.sql import functions as F
 from fleetframe.sources.tables import Tables
 
 
-def part_prices(t: Tables) -> DataFrame:
-    """Per part, a ``prices`` array like a server type's: one entry per
-    region that ships it, hourly net/gross = min/max extended price,
-    monthly net/gross = min/max quantity.
+def part_price_rows(t: Tables, location: str | None = None) -> DataFrame:
+    """One row per part and region that ships it (only ``location``, if
+    given): hourly net/gross = min/max extended price, monthly net/gross =
+    min/max quantity.
 
     Lines are mapped to regions through their supplier, then aggregated by
     (part, region) with a map-side partial aggregate, so the shuffle
-    carries at most one row per (map task, part, region).  The final
-    ``collect_list`` is per part and bounded by the number of regions.
+    carries at most one row per (map task, part, region).  The location is
+    tested on the region table, before anything is aggregated.
     """
+    region = t.region.select("r_regionkey", "r_name")
+    if location is not None:
+        region = region.where(F.col("r_name") == location)
     lines = t.lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     # Fact first, then one dimension per join: each join's size estimate is
     # then that of a real table, so only a dimension can be chosen to
     # broadcast (a joined dimension chain is estimated as a product).
-    per_region = (lines
+    return (lines
                   .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
                   .join(t.nation.select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
-                  .join(t.region.select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
+                  .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
                   .groupBy("l_partkey", "r_name")
                   .agg(F.min("l_extendedprice").alias("hourly_net"),
                        F.max("l_extendedprice").alias("hourly_gross"),
                        F.min("l_quantity").alias("monthly_net"),
                        F.max("l_quantity").alias("monthly_gross")))
+
+
+def part_prices(t: Tables, location: str | None = None) -> DataFrame:
+    """Per part, a ``prices`` array like a server type's: one entry per
+    region that ships it (bounded by the number of regions)."""
+    per_region = part_price_rows(t, location)
     entry = F.struct(
         F.col("r_name").alias("location"),
         F.struct(F.col("hourly_net").alias("net"), F.col("hourly_gross").alias("gross")).alias("price_hourly"),
@@ -44,10 +53,11 @@ def part_prices(t: Tables) -> DataFrame:
             .agg(F.array_sort(F.collect_list(entry)).alias("prices")))
 
 
-def part_catalog(t: Tables) -> DataFrame:
-    """Parts as server types: ``prices`` is null for parts never shipped."""
+def part_catalog(t: Tables, location: str | None = None) -> DataFrame:
+    """Parts as server types: ``prices`` is null for parts never shipped
+    (from ``location``, if given)."""
     part = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    prices = part_prices(t)
+    prices = part_prices(t, location)
     return (part.join(prices, part["p_partkey"] == prices["l_partkey"], "left")
             .drop("l_partkey"))
 

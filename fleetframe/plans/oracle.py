@@ -146,8 +146,9 @@ GROUP BY user_id
 """
 
 ORACLE["prefix_collisions"] = """
-WITH b AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand IS NOT NULL)
-SELECT a.name AS prefix, b.name AS name FROM b a JOIN b ON starts_with(b.name, a.name) AND a.name <> b.name
+WITH b AS (SELECT DISTINCT regexp_replace(c_name, '#0+', '#') AS name FROM customer WHERE c_name IS NOT NULL),
+p AS (SELECT name, unnest(range(1, length(name))) AS n FROM b)
+SELECT b.name AS prefix, p.name FROM p JOIN b ON substr(p.name, 1, p.n) = b.name
 """
 
 ORACLE["component_status"] = """
@@ -188,11 +189,9 @@ FROM st GROUP BY conv_id
 """
 
 ORACLE["stage_render"] = _STAGES + """
-SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS chunk_no, count(*) AS n_stages,
-       string_agg(role, ' | ' ORDER BY turn) AS rendered,
-       string_agg(coalesce(CAST(code AS VARCHAR), 'null'), ',' ORDER BY turn) AS codes,
-       string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS outputs
-FROM st GROUP BY conv_id, CAST(floor(turn / 1000) AS BIGINT)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role AS token, code,
+       text AS out, CASE WHEN code <> 0 THEN text END AS err, count(*) OVER (PARTITION BY conv_id) AS n_stages
+FROM st
 """
 
 ORACLE["copy_plan"] = """
@@ -205,12 +204,12 @@ t AS (
   SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'cust-' || CAST(o_custkey AS VARCHAR) END AS target_host
   FROM orders),
 v AS (
-  SELECT o_orderkey, target_host, n AS n_source_hosts, one,
+  SELECT o_orderkey, target_host, coalesce(n, 0) AS n_source_hosts, one,
          CASE WHEN n > 1 THEN 'multiple_sources'
-              WHEN target_host IS NULL AND n = 0 THEN 'no_host'
+              WHEN target_host IS NULL AND coalesce(n, 0) = 0 THEN 'no_host'
               WHEN target_host IS NOT NULL AND n = 1 THEN 'host_to_host'
               ELSE 'ok' END AS verdict
-  FROM t JOIN s ON o_orderkey = s.k)
+  FROM t LEFT JOIN s ON o_orderkey = s.k)
 SELECT o_orderkey, target_host, n_source_hosts, verdict,
        CASE WHEN verdict = 'ok' THEN coalesce(target_host, one) END AS host
 FROM v
@@ -256,7 +255,7 @@ FROM r
 ORACLE["concat_ordered"] = """
 WITH u AS (
   SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
-  FROM conversations WHERE role = 'user'),
+  FROM conversations WHERE role <> 'assistant'),
 n AS (SELECT conv_id, count(*) AS n FROM u GROUP BY conv_id),
 a AS (
   SELECT c.conv_id, c.turn, c.role,
@@ -364,8 +363,11 @@ SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FRO
 """
 
 ORACLE["path_parse"] = """
-WITH p AS (
-  SELECT page_id, replace(replace(replace(url, '/', '\\'), '\\\\', '/'), '\\', '/') AS path FROM pages),
+WITH u AS (
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, ':', '')
+                       WHEN page_id % 5 = 0 THEN url || ':8080' ELSE url END AS named FROM pages),
+p AS (
+  SELECT page_id, replace(replace(replace(named, '/', '\\'), '\\\\', '/'), '\\', '/') AS path FROM u),
 k AS (
   SELECT *, CASE len(string_split(path, ':')) WHEN 1 THEN 'local' WHEN 2 THEN 'remote'
                  ELSE 'invalid' END AS kind FROM p)
@@ -376,16 +378,13 @@ FROM k
 """
 
 ORACLE["decode_safe"] = """
-WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
-c AS (
-  SELECT doc_id, h, unnest(range(CAST(greatest(ceil(length(h) / 8192.0), 1) AS BIGINT))) AS chunk_no FROM d),
-p AS (SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no,
-             from_hex(substring(h, chunk_no * 8192 + 1, 8192)) AS b FROM c)
-SELECT doc_id, chunk_no, octet_length(b) AS n_bytes,
+WITH d AS (SELECT doc_id, CASE WHEN lang = 'de' THEN encode(text) || from_hex('FF')
+                               WHEN lang <> 'es' THEN encode(text) END AS b FROM documents)
+SELECT doc_id, octet_length(b) AS n_bytes,
        CASE WHEN b IS NULL THEN ''
             WHEN try(decode(b)) IS NOT NULL THEN decode(b)
             ELSE '0x' || hex(b) END AS text
-FROM p
+FROM d
 """
 
 _EVENT_LOG = """
@@ -442,3 +441,28 @@ FROM f
 
 ORACLE["first_success_final"] = ("SELECT * FROM (" + ORACLE["first_success"] + ") "
                                  "WHERE success_ts < (SELECT date_trunc('millisecond', max(ts)) FROM events)")
+
+def _validated(table: str, key: str, rules: dict[str, str]) -> str:
+    """SQL that lists the failed rules of each row, in order."""
+    listed = ", ".join(f"CASE WHEN coalesce({test}, false) THEN NULL ELSE '{name}' END" for name, test in rules.items())
+    return (f"SELECT {key}, array_to_string(failures, ',') AS failures, failures[1] AS first_failure, len(failures) AS n_failures, "
+            f"len(failures) = 0 AS valid FROM (SELECT {key}, list_filter([{listed}], lambda x: x IS NOT NULL) AS failures FROM ({table}))")
+
+
+ORACLE["cluster_validation"] = _validated(
+    """SELECT s_suppkey, s_nationkey AS workers, CASE WHEN s_suppkey % 7 = 0 THEN 80 ELSE 9753 END AS ipc,
+       CASE WHEN s_suppkey % 5 = 0 THEN 9753 ELSE 9756 END AS dash, 9759 AS nanny,
+       CASE WHEN s_suppkey % 11 = 0 THEN 0.0 ELSE 0.5 END AS wait FROM supplier""", "s_suppkey",
+    {"workers_positive": "workers > 0", "ipc_port_unprivileged": "ipc >= 1024", "dash_port_unprivileged": "dash >= 1024",
+     "nanny_port_unprivileged": "nanny >= 1024", "ports_distinct": "ipc <> dash AND ipc <> nanny AND dash <> nanny",
+     "wait_positive": "wait > 0"})
+
+ORACLE["access_validation"] = _validated(
+    """SELECT c_custkey, c_name AS name, lower(c_mktsegment) AS usr,
+       CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '/keys/' || c_custkey END AS fn_private, c_nationkey AS port,
+       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'aes128' END AS cipher, c_custkey % 13 AS valid_days FROM customer""",
+    "c_custkey",
+    {"name_set": "name <> ''", "user_set": "usr <> ''", "key_set": "fn_private <> ''", "port_positive": "port > 0",
+     "cipher_set": "cipher <> ''", "valid_days_positive": "valid_days > 0"})
+
+ORACLE["label_strict"] = "SELECT c_custkey, CAST(split_part(c_name, '#', 2) AS INTEGER) AS n FROM customer"

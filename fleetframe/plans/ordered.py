@@ -27,8 +27,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetframe.session import checkpoint_dir, is_local
-
 _BK = "_ff_bucket"
 _JK = "_ff_jk"
 
@@ -116,49 +114,36 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.drop(_BK, "_ff_has", "_ff_nb", *["_ff_n_" + c for c in cols])
 
 
-BROADCAST_VALUES = 1 << 20
-
-
-def _small(df: DataFrame, counted_values: int) -> DataFrame:
-    """Broadcast ``df`` when its counted size (rows times values per row,
-    measured by a job, not estimated) is under ``BROADCAST_VALUES``."""
-    return F.broadcast(df) if counted_values <= BROADCAST_VALUES else df
-
-
-def adaptive_bucket(df: DataFrame, keys: Sequence[str], value: str | Column, coarse: Column,
+def adaptive_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: Column,
                     max_rows: int = 1 << 20, out: str = "_ff_abk") -> DataFrame:
-    """Add column ``out``, a bucket for the helpers above that holds at most
-    about ``max_rows`` rows per (key, bucket), however the rows are skewed.
-
-    ``coarse`` is a bucket non-decreasing in ``value`` (e.g. the day).
-    Rows are counted per (key, coarse bucket) with a partial aggregate;
-    groups over ``max_rows`` are cut at approximate quantiles of
-    ``value`` (numeric; a sketch aggregate, merged map-side), and the fine
-    index is the number of cut points at or below the row's value.  The
-    result ``struct(coarse, fine)`` is non-decreasing in ``value``, so
-    results stay exact; the approximation only affects balance.
+    """Add column ``out``, a bucket for the helpers above that holds about
+    ``max_rows`` rows per (key, bucket) at most, however the rows are skewed
+    and however many share a value.
+
+    ``coarse`` is a bucket non-decreasing in ``order`` (e.g. the day).  A
+    hash of key and order marks one row in ``max_rows / 8`` as a border; the
+    fine index is the number of borders of the (key, coarse) group at or
+    below the row, found by binary search.  Borders are cut on the full
+    order, so ties in its first column are split like any rows; the result
+    ``struct(coarse, fine)`` is non-decreasing in the order, so results stay
+    exact, and only the balance is left to chance.  Nothing is counted or
+    run beforehand, and groups far smaller than ``max_rows`` have no border.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_ff_c", coarse).withColumn("_ff_val", v)
-    counts = d.groupBy(*keys, "_ff_c").agg(F.count(F.lit(1)).alias("_ff_n"))
-    hot = counts.where(F.col("_ff_n") > max_rows)
-    # How many groups are hot and how hot the hottest is: one small row.
-    n_hot, top = hot.agg(F.count(F.lit(1)), F.max("_ff_n")).first()
-    if not n_hot:
-        return d.withColumn(out, F.struct(F.col("_ff_c").alias("c"), F.lit(0).alias("f"))).drop("_ff_c", "_ff_val")
-    k = -(-int(top) // max_rows)
-    fractions = [i / k for i in range(1, k)]
-    hot_keys = hot.select(join_key(keys, "_ff_c").alias(_JK))
-    cuts = (d.withColumn(_JK, join_key(keys, "_ff_c")).join(_small(hot_keys, n_hot), _JK, "left_semi")
-            .groupBy(_JK).agg(F.percentile_approx("_ff_val", fractions, 10000).alias("_ff_cuts")))
-    # Materialise the small cut table once in the shared checkpoint folder
-    # (reliable, lineage cut), so no branch of the caller's plan recomputes
-    # the counts or the quantiles.
-    checkpoint_dir(cuts.sparkSession, local_fallback=is_local(cuts.sparkSession))
-    cuts = cuts.checkpoint(eager=True)
-    # The cut table has exactly n_hot rows of k - 1 values: broadcast it
-    # when that counted size is small, else join by shuffle.
-    j = d.withColumn(_JK, join_key(keys, "_ff_c")).join(_small(cuts, n_hot * k), _JK, "left")
-    fine = F.coalesce(F.size(F.filter(F.col("_ff_cuts"), lambda c: c <= F.col("_ff_val"))), F.lit(0))
-    return (j.withColumn(out, F.struct(F.col("_ff_c").alias("c"), fine.alias("f")))
-            .drop(_JK, "_ff_cuts", "_ff_c", "_ff_val"))
+    d = df.withColumn("_ff_c", coarse)
+    at = F.struct(*order)
+    every = max(max_rows // 8, 1)
+    borders = (d.where(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
+               .groupBy(join_key(keys, "_ff_c").alias(_JK)).agg(F.array_sort(F.collect_set(at)).alias("_ff_cuts")))
+    j = d.withColumn(_JK, join_key(keys, "_ff_c")).join(borders, _JK, "left")
+    cuts, n = F.col("_ff_cuts"), F.coalesce(F.size("_ff_cuts"), F.lit(0))
+    # (lo, hi) close in on the first border above the row.
+    turns = F.array_repeat(F.lit(0), F.ceil(F.log2(n + 1)).cast("int") + 1)
+    found = F.aggregate(
+        F.when(n > 0, turns).otherwise(F.array().cast("array<int>")),
+        F.struct(F.lit(0).alias("lo"), n.alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).when(
+            F.element_at(cuts, F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1) <= at,
+            F.struct((F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))))
+    return (j.withColumn(out, F.struct(F.col("_ff_c").alias("c"), found["lo"].alias("f")))
+            .drop(_JK, "_ff_cuts", "_ff_c"))

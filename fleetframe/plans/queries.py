@@ -36,18 +36,22 @@ def catalog_by_location(spark: SparkSession, base: str) -> DataFrame:
     columns = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
                "price_hourly_net", "price_hourly_gross", "price_monthly_net",
                "price_monthly_gross", "deprecated")
-    return nested.server_types_at(derived.part_catalog(t), CATALOG_DATACENTER,
+    location = nested.validate_datacenter(CATALOG_DATACENTER)
+    return nested.server_types_at(derived.part_catalog(t, location), CATALOG_DATACENTER,
                                   columns=columns, sort=("p_type", "p_size", "p_partkey"))
 
 
 @query
 def catalog_all_locations(spark: SparkSession, base: str) -> DataFrame:
-    """Every (part, data center) pair with a price there."""
+    """Every (part, data center) pair with a price there, from the long
+    price table."""
     t = Tables(spark, base)
-    return (nested.prices_all_locations(derived.part_catalog(t), derived.region_datacenters(t))
+    part = t.part.select("p_partkey", "p_type", "p_size")
+    prices = nested.priced_at_datacenters(derived.part_price_rows(t), derived.region_datacenters(t), "r_name")
+    return (prices.join(part, F.col("l_partkey") == F.col("p_partkey"))
             .select("datacenter", "p_partkey", "p_type", "p_size",
-                    "price_hourly_net", "price_hourly_gross",
-                    "price_monthly_net", "price_monthly_gross"))
+                    F.col("hourly_net").alias("price_hourly_net"), F.col("hourly_gross").alias("price_hourly_gross"),
+                    F.col("monthly_net").alias("price_monthly_net"), F.col("monthly_gross").alias("price_monthly_gross")))
 
 
 @query
@@ -188,8 +192,10 @@ def unknown_names(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def prefix_collisions(spark: SparkSession, base: str) -> DataFrame:
-    """Brand names that are strict prefixes of other brand names."""
-    return inventory.prefix_collisions(Tables(spark, base).part, "p_brand")
+    """customers' names without leading zeros that are strict prefixes of
+    others (``Customer#1`` and ``Customer#12``)."""
+    c = Tables(spark, base).customer.select(F.regexp_replace("c_name", "#0+", "#").alias("name"))
+    return inventory.prefix_collisions(c, "name")
 
 
 # --- aggregations --------------------------------------------------------------------
@@ -226,15 +232,16 @@ def stage_outcome(spark: SparkSession, base: str) -> DataFrame:
     return sequences.stage_outcome(_stages(Tables(spark, base)), ["conv_id"], "turn", "code")
 
 
-STAGE_CHUNK = 1000
+TURN_BLOCK = 1024  # places rows; results do not depend on it
 
 
 @query
 def stage_render(spark: SparkSession, base: str) -> DataFrame:
-    """Stages joined by `` | ``, exit codes and outputs (the
-    whole turn texts) in stage order."""
-    return sequences.render_stages(_stages(Tables(spark, base)), ["conv_id"], "turn", "role",
-                                   chunk=STAGE_CHUNK, code="code", collect={"outputs": ("text", "\n")})
+    """The stages of each command in order, with token, exit code,
+    output (the whole turn text) and error (that of a failed stage)."""
+    st = _stages(Tables(spark, base))
+    return sequences.render_stages(st, ["conv_id"], "turn", "role", "code", "text",
+                                   F.when(F.col("code") != 0, F.col("text")), bucket=F.floor(F.col("turn") / TURN_BLOCK))
 
 
 @query
@@ -303,16 +310,13 @@ def _day(ts: str = "ts"):
     return F.date_trunc("day", F.col(ts))
 
 
-# Most rows one (user, bucket) may hold before it is cut at quantiles of time.
+# About the most rows of one (user, bucket).
 BUCKET_ROWS = 1 << 20
 
 
 def _user_buckets(ev: DataFrame) -> DataFrame:
     """Day buckets per user, cut further where a user-day is hot."""
-    # Any value non-decreasing in the order will do for the cuts; the
-    # instant of the wall-clock time is, in every session zone.
-    return ordered.adaptive_bucket(ev, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), _day(),
-                                   max_rows=BUCKET_ROWS, out="bucket")
+    return ordered.adaptive_bucket(ev, ["user_id"], ["ts", "event_id"], _day(), max_rows=BUCKET_ROWS, out="bucket")
 
 
 @query
@@ -323,14 +327,12 @@ def delimiter_runs(spark: SparkSession, base: str) -> DataFrame:
                                 id_col="event_id", ts_col="ts", bucket=F.col("bucket")).drop("bucket")
 
 
-TURN_BLOCK = 1024
-
-
 @query
 def concat_ordered(spark: SparkSession, base: str) -> DataFrame:
-    """Per conversation, user turns then assistant turns, renumbered."""
+    """Per conversation, what was said to the assistant (system and user
+    turns), then what it answered, renumbered."""
     conv = Tables(spark, base).conversations.select("conv_id", "turn", "role")
-    left = conv.where(F.col("role") == "user")
+    left = conv.where(F.col("role") != "assistant")
     right = conv.where(F.col("role") == "assistant")
     return sequences.concat_ordered(left, right, ["conv_id"], ["turn"],
                                     bucket=F.floor(F.col("turn") / TURN_BLOCK))
@@ -431,28 +433,26 @@ def label_cast(spark: SparkSession, base: str) -> DataFrame:
 @query
 def path_parse(spark: SparkSession, base: str) -> DataFrame:
     """Page URLs written with backslashes, normalised, then split
-    into host and path."""
+    into host and path; every third without its scheme (a local path), every
+    fifth with a port (more than one colon)."""
     pages = Tables(spark, base).pages.select("page_id", "url")
-    p = text.normalize_path(F.replace(F.col("url"), F.lit("/"), F.lit("\\")))
+    k, u = F.col("page_id"), F.col("url")
+    named = (F.when(k % 3 == 0, F.replace(u, F.lit(":"), F.lit("")))
+             .when(k % 5 == 0, F.concat(u, F.lit(":8080"))).otherwise(u))
+    p = text.normalize_path(F.replace(named, F.lit("/"), F.lit("\\")))
     out = pages.select("page_id", p.alias("path"))
     return out.select("page_id", "path", text.path_kind("path").alias("kind"),
                       text.path_host("path").alias("host"), text.path_rest("path").alias("rest"))
 
 
-PIPE_BUFFER = 4096
-
-
 @query
 def decode_safe(spark: SparkSession, base: str) -> DataFrame:
-    """Each document's bytes read in 4096-byte pipe buffers; buffers
-    that cut a character are not valid UTF-8 and come out as hex."""
-    docs = Tables(spark, base).documents.select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    n = F.ceil(F.octet_length("b") / PIPE_BUFFER).cast("int")
-    chunks = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))
-                         .alias("chunk_no"))
-    piece = F.substring(F.col("b"), F.col("chunk_no") * PIPE_BUFFER + 1, F.lit(PIPE_BUFFER))
-    return chunks.select("doc_id", "chunk_no", F.octet_length(piece).cast("bigint").alias("n_bytes"),
-                         text.decode_safe(piece).alias("text"))
+    """Each document's bytes as text, whole; a byte that is no UTF-8 is
+    put behind German texts, and Spanish ones are null."""
+    docs = Tables(spark, base).documents.select("doc_id", "lang", F.encode("text", "UTF-8").alias("b"))
+    data = (F.when(F.col("lang") == "de", F.concat(F.col("b"), F.unhex(F.lit("FF"))))
+            .when(F.col("lang") != "es", F.col("b")))
+    return docs.select("doc_id", F.octet_length(data).cast("bigint").alias("n_bytes"), text.decode_safe(data).alias("text"))
 
 
 # --- logs --------------------------------------------------------------------------------
@@ -462,53 +462,65 @@ EVENT_LEVELS = {"error": "ERROR", "purchase": "WARNING", "signup": "INFO", "view
 LOG_THRESHOLD = 30
 
 
-def _event_log(t: Tables) -> DataFrame:
+def _event_lines(t: Tables) -> DataFrame:
     ev = t.events.select("event_id", "ts", "user_id", "event_type")
     level = F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_LEVELS.items() for x in kv]),
                              F.col("event_type"))
-    lines = logs.render_lines(ev, F.concat(F.lit("user"), F.col("user_id").cast("string")), level, "ts",
-                              F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" "),
-                                       F.col("event_type")))
-    return logs.parse_lines(lines)
+    return logs.render_lines(ev, F.concat(F.lit("user"), F.col("user_id").cast("string")), level, "ts",
+                             F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" "),
+                                      F.col("event_type")))
 
 
 @query
 def log_roundtrip(spark: SparkSession, base: str) -> DataFrame:
-    """Events written as log lines and parsed back."""
-    return _event_log(Tables(spark, base))
+    """Events written as text files of log lines in the shared folder,
+    read and parsed back."""
+    path = streaming.stream_workdir(spark, "log")[0]
+    logs.write_lines(_event_lines(Tables(spark, base)), path)
+    return logs.parse_lines(logs.read_lines(spark, path))
 
 
 @query
 def log_level_filter(spark: SparkSession, base: str) -> DataFrame:
-    """parsed log records at WARNING or above."""
-    return logs.level_filter(_event_log(Tables(spark, base)), LOG_THRESHOLD)
+    """parsed log records at WARNING or above; the level is tested on
+    the line before the rest of it is parsed."""
+    lines = logs.lines_at(_event_lines(Tables(spark, base)), LOG_THRESHOLD)
+    return logs.level_filter(logs.parse_lines(lines), LOG_THRESHOLD)
 
 
 # --- streams (run to completion with availableNow; oracle = the batch SQL) ----------
 
-def _event_stream(spark: SparkSession, base: str, max_files: int | None = None) -> DataFrame:
-    reader = (spark.readStream.schema(Tables(spark, base).events.schema)
-              .option("pathGlobFilter", "events.parquet"))
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(base)
+FILES_PER_TRIGGER = 256  # bounds a micro-batch
+WATERMARK = streaming.REPLAY
+
+
+def _event_stream(spark: SparkSession, base: str, max_files: int = FILES_PER_TRIGGER) -> DataFrame:
+    """The events table as a stream, be it one file or a folder of them (a
+    pattern, because the file source takes a bare path for a folder)."""
+    t = Tables(spark, base)
+    return (spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", max_files)
+            .parquet(f"{base}/events.parque[t]"))
+
+
+def _bucket_log(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a bucket stream to its end; the folded log."""
+    out, ckpt = streaming.stream_workdir(spark, name)
+    streaming.run_upserts(stream, out, ckpt).awaitTermination()
+    return streaming.read_upserts(spark, out, ["user_id", "_ff_b"])
+
+
+def _streamed_first_success(spark: SparkSession, base: str, name: str) -> tuple[DataFrame, DataFrame]:
+    aggregates = lifecycle.success_aggregates("ts", "event_id", F.col("event_type") == "purchase")
+    stream = streaming.bucket_stream(_event_stream(spark, base), "user_id", "ts", aggregates, WATERMARK)
+    buckets = _bucket_log(spark, stream, name)
+    return buckets, lifecycle.first_success_from(buckets, _events(Tables(spark, base)), "user_id", "ts", "event_id",
+                                                 "_ff_b", lifecycle.day_bucket("ts"))
 
 
 @query
 def first_success_stream(spark: SparkSession, base: str) -> DataFrame:
-    """T1 as a Structured Streaming job with keyed state; folded result."""
-    ev = _event_stream(spark, base).withColumn("ok", F.col("event_type") == "purchase")
-    out, ckpt = streaming.stream_workdir(spark, "first_success")
-    q = streaming.run_upserts(
-        streaming.first_success_stream(ev, "user_id", "ts", "event_id", "ok"), out, ckpt)
-    q.awaitTermination()
-    res = streaming.read_upserts(spark, out, ["key"])
-    first = streaming.from_epoch_micros("first_us")
-    success = streaming.from_epoch_micros("success_us")
-    return res.select(F.col("key").cast("bigint").alias("user_id"), first.alias("first_ts"),
-                      success.alias("success_ts"), F.col("success_tie").alias("success_event_id"),
-                      "attempts_before",
-                      (F.col("success_us") - F.col("first_us")).alias("wait_us"))
+    """T1 as a Structured Streaming job; folded result."""
+    return _streamed_first_success(spark, base, "first_success")[1]
 
 
 @query
@@ -525,21 +537,15 @@ def latest_state_stream(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def run_timeout_stream(spark: SparkSession, base: str) -> DataFrame:
-    """T2 as a Structured Streaming job with keyed state and event-time
-    timeouts; ``asof`` is the final watermark (the latest event time,
-    in milliseconds)."""
-    ev = (_event_stream(spark, base)
-          .withColumn("is_start", F.col("event_type") == "signup")
-          .withColumn("is_end", F.col("event_type") == "purchase"))
-    out, ckpt = streaming.stream_workdir(spark, "run_timeout")
-    q = streaming.run_upserts(
-        streaming.run_timeout_stream(ev, "user_id", "ts", "event_id", "is_start", "is_end",
-                                     RUN_TIMEOUT_S, POLL_S), out, ckpt)
-    q.awaitTermination()
-    res = streaming.read_upserts(spark, out, ["key"])
-    return res.select(F.col("key").cast("bigint").alias("user_id"),
-                      streaming.from_epoch_micros("start_us").alias("start_ts"),
-                      streaming.from_epoch_micros("end_us").alias("end_ts"), "status")
+    """T2 as a Structured Streaming job; ``asof`` is the latest event time
+    the stream has seen, in milliseconds."""
+    start, end = F.col("event_type") == "signup", F.col("event_type") == "purchase"
+    stream = streaming.bucket_stream(_event_stream(spark, base), "user_id", "ts",
+                                     lifecycle.run_aggregates("ts", "event_id", start, end), WATERMARK)
+    buckets = _bucket_log(spark, stream, "run_timeout")
+    return lifecycle.run_timeout_from(buckets, _events(Tables(spark, base)), "user_id", "ts", "event_id", end, "_ff_b",
+                                      lifecycle.day_bucket("ts"), RUN_TIMEOUT_S, POLL_S,
+                                      streaming.last_millisecond(buckets))
 
 
 @query
@@ -564,18 +570,47 @@ def cluster_status(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def first_success_final(spark: SparkSession, base: str) -> DataFrame:
-    """T1 as an append-mode stream: each user is emitted exactly once, when
-    the first purchase is below the final watermark (the latest event time,
-    in milliseconds); users who never purchase are not emitted."""
-    ev = _event_stream(spark, base).withColumn("ok", F.col("event_type") == "purchase")
-    out, ckpt = streaming.stream_workdir(spark, "first_success_final")
-    q = streaming.run_append(
-        streaming.first_success_stream(ev, "user_id", "ts", "event_id", "ok", watermark="0 seconds",
-                                       final=True), out, ckpt)
-    q.awaitTermination()
-    res = spark.read.parquet(out)
-    return res.select(F.col("key").cast("bigint").alias("user_id"),
-                      streaming.from_epoch_micros("first_us").alias("first_ts"),
-                      streaming.from_epoch_micros("success_us").alias("success_ts"),
-                      F.col("success_tie").alias("success_event_id"), "attempts_before",
-                      (F.col("success_us") - F.col("first_us")).alias("wait_us"))
+    """T1, settled users only: those whose first purchase lies before the
+    latest event time the stream has seen (in milliseconds)."""
+    buckets, result = _streamed_first_success(spark, base, "first_success_final")
+    return streaming.settled(result, streaming.last_millisecond(buckets))
+
+
+# --- the reference's own rule sets, strict casts ------------------------------------
+
+@query
+def cluster_validation(spark: SparkSession, base: str) -> DataFrame:
+    """F5 with the reference's cluster and node rules: suppliers as cluster
+    configurations, some of them wrong (no workers, privileged or equal
+    ports, no wait)."""
+    s = Tables(spark, base).supplier.select("s_suppkey", "s_nationkey")
+    k = F.col("s_suppkey")
+    cfg = s.select("s_suppkey", F.col("s_nationkey").cast("int").alias("workers"),
+                   F.when(k % 7 == 0, 80).otherwise(9753).alias("dask_ipc"),
+                   F.when(k % 5 == 0, 9753).otherwise(9756).alias("dask_dash"), F.lit(9759).alias("dask_nanny"),
+                   F.when(k % 11 == 0, 0.0).otherwise(0.5).alias("wait"))
+    return quality.validate(cfg, [*quality.cluster_rules(), *quality.node_rules()]).select(
+        "s_suppkey", "failures", "first_failure", "n_failures", "valid")
+
+
+@query
+def access_validation(spark: SparkSession, base: str) -> DataFrame:
+    """F5 with the reference's ssh and certificate rules: customers as hosts,
+    some without a key path, cipher or validity."""
+    c = Tables(spark, base).customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    k = F.col("c_custkey")
+    cfg = c.select("c_custkey", F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("user"),
+                   F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("/keys/"), k.cast("string"))).alias("fn_private"),
+                   F.col("c_nationkey").cast("int").alias("port"),
+                   F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise("aes128").alias("cipher"),
+                   (k % 13).alias("valid_days"))
+    rules = [*quality.ssh_rules(), *[r for r in quality.certificate_rules() if r[0] == "valid_days_positive"]]
+    return quality.validate(cfg, rules).select("c_custkey", "failures", "first_failure", "n_failures", "valid")
+
+
+@query
+def label_strict(spark: SparkSession, base: str) -> DataFrame:
+    """E3 strict: the number in each customer's name; bad text would raise."""
+    c = Tables(spark, base).customer.select("c_custkey", "c_name")
+    labels = F.create_map(F.lit("n"), text.name_suffix("c_name", "#"))
+    return c.select("c_custkey", text.label_int(labels, "n", strict=True).alias("n"))

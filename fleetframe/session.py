@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings the operators rely on.  Everything else is left to the cluster.
@@ -53,31 +50,20 @@ def get_session(master: str | None = None, app: str = "fleetframe",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+# Used only where the session names no ``spark.checkpoint.dir``: a folder on
+# the default file system, which all executors see.
+FALLBACK_DIR = "/tmp/checkpoints/fleetframe"
 
-    On a cluster this must be set (a shared file system every executor
-    sees).  Only local test runs may ask for a fresh scratch folder, and
-    only when the setting is absent.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``."""
+    path = (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
     sc = _context(spark)
-    if not path and sc is not None:
-        path = sc.getCheckpointDir()
-    if not path:
-        if not local_fallback:
-            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-        path = tempfile.mkdtemp(prefix="fleetframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if sc is not None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
-def is_local(spark: SparkSession) -> bool:
-    """True for ``local[...]`` masters (tests, benches)."""
-    return (spark.conf.get("spark.master", "") or "").startswith("local")
-
-
 def _context(spark: SparkSession):
     try:
         return spark.sparkContext

@@ -57,6 +57,12 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     })
 
 
+def lines_at(lines: DataFrame, threshold: int = DEFAULT_LEVEL, value: str = "value") -> DataFrame:
+    """F7 on unparsed lines: those whose second word is a level at or above
+    the threshold."""
+    return lines.where(level_number(F.split_part(F.col(value), F.lit(" "), F.lit(2))) >= F.lit(threshold))
+
+
 def level_filter(df: DataFrame, threshold: int = DEFAULT_LEVEL, level: str = "levelno") -> DataFrame:
     """records at or above the threshold."""
     return df.where(F.col(level) >= F.lit(threshold))

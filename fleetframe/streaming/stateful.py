@@ -1,208 +1,58 @@
 """Structured Streaming forms of the polling operators.
 
-The reference polls one node in a loop; here a stream of attempts for
-many entities is reduced with keyed state.  Results are written with
-``foreachBatch`` as an upsert log (one row per key per micro-batch that
-changed it) under the shared checkpoint folder, and
-:func:`read_upserts` folds the log to the latest row per key.  The batch
-operators in :mod:`fleetframe.operators.lifecycle` are the oracle.
+The reference polls one node in a loop; here a stream of attempts for many
+entities is reduced by native streaming aggregates per entity and time
+bucket, without any Python state.  Results are written with ``foreachBatch``
+as an upsert log (one row per group per micro-batch that changed it) under
+the shared checkpoint folder; :func:`read_upserts` folds the log to the
+latest row per group.  What follows is the second half of the batch
+operators in :mod:`fleetframe.operators.lifecycle`: whole buckets come from
+the folded log, and only the rows of an entity's deciding bucket are read
+from the source itself.
+
+``watermark`` is the most that rows may come out of order.  Rows that come
+later than that for a closed bucket are dropped and a bucket's state with
+them, so it must exceed the disorder of the source; to replay a table,
+whose files come in no order, it must exceed the table's time span.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetframe.operators.keyed import last_wins
-from fleetframe.session import checkpoint_dir, is_local
+from fleetframe.session import checkpoint_dir
 
-_FS_STATE = ("first_us long, success_us long, success_tie long, settled_before long, "
-             "pending_us string, pending_tie string")
-_FS_OUT = ("key string, first_us long, success_us long, success_tie long, attempts_before long, "
-           "batch_watermark_ms long")
+REPLAY = "36500 days"  # a watermark beyond any table's time span
+BUCKET = "1 day"
 
 
-def _split(text: str | None) -> list[int]:
-    return [int(x) for x in text.split(",")] if text else []
-
-
-def _join(values) -> str:
-    return ",".join(str(int(v)) for v in values)
-
-
-def _first_success(final: bool):
-    """Per key: the earliest success S and the attempts ordered before it.
-
-    Attempts below the watermark are settled into a count (a later success
-    can only be at or above the watermark, so their relation to S never
-    changes); attempts at or above it are kept until the watermark passes
-    them, so a success arriving out of order is counted exactly.
-
-    ``final``: emit a key once, when S is below the watermark (nothing
-    earlier can still arrive), then keep only a done marker.  An event-time
-    timeout at S wakes the key when the watermark passes it.
-    """
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.exists:
-            first_us, s_us, s_tie, settled, p_us, p_tie = state.get
-            pending = list(zip(_split(p_us), _split(p_tie)))
-        else:
-            first_us, s_us, s_tie, settled, pending = None, None, None, 0, []
-        if final and settled == -1:            # already emitted
-            for _ in batches:
-                pass
-            return
-        wm_ms = max(state.getCurrentWatermarkMs(), 0)
-        wm_us = wm_ms * 1000
-        for pdf in batches:
-            for us, tie, ok in zip(pdf["us"].tolist(), pdf["tie"].tolist(), pdf["ok"].tolist()):
-                first_us = us if first_us is None else min(first_us, us)
-                if ok and (s_us is None or (us, tie) < (s_us, s_tie)):
-                    s_us, s_tie = us, tie
-                pending.append((us, tie))
-        best = (s_us, s_tie) if s_us is not None else None
-
-        def before(item) -> bool:
-            return best is None or item < best
-
-        keep = []
-        for item in pending:
-            if item[0] < wm_us:
-                settled += int(before(item))
-            else:
-                keep.append(item)
-        attempts = settled + sum(1 for item in keep if before(item))
-        row = pd.DataFrame({"key": [str(key[0])], "first_us": [first_us], "success_us": [s_us],
-                            "success_tie": [s_tie], "attempts_before": [attempts],
-                            "batch_watermark_ms": [state.getCurrentWatermarkMs()]})
-        if final:
-            if best is not None and s_us < wm_us:
-                state.update((first_us, s_us, s_tie, -1, "", ""))   # done marker
-                yield row
-                return
-            if best is not None:
-                state.setTimeoutTimestamp(max(s_us // 1000, wm_ms, 1))
-        state.update((first_us, s_us, s_tie, settled,
-                      _join(i[0] for i in keep), _join(i[1] for i in keep)))
-        if not final:
-            yield row
-    return fn
-
-
-def first_success_stream(events: DataFrame, key: str, ts: str, tie: str, success: str,
-                         watermark: str = "1 hour", final: bool = False) -> DataFrame:
-    """T1 on a stream: ``events`` is a streaming DataFrame with a boolean
-    column ``success``.  By default (update mode) output rows carry the
-    current answer for every key a micro-batch touched; with ``final``
-    (append mode) each key is emitted exactly once, when its first success
-    can no longer change, and a key that never succeeds is never emitted
-    (the reference waits forever)."""
-    src = events.select(F.col(key).cast("string").alias("key"),
-                        epoch_micros(events, ts).alias("us"),
-                        F.col(tie).cast("long").alias("tie"),
-                        F.col(success).alias("ok"))
-    # The watermark column carries the same micros, so watermark and state
-    # compare like with like whatever the session time zone.
-    src = (src.withColumn("event_ts", F.timestamp_micros("us"))
+def bucket_stream(events: DataFrame, key: str, ts: str, aggregates: Sequence[Column],
+                  watermark: str = REPLAY, width: str = BUCKET, out: str = "_ff_b") -> DataFrame:
+    """``aggregates`` per key and time bucket of a stream, in update mode.
+    The bucket's start is ``out``, in wall-clock time like ``ts``; day-wide
+    buckets are those of :func:`fleetframe.operators.lifecycle.day_bucket`."""
+    src = (events.withColumn("event_ts", F.timestamp_micros(epoch_micros(events, ts)))
            .withWatermark("event_ts", watermark))
-    if final:
-        return (src.groupBy("key")
-                .applyInPandasWithState(_first_success(True), _FS_OUT, _FS_STATE, "append",
-                                        GroupStateTimeout.EventTimeTimeout))
-    return (src.groupBy("key")
-            .applyInPandasWithState(_first_success(False), _FS_OUT, _FS_STATE, "update",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def run_append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """Start an append-mode stream into Parquet files at ``path`` (the file
-    sink's commit log makes it exactly-once across restarts)."""
-    writer = (stream.writeStream.outputMode("append").format("parquet")
-              .option("path", path).option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
-
+    grouped = src.groupBy(key, F.window("event_ts", width).alias("_ff_w")).agg(*aggregates)
+    start = from_epoch_micros(F.unix_micros(F.col("_ff_w")["start"]))
+    return grouped.withColumn(out, start).drop("_ff_w")
 
-_RT_STATE = "start_us long, start_tie long, settled_end_us long, pending_us string, pending_tie string"
-_RT_OUT = "key string, start_us long, start_tie long, end_us long, status string, asof_ms long"
 
+def last_millisecond(buckets: DataFrame, last: str = "last_ts") -> Column:
+    """The latest event time of a folded log, in whole milliseconds."""
+    return buckets.select(F.date_trunc("millisecond", F.max(last))).scalar()
 
-def _run_timeout_fn(cut_us: int):
-    """Keyed state for T2.  The run starts at the earliest start event and
-    ends at the first end event after it.  Ends below the watermark are
-    settled (a later start can only be at or above the watermark, so a
-    settled end's relation to the start never changes); ends at or above
-    it wait in ``pending``.  ``asof`` is the watermark: a run without an
-    end is ``timed_out`` once the watermark reaches start + cut, and an
-    event-time timeout wakes the key when that happens without new data.
-    """
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.exists:
-            start_us, start_tie, settled_end, p_us, p_tie = state.get
-            start = (start_us, start_tie) if start_us is not None else None
-            pending = list(zip(_split(p_us), _split(p_tie)))
-        else:
-            start, settled_end, pending = None, None, []
-        wm_ms = max(state.getCurrentWatermarkMs(), 0)
-        wm_us = wm_ms * 1000
-        for pdf in batches:
-            for us, tie, is_start, is_end in zip(pdf["us"].tolist(), pdf["tie"].tolist(),
-                                                 pdf["is_start"].tolist(), pdf["is_end"].tolist()):
-                if is_start and (start is None or (us, tie) < start):
-                    start = (us, tie)
-                if is_end:
-                    pending.append((us, tie))
-        keep = []
-        for item in pending:
-            if item[0] >= wm_us:
-                keep.append(item)
-            elif start is not None and item > start:
-                settled_end = item[0] if settled_end is None else min(settled_end, item[0])
-        if start is None:
-            if keep:
-                state.update((None, None, None, _join(i[0] for i in keep), _join(i[1] for i in keep)))
-            else:
-                state.remove()
-            return
-        ends = [i[0] for i in keep if i > start] + ([settled_end] if settled_end is not None else [])
-        end_us = min(ends) if ends else None
-        if end_us is not None:
-            status = "finished" if end_us - start[0] <= cut_us else "timed_out"
-        elif wm_us - start[0] >= cut_us:
-            status = "timed_out"
-        else:
-            status = "running"
-            deadline_ms = -(-(start[0] + cut_us) // 1000)
-            state.setTimeoutTimestamp(max(deadline_ms - 1, wm_ms, 1))
-        state.update((start[0], start[1], settled_end, _join(i[0] for i in keep), _join(i[1] for i in keep)))
-        yield pd.DataFrame({"key": [str(key[0])], "start_us": [start[0]], "start_tie": [start[1]],
-                            "end_us": [end_us], "status": [status], "asof_ms": [wm_ms]})
-    return fn
 
-
-def run_timeout_stream(events: DataFrame, key: str, ts: str, tie: str, start: str, end: str,
-                       timeout_s: float, poll_s: float = 1.0, watermark: str = "0 seconds") -> DataFrame:
-    """T2 on a stream (update mode).  ``start``/``end`` are boolean
-    columns.  The cut-off is rounded up to the poll interval as in the
-    batch form; ``asof`` is the watermark (the latest event time minus the
-    delay), so a finished stream equals the batch operator run with that
-    ``asof``."""
-    cut_us = int(-(-timeout_s // poll_s) * poll_s * 1_000_000)
-    src = events.select(F.col(key).cast("string").alias("key"),
-                        epoch_micros(events, ts).alias("us"),
-                        F.col(tie).cast("long").alias("tie"),
-                        F.col(start).alias("is_start"), F.col(end).alias("is_end"))
-    src = (src.withColumn("event_ts", F.timestamp_micros("us"))
-           .withWatermark("event_ts", watermark))
-    return (src.groupBy("key")
-            .applyInPandasWithState(_run_timeout_fn(cut_us), _RT_OUT, _RT_STATE, "update",
-                                    GroupStateTimeout.EventTimeTimeout))
+def settled(result: DataFrame, asof: Column, success: str = "success_ts") -> DataFrame:
+    """The rows of a first-success result that can change no more once every
+    row up to ``asof`` has been seen: those that succeeded before it."""
+    return result.where(F.col(success) < asof)
 
 
 EPOCH_NTZ = "1970-01-01 00:00:00"
@@ -270,7 +120,7 @@ def compact_upserts(spark: SparkSession, path: str, keys: list[str], snapshot: s
 
 def stream_workdir(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh (output, checkpoint) folders for one run under the shared
-    checkpoint folder; a scratch folder only in local mode when unset."""
-    base = checkpoint_dir(spark, local_fallback=is_local(spark)).rstrip("/")
+    checkpoint folder."""
+    base = checkpoint_dir(spark)
     run = f"{base}/streams/{name}-{uuid.uuid4().hex[:12]}"
     return f"{run}/out", f"{run}/checkpoint"

@@ -51,6 +51,16 @@ def test_copy_verdicts(spark):
     assert kinds[5] == "invalid"
 
 
+def test_copy_verdicts_without_a_source(spark):
+    """A request without sources is legal: it has no host unless its target
+    has one."""
+    sources = spark.createDataFrame([(3, "a")], "request_id long, host string")
+    targets = spark.createDataFrame([(1, None), (2, "b"), (3, None)], "request_id long, host string")
+    got = {r["request_id"]: (r["n_source_hosts"], r["verdict"], r["host"])
+           for r in keyed.copy_verdict(sources, targets, "request_id").collect()}
+    assert got == {1: (0, "no_host", None), 2: (0, "ok", "b"), 3: (1, "ok", "a")}
+
+
 def test_capacity_rollup_golden(spark):
     cfg = fx.frames(spark)["cluster_configs"].where("prefix = 'big'")
     from fleetframe.operators import sequences

@@ -42,6 +42,58 @@ def test_run_timeout_rounds_up_to_poll(spark):
                    "lost": "timed_out", "end_before": "timed_out"}  # an end before the start does not count
 
 
+def _hot(spark):
+    """Two thirds of 12,000 rows on one key, over forty days; its first
+    success is on the tenth day."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1 if i % 3 else 2 + i % 7, base + dt.timedelta(minutes=4 * i + 2880 * (i // 600)), i,
+             i % 3 == 1 and i > 2990 and i % 50 == 0) for i in range(12_000)]
+    return spark.createDataFrame(rows, "k int, ts timestamp_ntz, id long, ok boolean"), rows
+
+
+def test_hot_key_is_spread_by_bucket(spark):
+    """No task gets a hot key's rows: they are reduced per (key, day) first,
+    and only the deciding day's rows are compared."""
+    df, rows = _hot(spark)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lifecycle.first_success(df.repartition(8), "k", "ts", "id", F.col("ok"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["k"]: (r["success_id"], r["attempts_before"]) for r in out.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # Single rows are shuffled by (key, bucket) only; by key alone, aggregates are.
+    singles = [x for x in plan.splitlines() if "hashpartitioning(_ff_kb" in x]
+    assert len(singles) == 2 and "hashpartitioning(k#" in plan
+    per = {}
+    for r in rows:
+        per[(r[0], r[1].date())] = per.get((r[0], r[1].date()), 0) + 1
+    hot = sum(n for (k, _), n in per.items() if k == 1)
+    assert max(per.values()) < hot / 10
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2], r[3]) for r in rows if r[0] == k)
+        at = next((n for n, r in enumerate(mine) if r[2]), None)
+        want[k] = (None, len(mine)) if at is None else (mine[at][1], at)
+    assert got == want
+
+
+def test_any_rising_bucket_gives_the_same(spark):
+    df, _ = _hot(spark)
+    start, end = F.col("id") % 11 == 3, F.col("id") % 13 == 5
+    want = [sorted(tuple(r) for r in q.collect()) for q in (
+        lifecycle.first_success(df, "k", "ts", "id", F.col("ok"), F.lit(0)),
+        lifecycle.run_timeout(df, "k", "ts", "id", start, end, 3600, bucket=F.lit(0)))]
+    for b in (F.date_trunc("hour", F.col("ts")), F.col("ts")):
+        got = [sorted(tuple(r) for r in q.collect()) for q in (
+            lifecycle.first_success(df, "k", "ts", "id", F.col("ok"), b),
+            lifecycle.run_timeout(df, "k", "ts", "id", start, end, 3600, bucket=b))]
+        assert got == want
+
+
 def test_latest_state(spark):
     out = {r["node"]: r["status"] for r in lifecycle.latest_state(_probes(spark), "node", ["ts", "probe_id"]).collect()}
     assert out == {"never": 255, "first": 0, "later": 255, "shuffled": 0}

@@ -6,9 +6,10 @@ import pytest
 from tests.conftest import SF_ORACLE
 from tests.oracle_check import compare, duck
 
-import __spark_entry__ as entry_mod
+from fleetframe.plans.oracle import ORACLE
+from fleetframe.plans.queries import QUERIES
 
-NAMES = sorted(entry_mod.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con():
 
 
 def test_every_query_has_oracle():
-    missing = set(entry_mod.queries()) - set(entry_mod.oracle_sql())
+    missing = set(QUERIES) - set(ORACLE)
     assert missing == set()
 
 

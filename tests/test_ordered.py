@@ -70,28 +70,39 @@ def test_hot_key_spreads_over_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", saved)
 
 
-def test_adaptive_bucket_splits_hot_groups_exactly(spark):
-    rng = random.Random(17)
-    # key 1 holds most rows, all in one coarse bucket
-    rows = [(1 if i % 5 else rng.randint(2, 4), i, rng.randint(0, 10_000)) for i in range(3000)]
+def _check_adaptive(spark, rows, max_rows, most):
     df = spark.createDataFrame(rows, "k int, id int, pos int")
-    coarse = F.floor(F.col("pos") / 100_000)                       # one coarse bucket for everything
-    b = ordered.adaptive_bucket(df, ["k"], "pos", coarse, max_rows=300)
+    b = ordered.adaptive_bucket(df, ["k"], ["pos", "id"], F.floor(F.col("pos") / 100_000), max_rows=max_rows)
     sizes = {(r["k"], r["_ff_abk"]["f"]): r["count"] for r in b.groupBy("k", "_ff_abk").count().collect()}
-    assert max(sizes.values()) < 600                               # about max_rows per (key, bucket)
-    assert len([s for s in sizes if s[0] == 1]) >= 6               # the hot key is cut into many
-    # monotone: a higher position never gets a lower bucket
-    per = sorted((r["pos"], r["_ff_abk"]["f"]) for r in b.where("k = 1").collect())
-    assert all(a[1] <= c[1] for a, c in zip(per, per[1:]))
+    assert max(sizes.values()) <= most
+    # monotone: a row later in the order never gets a lower bucket
+    per = sorted((r["pos"], r["id"], r["_ff_abk"]["f"]) for r in b.where("k = 1").collect())
+    assert all(a[2] <= c[2] for a, c in zip(per, per[1:]))
     got = {r["id"]: r["s"] for r in ordered.row_number(b, ["k"], ["pos", "id"], "s", bucket=F.col("_ff_abk")).collect()}
     want = {}
     for k in {r[0] for r in rows}:
         for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])), 1):
             want[r[1]] = n
     assert got == want
+    return sizes
+
+
+def test_adaptive_bucket_splits_hot_groups_exactly(spark):
+    rng = random.Random(17)
+    # key 1 holds most rows, all in one coarse bucket
+    rows = [(1 if i % 5 else rng.randint(2, 4), i, rng.randint(0, 10_000)) for i in range(3000)]
+    sizes = _check_adaptive(spark, rows, 300, 600)
+    assert len([s for s in sizes if s[0] == 1]) >= 6
+
+
+def test_adaptive_bucket_splits_ties(spark):
+    """Three quarters of the rows share one value of the first order column."""
+    rows = [(1, i, 7 if i % 4 else i) for i in range(20_000)]
+    sizes = _check_adaptive(spark, rows, 1000, 1500)
+    assert len(sizes) >= 20
 
 
 def test_adaptive_bucket_without_hot_groups(spark):
     df = spark.createDataFrame([(1, i, i) for i in range(10)], "k int, id int, pos int")
-    b = ordered.adaptive_bucket(df, ["k"], "pos", F.lit(0), max_rows=100)
+    b = ordered.adaptive_bucket(df, ["k"], ["pos", "id"], F.lit(0), max_rows=1 << 20)
     assert {r["_ff_abk"]["f"] for r in b.collect()} == {0}

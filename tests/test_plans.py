@@ -4,10 +4,10 @@ filters and pruning reach the scans."""
 
 import pytest
 
-import __spark_entry__ as entry_mod
+from fleetframe.plans.queries import QUERIES
 from tests.conftest import SF_SMALL
 
-NAMES = sorted(entry_mod.queries())
+NAMES = sorted(QUERIES)
 
 
 def _plan(df) -> str:
@@ -16,7 +16,7 @@ def _plan(df) -> str:
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_bad_operators(spark, name):
-    plan = _plan(entry_mod.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, f"{name}: {bad}"
     # One partition is allowed only to finish a global aggregate whose
@@ -28,11 +28,11 @@ def test_no_bad_operators(spark, name):
 
 
 def test_worker_filter_pushes_startswith(spark):
-    plan = _plan(entry_mod.queries()["worker_filter"](spark, SF_SMALL))
+    plan = _plan(QUERIES["worker_filter"](spark, SF_SMALL))
     assert "StringStartsWith(c_name,Customer#0000001)" in plan
 
 
 def test_scans_are_pruned(spark):
-    plan = _plan(entry_mod.queries()["null_default"](spark, SF_SMALL))
+    plan = _plan(QUERIES["null_default"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan or "struct<doc_id:bigint,lang:string>" in plan
     assert "text" not in plan.split("documents.parquet")[1].split("\n")[0]

@@ -64,12 +64,22 @@ def test_render_and_outcome(spark):
     assert (out[1]["failed"], out[1]["running"]) == (False, False)
     assert (out[2]["failed"], out[2]["first_failed_stage"]) == (True, 1)
     assert (out[3]["failed"], out[3]["running"]) == (False, True)
-    rendered = {r["pipeline_id"]: r for r in sequences.render_stages(stages, ["pipeline_id"], "stage", "cmd", code="code").collect()}
-    assert rendered[2]["rendered"] == "cmd0 | cmd1 | cmd2"
-    assert rendered[2]["codes"] == "0,2,0"
-    assert rendered[3]["codes"] == "0,null"
-    chunked = sequences.render_stages(stages, ["pipeline_id"], "stage", "cmd", chunk=2).where("pipeline_id = 1")
-    assert sorted((r["chunk_no"], r["rendered"]) for r in chunked.collect()) == [(0, "cmd0 | cmd1"), (1, "cmd2")]
+    rows = sequences.render_stages(stages, ["pipeline_id"], "stage", "cmd", "code", "out", "err")
+    by = lambda k, c: [r[c] for r in sorted(rows.where(F.col("pipeline_id") == k).collect(), key=lambda r: r["position"])]
+    assert by(2, "token") == ["cmd0", "cmd1", "cmd2"] and by(2, "code") == [0, 2, 0] and by(2, "n_stages") == [3, 3, 3]
+    assert by(3, "code") == [0, None] and by(1, "position") == [0, 1, 2]
+    assert {r["pipeline_id"]: r["rendered"] for r in sequences.rendered(rows, ["pipeline_id"]).collect()}[2] == "cmd0 | cmd1 | cmd2"
+
+
+def test_render_keeps_one_shape_whatever_the_length(spark):
+    n = 2500
+    df = (spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("s"), F.concat(F.lit("t"), "id").alias("tok"),
+                                F.lit(0).alias("c"), F.concat(F.lit("line\nof "), "id").alias("o"))
+          .unionByName(spark.sql("select 2 as k, 0L as s, 't0' as tok, 0 as c, 'x' as o")))
+    for bucket in (None, F.floor(F.col("s") / 100)):
+        rows = sequences.render_stages(df, ["k"], "s", "tok", "c", "o", F.lit(None).cast("string"), bucket=bucket)
+        got = sorted((r["k"], r["position"], r["token"], r["out"], r["n_stages"]) for r in rows.collect())
+        assert got == [(1, i, f"t{i}", f"line\nof {i}", n) for i in range(n)] + [(2, 0, "t0", "x", 1)]
 
 
 def test_expand_nodes_edges(spark):
@@ -115,9 +125,8 @@ def test_label_runs_one_row_per_bucket(spark):
 def test_render_collects_decoded_outputs(spark):
     from fleetframe.functions.text import decode_safe
     stages = fx.frames(spark)["stages"].withColumn("cmd", F.concat(F.lit("cmd"), F.col("stage").cast("string")))
-    out = {r["pipeline_id"]: r for r in sequences.render_stages(
-        stages, ["pipeline_id"], "stage", "cmd", code="code",
-        collect={"outputs": (decode_safe("out"), "\n"), "errors": (decode_safe("err"), "\n")}).collect()}
-    assert out[2]["outputs"] == "a\n\nc" and out[2]["errors"] == "\nboom\n"
-    assert out[3]["outputs"] == "a\n"                # null output of a running stage
-    assert out[4]["outputs"] == "0xC328"
+    rows = sequences.render_stages(stages, ["pipeline_id"], "stage", "cmd", "code", decode_safe("out"), decode_safe("err")).collect()
+    values = lambda k, c: [r[c] for r in sorted((r for r in rows if r["pipeline_id"] == k), key=lambda r: r["position"])]
+    assert values(2, "out") == ["a", "", "c"] and values(2, "err") == ["", "boom", ""]
+    assert values(3, "out") == ["a", ""]                # null output of a running stage
+    assert values(4, "out") == ["0xC328"]

@@ -1,28 +1,29 @@
-from pyspark.sql import functions as F
-
-from fleetframe.plans.joins import broadcast_if_small
-from fleetframe.session import checkpoint_dir, is_local
+from fleetframe.session import checkpoint_dir
 
 
 def test_checkpoint_dir_reads_the_session_setting(spark):
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert is_local(spark)
 
 
-def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+def test_asking_again_adds_no_folder(spark):
+    first = spark.sparkContext.getCheckpointDir()
+    assert checkpoint_dir(spark) == checkpoint_dir(spark)
+    assert spark.sparkContext.getCheckpointDir() == first
 
 
-def test_broadcast_only_under_the_counted_bound(spark):
-    saved = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"),
-             spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        big = spark.range(2000).withColumnRenamed("id", "k")
-        small = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-        assert "BroadcastExchange" in _plan(big.join(broadcast_if_small(small, max_rows=10), "k"))
-        assert "BroadcastExchange" not in _plan(big.join(broadcast_if_small(small, max_rows=9), "k"))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved[0])
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", saved[1])
+def test_building_batch_queries_runs_no_job(spark):
+    """Only the streams, which run to their end, the log written as text and
+    the operators that cut their lineage start jobs before they are asked."""
+    from fleetframe.plans.queries import QUERIES
+    eager = {n for n in QUERIES if n.endswith(("_stream", "_final"))} | {"log_roundtrip"}
+    sc = spark.sparkContext
+    for name in sorted(set(QUERIES) - eager):
+        sc.setJobGroup(f"build-{name}", name)
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        # Reading a file's schema is a job of Spark's own, one per table.
+        jobs = sc.statusTracker().getJobIdsForGroup(f"build-{name}")
+        for j in jobs:
+            stages = sc.statusTracker().getJobInfo(j).stageIds
+            assert all(sc.statusTracker().getStageInfo(s).numTasks == 1 for s in stages), name
+            assert all("parquet" in sc.statusTracker().getStageInfo(s).name for s in stages), name
+    sc.setLocalProperty("spark.jobGroup.id", None)

@@ -5,162 +5,179 @@ import datetime as dt
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetframe.operators import lifecycle
+from fleetframe.plans import queries
 from fleetframe.streaming import stateful as streaming
+from tests.oracle_check import compare, duck
 
+PROBES = "event_id long, user_id long, ts timestamp_ntz, ok boolean"
+RUNS = "event_id long, user_id long, ts timestamp_ntz, is_start boolean, is_end boolean"
+BASE = dt.datetime(2024, 1, 1)
 
-def _write_chunks(spark, rows, folder, n_files, schema):
-    for i in range(n_files):
-        chunk = rows[i::n_files]
-        spark.createDataFrame(chunk, schema).coalesce(1).write.parquet(os.path.join(folder, f"part{i:02d}"))
 
+def _stream(spark, folder, blocks, schema):
+    """One file per block, read one per micro-batch, in the blocks' order."""
+    for i, rows in enumerate(blocks):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(folder, f"part{i:03d}"))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(folder))
 
-def _events(seed=1, n=400):
+
+def _folded(spark, stream, name):
+    out, ckpt = streaming.stream_workdir(spark, name)
+    streaming.run_upserts(stream, out, ckpt).awaitTermination()
+    return streaming.read_upserts(spark, out, ["user_id", "_ff_b"])
+
+
+def _first_success(spark, folder, blocks, watermark, width="1 day", bucket=None):
+    """(stream result, batch result) as sorted rows."""
+    bucket = lifecycle.day_bucket("ts") if bucket is None else bucket
+    stream = streaming.bucket_stream(_stream(spark, folder, blocks, PROBES), "user_id", "ts",
+                                     lifecycle.success_aggregates("ts", "event_id", F.col("ok")), watermark, width)
+    rows = spark.createDataFrame([r for b in blocks for r in b], PROBES)
+    got = lifecycle.first_success_from(_folded(spark, stream, "t1"), rows, "user_id", "ts", "event_id", "_ff_b", bucket)
+    want = lifecycle.first_success(rows, "user_id", "ts", "event_id", F.col("ok"), bucket)
+    return got.orderBy("user_id").collect(), want.orderBy("user_id").collect()
+
+
+def _run_timeout(spark, folder, blocks, timeout_s, watermark):
+    stream = streaming.bucket_stream(_stream(spark, folder, blocks, RUNS), "user_id", "ts",
+                                     lifecycle.run_aggregates("ts", "event_id", F.col("is_start"), F.col("is_end")), watermark)
+    rows = spark.createDataFrame([r for b in blocks for r in b], RUNS)
+    buckets = _folded(spark, stream, "t2")
+    got = lifecycle.run_timeout_from(buckets, rows, "user_id", "ts", "event_id", F.col("is_end"), "_ff_b",
+                                     lifecycle.day_bucket("ts"), timeout_s, 7, streaming.last_millisecond(buckets))
+    want = lifecycle.run_timeout(rows, "user_id", "ts", "event_id", F.col("is_start"), F.col("is_end"), timeout_s, 7)
+    return got.orderBy("user_id").collect(), want.orderBy("user_id").collect()
+
+
+def _events(seed, n, step=dt.timedelta(minutes=20)):
     rng = random.Random(seed)
-    base = dt.datetime(2024, 1, 1)
-    rows = []
-    for i in range(n):
-        k = rng.randint(0, 9)
-        t = base + dt.timedelta(minutes=i, seconds=rng.randint(0, 50))
-        rows.append((i, k, t, rng.random() < 0.08))
-    return rows
-
-
-def test_first_success_stream_equals_batch(spark, scratch_dir):
-    rows = _events()
-    schema = "event_id long, user_id long, ts timestamp_ntz, ok boolean"
-    src = os.path.join(scratch_dir, "src")
-    # files interleave time ranges: later files hold earlier events
-    _write_chunks(spark, rows, src, 5, schema)
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    out, ckpt = streaming.stream_workdir(spark, "t1-test")
-    q = streaming.run_upserts(streaming.first_success_stream(stream, "user_id", "ts", "event_id", "ok",
-                                                             watermark="1 day"), out, ckpt)
-    q.awaitTermination()
-    got = {int(r["key"]): (r["success_tie"], r["attempts_before"])
-           for r in streaming.read_upserts(spark, out, ["key"]).collect()}
-    batch = spark.createDataFrame(rows, schema)
-    want = {r["user_id"]: (r["success_event_id"], r["attempts_before"])
-            for r in lifecycle.first_success(batch, "user_id", "ts", "event_id", F.col("ok")).collect()}
-    assert got == want
-    assert len(spark.read.parquet(out).select("_batch_id").distinct().collect()) == 5
+    return [(i, rng.randint(0, 9), BASE + i * step + dt.timedelta(seconds=rng.randint(0, 50)), rng.random() < 0.02)
+            for i in range(n)]
 
 
-def test_latest_state_stream_equals_batch(spark, scratch_dir):
-    rows = _events(seed=2)
-    schema = "event_id long, user_id long, ts timestamp_ntz, ok boolean"
-    src = os.path.join(scratch_dir, "src")
-    _write_chunks(spark, rows, src, 4, schema)
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    out, ckpt = streaming.stream_workdir(spark, "t3-test")
-    q = streaming.run_upserts(streaming.latest_state_stream(stream, "user_id", ["ts", "event_id"],
-                                                            ["event_id", "ts", "ok"]), out, ckpt)
-    q.awaitTermination()
-    got = sorted(tuple(r) for r in streaming.read_upserts(spark, out, ["user_id"]).select("user_id", "event_id").collect())
-    batch = spark.createDataFrame(rows, schema)
-    want = sorted(tuple(r) for r in lifecycle.latest_state(batch, "user_id", ["ts", "event_id"]).select("user_id", "event_id").collect())
+def test_first_success_equals_batch_over_many_days(spark, scratch_dir):
+    rows = _events(1, 600)  # eight days, files interleaved
+    got, want = _first_success(spark, scratch_dir, [rows[i::5] for i in range(5)], "10 days")
     assert got == want
+    assert any(r.success_ts and r.success_ts.date() > r.first_ts.date() for r in want)
+
+
+def test_narrow_buckets_give_the_same(spark, scratch_dir):
+    rows = _events(2, 300, dt.timedelta(minutes=3))
+    hour = F.date_trunc("hour", F.col("ts"))
+    got, want = _first_success(spark, scratch_dir, [rows[i::4] for i in range(4)], "2 days", "1 hour", hour)
+    plain = lifecycle.first_success(spark.createDataFrame(rows, PROBES), "user_id", "ts", "event_id", F.col("ok"))
+    assert got == want == plain.orderBy("user_id").collect()
+
 
+def test_a_success_that_comes_late(spark, scratch_dir):
+    """Four failures from 5:00 to 11:00, then a success stamped 1:00."""
+    rows = [(i, 1, BASE + dt.timedelta(hours=h), False) for i, h in enumerate((5, 7, 9, 11))] + [(9, 1, BASE + dt.timedelta(hours=1), True)]
+    got, want = _first_success(spark, scratch_dir, [[r] for r in rows], "1 hour")
+    assert got == want and got[0].attempts_before == 0
 
-def test_first_success_never_succeeds_stays_open(spark, scratch_dir):
-    rows = [(1, 7, dt.datetime(2024, 1, 1, 0, 0, s), False) for s in range(3)]
-    schema = "event_id long, user_id long, ts timestamp_ntz, ok boolean"
-    src = os.path.join(scratch_dir, "src")
-    _write_chunks(spark, [(i, *r[1:]) for i, r in enumerate(rows)], src, 1, schema)
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
-    out, ckpt = streaming.stream_workdir(spark, "t1-open")
-    streaming.run_upserts(streaming.first_success_stream(stream, "user_id", "ts", "event_id", "ok"), out, ckpt).awaitTermination()
-    row = streaming.read_upserts(spark, out, ["key"]).first()
-    assert row["success_us"] is None and row["attempts_before"] == 3
 
+def test_an_earlier_success_that_comes_late(spark, scratch_dir):
+    """Attempts at minutes 10 and 20, another user at 25, then successes
+    stamped 15 and 30."""
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    rows = [(1, 1, at(10), False), (2, 1, at(20), False), (5, 2, at(25), False), (3, 1, at(15), True), (4, 1, at(30), True)]
+    got, want = _first_success(spark, scratch_dir, [[r] for r in rows], "1 hour")
+    assert got == want and (got[0].success_event_id, got[0].attempts_before) == (3, 1)
 
-def test_run_timeout_stream_equals_batch_at_watermark(spark, scratch_dir):
+
+def test_an_end_that_comes_late(spark, scratch_dir):
+    """A start at minute 10, other rows at 20 and 25, an end stamped 15."""
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    rows = [(1, 1, at(10), True, False), (2, 1, at(20), False, False), (3, 2, at(25), False, False), (4, 1, at(15), False, True)]
+    got, want = _run_timeout(spark, scratch_dir, [[r] for r in rows], 3600, "1 hour")
+    assert got == want and got[0].status == "finished"
+
+
+def test_run_timeout_equals_batch(spark, scratch_dir):
     rng = random.Random(9)
-    base = dt.datetime(2024, 1, 1)
     rows = []
     for i in range(480):
         kind = rng.choices(["start", "end", "other"], [0.1, 0.1, 0.8])[0]
-        rows.append((i, rng.randint(0, 11), base + dt.timedelta(minutes=i, seconds=rng.randint(0, 59)),
-                     kind == "start", kind == "end"))
-    schema = "event_id long, user_id long, ts timestamp_ntz, is_start boolean, is_end boolean"
-    src = os.path.join(scratch_dir, "src")
-    # 20-minute blocks arrive pairwise swapped: at most 40 minutes out of order
-    blocks = [rows[i:i + 20] for i in range(0, len(rows), 20)]
-    order = [j for k in range(0, len(blocks), 2) for j in (k + 1, k) if j < len(blocks)]
-    for n, j in enumerate(order):
-        spark.createDataFrame(blocks[j], schema).coalesce(1).write.parquet(os.path.join(src, f"part{n:02d}"))
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    out, ckpt = streaming.stream_workdir(spark, "t2-test")
-    q = streaming.run_upserts(streaming.run_timeout_stream(stream, "user_id", "ts", "event_id", "is_start", "is_end",
-                                                           timeout_s=90 * 60, poll_s=7, watermark="1 hour"), out, ckpt)
-    q.awaitTermination()
-    got = {int(r["key"]): r["status"] for r in streaming.read_upserts(spark, out, ["key"]).collect()}
-    max_ts = max(r[2] for r in rows)
-    wm_ms = int((max_ts - dt.datetime(1970, 1, 1)).total_seconds() * 1000) - 3_600_000
-    asof = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=wm_ms)
-    batch = spark.createDataFrame(rows, schema)
-    want = {r["user_id"]: r["status"] for r in lifecycle.run_timeout(
-        batch, "user_id", "ts", "event_id", F.col("is_start"), F.col("is_end"), 90 * 60, 7,
-        asof=F.lit(asof).cast("timestamp_ntz")).collect()}
+        rows.append((i, rng.randint(0, 30), BASE + dt.timedelta(minutes=17 * i, seconds=rng.randint(0, 59)), kind == "start", kind == "end"))
+    got, want = _run_timeout(spark, scratch_dir, [rows[i::4] for i in range(4)], 36 * 3600, "10 days")
+    assert got == want
+    assert {r.status for r in want} >= {"finished", "timed_out"}
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, scratch_dir):
+    day = dt.timedelta(days=1)
+    rows = [(1, 1, BASE + 9 * day, False), (2, 1, BASE + 10 * day, False), (3, 2, BASE + 11 * day, False), (4, 1, BASE, True)]
+    got, want = _first_success(spark, scratch_dir, [[r] for r in rows], "1 day")
+    assert got[0].success_ts is None and want[0].success_event_id == 4
+
+
+def test_never_succeeds_stays_open(spark, scratch_dir):
+    rows = [(s, 7, BASE + dt.timedelta(seconds=s), False) for s in range(3)]
+    got, want = _first_success(spark, scratch_dir, [rows], "1 hour")
+    assert got == want and got[0].success_ts is None and got[0].attempts_before == 3
+
+
+def test_latest_state_stream_equals_batch(spark, scratch_dir):
+    rows = _events(2, 400)
+    stream = _stream(spark, scratch_dir, [rows[i::4] for i in range(4)], PROBES)
+    out, ckpt = streaming.stream_workdir(spark, "t3-test")
+    streaming.run_upserts(streaming.latest_state_stream(stream, "user_id", ["ts", "event_id"], ["event_id", "ts", "ok"]),
+                          out, ckpt).awaitTermination()
+    got = sorted(tuple(r) for r in streaming.read_upserts(spark, out, ["user_id"]).select("user_id", "event_id").collect())
+    batch = spark.createDataFrame(rows, PROBES)
+    want = sorted(tuple(r) for r in lifecycle.latest_state(batch, "user_id", ["ts", "event_id"]).select("user_id", "event_id").collect())
     assert got == want
-    assert set(want.values()) >= {"finished", "timed_out"}
-
-
-def test_first_success_final_emits_each_key_once(spark, scratch_dir):
-    rows = _events(seed=3, n=600)
-    schema = "event_id long, user_id long, ts timestamp_ntz, ok boolean"
-    src = os.path.join(scratch_dir, "src")
-    blocks = [rows[i:i + 30] for i in range(0, len(rows), 30)]           # 30-minute blocks
-    order = [j for k in range(0, len(blocks), 2) for j in (k + 1, k) if j < len(blocks)]
-    for n, j in enumerate(order):
-        spark.createDataFrame(blocks[j], schema).coalesce(1).write.parquet(os.path.join(src, f"part{n:02d}"))
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    out, ckpt = streaming.stream_workdir(spark, "t1-final")
-    streaming.run_append(streaming.first_success_stream(stream, "user_id", "ts", "event_id", "ok",
-                                                        watermark="2 hours", final=True), out, ckpt).awaitTermination()
-    emitted = spark.read.parquet(out).collect()
-    keys = [int(r["key"]) for r in emitted]
-    assert len(keys) == len(set(keys))                                     # exactly once
-    got = {int(r["key"]): (r["success_tie"], r["attempts_before"]) for r in emitted}
-    max_ts = max(r[2] for r in rows)
-    wm = dt.datetime(1970, 1, 1) + dt.timedelta(
-        milliseconds=int((max_ts - dt.datetime(1970, 1, 1)).total_seconds() * 1000) - 7_200_000)
-    batch = spark.createDataFrame(rows, schema)
-    want = {r["user_id"]: (r["success_event_id"], r["attempts_before"])
-            for r in lifecycle.first_success(batch, "user_id", "ts", "event_id", F.col("ok")).collect()
-            if r["success_ts"] is not None and r["success_ts"] < wm}
-    assert got == want and len(want) > 0
-
-
-def test_compacted_upserts_read_the_same(spark, scratch_dir):
-    rows = _events(seed=4, n=300)
-    schema = "event_id long, user_id long, ts timestamp_ntz, ok boolean"
-    src = os.path.join(scratch_dir, "src")
+
+
+def test_compacted_log_folds_to_the_same(spark, scratch_dir):
+    rows = _events(4, 200)
+    stream = _stream(spark, os.path.join(scratch_dir, "src"), [rows[i::3] for i in range(3)], PROBES)
     out, ckpt = streaming.stream_workdir(spark, "compact")
-    snap = os.path.join(scratch_dir, "snapshot")
-
-    def run():
-        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-                  .option("recursiveFileLookup", "true").parquet(src))
-        streaming.run_upserts(streaming.latest_state_stream(stream, "user_id", ["ts", "event_id"], ["event_id", "ts"]),
-                              out, ckpt).awaitTermination()
-
-    for i in range(2):
-        spark.createDataFrame(rows[i * 100:(i + 1) * 100], schema).coalesce(1).write.parquet(os.path.join(src, f"p{i}"))
-    run()
-    streaming.compact_upserts(spark, out, ["user_id"], snap)          # batches 0-1 folded
-    spark.createDataFrame(rows[200:], schema).coalesce(1).write.parquet(os.path.join(src, "p2"))
-    run()                                                             # batch 2 lands after the snapshot
-    direct = sorted(tuple(r) for r in streaming.read_upserts(spark, out, ["user_id"]).select("user_id", "event_id").collect())
-    via = sorted(tuple(r) for r in streaming.read_upserts(spark, out, ["user_id"], snapshot=snap)
-                 .select("user_id", "event_id").collect())
-    batch = spark.createDataFrame(rows, schema)
-    want = sorted(tuple(r) for r in lifecycle.latest_state(batch, "user_id", ["ts", "event_id"])
-                  .select("user_id", "event_id").collect())
-    assert direct == via == want
+    streaming.run_upserts(streaming.latest_state_stream(stream, "user_id", ["ts", "event_id"], ["event_id", "ts"]),
+                          out, ckpt).awaitTermination()
+    snap = os.path.join(scratch_dir, "snap")
+    streaming.compact_upserts(spark, out, ["user_id"], snap)
+    full = streaming.read_upserts(spark, out, ["user_id"])
+    from_snap = streaming.read_upserts(spark, out, ["user_id"], snapshot=snap)
+    key = lambda df: sorted(tuple(r) for r in df.select("user_id", "event_id").collect())
+    assert key(full) == key(from_snap)
+
+
+@pytest.fixture(scope="module")
+def part_files(spark, tmp_path_factory):
+    """A table folder of three part files, as large tables are."""
+    base = str(tmp_path_factory.mktemp("tables"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(f"{base}/events.parquet")
+    return base
+
+
+@pytest.mark.parametrize("name", ["first_success_stream", "first_success_final", "run_timeout_stream", "latest_state_stream"])
+def test_stream_queries_read_folders(spark, part_files, name, monkeypatch):
+    monkeypatch.setattr(queries, "FILES_PER_TRIGGER", 1)
+    con = duck("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{part_files}/events.parquet/*.parquet')")
+    result = compare(spark, name, part_files, con)
+    assert result["status"] == "ok", result
+
+
+def test_stream_reads_as_many_rows_as_the_table(spark, part_files):
+    for base in (part_files, "/root/testdata/sf0.001"):
+        stream = queries._event_stream(spark, base, 1)
+        out, ckpt = streaming.stream_workdir(spark, "count")
+        streaming.run_upserts(stream.groupBy("event_type").count(), out, ckpt).awaitTermination()
+        n = streaming.read_upserts(spark, out, ["event_type"]).agg(F.sum("count")).first()[0]
+        assert n == spark.read.parquet(f"{base}/events.parquet").count()
+
+
+def test_no_python_in_the_stream(spark, scratch_dir):
+    rows = spark.createDataFrame(_events(5, 20), PROBES)
+    b = rows.groupBy("user_id", lifecycle.day_bucket("ts").alias("_ff_b")).agg(
+        *lifecycle.success_aggregates("ts", "event_id", F.col("ok")))
+    plan = lifecycle.first_success_from(b, rows, "user_id", "ts", "event_id", "_ff_b", lifecycle.day_bucket("ts"))
+    assert "Python" not in plan._jdf.queryExecution().toString()

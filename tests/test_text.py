@@ -57,3 +57,11 @@ def test_decode_safe(spark):
     assert got[(1, 0)] == "a"
     assert got[(3, 1)] == ""              # null output
     assert got[(4, 0)] == "0xC328"        # not UTF-8
+
+
+def test_decode_safe_keeps_whole_values(spark):
+    from pyspark.sql import functions as F
+    long = "aé語😀" * 3000
+    df = spark.createDataFrame([(long.encode(),), (long.encode() + b"\xff",), (b"",), (None,)], "b binary")
+    got = [r[0] for r in df.select(text.decode_safe(F.col("b"))).collect()]
+    assert got == [long, "0x" + (long.encode() + b"\xff").hex().upper(), "", ""]
