@@ -83,33 +83,30 @@ def _bits(x: Column) -> Column:
 
 
 def _hot_links(hot: DataFrame, choices: list[tuple[int, ...]], max_bits: int) -> DataFrame:
-    """(a, b) links of postings with too many entries to pair."""
-    near = max_bits // 2
-
-    def flips(places: tuple[int, ...], most: int) -> list[int]:
-        free = [i for i in range(64) if i // 8 not in places]
-        return [_signed(sum(1 << i for i in pick)) for k in range(most + 1) for pick in itertools.combinations(free, k)]
-
-    links = None
-    for c, places in enumerate(choices):
-        # Odd limits need one more bit on one side; each side posts what it may reach.
-        words = {side: F.explode(F.array(*[F.lit(x) for x in flips(places, most)]))
-                 for side, most in (("a", near), ("b", max_bits - near))}
-        own = hot.where(F.col("c") == c)
-        out = own.select("v", "fp", words["b"].alias("x")).select("v", "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("w"))
-        hub = (out if near == max_bits - near else
-               own.select("v", "fp", words["a"].alias("x")).select("v", "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("w")))
-        least = hub.groupBy("v", "w").agg(F.min("fp").alias("b"))
-        found = out.join(least, ["v", "w"]).where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
-        links = found if links is None else links.union(found)
-    return links.distinct()
+    """(a, b) links of postings with too many entries to pair.  Two entries
+    within ``max_bits`` meet in a word that is within half of them of one
+    and within the rest of the other; only bits outside the posting's places
+    are flipped, as all entries agree in those."""
+    free = F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(64) if i // 8 not in p]) for p in choices])
+    keep_or_flip = F.concat(F.array(F.lit(0).cast("bigint")), F.element_at(free, F.col("c") + 1))
+
+    def words(bits: int) -> DataFrame:
+        out = hot.select("c", "v", "fp", F.col("fp").alias("w"))
+        for _ in range(bits):
+            out = (out.withColumn("x", F.explode(keep_or_flip))
+                   .select("c", "v", "fp", F.col("w").bitwiseXOR(F.col("x")).alias("w")))
+        return out
+
+    least = words(max_bits // 2).groupBy("c", "v", "w").agg(F.min("fp").alias("b"))
+    return (words(max_bits - max_bits // 2).join(least, ["c", "v", "w"])
+            .where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct())
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """(a, b) links whose connected components are those of the fingerprints
     (distinct long column ``fp``) within ``max_bits`` of each other."""
-    if not 0 <= max_bits <= 7 or max_bits % 2 and max_bits > 1:
-        raise ValueError("max_bits must be 0, 1, 2, 4 or 6: beyond, no shared byte is guaranteed")
+    if not 0 <= max_bits <= 7:
+        raise ValueError("max_bits must be from 0 to 7: beyond, no shared byte is guaranteed")
     choices = _choices(max_bits)
     posted = (prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(p))) for p in choices]))
                             .alias("c", "v"))

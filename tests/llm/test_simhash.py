@@ -67,7 +67,7 @@ def random_prints(n, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most,hot", [(4, 1024), (4, 2), (2, 1024), (2, 1), (6, 1024), (1, 1024), (0, 1024)])
+@pytest.mark.parametrize("most,hot", [(4, 1024), (4, 2), (2, 1024), (2, 1), (6, 1024), (3, 1), (1, 1), (0, 1024)])
 def test_links_keep_the_components(spark, most, hot):
     prints = random_prints(150, most)
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
