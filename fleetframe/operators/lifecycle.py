@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetframe.operators.keyed import last_wins
@@ -47,26 +47,25 @@ def first_success_from(buckets: DataFrame, rows: DataFrame, key: str, ts: str, t
     """T1 from ``buckets`` (:func:`success_aggregates` by key and ``b``) and
     the single ``rows``.
 
-    Buckets before the one that holds the first success count whole; only
-    the rows of that deciding bucket are compared one by one.  They meet the
-    success on (key, bucket), so a hot key's rows are spread by bucket, and
-    the counts are partial aggregates.
+    Buckets before the one that holds the first success count whole, by a
+    window over a key's buckets (its days, not its rows); only the rows of
+    that deciding bucket are compared one by one.  They meet the success on
+    (key, bucket), so a hot key's rows are spread by bucket.
     """
-    per_key = buckets.groupBy(key).agg(F.min("first_ts").alias("first_ts"), F.min("hit").alias("hit"),
-                                       F.min(F.when(F.col("hit").isNotNull(), F.col(b))).alias("at"),
-                                       F.sum("n").alias("total"))
-    hits = per_key.where(F.col("hit").isNotNull())
-    own = F.struct(F.col(key).alias("k"))
-    earlier = (buckets.select(own.alias("_ff_k"), F.col(b).alias("_ff_b"), "n")
-               .join(hits.select(own.alias("_ff_k"), "at"), "_ff_k").where(F.col("_ff_b") < F.col("at"))
-               .select("_ff_k", "n"))
+    whole = Window.partitionBy(key)  # over buckets, not rows
+    so_far = whole.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    hit_at = F.min(F.when(F.col("hit").isNotNull(), F.col(b))).over(whole)
+    per_key = (buckets.select(key, b, "hit", F.min("first_ts").over(whole).alias("first_ts"), hit_at.alias("at"),
+                              F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("earlier"),
+                              F.sum("n").over(whole).alias("total"), F.min(b).over(whole).alias("_ff_first"))
+               # The deciding bucket's row; any one where nothing succeeded.
+               .where(F.col(b).eqNullSafe(F.coalesce("at", "_ff_first"))))
     inside = (rows.select(_by_bucket(key, bucket).alias("_ff_kb"), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("row"))
-              .join(hits.select(_by_bucket(key, F.col("at")).alias("_ff_kb"), "hit"), "_ff_kb")
-              .where(F.col("row") < F.col("hit"))
-              .select(F.struct(F.col("_ff_kb")["k"].alias("k")).alias("_ff_k"), F.lit(1).cast("bigint").alias("n")))
-    before = earlier.unionByName(inside).groupBy("_ff_k").agg(F.sum("n").alias("before"))
-    out = per_key.withColumn("_ff_k", own).join(before, "_ff_k", "left")
-    attempts = F.when(F.col("hit").isNull(), F.col("total")).otherwise(F.coalesce("before", F.lit(0)))
+              .join(per_key.where(F.col("hit").isNotNull()).select(_by_bucket(key, F.col(b)).alias("_ff_kb"), F.col("hit").alias("_ff_hit")),
+                    "_ff_kb")
+              .where(F.col("row") < F.col("_ff_hit")).groupBy("_ff_kb").agg(F.count(F.lit(1)).alias("inside")))
+    out = per_key.withColumn("_ff_kb", _by_bucket(key, F.col(b))).join(inside, "_ff_kb", "left")
+    attempts = F.when(F.col("hit").isNull(), F.col("total")).otherwise(F.col("earlier") + F.coalesce("inside", F.lit(0)))
     return out.select(key, "first_ts", F.col("hit")["ts"].alias("success_ts"), F.col("hit")["tie"].alias(f"success_{tie}"),
                       attempts.cast("bigint").alias("attempts_before"),
                       micros_between(F.col("first_ts"), F.col("hit")["ts"]).alias("wait_us"))
@@ -100,21 +99,18 @@ def run_timeout_from(buckets: DataFrame, rows: DataFrame, key: str, ts: str, tie
     single ``rows``: ends in later buckets come from the aggregates, and only
     the ends in the bucket of the start are compared with it one by one."""
     cut_us = int(-(-timeout_s // poll_s) * poll_s * 1_000_000)
-    per_key = (buckets.groupBy(key).agg(F.min("begin").alias("begin"),
-                                        F.min(F.when(F.col("begin").isNotNull(), F.col(b))).alias("at"))
-               .where(F.col("begin").isNotNull()))
-    own = F.struct(F.col(key).alias("k"))
-    later = (buckets.where(F.col("end_ts").isNotNull()).select(own.alias("_ff_k"), F.col(b).alias("_ff_b"), "end_ts")
-             .join(per_key.select(own.alias("_ff_k"), "at"), "_ff_k").where(F.col("_ff_b") > F.col("at"))
-             .select("_ff_k", "end_ts"))
+    whole = Window.partitionBy(key)  # over buckets, not rows
+    begin_at = F.min(F.when(F.col("begin").isNotNull(), F.col(b))).over(whole)
+    per_key = (buckets.withColumn("at", begin_at)
+               .withColumn("later", F.min(F.when(F.col(b) > F.col("at"), F.col("end_ts"))).over(whole))
+               .where(F.col(b) == F.col("at")).select(_by_bucket(key, F.col(b)).alias("_ff_kb"), key, "begin", "later"))
     inside = (rows.where(end)
               .select(_by_bucket(key, bucket).alias("_ff_kb"), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("row"))
-              .join(per_key.select(_by_bucket(key, F.col("at")).alias("_ff_kb"), "begin"), "_ff_kb")
-              .where(F.col("row") > F.col("begin"))
-              .select(F.struct(F.col("_ff_kb")["k"].alias("k")).alias("_ff_k"), F.col("row")["ts"].alias("end_ts")))
-    ends = later.unionByName(inside).groupBy("_ff_k").agg(F.min("end_ts").alias("end_ts"))
-    j = per_key.withColumn("_ff_k", own).join(ends, "_ff_k", "left").select(
-        key, F.col("begin")["ts"].alias("start_ts"), "end_ts")
+              .join(per_key.select("_ff_kb", F.col("begin").alias("_ff_begin")), "_ff_kb")
+              .where(F.col("row") > F.col("_ff_begin"))
+              .groupBy("_ff_kb").agg(F.min(F.col("row")["ts"]).alias("inside")))
+    j = per_key.join(inside, "_ff_kb", "left").select(
+        key, F.col("begin")["ts"].alias("start_ts"), F.coalesce("inside", "later").alias("end_ts"))
     elapsed = micros_between("start_ts", "end_ts")
     waited = micros_between(F.col("start_ts"), asof)
     status = (F.when(F.col("end_ts").isNotNull() & (elapsed <= cut_us), F.lit("finished"))
