@@ -18,7 +18,7 @@ if str(ROOT) not in sys.path:
 
 OPS = ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
        "CartesianProduct", "HashAggregate", "ObjectHashAggregate", "SortAggregate", "Window",
-       "Generate", "FlatMapGroupsInPandasWithState")
+       "Generate", "StateStoreRestore", "StateStoreSave")
 
 
 def summarise(plan: str) -> dict:
@@ -65,7 +65,7 @@ def main() -> None:
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     sf_dir = args[0] if args else "/root/testdata/sf0.1"
     from fleetframe.session import get_session
-    from __spark_entry__ import queries
+    from fleetframe.plans.queries import QUERIES
     spark = get_session("local[8]", shuffle_partitions=8)
     if "--scale-shape" in sys.argv:
         # The join shape at scale: only the fixed-size dimensions (nation,
@@ -74,26 +74,42 @@ def main() -> None:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4KB")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
         print(f"## Scale shape at {sf_dir}: only nation and region broadcast, every other side large\n")
-        table(spark, queries(), sf_dir)
+        table(spark, QUERIES, sf_dir)
         return
     print(f"# Physical plans at {sf_dir} (after AQE)\n")
     print("Generated by `tests/plan_report.py` from each query's final adaptive plan. "
           "Shuffles count hash, range, round-robin and single-partition exchanges; "
           "broadcasts include AQE's runtime conversions of measured small sides; codegen "
-          "counts whole-stage codegen spans. Stream queries show the plan that folds "
-          "their upsert log.\n")
-    table(spark, queries(), sf_dir)
+          "counts whole-stage codegen spans. A stream query has two rows: the stream's own "
+          "last micro-batch, and the plan that folds its upsert log.\n")
+    table(spark, QUERIES, sf_dir)
 
 
 def table(spark, queries, sf_dir) -> None:
+    from fleetframe.streaming import stateful
+    streams, start = [], stateful.run_upserts
+
+    def watched(*args, **kwargs):
+        streams.append(start(*args, **kwargs))
+        return streams[-1]
+
+    stateful.run_upserts = watched
     print("| Query | Shuffles | Broadcasts | Operators | Codegen spans | Pushed filters |")
     print("| --- | --- | --- | --- | --- | --- |")
     for name in sorted(queries):
+        del streams[:]
         df = queries[name](spark, sf_dir)
-        s = summarise(final_plan(df))
-        ops = ", ".join(f"{k}×{v}" for k, v in sorted(s["ops"].items()))
-        pushed = "; ".join(s["pushed"])[:160]
-        print(f"| `{name}` | {s['shuffles']} | {s['broadcasts']} | {ops} | {s['codegen']} | {pushed} |")
+        for q in streams:
+            row(f"`{name}`, stream", drop_initial_plans(q._jsq.explainInternal(False)))
+        row(f"`{name}`", final_plan(df))
+    stateful.run_upserts = start
+
+
+def row(name: str, plan: str) -> None:
+    s = summarise(plan)
+    ops = ", ".join(f"{k}×{v}" for k, v in sorted(s["ops"].items()))
+    pushed = "; ".join(s["pushed"])[:160]
+    print(f"| {name} | {s['shuffles']} | {s['broadcasts']} | {ops} | {s['codegen']} | {pushed} |")
 
 
 if __name__ == "__main__":
