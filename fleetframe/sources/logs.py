@@ -43,13 +43,16 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     ``levelno``, ``asctime``, ``ts`` and ``message``; lines that do not
     match get nulls."""
     v = F.col(value)
+    ok = v.rlike(LINE_PATTERN)
+    # The pattern is tested once; what matches is cut by place.
+    words = F.split(v, " ", 4)
+    rest = F.get(words, F.lit(3))  # time, blanks, colon, message
     parts = {
-        "logger": F.regexp_extract(v, LINE_PATTERN, 1),
-        "level": F.regexp_extract(v, LINE_PATTERN, 2),
-        "asctime": F.regexp_extract(v, LINE_PATTERN, 3),
-        "message": F.regexp_extract(v, LINE_PATTERN, 4),
+        "logger": F.get(words, F.lit(0)),
+        "level": F.get(words, F.lit(1)),
+        "asctime": F.concat(F.get(words, F.lit(2)), F.lit(" "), F.substring(rest, 1, 12)),
+        "message": F.substring(F.ltrim(F.substring(rest, F.lit(13), F.length(rest))), F.lit(3), F.length(rest)),
     }
-    ok = v.rlike(LINE_PATTERN)
     out = lines.select(*[F.when(ok, c).alias(k) for k, c in parts.items()])
     return out.withColumns({
         "levelno": level_number("level"),
