@@ -466,3 +466,39 @@ ORACLE["access_validation"] = _validated(
      "cipher_set": "cipher <> ''", "valid_days_positive": "valid_days > 0"})
 
 ORACLE["label_strict"] = "SELECT c_custkey, CAST(split_part(c_name, '#', 2) AS INTEGER) AS n FROM customer"
+
+_SERVERS = """
+WITH w AS (
+  SELECT DISTINCT 'CL' || s_nationkey || '-node-worker' || (s_suppkey // 25) AS name FROM supplier
+  UNION ALL SELECT 'CL' || n_nationkey || '-node-scheduler' FROM nation)
+"""
+
+ORACLE["host_index"] = _SERVERS + """
+SELECT split_part(name, '-node-', 2) AS host, max(name) AS name
+FROM w WHERE starts_with(name, 'CL1') AND contains(name, '-node-worker') GROUP BY 1
+UNION ALL SELECT 'scheduler', name FROM w WHERE name = 'CL1-node-scheduler'
+"""
+
+ORACLE["resource_kind"] = _SERVERS + """
+, n AS (
+  SELECT name FROM w
+  UNION ALL SELECT 'CL' || n_nationkey || x FROM nation, (VALUES ('-firewall'), ('-network')) v(x)
+  UNION ALL SELECT c_name FROM customer)
+SELECT name, split_part(component, '|', 1) AS prefix, split_part(component, '|', 2) AS component FROM (
+  SELECT name, CASE WHEN contains(name, '-node-scheduler') THEN replace(name, '-node-scheduler', '') || '|scheduler'
+                    WHEN contains(name, '-node-worker') THEN split_part(name, '-node-worker', 1) || '|worker'
+                    WHEN contains(name, '-firewall') THEN replace(name, '-firewall', '') || '|firewall'
+                    WHEN contains(name, '-network') THEN replace(name, '-network', '') || '|network' END AS component
+  FROM n)
+"""
+
+ORACLE["provisioning_phases"] = """
+WITH l AS (
+  SELECT 'cluster' || (user_id % 5) AS cluster, 'worker' || (user_id % 3) AS node,
+         event_type || ' ' || event_id AS phase, date_trunc('millisecond', ts) AS ts
+  FROM events WHERE user_id % 4 <> 0),
+n AS (
+  SELECT *, lead(ts) OVER w AS next_ts, lead(phase) OVER w AS next_phase
+  FROM l WINDOW w AS (PARTITION BY cluster, node ORDER BY ts, phase))
+SELECT *, epoch_us(next_ts) - epoch_us(ts) AS duration_us FROM n
+"""

@@ -614,3 +614,50 @@ def label_strict(spark: SparkSession, base: str) -> DataFrame:
     c = Tables(spark, base).customer.select("c_custkey", "c_name")
     labels = F.create_map(F.lit("n"), text.name_suffix("c_name", "#"))
     return c.select("c_custkey", text.label_int(labels, "n", strict=True).alias("n"))
+
+
+# --- names and provisioning ------------------------------------------------------------
+
+HOST_PREFIX = "CL1"
+
+
+def _servers(t: Tables) -> DataFrame:
+    """Server names: suppliers as workers of their nation's cluster, and a
+    scheduler for each nation."""
+    s = t.supplier.select("s_suppkey", "s_nationkey")
+    workers = s.select(F.concat(F.lit("CL"), F.col("s_nationkey").cast("string"), F.lit("-node-worker"),
+                                F.floor(F.col("s_suppkey") / 25).cast("string")).alias("name")).distinct()
+    schedulers = t.nation.select(F.concat(F.lit("CL"), F.col("n_nationkey").cast("string"), F.lit("-node-scheduler")).alias("name"))
+    return workers.unionByName(schedulers)
+
+
+@query
+def host_index(spark: SparkSession, base: str) -> DataFrame:
+    """The host names cluster ``CL1`` answers to; ``CL10`` and
+    others match its prefix too, and the greatest server name wins."""
+    return inventory.host_index(_servers(Tables(spark, base)), HOST_PREFIX)
+
+
+@query
+def resource_kind(spark: SparkSession, base: str) -> DataFrame:
+    """Server, firewall and customer names split into prefix and
+    component; null where a name is no cluster's."""
+    t = Tables(spark, base)
+    nets = t.nation.select(F.explode(F.array(*[F.concat(F.lit("CL"), F.col("n_nationkey").cast("string"), F.lit(x))
+                                               for x in ("-firewall", "-network")])).alias("name"))
+    names = _servers(t).unionByName(nets).unionByName(t.customer.select(F.col("c_name").alias("name")))
+    kind = inventory.classify_resource("name")
+    return names.select("name", kind["prefix"].alias("prefix"), kind["component"].alias("component"))
+
+
+@query
+def provisioning_phases(spark: SparkSession, base: str) -> DataFrame:
+    """T4 from log lines: each node's tagged messages as phases that last
+    until its next message."""
+    t = Tables(spark, base)
+    ev = t.events.select("event_id", "ts", "user_id", "event_type")
+    u = F.col("user_id")
+    lines = logs.render_lines(ev, F.concat(F.lit("cluster"), (u % 5).cast("string")), F.lit("INFO"), "ts",
+                              F.concat(F.when(u % 4 != 0, F.concat(F.lit("[worker"), (u % 3).cast("string"), F.lit("] ")))
+                                       .otherwise(""), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.lit(" ...")))
+    return lifecycle.provisioning_phases(logs.parse_lines(lines), bucket=_day())

@@ -58,7 +58,6 @@ SERVER = T.StructType([
     T.StructField("private_net", T.ArrayType(T.StructType([T.StructField("ip", T.StringType())]))),
 ])
 
-NAMED = T.StructType([T.StructField("name", T.StringType())])
 
 CLUSTER_CONFIG = T.StructType([
     T.StructField("prefix", T.StringType()),
@@ -102,12 +101,6 @@ COPY_REQUEST = T.StructType([
     T.StructField("path", T.StringType()),
 ])
 
-PROBE = T.StructType([
-    T.StructField("node", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("status", T.IntegerType()),
-])
-
 CERTIFICATE = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("issued", T.TimestampType()),
@@ -118,12 +111,9 @@ CERTIFICATE = T.StructType([
 DEFAULT_DASK_IPC = 9753
 DEFAULT_DASK_DASH = 9756
 DEFAULT_DASK_NANNY = 9759
-DEFAULT_PREFIX = "cluster"
 DEFAULT_WAIT = 1.0
 DEFAULT_WORKERS = 1
 DEFAULT_DATACENTER = "fsn1-dc14"
 DEFAULT_SSH_PORT = 22
 DEFAULT_SSH_COMPRESSION = True
 DEFAULT_SSH_CIPHER = "aes256-gcm@openssh.com"
-DEFAULT_VALID_DAYS = 730
-PROBE_TIMEOUT_SECONDS = 5
