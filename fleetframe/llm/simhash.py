@@ -152,9 +152,10 @@ def components_of(rows: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) ->
     fingerprint) and the smallest id of the group, from (id, fp) rows."""
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
     found = connected_components(cut(links(prints.select("fp"), max_bits, hot)))
-    grouped = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "group", F.coalesce("component", "fp")).drop("component")
-    least = grouped.groupBy("group").agg(F.min("id").alias("component"))
+    grouped = cut(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "group", F.coalesce("component", "fp")).drop("component"))
+    # Cut off from the join, or its partitioning by group would keep a large group in one task.
+    least = cut(grouped.groupBy("group").agg(F.min("id").alias("component")))
     return grouped.select("fp", "group").join(least, "group")
 
 
