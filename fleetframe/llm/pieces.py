@@ -36,7 +36,7 @@ from fleetframe.llm.common import append_columns, col, without, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16  # characters
-CACHED = 200_000  # words a task remembers
+CACHED = 400_000  # words a task remembers
 SCALE = 1000  # scores are whole thousandths
 NONE = -math.inf
 
@@ -147,19 +147,56 @@ def cut_text(v: Vocabulary, text: str) -> list[int]:
 
 
 class _Words(dict):
-    """Word to packed ids, computed when first asked for."""
+    """Word to packed ids, computed when first asked for.  Frequent words
+    come early, so a full memory keeps what it has."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
+        # Beginnings of pieces: with score and packed id if they are pieces, else None.
+        pack = lambda i: np.int32(i).tobytes()
+        self.trie = {t: (v.scores[t], pack(v.ids[t])) if t in v.scores else None for t in v.starts}
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(cut_text(self.v, word), np.int32).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
+        joined = self.v.joined
+        for k in range(len(word) - 1, 0, -1):
+            if word[k - 1:k + 1] not in joined:  # every path has a border here
+                packed = self[word[:k]] + self[word[k:]]
+                break
+        else:
+            packed = self._cut(word)
+        if len(self) < CACHED and len(word) <= 64:
             self[word] = packed
         return packed
 
+    def _cut(self, word: str) -> bytes:
+        """``cut_text`` of a word, packed."""
+        n, find = len(word), self.trie.get
+        if n == 1:
+            return (self.trie.get(word) or (0, np.array(cut_text(self.v, word), np.int32).tobytes()))[1]
+        best, last = [NONE] * (n + 1), [None] * (n + 1)
+        best[0] = 0
+        for start in range(n):
+            here = best[start]
+            if here == NONE:
+                continue
+            end = start + 1
+            found = find(word[start:end], 0)
+            if not found and here + self.v.unknown > best[end]:
+                best[end], last[end] = here + self.v.unknown, (start, None)
+            while found != 0:
+                if found is not None and here + found[0] > best[end]:
+                    best[end], last[end] = here + found[0], (start, found[1])
+                end += 1
+                if end > n:
+                    break
+                found = find(word[start:end], 0)
+        out = []
+        while n:
+            start, packed = last[n]
+            out.append(packed or np.array(cut_text(self.v, word[start:n]), np.int32).tobytes())
+            n = start
+        return b"".join(reversed(out))
+
 
 def encoder(v: Vocabulary) -> Callable[[str], np.ndarray]:
     """The function from a text to its ids, with a memory for words."""
@@ -294,31 +331,64 @@ def _giants(docs: DataFrame, text: str, v: Vocabulary, chunk: int) -> DataFrame:
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("pieces"))
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``pieces``, the list of ids of each text.
+def decoder(v: Vocabulary) -> Callable[[Sequence[int]], str]:
+    """The function from ids to a text."""
+    table, drop = v.table, 1 if v.prefix else 0
 
-    Null texts have null, empty ones an empty list.  Characters outside the
-    vocabulary become their UTF-8 bytes, so ``decode`` gives the text back
-    exactly.  Texts of more than ``2 * chunk`` characters are cut into chunks
-    (at least as long as the longest piece).  Repeated rows are encoded each;
-    an input column ``pieces`` is replaced.
-    """
+    def text_of(ids: Sequence[int]) -> str:
+        whole = b"".join(map(table.__getitem__, ids))
+        return whole[drop if whole[:1] == b" " else 0:].decode("utf-8", "replace")
+
+    return text_of
+
+
+PIECES = T.StructField("pieces", T.ArrayType(T.IntegerType()))
+
+
+def _encoded(docs: DataFrame, text: str, model: str, chunk: int, checked: str | None) -> DataFrame:
+    """``encode``; with ``checked``, also a column of that name that says
+    whether the ids of each text were decoded to it."""
     v = load(model)
     chunk = max(chunk, 2 * v.longest)
-    base = without(docs, "pieces")
+    fields = [PIECES, *([T.StructField(checked, T.BooleanType())] if checked else [])]
+    base = without(docs, *[f.name for f in fields])
     giant = F.coalesce(F.length(col(text)) > 2 * chunk, F.lit(False))
 
     def make():
-        run = encoder(v)
-        return lambda column: [_lists([None if t is None else run(t) for t in column.to_pylist()])]
+        run, back = encoder(v), decoder(v)
 
-    field = T.StructField("pieces", T.ArrayType(T.IntegerType()))
-    small = append_columns(base.where(~giant), text, [field], make)
+        def compute(column: pa.Array) -> list[pa.Array]:
+            ids, right = [], []
+            for t in column:
+                t = t.as_py()
+                ids.append(None if t is None else run(t))
+                if checked:
+                    right.append(t is None or back(ids[-1].tolist()) == t)
+            return [_lists(ids), *([pa.array(right, pa.bool_())] if checked else [])]
+
+        return compute
+
+    small = append_columns(base.where(~giant), text, fields, make)
     large = written(base.where(giant).withColumn("_ff_uid", F.monotonically_increasing_id()))
     if large.isEmpty():
         return small
-    found = _giants(large, text, v, chunk)
-    return small.unionByName(large.join(found, "_ff_uid").drop("_ff_uid"))
+    whole = large.join(_giants(large, text, v, chunk), "_ff_uid").drop("_ff_uid")
+    if checked:
+        whole = (decode(whole, "pieces", "_ff_decoded", model)
+                 .withColumn(checked, col(text).eqNullSafe(F.col("_ff_decoded"))).drop("_ff_decoded"))
+    return small.unionByName(whole)
+
+
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with ``pieces``, the list of ids of each text.
+
+    Null texts have null, empty ones an empty list.  Characters outside the
+    vocabulary become their UTF-8 bytes, so ``decode`` gives the text back
+    exactly.  Texts of more than ``2 * chunk`` characters are cut into chunks
+    (at least as long as the longest piece).  Repeated rows are encoded each;
+    an input column ``pieces`` is replaced.
+    """
+    return _encoded(docs, text, model, chunk, None)
 
 
 def decode(encoded: DataFrame, pieces: str = "pieces", out: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -326,23 +396,14 @@ def decode(encoded: DataFrame, pieces: str = "pieces", out: str = "decoded", mod
     v = load(model)
 
     def make():
-        table, drop = v.table, 1 if v.prefix else 0
-
-        def text_of(ids: list[int] | None) -> str | None:
-            if ids is None:
-                return None
-            whole = b"".join(map(table.__getitem__, ids))
-            return whole[drop if whole[:1] == b" " else 0:].decode("utf-8", "replace")
-
-        return lambda column: [pa.array([text_of(x.as_py()) for x in column], pa.string())]
+        back = decoder(v)
+        return lambda column: [pa.array([None if x.as_py() is None else back(x.as_py()) for x in column], pa.string())]
 
     return append_columns(encoded, pieces, [T.StructField(out, T.StringType())], make)
 
 
-def round_trip(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+def round_trip(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ``pieces``, their number ``n_pieces`` (0 for null) and
     ``round_trip``: whether decoding gives the text back."""
-    base = without(docs, "n_pieces", "round_trip")
-    whole = decode(encode(base, text, model), "pieces", "_ff_decoded", model)
-    return (whole.withColumn("n_pieces", F.coalesce(F.size("pieces"), F.lit(0)))
-            .withColumn("round_trip", col(text).eqNullSafe(F.col("_ff_decoded"))).drop("_ff_decoded"))
+    whole = _encoded(without(docs, "n_pieces"), text, model, chunk, "round_trip")
+    return whole.withColumn("n_pieces", F.coalesce(F.size("pieces"), F.lit(0)))

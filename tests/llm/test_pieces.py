@@ -75,6 +75,8 @@ def test_chunks_do_not_change_the_result(spark, v, monkeypatch):
              " " * 300, "the" * 200, "\n" * 200 + "end"]
     df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "id int, text string, pieces string")
     got = {r.id: r.pieces for r in pieces.encode(df, chunk=40).collect()}
+    assert {(r.id, tuple(r.pieces or ()), r.round_trip) for r in pieces.round_trip(df, chunk=40).collect()} == {
+        (i, tuple(got[i] or ()), True) for i in got}
     for i, t in enumerate(texts):
         assert got[i] == (None if t is None else pieces.cut_text(v, " " + t) if t else []), i
 
