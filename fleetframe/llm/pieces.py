@@ -158,10 +158,10 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         joined = self.v.joined
-        for k in range(len(word) - 1, 0, -1):
-            if word[k - 1:k + 1] not in joined:  # every path has a border here
-                packed = self[word[:k]] + self[word[k:]]
-                break
+        # Every path has a border at these; a stretch between two holds none, so this goes one level deep.
+        cuts = [k for k in range(1, len(word)) if word[k - 1:k + 1] not in joined]
+        if cuts:
+            packed = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
         else:
             packed = self._cut(word)
         if len(self) < CACHED and len(word) <= 64:

@@ -55,6 +55,24 @@ def test_words_do_not_change_the_result(v):
         assert list(enc(t)) == (pieces.cut_text(v, " " + t) if t else [])
 
 
+UNSPACED = ["0123456789" * 500, "漢字仮名交文" * 500, "\t".join(f"{i}\t{i * 7}" for i in range(5000)), "เธกฎ" * 600,
+            "".join(random.Random(4).choice("0123456789abcdef") for _ in range(9000))]
+
+
+def test_long_texts_without_spaces(v):
+    enc = pieces.encoder(v)
+    for t in UNSPACED:
+        assert 2000 < len(t) < 2 * pieces.CHUNK
+        ids = enc(t)
+        assert list(ids) == pieces.cut_text(v, " " + t) and pieces.decoder(v)(ids.tolist()) == t
+
+
+def test_stage_of_long_texts_without_spaces(spark, v):
+    df = spark.createDataFrame(list(enumerate(UNSPACED)), "id int, text string")
+    got = {r.id: (r.round_trip, r.pieces) for r in pieces.round_trip(df).collect()}
+    assert got == {i: (True, pieces.cut_text(v, " " + t)) for i, t in enumerate(UNSPACED)}
+
+
 def test_matches_the_library_as_a_unigram_model(v):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
