@@ -41,20 +41,27 @@ def slots(df: DataFrame) -> int:
 def pack(rows: DataFrame, size: int, n_slots: int, extra: str = "",
          index: Callable[[np.ndarray], dict[str, bytes]] | None = None) -> DataFrame:
     """(slot, dim, n, ids, data, ...) blocks of up to ``size`` of the
-    (vec_id, v) rows; ``index`` adds the columns named in ``extra``."""
+    (vec_id, v) rows; ``index`` adds the columns named in ``extra``.  A third
+    column of rows, lists of longs, becomes ``counts`` and ``copies``."""
+    lists = len(rows.columns) > 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, seq = TaskContext.get().partitionId() * 7919, 0
-        kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        kept: dict[int, list[tuple]] = {}
 
         def block(dim: int) -> Iterator[pa.RecordBatch]:
             nonlocal seq
-            ids = np.concatenate([i for i, _ in kept[dim]])
-            x = np.concatenate([x for _, x in kept[dim]])
+            ids = np.concatenate([p[0] for p in kept[dim]])
+            x = np.concatenate([p[1] for p in kept[dim]])
+            copies = pa.concat_arrays([p[2] for p in kept[dim]]) if lists else None
             kept[dim] = []
             for a in range(0, len(ids), size):
                 part = x[a:a + size]
                 out = {"slot": (start + seq) % n_slots, "dim": dim, "n": len(part),
                        "ids": ids[a:a + size].tobytes(), "data": part.tobytes(), **(index(part) if index else {})}
+                if lists:
+                    some = copies.slice(a, len(part))
+                    out["counts"] = some.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+                    out["copies"] = some.flatten().to_numpy(zero_copy_only=False).tobytes()
                 seq += 1
                 yield pa.RecordBatch.from_pylist([out], schema=schema)
 
@@ -67,18 +74,19 @@ def pack(rows: DataFrame, size: int, n_slots: int, extra: str = "",
             for dim in np.unique(lengths):
                 rows_of = np.flatnonzero(lengths == dim)
                 x = flat[(ends[rows_of] - dim)[:, None] + np.arange(dim)]
-                kept.setdefault(int(dim), []).append((ids[rows_of], x))
-                if sum(len(i) for i, _ in kept[int(dim)]) >= size:
+                kept.setdefault(int(dim), []).append((ids[rows_of], x, *([b.column(2).take(pa.array(rows_of))] if lists else [])))
+                if sum(len(p[0]) for p in kept[int(dim)]) >= size:
                     yield from block(int(dim))
         for dim, parts in kept.items():
             if parts:
                 yield from block(dim)
 
     fields = [("slot", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]
-    fields += [(c, pa.binary()) for c in extra.split()]
+    added = [*extra.split(), *(["counts", "copies"] if lists else [])]
+    fields += [(c, pa.binary()) for c in added]
     schema = pa.schema(fields)
     return rows.mapInArrow(run, "slot int, dim int, n int, ids binary, data binary"
-                           + "".join(f", {c} binary" for c in extra.split()))
+                           + "".join(f", {c} binary" for c in added))
 
 
 def search(blocks: DataFrame, queries: DataFrame, n_slots: int, each: Callable[[dict], tuple], score: str) -> DataFrame:

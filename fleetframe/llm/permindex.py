@@ -15,12 +15,16 @@ each block's candidates are reranked where they lie.  As a list names half
 of the pivots, an inverted file holds one byte for every vector of its block,
 the pivot's place in that vector's list, which is less than the ids would
 take.
+
+Equal vectors are one entry, so copies of one vector take neither pivots nor
+places in the reranked share.  An entry carries the smallest ids of its
+copies, as many as a query can return, and a found entry stands for these.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetframe.llm.blocks import best, is_query, pack, search, slots, usable
@@ -48,6 +52,16 @@ def _orders(x: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(first, np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable"), 1)
 
 
+def _entries(rows: DataFrame, n: int) -> DataFrame:
+    """(vec_id, v, copies) of the different vectors: the smallest id and the
+    ``n`` smallest in order.  Spark keeps ``n`` rows of each vector in a task
+    before it shuffles them."""
+    w = Window.partitionBy("v").orderBy("vec_id")
+    few = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
+    return (few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("copies"))
+            .select(F.col("copies")[0].alias("vec_id"), "v", "copies"))
+
+
 def nearest(vecs: DataFrame, every: int, k: int, key: str = "vec_id", vector: str = "embedding",
             pivots: int = PIVOTS, length: int = NEAREST, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible
@@ -61,11 +75,12 @@ def nearest(vecs: DataFrame, every: int, k: int, key: str = "vec_id", vector: st
     candidates: all of them.  An empty table gives no rows.
     """
     rows = written(usable(vecs, key, vector, zero=False))
+    entries = written(_entries(rows, k + 1))  # one more: a query is not its own neighbour
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    top = {r[0]: float(np.sqrt(r[1])) for r in rows.groupBy(F.size("v")).agg(F.max(norm2)).collect()}
+    top = {r[0]: float(np.sqrt(r[1])) for r in entries.groupBy(F.size("v")).agg(F.max(norm2)).collect()}
     sample: dict[int, np.ndarray] = {}
     for dim in top:
-        few = rows.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+        few = entries.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
         sample[dim] = _lifted(np.array([r["v"] for r in few]), top[dim])
     n_slots = slots(vecs)
 
@@ -82,6 +97,8 @@ def nearest(vecs: DataFrame, every: int, k: int, key: str = "vec_id", vector: st
         piv = sample[dim]
         n = min(length, len(piv))
         ids, q_ids = np.frombuffer(pair["ids"], np.int64), np.frombuffer(pair["q_ids"], np.int64)
+        counts, copies = np.frombuffer(pair["counts"], np.int32), np.frombuffer(pair["copies"], np.int64)
+        firsts = np.cumsum(counts) - counts
         x = np.frombuffer(pair["data"]).reshape(-1, dim)
         qs = np.frombuffer(pair["q_data"]).reshape(-1, dim)
         files = np.frombuffer(pair["files"], np.uint8).reshape(len(piv), n_rows)
@@ -94,14 +111,19 @@ def nearest(vecs: DataFrame, every: int, k: int, key: str = "vec_id", vector: st
             # |a - b| is 2 max(a, b) - a - b, and the places of every whole list add up to the same.
             footrule = np.maximum(files[order], own_places).sum(axis=0, dtype=np.uint16)
             near = np.argpartition(footrule, take - 1)[:take] if take < n_rows else np.arange(n_rows)
-            near = near[ids[near] != q_id]
             scores = (x[near] * q).sum(axis=1)
-            top_of = np.lexsort((ids[near], -scores))[:k]
+            top_of = np.lexsort((ids[near], -scores))[:k + 1]  # the query's own entry may be among them
+            near, scores = near[top_of], scores[top_of]
+            sizes = counts[near]
+            found = copies[np.repeat(firsts[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            scores = np.repeat(scores, sizes)
+            found, scores = found[found != q_id], scores[found != q_id]
+            top_of = np.lexsort((found, -scores))[:k]
             out_q += [int(q_id)] * len(top_of)
-            out_v += ids[near][top_of].tolist()
+            out_v += found[top_of].tolist()
             out_s += scores[top_of].tolist()
         return out_q, out_v, out_s
 
-    blocks = pack(rows, BLOCK_ROWS, n_slots, "files", index)
+    blocks = pack(entries, BLOCK_ROWS, n_slots, "files", index)
     queries = pack(rows.where(is_query(every)), QUERY_ROWS, n_slots)
     return best(search(blocks, queries, n_slots, each, "double"), k)

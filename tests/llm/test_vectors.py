@@ -91,6 +91,25 @@ def test_index_recall(spark):
     assert all(abs(r.score - s[r.query_id // 20, r.vec_id]) < 1e-9 for r in got)
 
 
+def test_index_recall_with_a_third_of_the_rows_equal(spark):
+    rows = cloud(6000, 64, 1)
+    rows = [(i, rows[1][1] if i % 3 == 1 else v) for i, v in rows]
+    rows = [(i, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for i, v in rows]
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    s = np.array([(x * q).sum(axis=1) for q in x[::20]])
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -9
+    best = {20 * q: [int(v) for v in np.lexsort((np.arange(len(x)), -r))[:20]] for q, r in enumerate(s)}
+    found = {}
+    for r in permindex.nearest(table(spark, rows), 20, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = [len(found[q] & set(v)) / 20 for q, v in best.items()]
+    print("recall", sum(recall) / len(recall), min(recall))
+    assert sum(recall) >= 0.95 * len(recall)
+    # Of the copies, a copy's own neighbours are the smallest other ids.
+    for q in (q for q in best if q % 3 == 1):
+        assert found[q] == set([i for i in range(1, 6000, 3) if i != q][:20])
+
+
 def test_index_recall_of_vectors_of_many_lengths(spark):
     rows = [(i, [x * (1 + i % 5) for x in v]) for i, v in cloud(3000, 16, 2)]
     got = permindex.nearest(table(spark, rows), 100, 20)
