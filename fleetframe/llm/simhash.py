@@ -166,7 +166,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     columns = docs.columns
     rows = written(with_fingerprints(docs, text, "_ff_fp", shingle))
     ids = rows.select(col(key).alias("id"), F.col("_ff_fp").alias("fp"))
-    groups = components_of(ids)
+    groups = components_of(ids, max_bits)
     kept = (ids.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")).join(groups, "fp")
             .groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"),
                                                  F.col("fp").alias("fp"), F.col("n").alias("n"))).alias("r"))

@@ -114,6 +114,14 @@ def test_empty_table(spark):
     assert simhash.without_near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bits, left", [(2, [1, 2, 3]), (4, [1, 3]), (6, [1])])
+def test_one_row_of_each_group_at_other_distances(spark, monkeypatch, bits, left):
+    # Texts that are their fingerprints: 3 and 5 bits from the first, 8 from each other.
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, text, out, _: docs.withColumn(out, F.col(text).cast("long")))
+    docs = spark.createDataFrame([(1, "0"), (2, "7"), (3, str(0x1F << 32))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(docs, max_bits=bits).collect()) == left
+
+
 def test_odd_limits_are_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([], "fp long"), 8)
