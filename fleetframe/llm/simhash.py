@@ -24,7 +24,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,9 +109,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFr
         raise ValueError("max_bits must be from 0 to 7: beyond, no shared byte is guaranteed")
     choices = _choices(max_bits)
     posted = (prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(p))) for p in choices]))
-                            .alias("c", "v"))
-              .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("c", "v"))).where(F.col("n") > 1))
-    posted = cut(posted)
+                            .alias("c", "v")))
+    # Partial aggregates, cut off from the join, or it could not be split where a posting is large.
+    counts = written(posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    posted = cut(posted.join(counts, ["c", "v"]))
     cold = posted.where(F.col("n") <= hot)
     a = cold.select("c", "v", F.col("fp").alias("a"))
     b = cold.select("c", "v", F.col("fp").alias("b"))

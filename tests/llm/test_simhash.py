@@ -125,3 +125,12 @@ def test_one_row_of_each_group_at_other_distances(spark, monkeypatch, bits, left
 def test_odd_limits_are_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([], "fp long"), 8)
+
+
+def test_postings_are_counted_without_a_window(spark, monkeypatch):
+    plans, real = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or real(df))
+    prints = spark.createDataFrame([(x,) for x in (0, 1, 3, 1 << 40, -1)], "fp long")
+    assert {(r.a, r.b) for r in simhash.links(prints).collect()} == {
+        (0, 1), (0, 3), (1, 3), (0, 1 << 40), (1, 1 << 40), (3, 1 << 40)}
+    assert plans and not any("Window" in p for p in plans)
