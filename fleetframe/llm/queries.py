@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm import mixing, permindex, pieces, pii, quality, simhash, topk, toxicity, urlfilter, warc
+from fleetframe.llm import (
+    merkle, mixing, permindex, pieces, pii, quality, rules, simhash, topk, toxicity, treap, urlfilter, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents")).select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -73,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _OP1 = r"""
@@ -141,4 +158,104 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLE: dict[str, str] = {"op1_mixing": _OP1, "op3_url_filter": _OP3, "op8_exact_top_k": _OP8, "op9_warc": _OP9}
+_OP11 = """
+WITH RECURSIVE c(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM c WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8),
+d AS (SELECT doc_id, lang, n_chars, xor(4294967295::BIGINT, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda a, b: xor(crc.t[(xor(a, b) & 255) + 1], a >> 8))) % 7 = 0 AS hit,
+    list_transform([doc_id::VARCHAR, source, lang], lambda x: coalesce(strlen(x) || ':' || x, '-')).array_to_string('') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents, crc),
+m AS (SELECT *, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS was,
+    coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') AS now FROM d),
+h AS (SELECT doc_id, lang, sha256(head || was || tail) AS leaf, sha256(head || now || tail) AS changed FROM m),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS n FROM h),
+nodes AS (
+  SELECT lang, 0 AS lvl, idx, leaf AS h, n FROM l
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, lvl, idx // 2, n),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, idx, h, n FROM s
+  UNION ALL
+  SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY lvl, idx // 2, n),
+-- A step is the side of the node and its partner, if any.
+low AS (SELECT l.lang, l.idx, list(((l.idx >> v.lvl) & 1)::VARCHAR || coalesce(o.h, '') ORDER BY v.lvl) AS steps
+  FROM l JOIN (SELECT DISTINCT lang, lvl FROM nodes WHERE n > 1) v ON l.lang IS NOT DISTINCT FROM v.lang
+  LEFT JOIN nodes o ON o.lang IS NOT DISTINCT FROM l.lang AND o.lvl = v.lvl AND o.idx = xor(l.idx >> v.lvl, 1) GROUP BY l.lang, l.idx),
+high AS (SELECT s.lang, list(((s.idx >> v.lvl) & 1)::VARCHAR || coalesce(o.h, '') ORDER BY v.lvl) AS steps
+  FROM s CROSS JOIN (SELECT DISTINCT lvl FROM tops WHERE n > 1) v LEFT JOIN tops o ON o.lvl = v.lvl AND o.idx = xor(s.idx >> v.lvl, 1) GROUP BY s.lang),
+a AS (SELECT l.*, s.h AS subroot, r.h AS root, coalesce(low.steps, []) || coalesce(high.steps, []) AS steps
+  FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT h FROM tops WHERE n = 1) r
+  LEFT JOIN low ON low.lang IS NOT DISTINCT FROM l.lang AND low.idx = l.idx LEFT JOIN high ON high.lang IS NOT DISTINCT FROM l.lang),
+f AS (SELECT *, list_reduce(list_prepend(changed, steps),
+    lambda x, y: sha256(CASE WHEN y[1] = '1' THEN y[2:] || x ELSE x || y[2:] END)) AS folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM f
+"""
+
+# Two accuracies a rule, by the place of its vote in the list.
+_EM = ", ".join(
+    "greatest(0.01, least(0.99, (sum(n * {w} * (v[{j}] = {x})::INT) + {s}) / (sum(n * {w} * (v[{j}] <> 0)::INT) + 10)))::DOUBLE".format(w=w, j=j, x=x, s=s)
+    for w, x, s in (("p", 1, 9.5), ("(1 - p)", -1, 5.0)) for j in range(1, 8))
+_POSTERIOR = ("1 / (1 + exp(-(ln(q / (1 - q)) + " + " + ".join(
+    f"CASE v[{j}] WHEN 1 THEN ln(a[{j}] / (1 - a[{j + 7}])) WHEN -1 THEN ln((1 - a[{j}]) / a[{j + 7}]) ELSE 0 END"
+    for j in range(1, 8)) + ")))")
+
+_OP12 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+k AS (SELECT rid, list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS ws FROM w WHERE len(words) > 2),
+x AS (SELECT rid, unnest(ws) AS s, generate_subscripts(ws, 1) AS i FROM k),
+y AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, s) AS c FROM x) WHERE c > 1),
+z AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM y) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(z.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+    len(list_intersect(words, ['the','of','and','to','in','is','that','der','die','und','zu','le','la','et','de','les','que','el','y','en','los'])) AS n_common,
+    len(regexp_extract_all(text, '[\x21-\x40\x5B-\x60\x7B-\x7E]')) AS n_other
+  FROM w LEFT JOIN z USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [
+    CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 100 THEN 1 ELSE 0 END,
+    CASE WHEN word_chars NOT BETWEEN 2 * n_words AND 10 * n_words THEN -1 WHEN word_chars BETWEEN 3 * n_words AND 7 * n_words THEN 1 ELSE 0 END,
+    CASE WHEN 10 * n_symbols > n_words THEN -1 WHEN 100 * n_symbols <= n_words THEN 1 ELSE 0 END,
+    CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END,
+    CASE WHEN 2 * n_repeat_words > n_words THEN -1 WHEN 10 * n_repeat_words <= n_words THEN 1 ELSE 0 END,
+    CASE WHEN n_common = 0 THEN -1 WHEN n_common >= 2 THEN 1 ELSE 0 END,
+    CASE WHEN 4 * n_other > word_chars THEN -1 WHEN 100 * n_other <= 15 * word_chars THEN 1 ELSE 0 END] AS v FROM c),
+g AS (SELECT v, count(*) AS n FROM b GROUP BY v),
+em(t, q, a) AS (
+  SELECT 0, 0.5::DOUBLE, (list_transform(range(7), lambda i: 0.95) || list_transform(range(7), lambda i: 0.5))::DOUBLE[]
+  UNION ALL
+  SELECT t + 1, greatest(0.5, least(0.95, sum(n * p) / sum(n)))::DOUBLE, [""" + _EM + r"""]
+  FROM (SELECT em.t, g.n, g.v, """ + _POSTERIOR + r""" AS p FROM em, g WHERE em.t < 12) GROUP BY t)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND """ + _POSTERIOR + r""" >= 0.5 AS kept
+FROM b, em WHERE em.t = 12
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+c AS (SELECT * FROM d WHERE len(terms) > 0),
+k AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM c),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(terms) AS term FROM c) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, k GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT q.item_id, c.rid, c.doc_id,
+    sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * len(c.terms) * k.n_docs) // k.n_terms))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN c USING (rid) CROSS JOIN k GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_mixing": _OP1, "op3_url_filter": _OP3, "op8_exact_top_k": _OP8, "op9_warc": _OP9,
+    "op11_merkle_manifest": _OP11, "op12_quality_rules": _OP12, "op13_ranked_search": _OP13,
+}

@@ -1,0 +1,117 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from fleetframe.llm import rules
+from tests.llm.cases import LONG, ROWS, documents
+
+LOOP = "one two three four five " * 30
+MORE = [
+    *ROWS, (20, LOOP, "en", "a"), (21, "a b a b a b a", "en", "a"), (22, "\n\n x \n x \n x\ny\n \t \nx", "en", "a"),
+    (23, "#$%&|<>* " * 80, "en", "a"), (24, " ".join(f"w{i}" for i in range(60)), "en", "a"), (25, "   a\x00b", None, None),
+    (26, ("the word of " + " ".join(f"v{i}" for i in range(200)) + "\n") * 3, "en", "a"), (26, "x " * 49, "en", "a"), (27, "x " * 50, "en", "a"),
+    (28, "a b c d " + " ".join(f"u{i}" for i in range(60)) + " a b c x a b c", "en", "a"),
+]
+
+
+def counted(text):
+    text = text or ""
+    words = re.findall(rules.WORD, text)
+    windows = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for j in range(i, i + 3)}
+    lines = [x for x in text.split("\n") if re.search(rules.WORD, x)]
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(rules.SYMBOL, text)),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines),
+            "n_common": len(set(words) & set(rules.COMMON)), "n_other": len(re.findall(rules.NO_LETTER, text))}
+
+
+def voted(c):
+    n, pick = c["n_words"], lambda bad, good: -1 if bad else 1 if good else 0
+    return (pick(n < 50, n >= 100), pick(not 2 * n <= c["word_chars"] <= 10 * n, 3 * n <= c["word_chars"] <= 7 * n),
+            pick(10 * c["n_symbols"] > n, 100 * c["n_symbols"] <= n), pick(10 * c["n_dup_lines"] > 3 * c["n_lines"], c["n_dup_lines"] == 0),
+            pick(2 * c["n_repeat_words"] > n, 10 * c["n_repeat_words"] <= n), pick(c["n_common"] == 0, c["n_common"] >= 2),
+            pick(4 * c["n_other"] > c["word_chars"], 100 * c["n_other"] <= 15 * c["word_chars"]))
+
+
+def posterior(v, prior, good, bad):
+    s = math.log(prior / (1 - prior))
+    for x, g, b in zip(v, good, bad):
+        s += math.log(g / (1 - b)) if x == 1 else math.log((1 - g) / b) if x == -1 else 0
+    return 1 / (1 + math.exp(-s))
+
+
+def estimated(votes, turns=rules.TURNS):
+    """Expectation-maximisation row by row."""
+    m = len(votes[0]) if votes else 7
+    prior, good, bad = 0.5, [0.95] * m, [0.5] * m
+    clip = lambda x, lo=0.01, hi=0.99: min(hi, max(lo, x))
+    for _ in range(turns if votes else 0):
+        p = [posterior(v, prior, good, bad) for v in votes]
+        prior = clip(sum(p) / len(p), 0.5, 0.95)
+        on = lambda j, want, q: sum(x for x, v in zip(q, votes) if v[j] == want)
+        no = [1 - x for x in p]
+        good = [clip((on(j, 1, p) + 9.5) / (on(j, 1, p) + on(j, -1, p) + 10)) for j in range(m)]
+        bad = [clip((on(j, -1, no) + 5.0) / (on(j, 1, no) + on(j, -1, no) + 10)) for j in range(m)]
+    return prior, good, bad
+
+
+def brute(texts):
+    counts = [counted(t) for t in texts]
+    votes = [voted(c) for c in counts]
+    model = estimated(votes)
+    out = []
+    for c, v in zip(counts, votes):
+        failed = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+        out.append((*(c[k] for k in rules.COUNTS), *v, failed, not failed and posterior(v, *model) >= 0.5))
+    return out
+
+
+def got(spark, rows):
+    df = documents(spark, rows).withColumnsRenamed({"score": "N_Words", "size": "kept", "pieces": "vote_size", "host": "posterior"})
+    out = rules.judge(df)
+    votes = [f"vote_{r.name}" for r in rules.default_rules()]
+    return Counter(tuple(r) for r in out.select("doc_id", *rules.COUNTS, *votes, "base_failed", "kept").collect())
+
+
+def test_edge_rows_match_brute_force(spark):
+    assert got(spark, MORE) == Counter((r[0], *b) for r, b in zip(MORE, brute([r[1] for r in MORE])))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, LONG, "en", "a")] * 3])
+def test_small_tables(spark, rows):
+    assert got(spark, rows) == Counter((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows])))
+
+
+def test_estimation_matches_plain_python(spark):
+    rows = [(i, (1, 1, -1 if i % 9 else 0, 1) if i % 4 else (-1, 1, 1 if i % 3 else -1, -1)) for i in range(300)]
+    df = spark.createDataFrame([(i, *v) for i, v in rows], "i int, a int, `b.c` int, d int, e int")
+    m = rules.fit(df, ["a", "b.c", "d", "e"])
+    prior, good, bad = estimated([v for _, v in rows])
+    assert m.prior == pytest.approx(prior) and m.on_good == pytest.approx(good) and m.on_bad == pytest.approx(bad)
+
+
+def test_a_failed_rule_alone_does_not_reject(spark):
+    """All-must-pass filtering would drop these; the posterior keeps them."""
+    good = [(i, f"the text number {i} of a set and " + " ".join(f"word{i}x{j}" for j in range(120)), "en", "a") for i in range(60)]
+    odd = [(100, "the text of a set and\n" + "word here again\n" * 3 + " ".join(f"token{j}" for j in range(120)), "en", "a")]
+    junk = [(200 + i, " ".join(f"{i}{j}$$$%%%" for j in range(120)), "en", "a") for i in range(20)]
+    out = {r.doc_id: r for r in rules.judge(documents(spark, good + odd + junk)).collect()}
+    assert out[100].vote_lines == -1 and out[100].kept
+    assert all(out[r[0]].kept for r in good) and not any(out[r[0]].kept for r in junk)
+
+
+def test_labels_of_the_test_table_agree(spark):
+    """Held against labels that the method never reads."""
+    sf = "/root/testdata/sf0.01"
+    out = rules.judge(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").select("kept", "quality").collect()
+    assert sum(r.kept for r in rows if r.quality == 1) == sum(r.quality == 1 for r in rows)
+    bad = [r for r in rows if r.quality == 0]
+    assert sum(not r.kept for r in bad) >= 0.7 * len(bad)
+
+
+def test_no_python_in_the_plan(spark, edge_docs):
+    plan = rules.judge(edge_docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -1,0 +1,130 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fleetframe.llm import treap
+from tests.llm.cases import ROWS, documents
+
+
+def terms(text):
+    return re.findall(treap.TERM, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(docs, items, k=50):
+    """(item, rank, doc, score) by scoring every document; rows: (id, text)."""
+    found = [(i, Counter(x), len(x)) for i, x in ((i, terms(t)) for i, t in docs) if x]
+    n_docs, n_terms = len(found), sum(n for *_, n in found)
+    df = Counter(t for _, c, _ in found for t in c)
+    wanted = {}
+    for i, t in items:
+        wanted.setdefault(i, set()).update(terms(t))
+    out = []
+    for item, ts in wanted.items():
+        weights = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t in ts if df[t]}
+        scored = []
+        for i, c, n in found:
+            m = 50 + (50 * n * n_docs) // n_terms
+            s = sum(w * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m)) for t, w in weights.items() if c[t])
+            scored.append((-s, i is None, i or 0))
+        out += [(item, r + 1, None if no else i, -s) for r, (s, no, i) in enumerate(sorted(x for x in scored if x[0] < 0)[:k])]
+    return Counter(out)
+
+
+def held(spark, rows, items, k=50, **changed):
+    df = documents(spark, rows).withColumnRenamed("score", "rank")
+    q = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit("x")).withColumn("doc_id", F.lit(1))
+    got = Counter(tuple(r) for r in treap.rank(df, q, k).select("item_id", "rank", "doc_id", "score").collect())
+    assert got == brute([(r[0], r[1]) for r in rows], items, k)
+    return got
+
+
+ITEMS = [(0, "the cat sat"), (1, "Word3 over5 WORD3"), (2, None), (3, ""), (4, "nowhere"), (4, "cat and one"), (None, "one tab"),
+         (5, "▁ ퟿ x\x00y a.b-c"), (6, "..."), (7, " ".join(f"word{i}" for i in range(400)))]
+
+
+def test_edge_rows_match_brute_force(spark):
+    assert held(spark, ROWS, ITEMS)
+
+
+def test_many_blocks_ties_and_a_hot_term(spark, monkeypatch):
+    monkeypatch.setattr(treap, "POSTINGS", 60)
+    monkeypatch.setattr(treap, "RANGES", 3)
+    r = random.Random(5)
+    rows = [(i, "hot " + " ".join(f"t{int(r.expovariate(0.1))}" for _ in range(r.randrange(12))), "en", "s") for i in range(300)]
+    rows += [(400 + i, "hot t1 t2 t3", "en", "s") for i in range(90)] + [(7, "hot t1 t2 t3", "en", "s")] * 5
+    r.shuffle(rows)
+    items = [(i, " ".join(f"t{int(r.expovariate(0.1))}" for _ in range(6)) + (" hot" if i % 2 else "")) for i in range(25)]
+    got = held(spark, rows, items, 20)
+    assert sum(got.values()) > 300
+
+
+def test_items_beyond_the_bound_for_sending(spark, monkeypatch):
+    monkeypatch.setattr(treap, "SENT", 0)
+    monkeypatch.setattr(treap, "ITEMS", 2)
+    held(spark, ROWS, ITEMS)
+
+
+@pytest.mark.parametrize("rows, items", [([], ITEMS), (ROWS, []), ([(1, None, None, None)], ITEMS), ([(1, "one", "en", "a")], [(1, "one")])])
+def test_small_tables(spark, rows, items):
+    held(spark, rows, items)
+
+
+def grid(seed, n_rows, n_columns, share):
+    r = np.random.default_rng(seed)
+    values = np.where(r.random((n_rows, n_columns)) < share, r.integers(1, 9, (n_rows, n_columns)), 0).astype(np.int32)
+    rows, columns = np.nonzero(values)
+    depth = max(1, (max(n_rows, n_columns) - 1).bit_length())
+    return values, treap.Treap.build(rows, columns, values[rows, columns], depth), depth
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_treap_is_exact_on_random_grids(seed, monkeypatch):
+    monkeypatch.setattr(treap, "RANGES", 4)
+    values, tree, _ = grid(seed, 5 + 11 * seed, 70 - 9 * seed, 0.2)
+    s = treap.Searcher(tree, {f"t{i}": i for i in range(len(values))})
+    for k in (1, 7, 100):
+        picked = list(range(seed, len(values), 3))
+        weights = [1 + i % 4 for i in picked]
+        columns, scores = s.top([f"t{i}" for i in picked] + ["no"], [*weights, 5], k)
+        total = np.array(weights) @ values[picked]
+        want = sorted((-int(v), c) for c, v in enumerate(total) if v > 0)[:k]
+        assert [(-int(v), int(c)) for c, v in zip(columns, scores)] == want
+
+
+def test_squares_hold_the_maxima_of_their_cells():
+    values, tree, depth = grid(3, 40, 29, 0.15)
+    full = np.zeros((1 << depth, 1 << depth), np.int32)
+    full[:values.shape[0], :values.shape[1]] = values
+    for d, found in enumerate(tree.maxima):
+        side = 1 << (depth - d)
+        squares = full.reshape(1 << d, side, 1 << d, side).max(axis=(1, 3))
+        assert sorted(found.tolist()) == sorted(squares[squares > 0].tolist())
+
+
+def test_stored_treap_is_the_same():
+    import pyarrow as pa
+    _, tree, _ = grid(4, 33, 50, 0.1)
+    masks, below = tree.stored()
+    again = treap.Treap.loaded(pa.array(masks, pa.binary()), pa.array(below, pa.binary()))
+    assert all((a == b).all() for a, b in zip(tree.maxima, again.maxima))
+    assert all((a == b).all() for a, b in zip(tree.masks, again.masks))
+
+
+def test_search_does_not_read_all_ranges(monkeypatch):
+    """Bounds stop the descent: a rare strong term is found in a few splits."""
+    monkeypatch.setattr(treap, "RANGES", 1)
+    values, _, depth = grid(1, 64, 4096, 0.02)
+    values[0] = 0
+    values[0, 1234] = 500
+    rows, columns = np.nonzero(values)
+    s = treap.Searcher(treap.Treap.build(rows, columns, values[rows, columns], depth), {f"t{i}": i for i in range(64)})
+    seen = []
+    split = s._split
+    s._split = lambda d, at, *a: (seen.append(len(at)), split(d, at, *a))[1]
+    columns, scores = s.top(["t0", "t1"], [10, 1], 1)
+    assert columns.tolist() == [1234] and sum(seen) < 40
