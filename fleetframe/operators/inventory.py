@@ -92,16 +92,61 @@ def names_with_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name",
     return prefix_matches(names, prefixes, name, prefix_col).select(name).distinct()
 
 
-def admit_new(requests: DataFrame, existing: DataFrame, on: str | Sequence[str]) -> DataFrame:
+SKETCH_BITS = 1 << 20  # of a key sketch: 128 KB, whatever the number of keys
+
+
+def key_sketch(keys: DataFrame, on: str | Sequence[str], bits: int = SKETCH_BITS) -> Column:
+    """A Bloom filter of the key columns ``on`` as one scalar: an array of
+    ``bits / 64`` words, built by partial aggregates of bits.  Its size is fixed:
+    with more keys than bits it lets everything through, and nothing else
+    changes."""
+    words = bits // 64
+    at = F.explode(F.array(*_sketch_bits(on, bits)))
+    found = (keys.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("i"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("w")))
+    # Words without a bit are zero.
+    rows = found.unionByName(keys.sparkSession.range(words).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("w")))
+    dense = rows.groupBy("i").agg(F.bit_or("w").alias("w"))
+    return dense.select(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"])).scalar()
+
+
+def _sketch_bits(on: str | Sequence[str], bits: int) -> list[Column]:
+    h = F.xxhash64(*_names(on))
+    return [F.pmod(x, F.lit(bits)) for x in (h, F.shiftright(h, 32))]
+
+
+def may_hold(sketch: Column, on: str | Sequence[str], bits: int = SKETCH_BITS) -> Column:
+    """Whether the key of a row may be in the sketch; false is certain."""
+    found = [F.getbit(F.get(sketch, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
+             for p in _sketch_bits(on, bits)]
+    return found[0] & found[1]
+
+
+def admit_new(requests: DataFrame, existing: DataFrame, on: str | Sequence[str], sketch: bool = False) -> DataFrame:
     """requests whose key does not exist yet (anti join with the distinct
-    keys, so a key that exists many times is one row on the right)."""
-    return requests.join(existing.select(*_names(on)).distinct(), on, "left_anti")
+    keys, so a key that exists many times is one row on the right).
+
+    With ``sketch``, requests that a sketch of the existing keys lacks are
+    admitted by it alone and not shuffled; the others meet the keys
+    themselves, so the answer is the same.  Worth it where most requests are
+    new.  Requests with a null key match none and are admitted.
+    """
+    keys = existing.select(*_names(on)).distinct()
+    if not sketch:
+        return requests.join(keys, on, "left_anti")
+    marked = requests.withColumn("_ff_held", may_hold(key_sketch(existing, on), on))
+    maybe = marked.where("_ff_held").drop("_ff_held").join(keys, on, "left_anti")
+    return marked.where("not _ff_held").drop("_ff_held").unionByName(maybe)
 
 
-def reject_existing(requests: DataFrame, existing: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def reject_existing(requests: DataFrame, existing: DataFrame, on: str | Sequence[str], sketch: bool = False) -> DataFrame:
     """requests whose key already exists (semi join with the distinct
-    keys)."""
-    return requests.join(existing.select(*_names(on)).distinct(), on, "left_semi")
+    keys).  With ``sketch``, requests that a sketch of the existing keys lacks
+    are dropped before they are shuffled."""
+    keys = existing.select(*_names(on)).distinct()
+    if sketch:
+        requests = requests.where(may_hold(key_sketch(existing, on), on))
+    return requests.join(keys, on, "left_semi")
 
 
 def _names(on: str | Sequence[str]) -> list[str]:

@@ -30,11 +30,33 @@ def day_bucket(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
+# Tasks that the rows of one (entity, bucket) are dealt to at most.
+SALTS = 16
+
+
 def _by_bucket(key: str, b: Column) -> Column:
     """One join column for (key, bucket); struct fields compare null-safe."""
     return F.struct(F.col(key).alias("k"), b.alias("b"))
 
 
+def meet_by_bucket(per_key: DataFrame, rows: DataFrame, key: str, ts: str, tie: str, b: str, bucket: Column,
+                   salts: int = SALTS) -> DataFrame:
+    """Each row of ``per_key`` (one an entity, with its deciding bucket ``b``)
+    beside the ``rows`` of that bucket (``row``: their time and tie), or
+    beside null.
+
+    Both sides are dealt to ``salts`` parts of the bucket, the rows by a hash
+    of their own order, the one row of the entity once to each, so the rows
+    of a single hot bucket meet it in as many tasks.  What is made of a part
+    is a partial result: the caller adds them up by entity.
+    """
+    sides = (per_key.withColumn("_ff_kb", _by_bucket(key, F.col(b)))
+             .withColumn("_ff_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    dealt = rows.select(_by_bucket(key, bucket).alias("_ff_kb"), F.pmod(F.xxhash64(ts, tie), F.lit(salts)).cast("int").alias("_ff_salt"),
+                        F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("row"))
+    return sides.join(dealt, ["_ff_kb", "_ff_salt"], "left").drop("_ff_kb", "_ff_salt")
+
+
 def success_aggregates(ts: str, tie: str, success: Column) -> list[Column]:
     """What T1 needs of each (key, bucket): its number of attempts, the time
     of the first and the last, and the first success."""
@@ -43,32 +65,35 @@ def success_aggregates(ts: str, tie: str, success: Column) -> list[Column]:
 
 
 def first_success_from(buckets: DataFrame, rows: DataFrame, key: str, ts: str, tie: str, b: str,
-                       bucket: Column) -> DataFrame:
+                       bucket: Column, salts: int = SALTS) -> DataFrame:
     """T1 from ``buckets`` (:func:`success_aggregates` by key and ``b``) and
     the single ``rows``.
 
     Buckets before the one that holds the first success count whole, by a
     window over a key's buckets (its days, not its rows); only the rows of
     that deciding bucket are compared one by one.  They meet the success on
-    (key, bucket), so a hot key's rows are spread by bucket.
+    (key, bucket, salt), so that neither a hot key nor a hot bucket of it is
+    one task, and the parts' counts are added up.
     """
     whole = Window.partitionBy(key)  # over buckets, not rows
     so_far = whole.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     hit_at = F.min(F.when(F.col("hit").isNotNull(), F.col(b))).over(whole)
-    per_key = (buckets.select(key, b, "hit", F.min("first_ts").over(whole).alias("first_ts"), hit_at.alias("at"),
+    per_key = (buckets.select(key, b, F.col("hit")["ts"].alias("_ff_ts"), F.col("hit")["tie"].alias("_ff_tie"),
+                              F.min("first_ts").over(whole).alias("first_ts"), hit_at.alias("at"),
                               F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("earlier"),
                               F.sum("n").over(whole).alias("total"), F.min(b).over(whole).alias("_ff_first"))
                # The deciding bucket's row; any one where nothing succeeded.
                .where(F.col(b).eqNullSafe(F.coalesce("at", "_ff_first"))))
-    inside = (rows.select(_by_bucket(key, bucket).alias("_ff_kb"), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("row"))
-              .join(per_key.where(F.col("hit").isNotNull()).select(_by_bucket(key, F.col(b)).alias("_ff_kb"), F.col("hit").alias("_ff_hit")),
-                    "_ff_kb")
-              .where(F.col("row") < F.col("_ff_hit")).groupBy("_ff_kb").agg(F.count(F.lit(1)).alias("inside")))
-    out = per_key.withColumn("_ff_kb", _by_bucket(key, F.col(b))).join(inside, "_ff_kb", "left")
-    attempts = F.when(F.col("hit").isNull(), F.col("total")).otherwise(F.col("earlier") + F.coalesce("inside", F.lit(0)))
-    return out.select(key, "first_ts", F.col("hit")["ts"].alias("success_ts"), F.col("hit")["tie"].alias(f"success_{tie}"),
+    met = meet_by_bucket(per_key, rows, key, ts, tie, b, bucket, salts)
+    before = F.col("row") < F.struct(F.col("_ff_ts").alias("ts"), F.col("_ff_tie").alias("tie"))
+    # All but the count are the same in every part.
+    out = met.groupBy(key).agg(*[F.min(c).alias(c) for c in ("first_ts", "at", "earlier", "total", "_ff_ts", "_ff_tie")],
+                               F.count_if(before).alias("inside"))
+    found = F.col("at").isNotNull()
+    attempts = F.when(found, F.col("earlier") + F.col("inside")).otherwise(F.col("total"))
+    return out.select(key, "first_ts", F.col("_ff_ts").alias("success_ts"), F.col("_ff_tie").alias(f"success_{tie}"),
                       attempts.cast("bigint").alias("attempts_before"),
-                      micros_between(F.col("first_ts"), F.col("hit")["ts"]).alias("wait_us"))
+                      micros_between(F.col("first_ts"), F.col("_ff_ts")).alias("wait_us"))
 
 
 def first_success(df: DataFrame, key: str, ts: str, tie: str, success: Column,
@@ -86,6 +111,11 @@ def first_success(df: DataFrame, key: str, ts: str, tie: str, success: Column,
     return first_success_from(buckets, df, key, ts, tie, "_ff_b", b)
 
 
+def cut_micros(timeout_s: float, poll_s: float) -> int:
+    """When a run is cut: the clock is read only after each sleep."""
+    return int(-(-timeout_s // poll_s) * poll_s * 1_000_000)
+
+
 def run_aggregates(ts: str, tie: str, start: Column, end: Column) -> list[Column]:
     """What T2 needs of each (key, bucket): the first start, the first end,
     and the last time of all."""
@@ -94,23 +124,23 @@ def run_aggregates(ts: str, tie: str, start: Column, end: Column) -> list[Column
 
 
 def run_timeout_from(buckets: DataFrame, rows: DataFrame, key: str, ts: str, tie: str, end: Column, b: str,
-                     bucket: Column, timeout_s: float, poll_s: float, asof: Column) -> DataFrame:
+                     bucket: Column, timeout_s: float, poll_s: float, asof: Column, salts: int = SALTS) -> DataFrame:
     """T2 from ``buckets`` (:func:`run_aggregates` by key and ``b``) and the
     single ``rows``: ends in later buckets come from the aggregates, and only
-    the ends in the bucket of the start are compared with it one by one."""
-    cut_us = int(-(-timeout_s // poll_s) * poll_s * 1_000_000)
+    the ends in the bucket of the start are compared with it one by one, dealt
+    to ``salts`` parts like those of :func:`first_success_from`."""
+    cut_us = cut_micros(timeout_s, poll_s)
     whole = Window.partitionBy(key)  # over buckets, not rows
     begin_at = F.min(F.when(F.col("begin").isNotNull(), F.col(b))).over(whole)
     per_key = (buckets.withColumn("at", begin_at)
                .withColumn("later", F.min(F.when(F.col(b) > F.col("at"), F.col("end_ts"))).over(whole))
-               .where(F.col(b) == F.col("at")).select(_by_bucket(key, F.col(b)).alias("_ff_kb"), key, "begin", "later"))
-    inside = (rows.where(end)
-              .select(_by_bucket(key, bucket).alias("_ff_kb"), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("row"))
-              .join(per_key.select("_ff_kb", F.col("begin").alias("_ff_begin")), "_ff_kb")
-              .where(F.col("row") > F.col("_ff_begin"))
-              .groupBy("_ff_kb").agg(F.min(F.col("row")["ts"]).alias("inside")))
-    j = per_key.join(inside, "_ff_kb", "left").select(
-        key, F.col("begin")["ts"].alias("start_ts"), F.coalesce("inside", "later").alias("end_ts"))
+               .where(F.col(b) == F.col("at"))
+               .select(key, b, F.col("begin")["ts"].alias("_ff_ts"), F.col("begin")["tie"].alias("_ff_tie"), "later"))
+    met = meet_by_bucket(per_key, rows.where(end), key, ts, tie, b, bucket, salts)
+    after = F.col("row") > F.struct(F.col("_ff_ts").alias("ts"), F.col("_ff_tie").alias("tie"))
+    j = (met.groupBy(key).agg(F.min("_ff_ts").alias("start_ts"), F.min("later").alias("later"),
+                              F.min(F.when(after, F.col("row")["ts"])).alias("inside"))
+         .select(key, "start_ts", F.coalesce("inside", "later").alias("end_ts")))
     elapsed = micros_between("start_ts", "end_ts")
     waited = micros_between(F.col("start_ts"), asof)
     status = (F.when(F.col("end_ts").isNotNull() & (elapsed <= cut_us), F.lit("finished"))
@@ -168,14 +198,20 @@ def node_phase(message: str | Column) -> Column:
 
 
 def provisioning_phases(records: DataFrame, logger: str = "logger", message: str = "message",
-                        ts: str = "ts", bucket: Column | None = None) -> DataFrame:
+                        ts: str = "ts", bucket: Column | None = None, ranges: int | None = None) -> DataFrame:
     """T4 from parsed log records (see :mod:`fleetframe.sources.logs`): the
     node-tagged messages of each cluster (the logger name) and node, each
     phase lasting until that node's next message.  Messages with the same
-    timestamp are ordered by text, so reruns agree."""
+    timestamp are ordered by text, so reruns agree.  ``ranges`` cuts the
+    messages of all nodes into about so many ranges of their order (see
+    :func:`fleetframe.plans.ordered.range_bucket`), so that few busy nodes are
+    many tasks; ``bucket`` gives a bucket of one's own instead."""
     tagged = (records.withColumn("_ff_np", node_phase(message)).where(F.col("_ff_np").isNotNull())
               .select(F.col(logger).alias("cluster"), F.col("_ff_np")["node"].alias("node"),
                       F.col("_ff_np")["phase"].alias("phase"), F.col(ts).alias("ts")))
+    if ranges is not None:
+        tagged = ordered.range_bucket(tagged, ["cluster", "node"], ["ts", "phase"], ranges, out="_ff_range")
+        bucket = F.col("_ff_range")
     nxt = ordered.next_row(tagged, ["cluster", "node"], ["ts", "phase"], ["ts", "phase"],
-                           prefix="next_", bucket=bucket)
+                           prefix="next_", bucket=bucket).drop("_ff_range")
     return nxt.withColumn("duration_us", micros_between("ts", "next_ts"))

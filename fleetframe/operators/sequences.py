@@ -127,11 +127,14 @@ def render_stages(df: DataFrame, keys: Sequence[str], stage: str, token: str, co
                        F.col(code).alias("code"), col(out).alias("out"), col(err).alias("err"), "n_stages")
 
 
-def rendered(stages: DataFrame, keys: Sequence[str], sep: str = " | ") -> DataFrame:
-    """The tokens of each key's stages as one text: a command is a handful
-    of stages, and its text is one value."""
-    items = F.array_sort(F.collect_list(F.struct("position", "token")))
-    return stages.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["token"]), sep).alias("rendered"))
+def rendered(stages: DataFrame, keys: Sequence[str], sep: str = " | ", order: str = "position",
+             token: str = "token") -> DataFrame:
+    """The tokens of each key's stages as one text, in ``order`` (an ordered
+    string aggregate), and their number ``n_stages``.  Null tokens are stages
+    without a text.  A command is a handful of stages; its text is one value."""
+    quoted = sep.replace("\\", "\\\\").replace("'", "\\'")
+    text = F.expr(f"listagg(`{token}`, '{quoted}') WITHIN GROUP (ORDER BY `{order}`)")
+    return stages.groupBy(*keys).agg(F.coalesce(text, F.lit("")).alias("rendered"), F.count(F.lit(1)).alias("n_stages"))
 
 
 def stage_outcome(df: DataFrame, keys: Sequence[str], stage: str, code: str) -> DataFrame:
@@ -148,6 +151,15 @@ def stage_outcome(df: DataFrame, keys: Sequence[str], stage: str, code: str) ->
         F.max(F.col(stage)).alias("last_stage"))
 
 
+def require_success(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A2 with the reference's contract: the rows of :func:`stage_outcome`, but
+    reading one of a failed command raises, naming it and its first failed
+    stage.  Callers who want exit codes instead read the outcome itself."""
+    name = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys])
+    message = F.concat(F.lit("command failed: "), name, F.lit(", stage "), F.col("first_failed_stage").cast("string"))
+    return outcomes.withColumn("failed", F.when(F.col("failed"), F.raise_error(message).cast("boolean")).otherwise(F.lit(False)))
+
+
 def expand_nodes(configs: DataFrame, prefix: str, workers: str, block: int = 1 << 16) -> DataFrame:
     """G4 + E4: one row per node of each cluster configuration: workers
     ``{prefix}-node-worker{i:03d}`` at ``10.0.1.{100+i}`` and the scheduler

@@ -255,7 +255,7 @@ FROM r
 ORACLE["concat_ordered"] = """
 WITH u AS (
   SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
-  FROM conversations WHERE role <> 'assistant'),
+  FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
 n AS (SELECT conv_id, count(*) AS n FROM u GROUP BY conv_id),
 a AS (
   SELECT c.conv_id, c.turn, c.role,
@@ -502,3 +502,30 @@ n AS (
   FROM l WINDOW w AS (PARTITION BY cluster, node ORDER BY ts, phase))
 SELECT *, epoch_us(next_ts) - epoch_us(ts) AS duration_us FROM n
 """
+
+ORACLE["log_level_stream"] = ORACLE["log_level_filter"]
+
+ORACLE["stage_text"] = """
+SELECT conv_id, coalesce(string_agg(role, ' | ' ORDER BY turn), '') AS rendered, count(*) AS n_stages
+FROM conversations GROUP BY conv_id
+"""
+
+ORACLE["run_timer_stream"] = """
+WITH e AS (
+  SELECT user_id, ts, event_type = 'signup' AS s,
+    ts + CASE WHEN event_type = 'signup' THEN INTERVAL 24 HOUR ELSE INTERVAL 1 MICROSECOND END AS fin
+  FROM events WHERE event_type IN ('signup', 'purchase')),
+o AS (SELECT *, max(fin) OVER (PARTITION BY user_id ORDER BY ts, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM e),
+g AS (SELECT *, sum((until IS NULL OR ts > until)::INT) OVER (PARTITION BY user_id ORDER BY ts, fin ROWS UNBOUNDED PRECEDING) AS run FROM o),
+r AS (SELECT user_id, min(ts) FILTER (s) AS start_ts, min(ts) FILTER (NOT s) AS end_ts, max(fin) AS closed_ts FROM g GROUP BY user_id, run)
+SELECT user_id, start_ts, end_ts,
+  CASE WHEN end_ts <= start_ts + INTERVAL 24 HOUR THEN 'finished' ELSE 'timed_out' END AS status, closed_ts
+FROM r WHERE start_ts IS NOT NULL AND closed_ts <= (SELECT date_trunc('millisecond', max(ts)) FROM events)
+"""
+
+ORACLE["latest_closed_stream"] = """
+SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, max_by(event_type, (ts, event_id)) AS event_type,
+  max_by(value, (ts, event_id)) AS value
+FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events)
+GROUP BY user_id
+"""

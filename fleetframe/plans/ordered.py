@@ -14,8 +14,9 @@ order (for example the day of a timestamp, or ``pos div 65536``):
    window is partitioned by, so the large side is not shuffled again and
    only the small table moves.
 
-``adaptive_bucket`` derives a bucket that holds a bounded number of rows
-however skewed the data is.  With ``bucket=None`` the helpers fall back
+``range_bucket`` derives a bucket from the data: ranges of the full order of
+about equal size, however skewed the data is.  ``adaptive_bucket`` cuts a given
+coarse bucket where it holds too many rows.  With ``bucket=None`` the helpers fall back
 to the plain window, which is right when entities are bounded (a
 command's stages, a conversation).
 """
@@ -27,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+THIN = 32  # bounds of ranges are picked among one row in so many
 _BK = "_ff_bucket"
 _JK = "_ff_jk"
 
@@ -114,6 +116,32 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.drop(_BK, "_ff_has", "_ff_nb", *["_ff_n_" + c for c in cols])
 
 
+def range_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int,
+                 out: str = "_ff_range") -> DataFrame:
+    """Add ``out``, a bucket for the helpers above: the number of the range of
+    (keys, order) that the row falls into, of up to ``ranges`` of about
+    equal size.
+
+    The bounds are a sample of the rows themselves, one for each of ``ranges``
+    hash values and thus never more, whatever the table's size; they are the
+    same in every task (one scalar subquery) and in every rerun, as rows are
+    picked by their hash.  A row finds its range by halving steps.  An entity
+    with a share of all rows gets that share of the bounds, on the full
+    order, so ties in its first column are cut like any rows; entities with
+    few rows are seldom cut, so the per-(key, bucket) tables have about one row
+    an entity and one a range.  Nothing runs beforehand.
+    """
+    d = df.withColumn("_ff_at", F.struct(*keys, *order)).withColumn("_ff_h", F.xxhash64(*keys, *order))
+    slot = F.pmod(F.shiftright("_ff_h", 8), F.lit(ranges))
+    picked = (d.where(F.pmod("_ff_h", F.lit(THIN)) == 0).groupBy(slot.alias("_ff_slot"))
+              .agg(F.min_by("_ff_at", "_ff_h").alias("at")))
+    d = d.withColumn("_ff_bounds", picked.select(F.array_sort(F.collect_list("at"))).scalar()).withColumn("_ff_p", F.lit(0))
+    for k in reversed(range(ranges.bit_length())):
+        ahead = F.col("_ff_p") + (1 << k)
+        d = d.withColumn("_ff_p", F.when(F.get("_ff_bounds", ahead - 1) <= F.col("_ff_at"), ahead).otherwise(F.col("_ff_p")))
+    return d.withColumn(out, F.col("_ff_p")).drop("_ff_p", "_ff_at", "_ff_h", "_ff_bounds")
+
+
 def adaptive_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: Column,
                     max_rows: int = 1 << 20, out: str = "_ff_abk") -> DataFrame:
     """Add column ``out``, a bucket for the helpers above that holds about

@@ -244,6 +244,13 @@ def stage_render(spark: SparkSession, base: str) -> DataFrame:
                                    F.when(F.col("code") != 0, F.col("text")), bucket=F.floor(F.col("turn") / TURN_BLOCK))
 
 
+@query
+def stage_text(spark: SparkSession, base: str) -> DataFrame:
+    """Each conversation's roles in turn order as one text."""
+    conv = Tables(spark, base).conversations.select("conv_id", "turn", "role")
+    return sequences.rendered(conv, ["conv_id"], " | ", "turn", "role")
+
+
 @query
 def copy_plan(spark: SparkSession, base: str) -> DataFrame:
     """Orders as copy requests; lines not flagged N come from their
@@ -306,23 +313,19 @@ def catalog_rank(spark: SparkSession, base: str) -> DataFrame:
 
 # --- sequences ------------------------------------------------------------------------
 
-def _day(ts: str = "ts"):
-    return F.date_trunc("day", F.col(ts))
-
+def _ranges(spark: SparkSession) -> int:
+    """Ranges that ordered rows are cut into: a few for each shuffle partition."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-# About the most rows of one (user, bucket).
-BUCKET_ROWS = 1 << 20
 
-
-def _user_buckets(ev: DataFrame) -> DataFrame:
-    """Day buckets per user, cut further where a user-day is hot."""
-    return ordered.adaptive_bucket(ev, ["user_id"], ["ts", "event_id"], _day(), max_rows=BUCKET_ROWS, out="bucket")
+def _user_ranges(ev: DataFrame) -> DataFrame:
+    return ordered.range_bucket(ev, ["user_id"], ["ts", "event_id"], _ranges(ev.sparkSession), out="bucket")
 
 
 @query
 def delimiter_runs(spark: SparkSession, base: str) -> DataFrame:
     """G1: each user's events split at ``error`` events into runs."""
-    ev = _user_buckets(Tables(spark, base).events.select("user_id", "ts", "event_id", "event_type"))
+    ev = _user_ranges(Tables(spark, base).events.select("user_id", "ts", "event_id", "event_type"))
     return sequences.split_runs(ev, ["user_id"], ["ts", "event_id"], "event_type", "error",
                                 id_col="event_id", ts_col="ts", bucket=F.col("bucket")).drop("bucket")
 
@@ -332,7 +335,7 @@ def concat_ordered(spark: SparkSession, base: str) -> DataFrame:
     """Per conversation, what was said to the assistant (system and user
     turns), then what it answered, renumbered."""
     conv = Tables(spark, base).conversations.select("conv_id", "turn", "role")
-    left = conv.where(F.col("role") != "assistant")
+    left = conv.where(~F.col("role").eqNullSafe("assistant"))
     right = conv.where(F.col("role") == "assistant")
     return sequences.concat_ordered(left, right, ["conv_id"], ["turn"],
                                     bucket=F.floor(F.col("turn") / TURN_BLOCK))
@@ -391,7 +394,7 @@ def latest_state(spark: SparkSession, base: str) -> DataFrame:
 @query
 def phase_durations(spark: SparkSession, base: str) -> DataFrame:
     """T4: time from each event to the user's next one."""
-    out = lifecycle.phase_durations(_user_buckets(_events(Tables(spark, base))), "user_id", "ts", "event_id",
+    out = lifecycle.phase_durations(_user_ranges(_events(Tables(spark, base))), "user_id", "ts", "event_id",
                                     bucket=F.col("bucket"))
     return out.select("user_id", "event_id", "event_type", "ts", "next_ts", "duration_us")
 
@@ -462,8 +465,8 @@ EVENT_LEVELS = {"error": "ERROR", "purchase": "WARNING", "signup": "INFO", "view
 LOG_THRESHOLD = 30
 
 
-def _event_lines(t: Tables) -> DataFrame:
-    ev = t.events.select("event_id", "ts", "user_id", "event_type")
+def _event_lines(events: DataFrame) -> DataFrame:
+    ev = events.select("event_id", "ts", "user_id", "event_type")
     level = F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_LEVELS.items() for x in kv]),
                              F.col("event_type"))
     return logs.render_lines(ev, F.concat(F.lit("user"), F.col("user_id").cast("string")), level, "ts",
@@ -476,7 +479,7 @@ def log_roundtrip(spark: SparkSession, base: str) -> DataFrame:
     """Events written as text files of log lines in the shared folder,
     read and parsed back."""
     path = streaming.stream_workdir(spark, "log")[0]
-    logs.write_lines(_event_lines(Tables(spark, base)), path)
+    logs.write_lines(_event_lines(Tables(spark, base).events), path)
     return logs.parse_lines(logs.read_lines(spark, path))
 
 
@@ -484,7 +487,7 @@ def log_roundtrip(spark: SparkSession, base: str) -> DataFrame:
 def log_level_filter(spark: SparkSession, base: str) -> DataFrame:
     """parsed log records at WARNING or above; the level is tested on
     the line before the rest of it is parsed."""
-    lines = logs.lines_at(_event_lines(Tables(spark, base)), LOG_THRESHOLD)
+    lines = logs.lines_at(_event_lines(Tables(spark, base).events), LOG_THRESHOLD)
     return logs.level_filter(logs.parse_lines(lines), LOG_THRESHOLD)
 
 
@@ -548,6 +551,38 @@ def run_timeout_stream(spark: SparkSession, base: str) -> DataFrame:
                                       streaming.last_millisecond(buckets))
 
 
+@query
+def run_timer_stream(spark: SparkSession, base: str) -> DataFrame:
+    """T2 with an event-time timer: runs from signup to purchase whose 24 h
+    have passed by the latest event, each written when the watermark did."""
+    t = Tables(spark, base)
+    start, end = F.col("event_type") == "signup", F.col("event_type") == "purchase"
+    return streaming.replay_closed(
+        lambda ev: streaming.timer_stream(ev, "user_id", "ts", start, end, RUN_TIMEOUT_S, POLL_S, WATERMARK),
+        _event_stream(spark, base), t.events, "ts", "run_timer")
+
+
+@query
+def latest_closed_stream(spark: SparkSession, base: str) -> DataFrame:
+    """T3 with bounded state: the newest event per user of the days that
+    closed by the latest event."""
+    cols = ["event_id", "ts", "event_type", "value"]
+    days = streaming.replay_closed(
+        lambda ev: streaming.closed_state_stream(ev, "user_id", "ts", ["ts", "event_id"], cols, WATERMARK),
+        _event_stream(spark, base), Tables(spark, base).events, "ts", "latest_closed")
+    return keyed.last_wins(days, ["user_id"], ["ts", "event_id"], cols)
+
+
+@query
+def log_level_stream(spark: SparkSession, base: str) -> DataFrame:
+    """The event stream written as text files in one folder a level,
+    then read at WARNING or above and parsed."""
+    out, checkpoint = streaming.stream_workdir(spark, "log_level")
+    lines = _event_lines(_event_stream(spark, base))
+    logs.stream_by_level(lines, out, checkpoint).awaitTermination()
+    return logs.parse_lines(logs.read_by_level(spark, out, LOG_THRESHOLD))
+
+
 @query
 def cluster_status(spark: SparkSession, base: str) -> DataFrame:
     """A7 with the reference's name tests: nations as cluster prefixes, one
@@ -660,4 +695,4 @@ def provisioning_phases(spark: SparkSession, base: str) -> DataFrame:
     lines = logs.render_lines(ev, F.concat(F.lit("cluster"), (u % 5).cast("string")), F.lit("INFO"), "ts",
                               F.concat(F.when(u % 4 != 0, F.concat(F.lit("[worker"), (u % 3).cast("string"), F.lit("] ")))
                                        .otherwise(""), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.lit(" ...")))
-    return lifecycle.provisioning_phases(logs.parse_lines(lines), bucket=_day())
+    return lifecycle.provisioning_phases(logs.parse_lines(lines), ranges=_ranges(spark))

@@ -2,7 +2,13 @@
 
 Lines follow the reference's format ``"%(name)s %(levelname)s
 %(asctime)-15s: %(message)s"`` with Python's ``asctime``
-(``YYYY-mm-dd HH:MM:SS,mmm``, milliseconds truncated).
+(``YYYY-mm-dd HH:MM:SS,mmm``, milliseconds truncated).  As in the
+reference, a message with a line feed becomes two lines, of which the second
+does not parse; render such messages with the feed replaced.
+
+A log that is read by level is stored in one folder a level number
+(:func:`write_by_level`, :func:`stream_by_level`): a threshold then reads only
+the folders at or above it (:func:`read_by_level`).
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from pyspark.sql import functions as F
 LEVELS = {"CRITICAL": 50, "ERROR": 40, "WARNING": 30, "INFO": 20, "DEBUG": 10, "NOTSET": 0}
 DEFAULT_LEVEL = 40  # the reference's default threshold (ERROR)
 DEBUG_LEVEL = 10    # threshold with the debug flag on
+NO_LEVEL = -1       # folder of lines without a known level
 
 LINE_PATTERN = r"^(\S+) ([A-Z]+) (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) *: (.*)$"
 
@@ -71,6 +78,34 @@ def level_filter(df: DataFrame, threshold: int = DEFAULT_LEVEL, level: str = "le
     return df.where(F.col(level) >= F.lit(threshold))
 
 
+def _by_level(lines: DataFrame) -> DataFrame:
+    number = level_number(F.split_part(F.col("value"), F.lit(" "), F.lit(2)))
+    return lines.select("value", F.coalesce(number, F.lit(NO_LEVEL)).alias("levelno"))
+
+
+def write_by_level(lines: DataFrame, path: str, batch: int = 0) -> None:
+    """S6 sink: text files in folders ``batch=<batch>/levelno=<number>``; lines
+    without a known level go to the folder of ``NO_LEVEL``.  Writing a batch
+    again replaces it."""
+    _by_level(lines).write.mode("overwrite").partitionBy("levelno").text(f"{path}/batch={batch}")
+
+
+def stream_by_level(lines: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """:func:`write_by_level` for a stream of lines, a folder a micro-batch; a
+    replayed batch replaces its own."""
+    writer = (lines.writeStream.option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda rows, batch: write_by_level(rows, path, batch)))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
+def read_by_level(spark: SparkSession, path: str, threshold: int = DEFAULT_LEVEL) -> DataFrame:
+    """F7 on a stored log: its ``value`` lines at or above the threshold.  The
+    folder's number is compared, so lines below it are not read."""
+    lines = spark.read.schema("value string, batch long, levelno int").text(path)
+    return lines.where(F.col("levelno") >= F.lit(threshold)).select("value")
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S6 sink: plain text files, one line per record."""
     lines.select("value").write.mode(mode).text(path)

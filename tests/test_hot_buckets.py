@@ -1,0 +1,159 @@
+"""One entity and one day with two thirds of all rows: the rows of that
+bucket are dealt to several tasks, and the answers stay."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetframe.operators import lifecycle, sequences
+from fleetframe.plans import ordered
+
+BASE = dt.datetime(2024, 1, 1)
+N = 9000
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(N):
+        if i % 3:
+            rows.append((1, BASE + dt.timedelta(seconds=rng.randrange(80_000)), i, False, False, "x"))
+        else:
+            rows.append((2 + i % 7, BASE + dt.timedelta(minutes=rng.randrange(20_000)), i, rng.random() < 0.02, rng.random() < 0.1, "|" if i % 4 else "x"))
+    rows += [(1, BASE + dt.timedelta(seconds=79_000), N, True, False, "|"), (1, BASE + dt.timedelta(seconds=60_000), N + 1, False, True, "|"),
+             (None, BASE, N + 2, False, False, "x"), (None, BASE, N + 3, True, True, "x"), (3, None, N + 4, False, False, "x")]
+    rows = [r for r in rows if r[1] is not None]
+    return spark.createDataFrame(rows, "k int, ts timestamp_ntz, id long, ok boolean, start boolean, tok string"), rows
+
+
+@pytest.fixture()
+def plain_shuffles(spark):
+    """No adaptive splitting and no broadcasts: what a task gets is what the plan deals to it."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _per_task(met, column="row"):
+    """Rows of the hot entity that each task joined."""
+    rows = met.where((F.col("k") == 1) & F.col(column).isNotNull()).groupBy(F.spark_partition_id().alias("p")).count()
+    return sorted((r["count"] for r in rows.collect()), reverse=True)
+
+
+def test_rows_of_a_hot_bucket_meet_their_entity_in_many_tasks(spark, hot, plain_shuffles):
+    df, rows = hot
+    per_key = spark.createDataFrame([(k, BASE) for k in range(1, 9)], "k int, b timestamp_ntz")
+    day = lifecycle.day_bucket("ts")
+    spread = _per_task(lifecycle.meet_by_bucket(per_key, df, "k", "ts", "id", "b", day))
+    one = _per_task(lifecycle.meet_by_bucket(per_key, df, "k", "ts", "id", "b", day, salts=1))
+    assert len(one) == 1 and one[0] >= 2 * N // 3
+    assert sum(spread) == one[0] and len(spread) >= 4 and spread[0] < one[0] / 2
+
+
+def _first(rows):
+    out = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2], r[3]) for r in rows if r[0] == k)
+        at = next((n for n, r in enumerate(mine) if r[2]), None)
+        out[k] = (None, len(mine)) if at is None else (mine[at][1], at)
+    return out
+
+
+@pytest.mark.parametrize("salts", [1, 5, 16])
+def test_first_success_is_that_of_a_loop(hot, salts):
+    df, rows = hot
+    day = lifecycle.day_bucket("ts")
+    buckets = df.groupBy("k", day.alias("b")).agg(*lifecycle.success_aggregates("ts", "id", F.col("ok")))
+    out = lifecycle.first_success_from(buckets, df, "k", "ts", "id", "b", day, salts)
+    assert {r["k"]: (r["success_id"], r["attempts_before"]) for r in out.collect()} == _first(rows)
+
+
+@pytest.mark.parametrize("salts", [1, 16])
+def test_run_timeout_is_that_of_a_loop(hot, salts):
+    df, rows = hot
+    day = lifecycle.day_bucket("ts")
+    buckets = df.groupBy("k", day.alias("b")).agg(*lifecycle.run_aggregates("ts", "id", F.col("start"), F.col("ok")))
+    out = lifecycle.run_timeout_from(buckets, df, "k", "ts", "id", F.col("ok"), "b", day, 3600, 1, F.lit(BASE), salts)
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2], r[3], r[4]) for r in rows if r[0] == k)
+        at = next((r for r in mine if r[3]), None)
+        if at:
+            want[k] = (at[0], min((r[0] for r in mine if r[2] and r[:2] > at[:2]), default=None))
+    assert {r["k"]: (r["start_ts"], r["end_ts"]) for r in out.collect()} == want
+
+
+# --- ranges of the order ---------------------------------------------------------
+
+def test_ranges_rise_with_the_order_and_are_even(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "THIN", 2)
+    df, rows = hot
+    out = ordered.range_bucket(df, ["k"], ["ts", "id"], 32, "b").select("k", "ts", "id", "b").collect()
+    assert len(out) == len(rows)
+    by_order = sorted(((r["k"] is not None, r["k"] or 0, r["ts"], r["id"]), r["b"]) for r in out)
+    assert all(a[1] <= b[1] for a, b in zip(by_order, by_order[1:]))
+    sizes = {}
+    for r in out:
+        sizes[(r["k"], r["b"])] = sizes.get((r["k"], r["b"]), 0) + 1
+    assert len([k for k in sizes if k[0] == 1]) >= 12 and max(sizes.values()) < N / 6
+    # One range an entity and one a bound, not entities times ranges.
+    assert len(sizes) <= len({r[0] for r in rows}) + 32
+
+
+def test_ranges_split_ties(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "THIN", 2)
+    df = spark.createDataFrame([(1, 7, i) for i in range(4000)], "k int, pos int, id int")
+    sizes = [r["count"] for r in ordered.range_bucket(df, ["k"], ["pos", "id"], 16, "b").groupBy("b").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 1500
+
+
+def test_bounds_are_not_on_the_rows_that_are_shuffled(spark, hot):
+    df, _ = hot
+    cut = ordered.range_bucket(df, ["k"], ["ts", "id"], 32, "b")
+    plan = ordered.next_row(cut, ["k"], ["ts", "id"], ["ts"], bucket=F.col("b"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_set" not in plan
+    assert plan.count("scalar-subquery") + plan.count("Subquery") > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_ranges_of_small_tables(spark, n):
+    df = spark.createDataFrame([(i % 3, i) for i in range(n)], "k int, id int")
+    assert ordered.range_bucket(df, ["k"], ["id"], 8, "b").where("b >= 0").count() == n
+
+
+def test_windows_over_ranges_equal_plain_ones(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "THIN", 2)
+    df, _ = hot
+    cut = ordered.range_bucket(df, ["k"], ["ts", "id"], 32, "b")
+    plain = sorted(map(str, ordered.next_row(df, ["k"], ["ts", "id"], ["ts", "id"]).select("id", "next_ts", "next_id").collect()))
+    got = sorted(map(str, ordered.next_row(cut, ["k"], ["ts", "id"], ["ts", "id"], bucket=F.col("b")).select("id", "next_ts", "next_id").collect()))
+    assert got == plain
+    args = (["k"], ["ts", "id"], "tok", "|", "id")
+    runs = lambda d, b: sorted(map(str, sequences.split_runs(d, *args, bucket=b).collect()))
+    assert runs(cut, F.col("b")) == runs(df, None)
+
+
+# --- A2's contract ----------------------------------------------------------------
+
+def test_a_failed_command_raises_unless_codes_are_asked_for(spark):
+    rows = [(1, 0, 0), (1, 1, None), (2, 0, 0), (2, 1, 7), (2, 2, 9)]
+    out = sequences.stage_outcome(spark.createDataFrame(rows, "cmd int, stage int, code int"), ["cmd"], "stage", "code")
+    assert [r["cmd"] for r in sequences.require_success(out.where("cmd = 1"), ["cmd"]).collect()] == [1]
+    with pytest.raises(Exception, match="command failed: cmd=2, stage 1"):
+        sequences.require_success(out, ["cmd"]).collect()
+    assert {r["cmd"]: r["failed"] for r in out.collect()} == {1: False, 2: True}
+
+
+def test_rendered_text_is_ordered_and_keeps_odd_separators(spark):
+    rows = [(1, i, t) for i, t in ((2, "c"), (0, "a"), (10, "k"), (1, None))] + [(2, 0, None), (None, 0, "x")]
+    df = spark.createDataFrame(rows, "k int, position int, token string")
+    for sep in (" | ", "' or '", "\\"):
+        out = {r["k"]: (r["rendered"], r["n_stages"]) for r in sequences.rendered(df, ["k"], sep).collect()}
+        assert out == {1: (f"a{sep}c{sep}k", 4), 2: ("", 1), None: ("x", 1)}
