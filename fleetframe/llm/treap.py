@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from fleetframe.llm.common import col, written
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-POSTINGS = 1 << 20  # of a block, after which it ends with the document at hand
+POSTINGS = 1 << 19  # of a block, after which it ends with the document at hand
 COLUMNS = 1 << 16  # documents of a block at most
 ITEMS = 256  # of one row of the item table
 SENT = 200_000  # terms of all items, repeats included, up to which the item table is sent to every task (some MB)
@@ -64,7 +64,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_ONES = np.array([bin(m).count("1") for m in range(16)], np.int64)
+_ONES = np.array([bin(m).count("1") for m in range(16)], np.int8)
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,11 @@ class Treap:
 
     def ranks(self) -> list[np.ndarray]:
         """For each level, where the children of each node begin in the next."""
-        return [np.concatenate(([0], np.cumsum(_ONES[m])[:-1])) for m in self.masks]
+        out = []
+        for m in self.masks:
+            ends = np.cumsum(_ONES[m], dtype=np.int32)
+            out.append(ends - _ONES[m])
+        return out
 
     def stored(self) -> tuple[list[bytes], list[bytes]]:
         """Masks, and maxima below those of the parents, as bytes."""
@@ -128,7 +132,7 @@ class Searcher:
         # Pending ranges of each depth: their number, their bound, and each term's square (-1: none).
         ranges = [[] for _ in range(self.depth + 1)]
         ranges[0].append((np.zeros(1, np.int64), np.array([int(w @ np.full(len(w), self.treap.maxima[0][0], np.int64))]),
-                          np.zeros((1, len(w)), np.int64)))
+                          np.zeros((1, len(w)), np.int32)))
         best = np.array([ranges[0][0][1][0]] + [-1] * self.depth)  # best bound of each depth
         columns, scores, least = np.empty(0, np.int64), np.empty(0, np.int64), 1
         while True:
@@ -172,7 +176,7 @@ class Searcher:
         for side in (0, 1):
             child = 2 * down + side
             there = (mask >> child) & 1 == 1
-            square = np.where(there, first + _ONES[mask & ((1 << child) - 1)], -1)
+            square = np.where(there, first + _ONES[mask & ((1 << child) - 1)], np.int32(-1))
             bounds.append((np.where(there, maxima[np.where(there, square, 0)], 0).astype(np.int64) * w).sum(axis=1))
             numbers.append(2 * at + side)
             found.append(square)
@@ -266,6 +270,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", corpus
                 if block.full():
                     yield block.batch(f"{part}-{made}", corpus)
                     made, block = made + 1, _Block()
+                    pa.default_memory_pool().release_unused()
         if block.ids:
             yield block.batch(f"{part}-{made}", corpus)
 
