@@ -5,10 +5,15 @@ Two 64-bit fingerprints that differ in at most ``b`` bits agree in at least
 ``8 - b`` of their 8 bytes, place by place.  Posting single bytes would make
 lists of 1/256 of all fingerprints, so the index posts the guaranteed
 number of bytes at once: each fingerprint under every choice of ``8 - b``
-places with the bytes that stand there.  A pair that shares a posting has
-its shared positional bytes tallied, stays if the tally reaches the
-guarantee, and is verified by its differing bits.  It is made once, in the
-posting of its first shared places.
+places with the bytes that stand there, as one 64-bit hash.  Two that share
+such a posting thereby share the guaranteed bytes; the tally of a pair's shared
+positional bytes drops those that only share a hash.  A pair that stays is
+verified by its differing bits, and made once, in the posting of its first
+shared places.
+
+Postings are counted first, by partial aggregates that also keep the least
+and the greatest fingerprint: a posting of two is its pair.  Only the few
+postings of three and more need their rows again.
 
 Equal fingerprints are one entry.  A posting with very many entries is not
 paired: its entries post every word within ``b // 2`` bits over the places
@@ -34,7 +39,9 @@ from fleetframe.llm.components import connected_components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-HOT = 1024  # entries of a posting that are compared pair by pair at most
+# Entries of a posting that are compared pair by pair at most: half the square of so many
+# comparisons cost about what 529 words for each entry do, which are shuffled.
+HOT = 4096
 CHUNK = 1 << 15  # shingles hashed at a time
 
 
@@ -83,49 +90,58 @@ def _bits(x: Column) -> Column:
 
 
 def _hot_links(hot: DataFrame, choices: list[tuple[int, ...]], max_bits: int) -> DataFrame:
-    """(a, b) links of postings with too many entries to pair.  Two entries
-    within ``max_bits`` meet in a word that is within half of them of one
-    and within the rest of the other; only bits outside the posting's places
-    are flipped, as all entries agree in those."""
-    free = F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(64) if i // 8 not in p]) for p in choices])
-    keep_or_flip = F.concat(F.array(F.lit(0).cast("bigint")), F.element_at(free, F.col("c") + 1))
+    """(a, b) links of the (c, fp) entries of postings that are too large to
+    pair.  Two entries within ``max_bits`` meet in a word that is within half
+    of them of one and within the rest of the other; only bits outside the
+    posting's places are flipped, so a word is of one posting.  Flips are drawn
+    in falling order, each set once."""
+    free = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(64) if i // 8 not in p])
+                     for p in choices])
+    most = 8 * max_bits + 1
 
     def words(bits: int) -> DataFrame:
-        out = hot.select("c", "v", "fp", F.col("fp").alias("w"))
-        for _ in range(bits):
-            out = (out.withColumn("x", F.explode(keep_or_flip))
-                   .select("c", "v", "fp", F.col("w").bitwiseXOR(F.col("x")).alias("w")))
-        return out
-
-    least = words(max_bits // 2).groupBy("c", "v", "w").agg(F.min("fp").alias("b"))
-    return (words(max_bits - max_bits // 2).join(least, ["c", "v", "w"])
+        out = hot.select("c", "fp", F.col("fp").alias("w"), F.lit(most).alias("last"))
+        for _ in range(bits):  # 0: no further flip
+            out = (out.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("last") - 1, F.lit(0)))))
+                   .select("c", "fp", F.col("w").bitwiseXOR(F.element_at(F.element_at(free, F.col("c") + 1), F.col("i") + 1)).alias("w"),
+                           F.col("i").alias("last")))
+        return out.drop("last")
+
+    least = words(max_bits // 2).groupBy("c", "w").agg(F.min("fp").alias("b"))
+    return (words(max_bits - max_bits // 2).join(least, ["c", "w"])
             .where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct())
 
 
+def _postings(prints: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
+    """(fp, c, h): each fingerprint under the hash of every choice and its bytes."""
+    return (prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(p))) for p in choices]))
+                          .alias("c", "v")).select("fp", "c", F.xxhash64("c", "v").alias("h")))
+
+
 def links(prints: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """(a, b) links whose connected components are those of the fingerprints
     (distinct long column ``fp``) within ``max_bits`` of each other."""
     if not 0 <= max_bits <= 7:
         raise ValueError("max_bits must be from 0 to 7: beyond, no shared byte is guaranteed")
     choices = _choices(max_bits)
-    posted = (prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(p))) for p in choices]))
-                            .alias("c", "v")))
-    # Partial aggregates, cut off from the join, or it could not be split where a posting is large.
-    counts = written(posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-    posted = cut(posted.join(counts, ["c", "v"]))
+    counts = written(_postings(prints, choices).groupBy("h")
+                     .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where(F.col("n") > 1))
+    # A table of its own, whose size in bytes decides how it is joined.
+    many = written(counts.where(F.col("n") > 2).select("h", "n"))
+    posted = cut(_postings(prints, choices).join(many, "h"))
     cold = posted.where(F.col("n") <= hot)
-    a = cold.select("c", "v", F.col("fp").alias("a"))
-    b = cold.select("c", "v", F.col("fp").alias("b"))
+    paired = cold.select("h", F.col("fp").alias("a")).join(cold.select("h", F.col("fp").alias("b")), "h").where(F.col("a") < F.col("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     same = [F.when(x.bitwiseAND(F.lit(_mask((p,)))) == 0, 1).otherwise(0) for p in range(8)]
     tally = sum(same[1:], same[0])
     # For each set of shared places, the first choice within it: the posting that makes the pair.
-    first = [next((c for c, p in enumerate(choices) if all(s >> i & 1 for i in p)), -1) for s in range(256)]
+    first = [next((c for c, p in enumerate(choices) if all(s >> i & 1 for i in p)), 0) for s in range(256)]
     shared = sum((s * (1 << p) for p, s in list(enumerate(same))[1:]), same[0])
-    pairs = (a.join(b, ["c", "v"]).where(
-        (F.col("a") < F.col("b")) & (tally >= 8 - max_bits) & (_bits(x) <= max_bits)
-        & (F.element_at(F.array(*[F.lit(c) for c in first]), shared + 1) == F.col("c"))).select("a", "b"))
-    busy = posted.where(F.col("n") > hot).select("c", "v", "fp")
+    c = F.element_at(F.array(*[F.lit(k) for k in first]), shared + 1)
+    v = F.col("a").bitwiseAND(F.element_at(F.array(*[F.lit(_mask(p)) for p in choices]), c + 1))
+    pairs = (counts.where(F.col("n") == 2).select("h", "a", "b").union(paired.select("h", "a", "b"))
+             .where((tally >= 8 - max_bits) & (_bits(x) <= max_bits) & (F.xxhash64(c, v) == F.col("h"))).select("a", "b"))
+    busy = posted.where(F.col("n") > hot).select("c", "fp")
     if busy.isEmpty():
         return pairs
     return pairs.union(_hot_links(busy, choices, max_bits))
@@ -151,7 +167,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 def components_of(rows: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """(fp, group, component): each fingerprint's group (its smallest
     fingerprint) and the smallest id of the group, from (id, fp) rows."""
-    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
+    # Each row makes 70 postings: as many partitions as a shuffle has, however small the table.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("id")).repartition(n, "fp"))
     found = connected_components(cut(links(prints.select("fp"), max_bits, hot)))
     grouped = cut(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "group", F.coalesce("component", "fp")).drop("component"))

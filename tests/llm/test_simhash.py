@@ -134,3 +134,44 @@ def test_postings_are_counted_without_a_window(spark, monkeypatch):
     assert {(r.a, r.b) for r in simhash.links(prints).collect()} == {
         (0, 1), (0, 3), (1, 3), (0, 1 << 40), (1, 1 << 40), (3, 1 << 40)}
     assert plans and not any("Window" in p for p in plans)
+
+
+def test_a_large_family_is_linked_in_seconds(spark):
+    """10,000 fingerprints three bits from one base: many large postings."""
+    import time
+    r = random.Random(11)
+    base, prints = r.getrandbits(64), set()
+    while len(prints) < 10_000:
+        p = base
+        for b in r.sample(range(64), 3):
+            p ^= 1 << b
+        prints.add(signed(p))
+    df = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(4)
+    t = time.time()
+    found = simhash.cut(simhash.links(df))
+    assert time.time() - t < 20
+    assert found.where("bit_count(a ^ b) > 4").count() == 0
+    groups = connected_components(found)
+    assert groups.count() == len(prints) and groups.select("component").distinct().count() == 1
+
+
+def test_hot_words_are_made_once(spark, monkeypatch):
+    """1 + 32 + 496 words of an entry, each set of flips once."""
+    frame = type(spark.range(0))
+    made, real = [], frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *c: (made.append(self) if c == ("c", "w") else None, real(self, *c))[1])
+    choices = simhash._choices(4)
+    hot = spark.createDataFrame([(0, 0), (0, 5)], "c int, fp long")
+    assert {(x.a, x.b) for x in simhash._hot_links(hot, choices, 4).collect()} <= {(5, 0)}
+    words = made[0].where("fp = 0").select("w").collect()
+    assert len(words) == len({w[0] for w in words}) == 529
+
+
+def test_a_posting_of_two_is_its_pair(spark, monkeypatch):
+    """No row is posted again where no posting holds three."""
+    seen, real = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: seen.append(real(df)) or seen[-1])
+    prints = [signed(x) for x in (0x0123456789ABCDEF, 0x0123456789ABCDEE, 0xFEDCBA9876543210, 0xFEDCBA9876543216)]
+    got = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    assert {(x.a, x.b) for x in got.collect()} == {tuple(sorted(prints[:2])), tuple(sorted(prints[2:]))}
+    assert sum(s.count() for s in seen) == 0
