@@ -529,3 +529,12 @@ SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, max
 FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events)
 GROUP BY user_id
 """
+
+_GUARD = """
+SELECT event_id, user_id AS key FROM events
+WHERE user_id {} (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+"""
+ORACLE["admit_sketched"] = _GUARD.format("NOT IN")
+ORACLE["reject_sketched"] = _GUARD.format("IN")
+
+ORACLE["point_lookup_stream"] = "SELECT c_name, c_custkey, c_nationkey FROM customer WHERE c_name = 'Customer#000000042'"

@@ -13,7 +13,7 @@ from fleetframe.functions import text
 from fleetframe.operators import inventory, keyed, lifecycle, nested, quality, sequences
 from fleetframe.plans import derived, ordered
 from fleetframe.sources import logs
-from fleetframe.sources.tables import Tables
+from fleetframe.sources.tables import Tables, lookup_options
 from fleetframe.streaming import stateful as streaming
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,27 @@ def reject_existing(spark: SparkSession, base: str) -> DataFrame:
     return inventory.reject_existing(t.orders.select(*_ORDER_COLS), existing, "o_orderkey")
 
 
+def _requests(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Events as requests by user, and the BUILDING customers as what exists:
+    most requests are new."""
+    requests = t.events.select("event_id", F.col("user_id").alias("key"))
+    return requests, t.customer.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("key"))
+
+
+@query
+def admit_sketched(spark: SparkSession, base: str) -> DataFrame:
+    """events whose user does not exist yet; what a sketch of the existing
+    keys lacks is not shuffled."""
+    return inventory.admit_new(*_requests(Tables(spark, base)), "key", sketch=True)
+
+
+@query
+def reject_sketched(spark: SparkSession, base: str) -> DataFrame:
+    """events whose user exists; what the sketch lacks is dropped before
+    the join."""
+    return inventory.reject_existing(*_requests(Tables(spark, base)), "key", sketch=True)
+
+
 # --- lookups -----------------------------------------------------------------------
 
 def _building_customers(t: Tables) -> DataFrame:
@@ -583,6 +604,22 @@ def log_level_stream(spark: SparkSession, base: str) -> DataFrame:
     return logs.parse_lines(logs.read_by_level(spark, out, LOG_THRESHOLD))
 
 
+LOOKUP_NAME = "Customer#000000042"
+
+
+@query
+def point_lookup_stream(spark: SparkSession, base: str) -> DataFrame:
+    """The customers as a stream into a snapshot with Bloom filters of the
+    names, then one looked up by its exact name."""
+    schema = Tables(spark, base).customer.schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(f"{base}/customer.parque[t]")
+    out, checkpoint = streaming.stream_workdir(spark, "point_lookup")
+    rows = rows.select("c_name", "c_custkey", "c_nationkey")
+    (rows.writeStream.format("parquet").options(**lookup_options("c_name"))
+     .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    return inventory.lookup_one(spark.read.schema(rows.schema).parquet(out), LOOKUP_NAME, "c_name")
+
+
 @query
 def cluster_status(spark: SparkSession, base: str) -> DataFrame:
     """A7 with the reference's name tests: nations as cluster prefixes, one

@@ -50,19 +50,23 @@ class Tables:
         return read_table(self.spark, self.base, name)
 
 
-def write_lookup(df: DataFrame, path: str, name: str, names_per_file: int = 1_000_000, row_group: int = 8 << 20,
-                 mode: str = "overwrite") -> None:
-    """A snapshot for point lookups by ``name``: Parquet with a Bloom
-    filter of the names in every row group.
+def lookup_options(name: str, names_per_file: int = 1_000_000, row_group: int = 8 << 20) -> dict[str, str]:
+    """Options of a Parquet writer, batch or stream, for a snapshot that
+    is looked up by ``name``: a Bloom filter of the names in every row group.
 
     An equality on ``name`` then skips the row groups (of ``row_group`` bytes)
     whose filter lacks it, also where names are in no order and each group's
     least and greatest name span them all.  ``names_per_file`` sizes the
     filters: about 10 bits a name at one error in a hundred.
     """
-    (df.write.mode(mode).option(f"parquet.bloom.filter.enabled#{name}", "true")
-     .option(f"parquet.bloom.filter.expected.ndv#{name}", str(names_per_file))
-     .option("parquet.enable.dictionary", "false").option("parquet.block.size", str(row_group)).parquet(path))
+    return {f"parquet.bloom.filter.enabled#{name}": "true", f"parquet.bloom.filter.expected.ndv#{name}": str(names_per_file),
+            "parquet.enable.dictionary": "false", "parquet.block.size": str(row_group)}
+
+
+def write_lookup(df: DataFrame, path: str, name: str, names_per_file: int = 1_000_000, row_group: int = 8 << 20,
+                 mode: str = "overwrite") -> None:
+    """A snapshot with :func:`lookup_options`."""
+    df.write.mode(mode).options(**lookup_options(name, names_per_file, row_group)).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, mode: str = "overwrite") -> DataFrame:
