@@ -249,8 +249,9 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields:
     # A group's name is its field: null, or its value behind a colon.
     value = F.when(F.col("group") != "-", F.expr("substring(group, instr(group, ':') + 1)"))
     roots = forest.rounds[-1].select("group", "digest", value.alias("value"))
-    ordered = written(range_prefix(roots, [], ["value"], F.lit(1).cast("bigint"), "pos"))
-    top = build_forest(ordered.select(F.lit("").alias("group"), "pos", "digest"), height)
+    # The one group of the roots is a stored column: joins on a literal would lose their key.
+    ordered = written(range_prefix(roots, [], ["value"], F.lit(1).cast("bigint"), "pos").withColumn("all", F.lit("")))
+    top = build_forest(ordered.select(F.col("all").alias("group"), "pos", "digest"), height)
     return Manifest(leaves, forest, ordered.select("group", "pos"), top)
 
 
