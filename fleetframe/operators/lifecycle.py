@@ -190,11 +190,14 @@ NODE_TAG_PATTERN = r"^\[([^\]]+)\] (.*?)(?: \.\.\.)?$"
 def node_phase(message: str | Column) -> Column:
     """``struct(node, phase)`` of a node-tagged log message
     (``"[worker000] Rebooting ..."`` -> ``worker000``, ``Rebooting``);
-    null for untagged messages."""
+    null for untagged messages.  The message is cut by place at its first
+    ``]``; ``NODE_TAG_PATTERN`` says the same."""
     m = F.col(message) if isinstance(message, str) else message
-    return F.when(m.rlike(NODE_TAG_PATTERN), F.struct(
-        F.regexp_extract(m, NODE_TAG_PATTERN, 1).alias("node"),
-        F.regexp_extract(m, NODE_TAG_PATTERN, 2).alias("phase")))
+    end = F.instr(m, "]")
+    rest = F.substring(m, end + 2, F.length(m))
+    phase = F.when(F.endswith(rest, F.lit(" ...")), F.substring(rest, F.lit(1), F.length(rest) - 4)).otherwise(rest)
+    tagged = F.startswith(m, F.lit("[")) & (end > 2) & (F.substring(m, end + 1, F.lit(1)) == " ") & (F.instr(m, "\n") == 0)
+    return F.when(tagged, F.struct(F.substring(m, F.lit(2), end - 2).alias("node"), phase.alias("phase")))
 
 
 def provisioning_phases(records: DataFrame, logger: str = "logger", message: str = "message",
@@ -206,7 +209,10 @@ def provisioning_phases(records: DataFrame, logger: str = "logger", message: str
     messages of all nodes into about so many ranges of their order (see
     :func:`fleetframe.plans.ordered.range_bucket`), so that few busy nodes are
     many tasks; ``bucket`` gives a bucket of one's own instead."""
-    tagged = (records.withColumn("_ff_np", node_phase(message)).where(F.col("_ff_np").isNotNull())
+    # A generator keeps what was parsed: a filter on a plain column would be moved
+    # below the parsing and do it again for every use.
+    tagged = (records.select(logger, ts, F.explode(F.array(node_phase(message))).alias("_ff_np"))
+              .where(F.col("_ff_np").isNotNull())
               .select(F.col(logger).alias("cluster"), F.col("_ff_np")["node"].alias("node"),
                       F.col("_ff_np")["phase"].alias("phase"), F.col(ts).alias("ts")))
     if ranges is not None:

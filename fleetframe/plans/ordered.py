@@ -123,23 +123,23 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], range
     equal size.
 
     The bounds are a sample of the rows themselves, one for each of ``ranges``
-    hash values and thus never more, whatever the table's size; they are the
-    same in every task (one scalar subquery) and in every rerun, as rows are
-    picked by their hash.  A row finds its range by halving steps.  An entity
+    hash values and thus never more, whatever the table's size, and the same in
+    every task (one scalar subquery); they place rows and change no result.  A row finds its range by halving steps.  An entity
     with a share of all rows gets that share of the bounds, on the full
     order, so ties in its first column are cut like any rows; entities with
     few rows are seldom cut, so the per-(key, bucket) tables have about one row
     an entity and one a range.  Nothing runs beforehand.
     """
-    d = df.withColumn("_ff_at", F.struct(*keys, *order)).withColumn("_ff_h", F.xxhash64(*keys, *order))
+    d = df.withColumn("_ff_at", F.struct(*keys, *order))
+    # Thinned by a sample, not by a filter on the hash, which would be moved below whatever computes the keys.
+    few = d.select("_ff_at").sample(1 / THIN, 1).withColumn("_ff_h", F.xxhash64("_ff_at"))
     slot = F.pmod(F.shiftright("_ff_h", 8), F.lit(ranges))
-    picked = (d.where(F.pmod("_ff_h", F.lit(THIN)) == 0).groupBy(slot.alias("_ff_slot"))
-              .agg(F.min_by("_ff_at", "_ff_h").alias("at")))
+    picked = few.groupBy(slot.alias("_ff_slot")).agg(F.min_by("_ff_at", "_ff_h").alias("at"))
     d = d.withColumn("_ff_bounds", picked.select(F.array_sort(F.collect_list("at"))).scalar()).withColumn("_ff_p", F.lit(0))
     for k in reversed(range(ranges.bit_length())):
         ahead = F.col("_ff_p") + (1 << k)
         d = d.withColumn("_ff_p", F.when(F.get("_ff_bounds", ahead - 1) <= F.col("_ff_at"), ahead).otherwise(F.col("_ff_p")))
-    return d.withColumn(out, F.col("_ff_p")).drop("_ff_p", "_ff_at", "_ff_h", "_ff_bounds")
+    return d.withColumn(out, F.col("_ff_p")).drop("_ff_p", "_ff_at", "_ff_bounds")
 
 
 def adaptive_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: Column,
