@@ -122,7 +122,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each ``copies`` times."""
+    """The rows of ``docs`` as the mix takes them: each ``copies`` times, with
+    all its columns, whatever their names.
+
+    Rows without words (null, empty or blank texts) come once for each whole
+    epoch of their source and once more if the draw takes them; null keys and
+    sources are treated as in :func:`mix`, rows that repeat are taken or left
+    together, long texts are read whole, and an empty table gives no rows.
+    """
     columns = docs.columns
     m = mix(docs.select(*[col(c).alias(f"_ff_in_{i}") for i, c in enumerate(columns)],
                         *[col(options.pop(n, d)).alias(d) for n, d in

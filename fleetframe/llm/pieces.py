@@ -392,7 +392,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
 
 
 def decode(encoded: DataFrame, pieces: str = "pieces", out: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``encoded`` with the text of each list of ids; null for null."""
+    """``encoded`` with the text of each list of ids: null for null, empty for
+    empty, bytes that are no UTF-8 replaced.  Lists of any length are read whole,
+    rows that repeat are decoded each, an input column ``out`` is replaced, and
+    an empty table gives no rows.  Ids outside the vocabulary raise."""
     v = load(model)
 
     def make():

@@ -298,7 +298,14 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: the number of base spans of each kind, the SHA-256 of the
-    joined base spans, and all spans joined."""
+    joined base spans, and all spans joined.
+
+    Null and empty texts have no spans (the digest is that of the empty
+    string).  Null and repeated keys keep their rows; texts of any length are
+    read whole, in overlapping windows; of equal starts a span of an earlier
+    kind is named first.  Columns other than key and text are not read, and an
+    empty table gives no rows.
+    """
     found = find(without(docs.select(col(key).alias("_ff_key"), col(text).alias("_ff_text"))), "_ff_text")
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("bigint")

@@ -184,7 +184,8 @@ def score(docs: DataFrame, model: Model, by: int = 4, held_out: int = 2, key: st
 
     Null texts score as empty ones; a null key is not held out.  Rows that
     repeat are scored each; output columns replace input columns of their
-    names.
+    names.  Texts are read whole, whatever their length; an empty table gives
+    no rows; a score of exactly ``CUT`` predicts a toxic document.
     """
     out = without(docs, "held_out", "score", "predicted")
     if model.trees is None:

@@ -46,7 +46,13 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
              revisit_from: int = REVISIT_FROM) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): refers_to is the largest
     id among equal payloads of at least ``revisit_from`` bytes, null where
-    that is the row's own (or there is none)."""
+    that is the row's own (or there is none).
+
+    Null payloads are empty and null urls stay null; rows that repeat are
+    captures each, and of equal payloads under the largest id all refer to
+    none; a null id refers to the largest of the others.  Payloads are hashed
+    whole; other columns are not read; an empty table gives no rows.
+    """
     body = F.coalesce(col(payload).cast("string"), F.lit(""))
     rows = pages.select(col(key).cast("bigint").alias("page_id"), col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
