@@ -25,10 +25,11 @@ RECORD_END = "\r\n\r\n"
 REVISIT_FROM = 1000  # bytes of a payload worth a revisit record
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FILE_RECORDS = 6000  # records of one archive file at most
+FILE_PAGES = 2000  # captures of one archive file at most, three records each
+ARCHIVE_BYTES = 1 << 27  # bytes of the payloads and urls of one archive file at most, unless it holds a single capture
 
 RECORDS = ("type string, record_id string, concurrent_to string, target_uri string, digest string, "
-           "http_head string, payload binary, fields map<string,string>")
+           "refers_to string, http_head string, payload binary, fields map<string,string>")
 
 
 def _record(kind: str, headers: list[Column], body: Column) -> Column:
@@ -44,9 +45,10 @@ def _header(name: str, value: Column) -> Column:
 
 def captures(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html",
              revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to is the largest
-    id among equal payloads of at least ``revisit_from`` bytes, null where
-    that is the row's own (or there is none).
+    """(page_id, url, payload, digest, refers_to, owner): refers_to is the
+    largest id among equal payloads of at least ``revisit_from`` bytes, null
+    where that is the row's own (or there is none).  ``owner`` is the one row
+    of that id, which others may name as a record; null if it repeats.
 
     Null payloads are empty and null urls stay null; rows that repeat are
     captures each, and of equal payloads under the largest id all refer to
@@ -57,28 +59,44 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
     rows = pages.select(col(key).cast("bigint").alias("page_id"), col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     # Only digests that occur again: a small table, which Catalyst may broadcast by its written size.
-    again = written(rows.where(F.octet_length("payload") >= revisit_from).groupBy("digest")
-                    .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last"))
-                    .where((F.col("n") > 1) & F.col("last").isNotNull()).select("digest", "last"))
-    last = F.when(F.octet_length("payload") >= revisit_from, F.col("last"))
-    return (rows.join(again, "digest", "left")
-            .withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(last), last)).drop("last"))
-
-
-def write_archives(rows: DataFrame, path: str) -> None:
-    """Write three records for each of the ``captures`` rows.  Record ids
-    hold the page id and a number that makes repeated rows distinct."""
+    again = written(rows.where(F.octet_length("payload") >= revisit_from).groupBy("digest", "page_id")
+                    .agg(F.count(F.lit(1)).alias("n"))
+                    .groupBy(F.col("digest").alias("again"))
+                    .agg(F.sum("n").alias("n"), F.max(F.struct("page_id", "n")).alias("last"))
+                    .where((F.col("n") > 1) & F.col("last.page_id").isNotNull())
+                    .select("again", F.col("last.page_id").alias("last"), (F.col("last.n") == 1).alias("sole")))
+    # Short payloads have no key: where the join shuffles, they are no digest's group.
+    shared = F.when(F.octet_length("payload") >= revisit_from, F.col("digest"))
+    own = F.col("page_id").eqNullSafe(F.col("last"))
+    return (rows.join(again, shared == F.col("again"), "left")
+            .select("page_id", "url", "payload", "digest", F.when(~own, F.col("last")).alias("refers_to"),
+                    F.when(F.col("sole"), F.col("last")).alias("owner")))
+
+
+def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write three records for each of the ``captures`` rows.
+
+    Record ids hold the page id and a number that makes repeated rows
+    distinct; that of a payload's owner holds the digest instead, so a
+    revisit can name it in WARC-Refers-To.  Payloads of a file have at most
+    ``archive_bytes`` together, unless it is one alone: captures are packed
+    by size class, and a class of twice the size gets half as many a file.
+    """
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    rid = lambda kind: F.concat(F.lit(f"<urn:capture:{kind}:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-                                F.lit(":"), F.col("row").cast("string"), F.lit(">"))
+    named = lambda kind, page, end: F.concat(
+        F.lit(f"<urn:capture:{kind}:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), end, F.lit(">"))
+    mark = F.when(F.col("page_id") == F.col("owner"), F.col("digest")).otherwise(F.col("row").cast("string"))
+    rid = lambda kind: named(kind, F.col("page_id"), mark)
     response, target = rid("response"), _header("WARC-Target-URI", uri)
     own = [_header("WARC-Record-ID", response), target, _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
            F.lit("Content-Type: application/http; msgtype=response" + END)]
     head = F.concat(F.lit("HTTP/1.1 200 OK" + END + "Content-Type: text/html; charset=utf-8" + END + "Content-Length: "),
                     F.octet_length("payload").cast("string"), F.lit(END + END))
-    main = F.when(F.col("refers_to").isNull(), _record("response", own, F.concat(head, F.col("payload")))).otherwise(
-        _record("revisit", [*own, F.lit(f"WARC-Profile: {PROFILE}" + END)], head))
+    again = F.col("refers_to").isNotNull()
+    main = F.when(~again, _record("response", own, F.concat(head, F.col("payload")))).otherwise(
+        _record("revisit", [*own, _header("WARC-Refers-To", F.when(F.col("owner").isNotNull(), named("response", F.col("owner"), F.col("digest")))),
+                            F.lit(f"WARC-Profile: {PROFILE}" + END)], head))
     request = _record("request", [
         _header("WARC-Record-ID", rid("request")), _header("WARC-Concurrent-To", response), target,
         F.lit("Content-Type: application/http; msgtype=request" + END)],
@@ -88,8 +106,17 @@ def write_archives(rows: DataFrame, path: str) -> None:
         F.lit("Content-Type: application/warc-fields" + END)],
         F.concat(_header("pageId", F.col("page_id")), _header("payloadLength", F.octet_length("payload")),
                  _header("refersToPage", F.col("refers_to"))))
-    (rows.select(F.explode(F.array(request, main, metadata)).alias("value"))
-     .write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    # A capture's size class, and a number that at most FILE_PAGES / 2^class rows of a task share.
+    small = max(1, archive_bytes // FILE_PAGES)
+    size = F.when(again, F.lit(0)).otherwise(F.octet_length("payload")) + F.coalesce(4 * F.octet_length(uri), F.lit(0))
+    level = F.when(size <= small, F.lit(0)).otherwise(F.ceil(F.log2(size / small)).cast("int"))
+    counter = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    turn = F.when(level == 0, F.lit(0).cast("bigint")).otherwise(
+        F.floor(counter / F.greatest(F.floor(FILE_PAGES / F.pow(F.lit(2.0), level)), F.lit(1))).cast("bigint"))
+    pack = F.concat(level.cast("string"), F.lit("-"), turn.cast("string"))
+    (rows.select(pack.alias("pack"), F.explode(F.array(request, main, metadata)).alias("value"))
+     .write.partitionBy("pack").option("lineSep", RECORD_END).option("compression", "gzip")
+     .option("maxRecordsPerFile", 3 * FILE_PAGES).text(path))
 
 
 def _lines(f: io.BufferedIOBase) -> dict[str, str]:
@@ -120,14 +147,16 @@ def parse_archive(content: bytes) -> Iterator[dict]:
             payload = block
         yield {"type": h.get("warc-type"), "record_id": h.get("warc-record-id"),
                "concurrent_to": h.get("warc-concurrent-to"), "target_uri": h.get("warc-target-uri"),
-               "digest": h.get("warc-payload-digest"), "http_head": http.decode("utf-8", "replace") if http is not None else None,
+               "digest": h.get("warc-payload-digest"), "refers_to": h.get("warc-refers-to"),
+               "http_head": http.decode("utf-8", "replace") if http is not None else None,
                "payload": payload, "fields": list(fields.items())}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in a folder, a row each."""
     text = pa.string()
-    schema = pa.schema([(c, text) for c in ("type", "record_id", "concurrent_to", "target_uri", "digest", "http_head")]
+    schema = pa.schema([(c, text) for c in ("type", "record_id", "concurrent_to", "target_uri", "digest", "refers_to",
+                                               "http_head")]
                        + [("payload", pa.binary()), ("fields", pa.map_(text, text))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,23 +172,54 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORDS)
+
+
+# What is kept of the records of each kind.
+PARTS = {"response": ("type", "target_uri", "digest", "refers_to", "http_head", "payload", "payload_bytes", "payload_sha1"),
+         "request": ("record_id", "target_uri", "http_head"), "metadata": ("record_id", "fields")}
+
+
+def _joined(records: DataFrame) -> DataFrame:
+    """A flat row per capture: its id, ``has_<kind>``, and ``<kind>_<name>``
+    for the ``PARTS`` of each kind.
+
+    Records are read once and meet in one shuffle on the response's id;
+    every column is an aggregate of its own, so those that the caller does
+    not use (payloads, say) do not move.
+    """
+    kind = (F.when(F.col("type").isin("response", "revisit"), "response")
+            .when(F.col("type").isin("request", "metadata"), F.col("type")))
+    refers = F.col("refers_to") if "refers_to" in records.columns else F.lit(None).cast("string")
+    moved = (records.withColumn("kind", kind).withColumn("refers_to", refers)
+             .withColumn("capture", F.when(F.col("kind") == "response", F.col("record_id")).otherwise(F.col("concurrent_to")))
+             .where(F.col("kind").isNotNull() & F.col("capture").isNotNull())
+             .withColumn("payload_bytes", F.octet_length("payload")).withColumn("payload_sha1", F.sha1("payload"))
+             .withColumn("order", F.struct("record_id", "digest", "target_uri"))
+             .repartition("capture"))
+    aggs = [F.bool_or(F.col("kind") == k).alias(f"has_{k}") for k in PARTS]
+    for k, names in PARTS.items():
+        mine = F.col("kind") == k
+        aggs += [F.max_by(F.when(mine, F.col(n)), F.when(mine, F.col("order"))).alias(f"{k}_{n}") for n in names]
+    return moved.groupBy("capture").agg(*aggs).where("has_response")
+
+
+def _nested() -> list[Column]:
+    """The columns of ``assemble`` from those of ``_joined``."""
+    whole = {k: F.struct(*[F.col(f"{k}_{n}").alias("id" if n == "record_id" else n) for n in names]) for k, names in PARTS.items()}
+    return [F.col("capture").alias("record_id"), *[F.when(F.col(f"has_{k}"), whole[k]).alias(k) for k in PARTS]]
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: (record_id, response, request, metadata),
     joined through the concurrent-to identifiers.  ``response`` is the
     response or revisit record; a capture without request or metadata has
-    null there, and a record that names no known response is left out."""
-    main = records.where(F.col("type").isin("response", "revisit")).select(
-        "record_id", F.struct("type", "target_uri", "digest", "http_head", "payload",
-                              F.octet_length("payload").alias("payload_bytes"),
-                              F.sha1("payload").alias("payload_sha1")).alias("response"))
-    request = records.where(F.col("type") == "request").select(
-        F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "target_uri", "http_head").alias("request"))
-    metadata = records.where(F.col("type") == "metadata").select(
-        F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "fields").alias("metadata"))
-    return main.join(request, "record_id", "left").join(metadata, "record_id", "left")
+    null there, and a record that names no known response is left out, as is
+    a response without an id, which the format forbids.  Of several records
+    of a kind for one capture, that with the greatest id, digest and target.
+    An empty table gives no rows.
+    """
+    return _joined(records).select(*_nested())
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -173,13 +233,10 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/fleetframe-warc-{uuid.uuid4().hex}"
     write_archives(captures(pages, key, url, payload), path)
-    whole = assemble(read_records(spark, path))
-    field = lambda name: F.col("metadata.fields")[name.lower()].cast("bigint")
-    revisit = F.col("response.type") == "revisit"
-    return (whole.withColumn("page_id", field("pageId"))
-            .withColumn("payload_bytes", F.when(revisit, field("payloadLength"))
-                        .otherwise(F.col("response.payload_bytes").cast("bigint")))
-            .withColumn("payload_digest", F.when(revisit, F.regexp_replace("response.digest", "^sha1:", ""))
-                        .otherwise(F.col("response.payload_sha1")))
-            .withColumn("record_type", F.col("response.type"))
-            .withColumn("refers_to", field("refersToPage")))
+    field = lambda name: F.col("metadata_fields")[name.lower()].cast("bigint")
+    revisit = F.col("response_type") == "revisit"
+    return _joined(read_records(spark, path)).select(
+        *_nested(), field("pageId").alias("page_id"),
+        F.when(revisit, field("payloadLength")).otherwise(F.col("response_payload_bytes").cast("bigint")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("response_digest", "^sha1:", "")).otherwise(F.col("response_payload_sha1")).alias("payload_digest"),
+        F.col("response_type").alias("record_type"), field("refersToPage").alias("refers_to"))
