@@ -26,7 +26,7 @@ def label_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
                delimiter: str, bucket: Column | None = None) -> DataFrame:
     """G1, long form: drop delimiter rows and give every other row the
     0-based ``run_no`` of its run.  Repeated, leading and trailing
-    delimiters make no empty run.
+    delimiters make no empty run.  A null token is no delimiter.
 
     A row starts a run when it is not a delimiter and the row before it
     (in ``order``, per key) is a delimiter or absent; ``run_no`` is the
@@ -35,7 +35,7 @@ def label_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
     last row's delimiter flag, starts counted inside) carries the count and
     the "previous row" across bucket borders.
     """
-    d = (F.col(token) == F.lit(delimiter)).cast("int")
+    d = F.col(token).eqNullSafe(F.lit(delimiter)).cast("int")
     src = df.withColumn("_ff_d", d)
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order)

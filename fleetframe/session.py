@@ -56,14 +56,28 @@ FALLBACK_DIR = "/tmp/checkpoints/fleetframe"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``."""
-    path = (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The shared folder named by ``spark.checkpoint.dir``.  A cluster whose
+    default file system is each machine's own must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
+    if not named and sc is not None and not _shares_default(sc.master, _default_fs(sc)):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = (named or FALLBACK_DIR).rstrip("/")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
+def _default_fs(sc) -> str:
+    return sc._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+
+
+def _shares_default(master: str, default_fs: str) -> bool:
+    """Whether the driver and the executors see the same default file system."""
+    one_process = master == "local" or master.startswith("local[")
+    return one_process or not default_fs.startswith("file:")
+
+
 def _context(spark: SparkSession):
     try:
         return spark.sparkContext

@@ -130,3 +130,11 @@ def test_render_collects_decoded_outputs(spark):
     assert values(2, "out") == ["a", "", "c"] and values(2, "err") == ["", "boom", ""]
     assert values(3, "out") == ["a", ""]                # null output of a running stage
     assert values(4, "out") == ["0xC328"]
+
+
+def test_null_tokens_are_elements(spark):
+    seqs = {1: [None, "a", "|", None, "|", "|", "b", None, None], 2: ["|", None], 3: [None] * 5}
+    df = _token_frame(spark, seqs)
+    for bucket in (None, F.floor(F.col("pos") / 2), F.col("pos"), F.lit(0)):
+        got = _runs_as_lists(spark, df, bucket)
+        assert got == {k: _reference_split(v, "|") for k, v in seqs.items()}

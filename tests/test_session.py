@@ -1,3 +1,6 @@
+import pytest
+
+from fleetframe import session
 from fleetframe.session import checkpoint_dir
 
 
@@ -27,3 +30,20 @@ def test_building_batch_queries_runs_no_job(spark):
             assert all(sc.statusTracker().getStageInfo(s).numTasks == 1 for s in stages), name
             assert all("parquet" in sc.statusTracker().getStageInfo(s).name for s in stages), name
     sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("master,default_fs,shared", [
+    ("local", "file:///", True), ("local[8]", "file:///", True), ("local[*]", "hdfs://h/", True),
+    ("spark://h:7077", "file:///", False), ("yarn", "hdfs://h/", True), ("local-cluster[2,1,1024]", "file:///", False)])
+def test_fallback_folder_must_be_shared(master, default_fs, shared):
+    assert session._shares_default(master, default_fs) is shared
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Unnamed:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = spark.sparkContext
+    assert checkpoint_dir(Unnamed) == session.FALLBACK_DIR
+    monkeypatch.setattr(session, "_shares_default", lambda master, fs: False)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Unnamed)
