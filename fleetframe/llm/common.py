@@ -10,17 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Used only where the session names no ``spark.checkpoint.dir`` (tests): a
-# folder on the default file system, not a temporary folder of one machine.
-FALLBACK_DIR = "/tmp/checkpoints/fleetframe"
+from fleetframe.session import checkpoint_dir
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

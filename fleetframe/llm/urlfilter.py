@@ -15,9 +15,11 @@ Their size follows the list that the caller passes, not the corpus.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,55 +56,78 @@ def _bits(key: Column, n_bits: int, hashes: int, seed: int) -> Column:
 
 
 def _has(key: Column, level: Level) -> Column:
-    """Whether the filter may hold the key."""
-    words = F.array(*[F.lit(w) for w in level.words])
+    """Whether the filter may hold the key.  The words are one literal of
+    the plan, however many they are: Spark folds the cast text once."""
+    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
     return F.forall(_bits(key, 64 * len(level.words), level.hashes, level.seed),
                     lambda p: F.getbit(F.element_at(words, (p / 64 + 1).cast("int")), (p % 64).cast("int")) == 1)
 
 
-def _encode(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A filter of the ``n`` rows of ``keys`` (column ``key``), built by
-    partial aggregates; its words are one bounded row for each 64 bits."""
-    n_words = max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
-    hashes = max(1, round(64 * n_words / max(n, 1) * math.log(2)))
-    hashes = min(hashes, 30)
-    p = F.col("p")
-    rows = (keys.select(F.explode(_bits(F.col("key"), 64 * n_words, hashes, seed)).alias("p"))
-            .groupBy((p / 64).cast("int").alias("i"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("w")).collect())
-    words = [0] * n_words
-    for i, w in rows:
-        words[i] = w
-    return Level(tuple(words), hashes, seed)
+def _of(values: dict[int, Column]) -> Column:
+    """The value for the row's cascade ``c``; null for others."""
+    return F.coalesce(*[F.when(F.col("c") == c, v) for c, v in values.items()])
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 1) -> list[Level]:
-    """The levels for the distinct ``key`` rows of ``listed`` within the
-    distinct ``key`` rows of ``universe``.  No levels: nothing is listed."""
-    inside = written(listed.join(universe, "key", "left_semi"))
-    n_in, n_all = inside.count(), universe.count()
-    if not n_in:
-        return []
-    outside, levels = universe, []
-    current, n = inside, n_in
-    rate = min(0.5, n_in / math.sqrt(2) / max(n_all - n_in, 1))
-    while n:
-        level = _encode(current, n, rate, seed + len(levels))
-        levels.append(level)
+def _encode(keys: DataFrame, live: dict[int, tuple[int, float]], seed: int) -> dict[int, Level]:
+    """A filter for each cascade ``c`` of ``live`` (its number of rows and
+    error rate) over the rows of ``keys`` (c, key), built by partial
+    aggregates in one job; its words are one bounded row for each 64 bits."""
+    shape = {}
+    for c, (n, rate) in live.items():
+        n_words = max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
+        shape[c] = (n_words, min(max(1, round(64 * n_words / max(n, 1) * math.log(2))), 30), seed + 100 * c)
+    p = F.col("p")
+    bits = _of({c: _bits(F.col("key"), 64 * w, h, x) for c, (w, h, x) in shape.items()})
+    rows = (keys.select("c", F.explode(bits).alias("p"))
+            .groupBy("c", (p / 64).cast("int").alias("i"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("w")).collect())
+    words = {c: [0] * w for c, (w, _, _) in shape.items()}
+    for c, i, w in rows:
+        words[c][i] = w
+    return {c: Level(tuple(words[c]), h, x) for c, (_, h, x) in shape.items()}
+
+
+def _counts(keys: DataFrame) -> dict[int, int]:
+    """The rows of each cascade that has any."""
+    return {c: n for c, n in keys.groupBy("c").count().collect()}
+
+
+def build_cascades(lists: Sequence[DataFrame], universe: DataFrame, seed: int = 1) -> list[list[Level]]:
+    """For each of ``lists``, the levels for its distinct ``key`` rows within
+    the distinct ``key`` rows of ``universe``.  No levels: nothing is listed.
+    The cascades grow together, each round a level of all of them in the same
+    jobs, so a round costs what its largest cascade does."""
+    named = reduce(DataFrame.unionByName, [x.select(F.lit(c).alias("c"), "key") for c, x in enumerate(lists)])
+    inside = written(named.join(universe, "key", "left_semi"))
+    n_all = universe.count()
+    live = {c: (n, min(0.5, n / math.sqrt(2) / max(n_all - n, 1))) for c, n in _counts(inside).items()}
+    levels: list[list[Level]] = [[] for _ in lists]
+    current, outside, at = inside, None, 0
+    while live:
+        made = _encode(current, live, seed + at)
+        for c, level in made.items():
+            levels[c].append(level)
+        at += 1
         # The keys of the other kind that this level takes wrongly.
-        other = outside if len(levels) % 2 else inside
-        wrong = other.where(_has(F.col("key"), level))
-        if len(levels) == 1:
-            wrong = wrong.join(inside, "key", "left_anti")
+        if outside is None:
+            taken = F.array_compact(F.array(*[F.when(_has(F.col("key"), x), F.lit(c)) for c, x in made.items()]))
+            wrong = universe.select("key", F.explode(taken).alias("c")).join(inside, ["c", "key"], "left_anti").select("c", "key")
+        else:
+            wrong = (outside if at % 2 else inside).where(_of({c: _has(F.col("key"), x) for c, x in made.items()}))
         wrong = written(wrong)
-        if len(levels) % 2:
+        if at % 2:
             outside = wrong
         else:
             inside = wrong
-        current, n, rate = wrong, wrong.count(), 0.5
+        current, live = wrong, {c: (n, 0.5) for c, n in _counts(wrong).items()}
     return levels
 
 
+def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 1) -> list[Level]:
+    """The levels for one list."""
+    return build_cascades([listed], universe, seed)[0]
+
+
 def listed(key: Column, levels: Sequence[Level]) -> Column:
     """Whether the key is listed; exact for keys of the cascade's universe."""
     answer = F.lit(len(levels) % 2 == 1)
@@ -137,7 +162,9 @@ def _keys(host: Column, path: Column, labels: int, lengths: Sequence[int]) -> Co
 
 
 def _table(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in sorted(set(keys))], "key string")
+    """The distinct keys, from one literal of the plan."""
+    all_keys = F.from_json(F.lit(json.dumps(sorted(set(keys)))), "array<string>")
+    return spark.range(1).select(F.explode(all_keys).alias("key"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES,
@@ -160,9 +187,8 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
     host_keys = _keys(F.col("host"), F.lit(""), labels, [0])
     universe = written(work.select("host", "path").distinct()
                        .select(F.explode(F.array_union(rule_keys, host_keys)).alias("key")).distinct())
-    block = build_cascade(_table(spark, [h + p for a, h, p in rules if a == "block"]), universe, 1)
-    allow = build_cascade(_table(spark, [h + p for a, h, p in rules if a == "allow"]), universe, 101)
-    hosts = build_cascade(_table(spark, listed_hosts), universe, 201)
+    rule_lists = [[h + p for a, h, p in rules if a == kind] for kind in ("block", "allow")]
+    block, allow, hosts = build_cascades([_table(spark, x) for x in (*rule_lists, listed_hosts)], universe)
     hits = F.transform(
         F.filter(rule_keys, lambda k: listed(k, block) | listed(k, allow)),
         lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), listed(k, block).alias("block")))

@@ -56,3 +56,25 @@ def test_cascade_of_everything(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://x.net/es/1")], "page_id long, url string")
     assert "Python" not in U.judge(df)._jdf.queryExecution().toString()
+
+
+def test_cascades_built_together_are_exact(spark):
+    """A list of 100,000 keys beside a short and an empty one: a few literals, no Python."""
+    universe = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    long = U._table(spark, [f"k{i}" for i in range(1, 250_000, 2)])
+    lists = [long, U._table(spark, ["k5", "k6", "none"]), U._table(spark, [])]
+    built = U.build_cascades(lists, universe)
+    assert built[2] == [] and 64 * sum(len(x.words) for x in built[0]) < 200_000 * 4
+    got = universe.select("key", *[U.listed(F.col("key"), x).alias(f"c{i}") for i, x in enumerate(built)])
+    n = F.substring("key", 2, 9).cast("int")
+    wrong = got.where((F.col("c0") != (n % 2 == 1)) | (F.col("c1") != n.isin(5, 6)) | F.col("c2"))
+    assert wrong.count() == 0
+    plan = got._jdf.queryExecution()
+    assert "Python" not in plan.toString() and "ExistingRDD" not in plan.toString()
+    # One literal a level, not one a word.
+    assert plan.logical().toString().count("split(") == sum(len(x) for x in built)
+
+
+def test_keys_of_any_text(spark):
+    keys = ["a\nb", "c,d", "", "\u00e9\"\\", "a\nb"]
+    assert sorted(r.key for r in U._table(spark, keys).collect()) == sorted(set(keys))
