@@ -51,13 +51,14 @@ def label_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], token:
              .withColumn("_ff_rs", F.sum("_ff_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_ff_last", F.lead(F.lit(1)).over(w).isNull()))
     first = F.col("_ff_prev").isNull()
-    # Grouped by the window's own partitioning key: no shuffle.
-    edges = (local.where(first | F.col("_ff_last")).groupBy("_ff_jk")
+    # Grouped by the window's own partitioning key: no shuffle.  The keys are
+    # named too, so that this side reads the columns of the other and, unless
+    # the caller carries more, the rows' exchange is used for both.
+    edges = (local.where(first | F.col("_ff_last")).groupBy("_ff_jk", *keys)
              .agg(F.max(F.when(first, F.col("_ff_d"))).alias("_ff_df"),
                   F.max(F.when(F.col("_ff_last"), F.col("_ff_d"))).alias("_ff_dl"),
                   F.max(F.when(F.col("_ff_last"), F.col("_ff_rs"))).alias("_ff_sb"))
-             .select(*[F.col("_ff_jk")[k].alias(k) for k in keys], F.col("_ff_jk")["_ff_b"].alias("_ff_b"),
-                     "_ff_df", "_ff_dl", "_ff_sb"))
+             .select(*keys, F.col("_ff_jk")["_ff_b"].alias("_ff_b"), "_ff_df", "_ff_dl", "_ff_sb"))
     wb = Window.partitionBy(*keys).orderBy("_ff_b")
     # The bucket's first row starts a run unless it is a delimiter or the
     # previous bucket ended on a non-delimiter.

@@ -36,3 +36,10 @@ def test_scans_are_pruned(spark):
     plan = _plan(QUERIES["null_default"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan or "struct<doc_id:bigint,lang:string>" in plan
     assert "text" not in plan.split("documents.parquet")[1].split("\n")[0]
+
+
+def test_runs_move_their_rows_once(spark):
+    """The per-bucket edges come from the exchange that the rows use."""
+    df = QUERIES["delimiter_runs"](spark, SF_SMALL)
+    df.collect()
+    assert "ReusedExchange" in _plan(df)
