@@ -1,8 +1,9 @@
 """Labelled rows that classifiers learn from.
 
-A fit uses a bounded sample of the labelled rows, chosen by a hash of the
-id; the bound is a parameter.  The sampled ids are a table of bounded size,
-so joining them to the documents may broadcast them.
+``labelled_ids`` are all that may be learnt from.  ``training_rows`` is a
+bounded sample of them, chosen by a hash of the id; the bound is a parameter.
+The sampled ids are a table of bounded size, so joining them to the documents
+may broadcast them.
 """
 
 from __future__ import annotations
@@ -20,17 +21,22 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % by
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, by: int, held_out: int, key: str = "doc_id",
-                  text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, text, y) of at most ``rows`` labelled ids that are not held out.
+def labelled_ids(labels: DataFrame, label: str, by: int, held_out: int, key: str = "doc_id") -> DataFrame:
+    """(id, y) of all labelled ids that are not held out.
 
     Labels that repeat an id count by their mean (1 from a half on); null
-    ids and null labels are left out, as are labels without a document.  Of
-    documents that repeat an id the one with the smallest text is learnt.
+    ids and null labels are left out.
     """
-    few = (labels.where(col(key).isNotNull() & col(label).isNotNull() & (remainder(col(key), by) != held_out))
-           .groupBy(col(key).alias("id")).agg((F.avg(col(label)) >= 0.5).cast("int").alias("y"))
-           .orderBy(F.xxhash64("id"), "id").limit(rows))
+    return (labels.where(col(key).isNotNull() & col(label).isNotNull() & (remainder(col(key), by) != held_out))
+            .groupBy(col(key).alias("id")).agg((F.avg(col(label)) >= 0.5).cast("int").alias("y")))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, by: int, held_out: int, key: str = "doc_id",
+                  text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, text, y) of at most ``rows`` ``labelled_ids``; those without a
+    document are left out.  Of documents that repeat an id the one with the
+    smallest text is learnt."""
+    few = labelled_ids(labels, label, by, held_out, key).orderBy(F.xxhash64("id"), "id").limit(rows)
     few = F.broadcast(cut(few))  # at most ``rows`` rows of two numbers
     found = docs.select(col(key).alias("id"), col(text).alias("text")).join(few, "id")
     return written(found.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
