@@ -24,12 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.  Unlike ``cut`` the
     reread table has its true size in bytes, by which Catalyst decides
-    whether a join may broadcast it."""
+    whether a join may broadcast it.  ``rows`` bounds the rows of a row group,
+    of which Spark's reader holds up to 4,096 at once, however large."""
     path = f"{shared_dir(df.sparkSession)}/fleetframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", rows) if rows else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetframe.llm import permindex, topk
 
@@ -68,6 +69,50 @@ def test_exact_search_of_huge_components(spark):
     assert [tuple(r) for r in got] == brute(rows, 50, 5, clamp, True)
 
 
+def test_exact_search_in_small_groups(spark, monkeypatch):
+    """Many groups and tiles, bounds that spare pairs, equal vectors over all of them."""
+    for name, value in (("BLOCK_ROWS", 64), ("QUERY_ROWS", 5), ("ROW_BYTES", 2_000), ("GROUP_BYTES", 20_000), ("SPARED", 0.2)):
+        monkeypatch.setattr(topk, name, value)
+    rows = [(i, [x * 4 / (1 + j) for j, x in enumerate(v)]) for i, v in cloud(900, 40, 9)]
+    rows += [(2000 + 3 * i, rows[50][1]) for i in range(60)] + [(3000 + i, [0.25] * 40) for i in range(30)]
+    rows += [(4000 + i, [200.0 * x for x in rows[i][1]]) for i in range(0, 60, 3)] + [(5000, rows[50][1][:7])]
+    got = topk.top_k(table(spark, rows), 50, 5).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == brute(rows, 50, 5, whole, True)
+
+
+def test_bound_spares_pairs_and_changes_no_row():
+    r = np.random.default_rng(4)
+    x = np.floor(256 * r.standard_normal((6000, 48)) / np.arange(1, 49)).astype(np.int16)
+    ids = np.arange(6000) * 5
+    out, tried = [], []
+    for bounds in (True, False):
+        q = topk._Queries(ids[::60], x[::60], 5)
+        bound = q._bound
+        q._bound = lambda *a, bound=bound: (tried.append(bound(*a)), tried[-1])[1]
+        q.again = 1 if bounds else 10 ** 9
+        for tile in topk._tiles([(ids[a::7], x[a::7]) for a in range(7)]):
+            q.meet(tile)
+        out.append([q.found.row.tolist(), q.found.ids.tolist(), q.found.scores.tolist()])
+    assert out[0] == out[1] and any(tried)
+
+
+@pytest.mark.parametrize("vectors, queries, most, want", [(0, 0, 12, 12), (1 << 20, 1 << 15, 12, 12), (1 << 31, 1 << 25, 600, 128),
+                                                          (1 << 20, 1 << 19, 600, 4), (1 << 36, 1 << 30, 600, 2048)])
+def test_groups_fit_a_task_and_copies_do_not_outgrow_the_vectors(vectors, queries, most, want):
+    assert topk.groups(vectors, queries, most) == want
+
+
+def test_tasks_of_exact_search_hold_one_packed_row_of_queries(spark, monkeypatch):
+    """Neither a row nor what is held grows with the number of queries."""
+    monkeypatch.setattr(topk, "ROW_BYTES", 1_000)
+    batches = []
+    monkeypatch.setattr(topk, "written", lambda df, *a: batches.append(df) or df)
+    rows = cloud(2000, 16, 6)
+    assert topk.top_k(table(spark, rows), 2, 1).count() == 1000
+    sizes = [r[0] for r in batches[0].select(F.length("data")).collect()]
+    assert len(sizes) >= 96 and max(sizes) <= 1_000
+
+
 def dot(x, y):
     return float((np.array(x) * np.array(y)).sum())
 
