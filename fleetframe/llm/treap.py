@@ -6,7 +6,9 @@ of its documents in the order of their ids.  It is stored as a quadtree: a
 square splits into four until it is one cell, squares without a posting are not
 stored, and each square has the largest impact of its cells.  A level is two
 arrays in Morton order: a mask of the four children that exist, and the
-maxima, stored as what they are below their parent's (mostly nothing).  The
+maxima, stored as what they are below their parent's (mostly nothing) and
+compressed before they leave the task that makes them: a block is megabytes, of
+which Spark's reader, join and Arrow batches hold several copies at once.  The
 children of a node follow from counting mask bits before it, so no pointers
 are stored.
 
@@ -43,6 +45,7 @@ ITEMS = 256  # of one row of the item table
 SENT = 200_000  # terms of all items, repeats included, up to which the item table is sent to every task (some MB)
 RANGES = 512  # split at once
 K = 50
+READ_ROWS = 1  # blocks that a reader of the index holds at once
 # One byte of UTF-8 after the other: letters in lower case, digits and bytes of longer characters stay, others part.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -183,6 +186,19 @@ class Searcher:
         return np.concatenate(numbers), np.concatenate(bounds), np.concatenate(found)
 
 
+def _small(levels: Sequence[bytes]) -> list[bytes]:
+    """Each level compressed, after its length."""
+    codec = pa.Codec("zstd", compression_level=1)
+    return [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in levels]
+
+
+def _large(levels: Sequence[pa.BinaryScalar]) -> pa.Array:
+    """What :func:`_small` was given."""
+    codec = pa.Codec("zstd")
+    buffers = [x.as_buffer() for x in levels]
+    return pa.array([codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in buffers], pa.binary())
+
+
 # --- the index -------------------------------------------------------------------
 
 _INDEX = "block string, ids array<long>, terms array<string>, df array<int>, masks array<binary>, maxima array<binary>"
@@ -241,7 +257,7 @@ class _Block:
         depth = max(1, (max(len(by_df), len(order)) - 1).bit_length())
         treap = Treap.build(row[numbers], columns, impact.astype(np.int32), depth)
         values = [name, [self.ids[i] for i in order], [t.decode("utf-8", "replace") for t in terms[by_df]], df[by_df],
-                  *treap.stored()]
+                  *map(_small, treap.stored())]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _INDEX_ARROW)], schema=_INDEX_ARROW)
 
 
@@ -274,7 +290,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", corpus
         if block.ids:
             yield block.batch(f"{part}-{made}", corpus)
 
-    return written(docs.select(col(key).cast("bigint"), col(text)).mapInArrow(run, _INDEX))
+    return written(docs.select(col(key).cast("bigint"), col(text)).mapInArrow(run, _INDEX), READ_ROWS)
 
 
 # --- searches --------------------------------------------------------------------
@@ -330,7 +346,7 @@ def search(index: DataFrame, items: DataFrame, corpus: Corpus, k: int = K) -> Da
                 pack, ids = pack.as_py(), ids.values
                 wanted = pa.array(sorted({t["term"] for q in pack for t in q["terms"]}), pa.string())
                 rows = pc.index_in(wanted, value_set=terms.values)
-                s = Searcher(Treap.loaded(masks, maxima), {t: r for t, r in zip(wanted.to_pylist(), rows.to_pylist()) if r is not None})
+                s = Searcher(Treap.loaded(_large(masks), _large(maxima)), {t: r for t, r in zip(wanted.to_pylist(), rows.to_pylist()) if r is not None})
                 for q in pack:
                     columns, scores = s.top([t["term"] for t in q["terms"]], [t["weight"] for t in q["terms"]], k)
                     if len(columns):

@@ -115,6 +115,28 @@ def test_stored_treap_is_the_same():
     assert all((a == b).all() for a, b in zip(tree.masks, again.masks))
 
 
+def test_levels_come_back_from_their_compressed_form():
+    import pyarrow as pa
+    _, tree, _ = grid(5, 60, 300, 0.2)
+    for levels in (*tree.stored(), [b""], []):
+        assert treap._large(pa.array(treap._small(levels), pa.binary())).to_pylist() == list(levels)
+
+
+def test_blocks_are_small_and_read_one_at_a_time(spark, scratch_dir, monkeypatch):
+    """Spark's reader holds a row group, its join and Arrow batches several rows."""
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(treap, "POSTINGS", 20_000)
+    r = random.Random(8)
+    rows = [(i, " ".join(f"t{int(r.expovariate(0.01))}" for _ in range(80)), "en", "s") for i in range(2000)]
+    index = treap.build_index(documents(spark, rows).coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) >= 5
+    assert all(f.metadata.row_group(g).num_rows == 1 for f in files for g in range(f.num_row_groups))
+    # A level of n cells is 4 n bytes of maxima before it is compressed; the lowest of a full block is POSTINGS cells.
+    sizes = [sum(map(len, x.masks)) + sum(map(len, x.maxima)) for x in index.collect()]
+    assert max(sizes) < 4 * 20_000
+
+
 def test_search_does_not_read_all_ranges(monkeypatch):
     """Bounds stop the descent: a rare strong term is found in a few splits."""
     monkeypatch.setattr(treap, "RANGES", 1)
